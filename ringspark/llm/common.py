@@ -63,3 +63,18 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fold(id_col: str, of: int):
+    """crc32 of the id as text, modulo ``of``; a null id counts as the text ``null``."""
+    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))), F.lit(of))
+
+
+def labelled(features: DataFrame, labels: DataFrame, label: str, keep, rows: int) -> list:
+    """At most ``rows`` labelled rows of a narrow table, the same ones in every run.
+
+    Rows come in the order of a hash of the id; an id that is labelled twice counts once, with
+    the larger label.
+    """
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
+    return features.filter(keep).join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
