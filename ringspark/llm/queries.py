@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matroska, packing, quality_classifier, quality_rules, suffix_dedup, token_counts
+from . import matroska, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,5 +42,5 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_suffix_dedup, op5_quality_classifier, op6_quality_rules, op7_matroska, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_suffix_dedup, op4_toxicity, op5_quality_classifier, op6_quality_rules, op7_matroska, op8_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
