@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matroska, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity
+from . import matroska, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity, warc
 from .common import table
 
 
@@ -42,5 +42,19 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_suffix_dedup, op4_toxicity, op5_quality_classifier, op6_quality_rules, op7_matroska, op8_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op3_suffix_dedup, op4_toxicity, op5_quality_classifier, op6_quality_rules, op7_matroska, op8_token_counts, op9_warc)}
+ORACLE_SQL = {
+    "op9_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        d AS (SELECT page_id, strlen(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d),
+        r AS (SELECT *, payload_bytes >= 100 AND page_id <> first AS again FROM f)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN again THEN first END AS refers_to
+        FROM r""",
+}
