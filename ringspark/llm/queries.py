@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matroska, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity, warc
+from . import matroska, order_minhash, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity, warc
 from .common import table
 
 
@@ -14,6 +14,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -46,7 +50,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_suffix_dedup, op4_toxicity, op5_quality_classifier, op6_quality_rules, op7_matroska, op8_token_counts, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_packing, op3_suffix_dedup, op4_toxicity, op5_quality_classifier, op6_quality_rules, op7_matroska, op8_token_counts, op9_warc)}
 ORACLE_SQL = {
     "op9_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
