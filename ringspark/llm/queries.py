@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matroska, order_minhash, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity, warc
+from . import matroska, mixing, order_minhash, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity, warc
 from .common import table
 
 
@@ -50,7 +50,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_packing, op3_suffix_dedup, op4_toxicity, op5_quality_classifier, op6_quality_rules, op7_matroska, op8_token_counts, op9_warc)}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = mixing.by_use(table(spark, sf_dir, "labels"))
+    found = mixing.rates(table(spark, sf_dir, "documents"), labelled, {"good": 0.90, "poor": 0.08, "toxic": 0.02})
+    return found.withColumnsRenamed({"p_0": "p_good", "p_1": "p_poor", "p_2": "p_toxic"})
+
+
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_packing, op3_suffix_dedup, op4_toxicity, op5_quality_classifier, op6_quality_rules, op7_matroska, op8_token_counts, op9_warc, op10_mixing)}
 ORACLE_SQL = {
     "op9_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
