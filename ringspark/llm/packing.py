@@ -17,6 +17,7 @@ packed as often as they come; an empty table gives no rows; other columns are no
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -66,18 +67,29 @@ class ChunkEncoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
 
     def settle(self, chunks: set[str]) -> None:
-        """Put the ids of every chunk into the cache."""
-        own, odd = [], []
+        """Put the ids of every chunk into the cache.
+
+        Most chunks are one word, or one with a full stop or comma behind it; these need no
+        pattern.  A word of composed Latin letters is only lowered by the normalisation.
+        """
+        one, two, own, odd = [], [], [], []
         for c in chunks:
-            if c.isascii():
-                (odd if "<|" in c else own).append((c, self.find(c.lower())))
-            elif max(c) < "\u0250" and "<|" not in c:
-                own.append((c, self.find(self.tokenizer.normalizer.normalize_str(c))))
+            plain = c.isascii()
+            if "<|" in c or not (plain or max(c) < "\u0250" and "\u0130" not in c):
+                odd.append(c)
+            elif not plain and not unicodedata.is_normalized("NFC", c):
+                odd.append(c)
+            elif c.isalpha():
+                one.append((c, c.lower()))
+            elif c[-1] in ".," and c[:-1].isalpha():
+                two.append((c, c[:-1].lower()))
             else:
-                odd.append((c, []))
+                own.append((c, self.find(c.lower())))
         if len(self.parts) > CACHE_ENTRIES:
             self.parts.clear()
-        new = list({p for _, parts in own for p in parts} - self.parts.keys())
+        new = {p for _, parts in own for p in parts}
+        new.update(p for some in (one, two) for _, p in some)
+        new = list((new | {".", ","}) - self.parts.keys())
         for i in range(0, len(new), 5_000):
             some = new[i : i + 5_000]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
@@ -87,11 +99,13 @@ class ChunkEncoder:
                 self.parts.update(zip(some, map(raw.__getitem__, map(slice, [0, *to], to)), strict=False))
             else:  # some letter has no end-of-word form
                 self.parts.update(zip(some, self.direct(some), strict=True))
-        get = self.parts.__getitem__
-        for c, parts in own:
-            self.cache[c] = b"".join(map(get, parts))
+        get, cache = self.parts.__getitem__, self.cache
+        cache.update((c, get(p)) for c, p in one)
+        marks = {m: get(m) for m in ".,"}
+        cache.update((c, get(p) + marks[c[-1]]) for c, p in two)
+        cache.update((c, b"".join(map(get, parts))) for c, parts in own)
         if odd:
-            self.cache.update(zip((c for c, _ in odd), self.direct([c for c, _ in odd]), strict=True))
+            cache.update(zip(odd, self.direct(odd), strict=True))
 
     def encode(self, block: list[str]) -> list[bytes]:
         odd = {t for t in block if any(c in t for c in "\x1c\x1d\x1e\x1f")}
