@@ -12,9 +12,16 @@ from pyspark.sql import functions as F
 
 
 def worker_cache(name: str) -> dict:
-    """A dict that lives as long as the Python worker; callers bound its size."""
+    """A dict that the Python worker keeps between tasks; callers bound its size.
+
+    A worker keeps one such dict: the first call under another name drops it.
+    """
     home = sys.modules.setdefault("_ringspark_worker", types.ModuleType("_ringspark_worker"))
-    return home.__dict__.setdefault(name, {})
+    held = home.__dict__.setdefault("held", {})
+    if name not in held:
+        held.clear()
+        held[name] = {}
+    return held[name]
 
 
 def shared_dir(spark: SparkSession) -> str:
