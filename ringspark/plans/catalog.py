@@ -558,21 +558,15 @@ def hit_test(spark, sf_dir):
 
 @query("SELECT user_id, event_id, round(epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)), 3) AS gap FROM events")
 def session_gaps(spark, sf_dir):
-    events = projections.read(spark, sf_dir, "events").select("user_id", "event_id", F.struct("ts", "event_id").alias("order"), "ts")
-    w = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000
-    from pyspark.sql import Window
-
-    before = F.lag(w).over(Window.partitionBy("user_id").orderBy("order"))
-    return events.select("user_id", "event_id", F.round(w - before, 3).alias("gap"))
+    events = projections.read(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    return session.gaps(events, "user_id", "ts", "event_id").select("user_id", "event_id", F.round("gap", 3).alias("gap"))
 
 
 @query("SELECT user_id, round((SELECT epoch(max(ts)) FROM events) - epoch(max(ts)), 3) AS idle FROM events GROUP BY user_id HAVING (SELECT epoch(max(ts)) FROM events) - epoch(max(ts)) > 86400")
 def abandoned_sessions(spark, sf_dir):
     events = projections.read(spark, sf_dir, "events").select("user_id", "ts")
-    end = events.agg(F.max("ts").alias("now"))
-    last = events.groupBy("user_id").agg(F.max("ts").alias("ts")).crossJoin(F.broadcast(end))  # one row
-    found = session.abandoned(last.select("user_id", "ts", "now").withColumnRenamed("user_id", "session").select("session", "ts"), "session", "ts", F.lit(end.first()["now"]), 86_400)
-    return found.select(F.col("session").alias("user_id"), F.round("idle", 3).alias("idle"))
+    now = F.lit(events.agg(F.max("ts")).first()[0])
+    return session.abandoned(events, "user_id", "ts", now, 86_400).select("user_id", F.round("idle", 3).alias("idle"))
 
 
 # --- searches: random, so rows only -----------------------------------------------------

@@ -77,12 +77,13 @@ def run(requests: DataFrame, steps: int = 200, seed: int = 0, abandon_after: int
     return requests.groupBy("session_id").applyInPandasWithState(handle, STATUS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def gaps(events: DataFrame, session: str, at: str) -> DataFrame:
-    """(session, at, gap): seconds since the session's event before, null for its first."""
+def gaps(events: DataFrame, session: str, at: str, *ties: str) -> DataFrame:
+    """Add ``gap``: seconds since the session's event before, null for its first; ties order
+    events of one moment."""
     # timestamps without zone are read in the session's zone, which must be UTC for exact gaps
     seconds = F.unix_micros(F.col(at).cast("timestamp")) / 1_000_000
-    before = F.lag(seconds).over(Window.partitionBy(session).orderBy(at))
-    return events.select(F.col(session), F.col(at), (seconds - before).alias("gap"))
+    before = F.lag(seconds).over(Window.partitionBy(session).orderBy(at, *ties))
+    return events.withColumn("gap", seconds - before)
 
 
 def abandoned(events: DataFrame, session: str, at: str, now, limit: float = ABANDON_AFTER) -> DataFrame:
