@@ -66,7 +66,7 @@ def test_gradients():
 
 
 def test_model_learns_and_travels(spark, tmp_path):
-    model, figures = train.train(epochs=250, hidden=32, evaluate_every=25)
+    model, figures = train.train(epochs=300, hidden=32, evaluate_every=20)
     assert figures["metrics"]["mean_absolute_error"] < 1.5
     layers.save_weights(spark, model, str(tmp_path / "w"))
     back = layers.load_weights(spark, str(tmp_path / "w"))
