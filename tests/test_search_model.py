@@ -99,12 +99,13 @@ def test_sessions_as_a_stream(spark, tmp_path):
     schema = "session_id string, kind string, k int, g int, generator string"
     rows = [("a", "start", 3, 5, "bruteforce"), ("a", "poll", None, None, None), ("b", "start", 3, 6, "randomwalk"), ("b", "stop", None, None, None)]
     spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # timers alone start no batch
     stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
     query = session.run(stream, steps=50).writeStream.format("memory").queryName("sessions").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    assert query.awaitTermination(100), "still running"
     found = spark.table("sessions").collect()
     assert {(r["session_id"], r["stopped"]) for r in found} == {("a", False), ("b", False), ("b", True)}
-    assert max(r["step_count"] for r in found if r["session_id"] == "a") >= 50
+    assert any(r["success"] for r in found if r["session_id"] == "a")
     assert all(r["moore_bound"] == {5: 10, 6: 14}[r["g"]] for r in found)
 
 
