@@ -139,20 +139,27 @@ def by_piece(raw: bytes, starts: np.ndarray) -> Iterator[tuple[np.ndarray, int,
         yield np.flatnonzero(at == piece), base, sums(np.frombuffer(raw[base : base + PIECE + WIDEST], dtype=np.uint8))
 
 
+def lists(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """Of a column of lists of structs of numbers, each row as a matrix with a line per field."""
+    at = column.offsets.to_numpy()
+    fields = np.array([column.values.field(i).to_numpy() for i in range(column.values.type.num_fields)])
+    for a, b in zip(at, at[1:], strict=False):
+        yield fields[:, a:b]
+
+
 def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each open anchor the stretches of STEP neighbouring windows."""
     names = "d k lo hi start end whole core"
     for batch in batches:
         rows, held = [], 0
-        for d, k, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if not own:
+        for d, k, text, own in zip(*(c.to_pylist() for c in batch.columns[:3]), lists(batch.column(3)), strict=True):
+            if not own.size:
                 continue
-            raw, span = text.encode(), {}
-            for x in own:  # an anchor on the border of two pieces comes with two ranges
-                s, e = span.get(x["a"], (x["s"], x["e"]))
-                span[x["a"]] = min(s, x["s"]), max(e, x["e"])
-            a = np.array(sorted(span), dtype=np.int64)
-            s, e = np.array([span[x] for x in a.tolist()], dtype=np.int64).T
+            raw = text.encode()
+            # an anchor on the border of two pieces comes with two ranges
+            a, s, e = own[:, np.argsort(own[0], kind="stable")]
+            new = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+            a, s, e = a[new], np.minimum.reduceat(s, new), np.maximum.reduceat(e, new)
             first, last = (a - e) // STEP, (a - s) // STEP
             count = last - first + 1
             row = np.repeat(np.arange(len(a)), count)
@@ -176,38 +183,42 @@ def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for d, k, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            raw = text.encode()
-            p = np.concatenate([np.arange(x["lo"], x["hi"] + 1) for x in own])
+        rows, held = [], 0
+        for d, k, text, (lo, hi) in zip(*(c.to_pylist() for c in batch.columns[:3]), lists(batch.column(3)), strict=True):
+            raw, count = text.encode(), hi - lo + 1
+            p = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
             rank = np.zeros(len(p), dtype=np.int64)
             for some, base, total in by_piece(raw, p):
                 rank[some] = prints(total, p[some] - base, p[some] + LENGTH - base)
-            yield columns("d k p rank", [(np.full(len(p), d), np.full(len(p), k), p, rank)])
+            rows.append((np.full(len(p), d), np.full(len(p), k), p, rank))
+            held += len(p)
+            if held > 200_000:
+                yield columns("d k p rank", rows)
+                rows, held = [], 0
+        if rows:
+            yield columns("d k p rank", rows)
 
 
-def spans_of(own: list[dict]) -> list[tuple[int, int]]:
+def spans_of(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Overlapping and touching ranges as maximal ones."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted((x["start"], x["end"]) for x in own):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    new = np.r_[True, start[1:] > reach[:-1]]
+    return start[new], reach[np.r_[new[1:], True]]
 
 
 def kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
     for batch in batches:
-        rows = []
-        for d, k, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            raw, at, kept = text.encode(), 0, []
-            spans = spans_of(own)
-            for a, b in spans:
-                kept.append(raw[at:a])
-                at = b
-            rows.append((d, k, sum(b - a for a, b in spans), len(spans), b"".join([*kept, raw[at:]])))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["d", "k", "n_removed", "n_spans", "kept"])
+        for first in range(0, batch.num_rows, 1000):
+            part = batch.slice(first, 1000)
+            rows = []
+            for d, k, text, own in zip(*(c.to_pylist() for c in part.columns[:3]), lists(part.column(3)), strict=True):
+                raw = text.encode()
+                start, end = spans_of(*own)
+                kept = b"".join([raw[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(raw)], strict=True)])
+                rows.append((d, k, len(raw) - len(kept), len(start), kept))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["d", "k", "n_removed", "n_spans", "kept"])
 
 
 def repeated(df: DataFrame, column: str) -> DataFrame:
@@ -240,10 +251,11 @@ def kept_parts(docs: DataFrame) -> DataFrame:
     open_cores = flagged.groupBy("core").agg(F.count("*").alias("n"), F.min("full").alias("all")).filter("n > 1 and not all").select("core")
     left = flagged.join(open_cores, "core", "left_semi").groupBy("d", "k").agg(F.collect_set(F.struct("lo", "hi")).alias("own"))
     windows = settled(some.select("d", "k", "text").join(left, ["d", "k"]).mapInArrow(window_rows, "d long, k long, p long, rank long"), "windows")
-    again = windows.join(repeated(windows, "rank"), "rank", "left_semi")
+    again = settled(windows.join(repeated(windows, "rank"), "rank", "left_semi").select("d", "k", "p"), "again")
+    discard(windows)
     ranges = ranked.filter("full").select("d", "k", F.col("s").alias("start"), (F.col("e") + LENGTH).alias("end"))
     ranges = ranges.union(flagged.filter("full").select("d", "k", "start", "end")).union(again.select("d", "k", F.col("p").alias("start"), (F.col("p") + LENGTH).alias("end")))
-    removed = ranges.groupBy("d", "k").agg(F.collect_set(F.struct("start", "end")).alias("own"))
+    removed = ranges.groupBy("d", "k").agg(F.collect_list(F.struct("start", "end")).alias("own"))
     kept = some.select("d", "k", "text").join(removed, ["d", "k"]).mapInArrow(kept_rows, "d long, k long, n_removed long, n_spans long, kept binary")
     return kept.dropDuplicates(["d", "k"])
 
