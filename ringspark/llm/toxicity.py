@@ -4,8 +4,8 @@ The lexicon holds fixed whole words and terms mined from a bounded sample of lab
 rows: whole words, and word stems, whose share among toxic documents is many times that among
 clean ones.  Its terms form a trie; a Levenshtein automaton for each new word (its states are
 rows of edit distances, dead once all exceed the bound) is run along the trie, so one walk finds
-all terms within the bound.  Words in which no unbroken part of a term stands where an edit could
-have left it are not walked.  Stems are met at the start of a word.
+all terms within the bound.  Words that cannot be made equal to a term by leaving out letters of
+both are not walked.  Stems are met at the start of a word.
 
 Each hit is weighed by a window of words around it: quotation marks and verbs of reporting speak
 for quotation, second persons for abuse.  The summed weights, by kind of hit, go through a
@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,15 @@ def bound(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
+def without(word: str, n: int) -> list[str]:
+    """The word with n letters left out, in every way."""
+    if n == 0:
+        return [word]
+    if n == 1:
+        return [word[:i] + word[i + 1 :] for i in range(len(word))]
+    return [word[:i] + word[i + 1 : j] + word[j + 1 :] for i, j in combinations(range(len(word)), 2)]
+
+
 class Trie:
     """Terms by letters, and the walk of a word's automaton along them."""
 
@@ -60,15 +70,32 @@ class Trie:
             for c in w:
                 node = node.setdefault(c, {})
             node[""] = w
-        parts: set[str] = set()
-        for w in words:
-            if bound(w):
-                size = -(-len(w) // (bound(w) + 1))
-                first, *inner, last = [w[i : i + size] for i in range(0, len(w), size)]
-                parts |= {f"^{re.escape(first)}", f"{re.escape(last)}$", *(f".{re.escape(x)}." for x in inner)}
-        self.likely = re.compile("|".join(sorted(parts)) or r"(?!)").search
-        self.stem = re.compile("|".join(sorted(map(re.escape, stems), key=lambda s: (len(s), s))) or r"(?!)").match
+        # parts of a term of which one stays whole, in place, under the edits that it may have;
+        # and what is left of a term without that many letters
+        self.heads, self.tails, self.cuts = {}, {}, {}
+        inner: set[str] = set()
+        for k in (1, 2):
+            own = [w for w in words if bound(w) == k]
+            ends = [[len(w) * i // (k + 1) for i in range(k + 2)] for w in own]
+            self.heads[k] = tuple({w[: e[1]] for w, e in zip(own, ends, strict=True)})
+            self.tails[k] = tuple({w[e[k] :] for w, e in zip(own, ends, strict=True)})
+            inner |= {w[e[1] : e[2]] for w, e in zip(own, ends, strict=True) if k == 2}
+            self.cuts[k] = {v for w in own for n in range(k + 1) for v in without(w, n)}
         self.widest = max(map(len, words), default=0) + 2
+        self.inner = re.compile("|".join(sorted(map(re.escape, inner))) or r"(?!)").search
+        self.stem = re.compile("|".join(sorted(map(re.escape, stems), key=lambda s: (len(s), s))) or r"(?!)").match
+
+    def likely(self, word: str) -> bool:
+        """Whether the word and a term can be made equal by leaving out letters of both.
+
+        Words within the bound of a term all can, so that only these few are walked.
+        """
+        if word.startswith(self.heads[1]) or word.endswith(self.tails[1]):
+            if word in self.cuts[1] or not self.cuts[1].isdisjoint(without(word, 1)):
+                return True
+        if 6 < len(word) and (word.startswith(self.heads[2]) or word.endswith(self.tails[2]) or self.inner(word)):
+            return word in self.cuts[2] or not all(self.cuts[2].isdisjoint(without(word, n)) for n in (1, 2))
+        return False
 
     def near(self, word: str) -> tuple[int, str] | None:
         """The nearest term within its bound: (edits, term)."""
@@ -146,6 +173,32 @@ def feature_table(docs: DataFrame, terms: tuple[list[str], list[str]]) -> DataFr
     return texts(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} double" for c in NAMES))
 
 
+def varied(sample: DataFrame, telling: list, least: int) -> list:
+    """The terms that toxic documents hold between many different words.
+
+    Copies of one toxic document share all its words; only what stands in new company each time
+    tells of more than that document.  At most one row for each term comes to the driver.
+    """
+    terms = {r["kind"]: {x["term"] for x in telling if x["kind"] == r["kind"]} for r in telling}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[tuple[str, str, str]] = set()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                own = ["", *(x.strip(".,;:!?()" + QUOTES) for x in text.lower().split()), ""]
+                for before, w, after in zip(own, own[1:], own[2:], strict=False):
+                    company = f"{before} {after}"
+                    if w in terms.get("w", ()):
+                        found.add(("w", w, company))
+                    found.update(("s", w[:n], company) for n in STEMS if w[:n] in terms.get("s", ()))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["kind", "term", "company"])
+
+    pairs = sample.filter("y = 1").select("text").mapInArrow(run, "kind string, term string, company string").distinct()
+    company = {(r["kind"], r["term"]): r["n"] for r in pairs.groupBy("kind", "term").agg(F.count("*").alias("n")).collect()}
+    return [r for r in telling if company.get((r["kind"], r["term"]), 0) >= max(least, 0.5 * r["n_toxic"])]
+
+
 def mine(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[str]]:
     """(whole words, stems): the fixed words and what the labelled sample adds.
 
@@ -182,6 +235,7 @@ def mine(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[str]]:
     odds = (F.col("n_toxic") + 0.5) / (toxic + 1) / ((F.col("n_clean") + 0.5) / (clean + 1))
     counted = sample.select("doc_id", "text", "y").mapInArrow(run, "kind string, term string, n_toxic long, n_clean long").groupBy("kind", "term").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
     telling = counted.filter((F.col("n_toxic") >= least) & (odds >= LEAST_ODDS)).orderBy(F.desc("n_toxic"), "term").limit(MOST_TERMS).collect()
+    telling = varied(sample, telling, least)
     words = {r["term"]: r["n_toxic"] for r in telling if r["kind"] == "w"}
     stems: list[str] = []
     for n_toxic, stem in sorted(((r["n_toxic"], r["term"]) for r in telling if r["kind"] == "s"), key=lambda x: (len(x[1]), x[1])):
@@ -189,6 +243,10 @@ def mine(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[str]]:
         # a stem stands for many words; where one word makes up most of it, that word is the term
         if not any(stem.startswith(s) for s in stems) and max(spread, default=0) < 0.6 * n_toxic:
             stems.append(stem)
+    # a longer stem that nearly all of a stem's documents share is the better one
+    shares = {r["term"]: r["n_toxic"] for r in telling if r["kind"] == "s"}
+    for i, stem in enumerate(stems):
+        stems[i] = max((s for s, n in shares.items() if s.startswith(stem) and n >= 0.9 * shares[stem]), key=lambda s: (len(s), s))
     return sorted({*WORDS, *(w for w in words if not any(w.startswith(s) for s in stems))}), stems
 
 
