@@ -12,7 +12,8 @@ Equal texts are one node from the start.  Nodes of a bucket are compared with it
 first, which costs one comparison for each node and settles groups of near copies however large.
 Pairs of a bucket that are still in different classes after that are compared as well, unless
 their sizes or, by the triangle inequality, their distances to the bucket's least node rule a
-link out: no link between different texts of a bucket that could join two classes is left out.
+link out; in large buckets that happens in blocks of bounded size.  No link between different
+texts of a bucket that could join two classes is left out.
 
 Defined results: a null or empty text is the text without words, and equals every other such
 text; texts of under five words have one shingle; rows that repeat are copies of each other;
@@ -36,6 +37,8 @@ from .common import cut, discard, texts
 WORDS, SIMILARITY = 5, 0.8
 BANDS, TUPLE = 32, 6
 WIDE_ROWS = 50_000
+# Buckets of over FEW nodes are compared in blocks of two parts.
+FEW, PART_ROWS, PART_SHINGLES, COLUMNS = 24, 512, 400_000, 8_192
 
 
 def shingles(text: str) -> np.ndarray:
@@ -173,6 +176,65 @@ def sized(a: str, b: str):
     return F.least(a, b) >= SIMILARITY * F.greatest(a, b)
 
 
+def alike(own: list[np.ndarray]) -> np.ndarray:
+    """Shingles that each pair of texts has in common, by products of incidence matrices."""
+    n = np.array([len(x) for x in own])
+    _, at, count = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(len(own)), n), count > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[at]
+    row, column = row[keep], place[at[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(own), len(own)), dtype=np.float32)
+    for first in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, (first, first + COLUMNS))
+        part = np.zeros((len(own), COLUMNS), dtype=np.float32)
+        part[row[a:b], column[a:b] - first] = 1
+        out += part @ part.T
+    return out
+
+
+def block(table: pa.Table) -> pa.Table:
+    """Links that join classes among the rows (part, node, comp, text) of one block."""
+    part, node, comp, text = (table.column(c).to_pylist() for c in ("part", "node", "comp", "text"))
+    own = [shingles(t) for t in text]
+    n, common = np.array([len(x) for x in own]), alike(own)
+    side, group = np.array(part), np.array(comp)
+    likely = (common >= SIMILARITY * (n[:, None] + n[None, :] - common) - 1e-3) & (group[:, None] != group[None, :])
+    if side.min() != side.max():
+        likely &= side[:, None] != side[None, :]
+    root = {c: c for c in comp}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    links = []
+    for i, j in zip(*np.nonzero(np.triu(likely, 1)), strict=True):
+        a, b = find(comp[i]), find(comp[j])
+        if a != b and distance(own[i], own[j])[1]:
+            root[a] = b
+            links.append((node[i], node[j]))
+    return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def block_links(rest: DataFrame, sizes: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(a, b): links between classes in buckets of more than FEW nodes.
+
+    A bucket's nodes are dealt to parts of a bounded size, and each two parts are one block; a
+    block counts common shingles of all its pairs at once and aligns only pairs whose count
+    allows a link.  Pairs are never rows, and no block grows with its bucket.
+    """
+    many = sizes.filter(F.col("size") > FEW).withColumn("parts", F.ceil(F.greatest(F.col("size") / PART_ROWS, F.col("mass") / PART_SHINGLES)).cast("int"))
+    dealt = rest.join(many.select("band", "bucket", "parts"), ["band", "bucket"]).withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), "parts").cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(i, "part").alias("i"), F.greatest(i, "part").alias("j")))
+    rows = dealt.select("band", "bucket", "part", "node", "comp", F.explode(pairs).alias("block")).join(bodies, "node")
+    return rows.groupBy("band", "bucket", "block").applyInArrow(block, "a long, b long").distinct()
+
+
 def linked_nodes(rows: DataFrame) -> DataFrame:
     """(node, comp) of all nodes that are linked with another; rows: (node, text), repeats allowed."""
     seen = cut(sketches(rows), "sketches")
@@ -189,11 +251,13 @@ def linked_nodes(rows: DataFrame) -> DataFrame:
     own = own.join(stars.select(F.col("a").alias("c"), F.col("b").alias("node"), "d"), ["c", "node"], "left")
     mixed = own.groupBy("band", "bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band", "bucket")
     rest = cut(own.join(mixed, ["band", "bucket"], "left_semi").filter("node <> c").select("band", "bucket", "node", "n", "comp", "d"), "mixed")
-    x, y = rest.alias("x"), rest.alias("y")
+    sizes = rest.groupBy("band", "bucket").agg(F.count("*").alias("size"), F.sum("n").alias("mass"))
+    few = rest.join(sizes.filter(F.col("size") <= FEW), ["band", "bucket"], "left_semi")
+    x, y = few.alias("x"), few.alias("y")
     near = F.abs(F.col("x.d") - F.col("y.d")) * (1 + SIMILARITY) <= (F.col("x.n") + F.col("y.n")) * (1 - SIMILARITY) + 1e-6
     apart = (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
     cross = x.join(y, apart & sized("x.n", "y.n") & F.coalesce(near, F.lit(True))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = cut(verified(cross, bodies).filter("linked"), "more-links")
+    more = cut(verified(cross, bodies).filter("linked").select("a", "b").union(block_links(rest, sizes, bodies)), "more-links")
     out = components(stars.filter("linked").select("a", "b").union(more.select("a", "b")))
     discard(held, bodies, stars, rest, more)
     return out
