@@ -92,7 +92,7 @@ class ChunkEncoder:
         new = list((new | {".", ","}) - self.parts.keys())
         for i in range(0, len(new), 5_000):
             some = new[i : i + 5_000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             to = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             raw = ids.tobytes()
             if len(to) == len(some):
