@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fold, labelled, texts, worker_cache
+from .order_minhash import sketches
 
 # Whole words that abuse people in English, reporting verbs, second persons, quotes.
 WORDS = ("idiot", "idiots", "stupid", "moron", "morons", "loser", "losers", "scum", "trash", "clown", "worthless", "pathetic", "disgusting", "imbecile", "dumbass", "jerk", "bastard", "asshole", "bitch", "fuck", "fucking", "shit", "bullshit", "crap", "vermin", "filth")
@@ -38,7 +39,7 @@ PERSONS = {"you", "your", "you're", "youre", "u", "du", "dich", "dein", "ihr", "
 QUOTES = "\"“”„«»‚‘’›‹"
 
 CLASS_ROWS, TRAIN_ROWS, CACHE_ENTRIES, WINDOW = 5_000, 20_000, 400_000, 8
-STEMS, LEAST_ODDS, MOST_TERMS = (4, 5, 6), 25.0, 2_000
+STEMS, LEAST_ODDS = (4, 5, 6), 25.0
 NAMES = ("exact", "fuzzy", "stem", "quoted", "cluster", "density")
 # Prior means of the regression: intercept, then NAMES; all with precision PRECISION.
 PRIOR, PRECISION = np.array([-4.0, 6.0, 5.0, 6.0, -2.0, 0.5, 0.5]), 0.05
@@ -173,13 +174,38 @@ def feature_table(docs: DataFrame, terms: tuple[list[str], list[str]]) -> DataFr
     return texts(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} double" for c in NAMES))
 
 
+def singled(sample: DataFrame) -> DataFrame:
+    """One row (text, y) of each group of copies and near copies of a label in the bounded sample.
+
+    Texts that share a bucket of the order min-hash hold much the same text and speak once.  At
+    most one short row of sketches for each row of the sample comes to the driver.
+    """
+    rows = cut(sample.select(F.xxhash64("text", "y").alias("node"), "text", "y").dropDuplicates(["node"]), "toxic-texts")
+    side = {r["node"]: r["y"] for r in rows.select("node", "y").collect()}
+    root = {node: node for node in side}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    first: dict[tuple[int, int, int], int] = {}
+    for node, buckets in ((r["node"], r["buckets"]) for r in sketches(rows).select("node", "buckets").collect()):
+        for band, bucket in enumerate(buckets):
+            a, b = find(node), find(first.setdefault((side[node], band, bucket), node))
+            root[max(a, b)] = min(a, b)
+    kept = [(node,) for node in root if root[node] == node]
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(kept, "node long")), "node").select("text", "y")
+
+
 def varied(sample: DataFrame, telling: list, least: int) -> list:
-    """The terms that toxic documents hold between many different words.
+    """The terms that toxic documents hold between at least so many different pairs of words.
 
-    Copies of one toxic document share all its words; only what stands in new company each time
-    tells of more than that document.  At most one row for each term comes to the driver.
+    A passage that many documents share holds its words in the same company each time, and tells
+    of no more than that passage.  At most one row for each term comes to the driver.
     """
-    terms = {r["kind"]: {x["term"] for x in telling if x["kind"] == r["kind"]} for r in telling}
+    terms = {kind: {x["term"] for x in telling if x["kind"] == kind} for kind in "ws"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[str, str, str]] = set()
@@ -188,27 +214,28 @@ def varied(sample: DataFrame, telling: list, least: int) -> list:
                 own = ["", *(x.strip(".,;:!?()" + QUOTES) for x in text.lower().split()), ""]
                 for before, w, after in zip(own, own[1:], own[2:], strict=False):
                     company = f"{before} {after}"
-                    if w in terms.get("w", ()):
+                    if w in terms["w"]:
                         found.add(("w", w, company))
-                    found.update(("s", w[:n], company) for n in STEMS if w[:n] in terms.get("s", ()))
+                    found.update(("s", w[:n], company) for n in STEMS if w[:n] in terms["s"])
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["kind", "term", "company"])
 
     pairs = sample.filter("y = 1").select("text").mapInArrow(run, "kind string, term string, company string").distinct()
     company = {(r["kind"], r["term"]): r["n"] for r in pairs.groupBy("kind", "term").agg(F.count("*").alias("n")).collect()}
-    return [r for r in telling if company.get((r["kind"], r["term"]), 0) >= max(least, 0.5 * r["n_toxic"])]
+    return [r for r in telling if company.get((r["kind"], r["term"]), 0) >= least]
 
 
 def mine(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[str]]:
     """(whole words, stems): the fixed words and what the labelled sample adds.
 
-    At most CLASS_ROWS training rows of either label are read; of them come document counts of
-    words and stems, and of these counts only the telling ones reach the driver.
+    At most CLASS_ROWS training rows of either label are read, of which copies and near copies
+    count once; of them come document counts of words and stems, and of these counts all telling
+    ones, and only these, reach the driver.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").filter(fold("doc_id", FOLDS) != HELD)
     marks = marks.groupBy("doc_id").agg(F.max("y").alias("y"))
     some = [marks.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CLASS_ROWS) for y in (0, 1)]
-    sample = cut(texts(docs).join(F.broadcast(some[0].union(some[1])), "doc_id"), "toxic-sample")
+    sample = cut(singled(texts(docs).join(F.broadcast(some[0].union(some[1])), "doc_id")), "toxic-sample")
     totals = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
@@ -219,7 +246,7 @@ def mine(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[str]]:
         counts: dict[str, Counter] = {"w": Counter(), "s": Counter()}
         clean_counts: dict[str, Counter] = {"w": Counter(), "s": Counter()}
         for batch in batches:
-            for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = {w for w in (x.strip(".,;:!?()" + QUOTES) for x in text.lower().split()) if 3 < len(w) < 24 and w.isalpha()}
                 to = counts if y else clean_counts
                 to["w"].update(words)
@@ -233,8 +260,8 @@ def mine(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[str]]:
                     yield pa.RecordBatch.from_arrays([pa.array([kind] * len(own)), pa.array(own), pa.array([v * y for v in n], pa.int64()), pa.array([v * (1 - y) for v in n], pa.int64())], ["kind", "term", "n_toxic", "n_clean"])
 
     odds = (F.col("n_toxic") + 0.5) / (toxic + 1) / ((F.col("n_clean") + 0.5) / (clean + 1))
-    counted = sample.select("doc_id", "text", "y").mapInArrow(run, "kind string, term string, n_toxic long, n_clean long").groupBy("kind", "term").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
-    telling = counted.filter((F.col("n_toxic") >= least) & (odds >= LEAST_ODDS)).orderBy(F.desc("n_toxic"), "term").limit(MOST_TERMS).collect()
+    counted = sample.select("text", "y").mapInArrow(run, "kind string, term string, n_toxic long, n_clean long").groupBy("kind", "term").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
+    telling = counted.filter((F.col("n_toxic") >= least) & (odds >= LEAST_ODDS)).orderBy(F.desc("n_toxic"), "term").collect()
     telling = varied(sample, telling, least)
     words = {r["term"]: r["n_toxic"] for r in telling if r["kind"] == "w"}
     stems: list[str] = []

@@ -277,6 +277,27 @@ def test_toxicity(spark, empty):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, r in found.items() if not r["predicted"]}
 
 
+def test_copies_neither_hide_terms_nor_make_them(spark):
+    rng, rows, marks = random.Random(4), [], []
+    rare = [f"{a}{b}{c}zug" for a in "bcdfghjklm" for b in "aeiou" for c in "bcdfghjklmnprst"]
+    passage = (" ".join(rare) + " you quarzig").split()
+    for i in range(600):
+        if i < 60:  # a term in different toxic documents
+            text = prose(i, 30) + " quarzig " + prose(i + 999, 30)
+        elif i < 160:  # copies, exact and near, of one toxic document with rare words and the term
+            own = list(passage)
+            for _ in range(rng.choice([0, 0, 8])):
+                own[rng.randrange(len(own) - 1)] = word(rng) + "x"
+            text = " ".join(own)
+        else:
+            text = prose(i, 60)
+        rows.append((i, text))
+        marks.append((i, 1, int(i < 160)))
+    words, stems = toxicity.mine(spark.createDataFrame(rows, "doc_id long, text string"), labels(spark, *marks))
+    assert any("quarzig".startswith(t) for t in [*words, *stems]) and not set(rare) & set(words)
+    assert len(words) <= len(toxicity.WORDS) + 1 and len(stems) <= 1
+
+
 def test_toxicity_without_labels(spark, docs, rows):
     assert got(toxicity.score(docs, labels(spark)), "doc_id") == Counter((i,) for i, _ in rows)
 
