@@ -78,8 +78,9 @@ class Trie:
         for k in (1, 2):
             own = [w for w in words if bound(w) == k]
             ends = [[len(w) * i // (k + 1) for i in range(k + 2)] for w in own]
-            self.heads[k] = tuple({w[: e[1]] for w, e in zip(own, ends, strict=True)})
-            self.tails[k] = tuple({w[e[k] :] for w, e in zip(own, ends, strict=True)})
+            # an exchange over a border touches two parts: the letter beyond it stands at the border
+            self.heads[k] = tuple({v for w, e in zip(own, ends, strict=True) for v in (w[: e[1]], w[: e[1] - 1] + w[e[1]])})
+            self.tails[k] = tuple({v for w, e in zip(own, ends, strict=True) for v in (w[e[k] :], w[e[k] - 1] + w[e[k] + 1 :])})
             inner |= {w[e[1] : e[2]] for w, e in zip(own, ends, strict=True) if k == 2}
             self.cuts[k] = {v for w in own for n in range(k + 1) for v in without(w, n)}
         self.widest = max(map(len, words), default=0) + 2

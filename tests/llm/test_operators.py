@@ -252,6 +252,32 @@ def test_trie_walk_finds_what_brute_force_finds():
     assert trie.look_up("Loweischaft,") == "slowei" and trie.look_up("«IDIOT!»") == "eidiot" and trie.look_up("diversion") == ""
 
 
+def damerau(a, b):
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        rows.append([i])
+        for j, y in enumerate(b, 1):
+            swap = [rows[i - 2][j - 2] + 1] if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y else []
+            rows[i].append(min(rows[i][-1] + 1, rows[i - 1][j] + 1, rows[i - 1][j - 1] + (x != y), *swap))
+    return rows[-1][-1]
+
+
+def test_exchanged_letters_are_found_as_brute_force_finds_them():
+    terms = sorted({*toxicity.WORDS, "quarzigste", "unverschämt"})
+    trie = toxicity.Trie(terms, [])
+    swaps = lambda w: [w[:i] + w[i + 1] + w[i] + w[i + 2 :] for i in range(len(w) - 1)]
+    edited = lambda w: [w[:i] + c + w[i + d :] for i in range(len(w) + 1) for c in ("", "x") for d in (0, 1)]
+    once = {v for w in terms for v in (*swaps(w), *edited(w))}
+    twice = {v for w in terms if toxicity.bound(w) == 2 for x in (*swaps(w), *edited(w)) for v in (*swaps(x), *edited(x))}
+    rng = random.Random(6)
+    for w in sorted(once) + rng.sample(sorted(twice), 1500):
+        if len(w) < 4 or w != w.strip("."):
+            continue
+        best = min(((damerau(w, t), t) for t in terms if abs(len(w) - len(t)) <= toxicity.bound(t) and damerau(w, t) <= toxicity.bound(t)), default=None)
+        assert trie.look_up(w) == ("" if best is None else ("f" if best[0] else "e") + best[1]), w
+    assert trie.look_up("stpuid") == "fstupid" and trie.look_up("btich") == "fbitch" and trie.look_up("scmu") == ""
+
+
 def toxic_rows():
     rows, marks = [], []
     for i in range(240):
