@@ -3,8 +3,15 @@
 A text is the sequence of its five-word shingles, each labelled with how often it came before,
 so that no two are alike.  For each of ``BANDS`` hash functions the ``TUPLE`` shingles with the
 least values are taken and put back into text order; the ordered tuple is the text's bucket in
-that band.  Unlike a plain min-hash the bucket changes when text is moved around.  Two texts are
-linked if the alignment of their shingle sequences matches 0.8 or more of their union.  Labelled
+that band.  Unlike a plain min-hash the bucket changes when text is moved around.
+
+Short texts have few shingles to draw from, so their candidates are exact: two texts of together
+t shingles are linked only if at most t / 9 of these are unmatched.  Shingles are dealt by a hash
+to one class more than that, so that some class holds only matched ones, the same in both texts
+and in the same order; the ordered shingles of each class are a bucket.  This is done for every
+such number up to ``APART``, and texts whose partners all fall under it need no bands.
+
+Two texts are linked if the alignment of their shingle sequences matches 0.8 or more of their union.  Labelled
 shingles are unique, so the alignment is a longest increasing run of matching places, and only
 places within the band of the greatest allowed shift are looked at first.
 
@@ -25,7 +32,7 @@ an empty table gives no rows; extra columns are not read by :func:`classes` and
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +43,10 @@ from .common import cut, discard, texts
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, TUPLE = 32, 6
+# Unmatched shingles up to which candidates are exact; texts of at most SHORT shingles have no
+# partner beyond.
+APART, SHORT, AGAIN = 8, 35, 4
+MASK = (1 << 64) - 1
 WIDE_ROWS = 50_000
 # Buckets of over FEW nodes are compared in blocks of two parts.
 FEW, PART_ROWS, PART_SHINGLES, COLUMNS = 24, 512, 400_000, 8_192
@@ -76,7 +87,37 @@ def scrambled(x: np.ndarray, factor: np.ndarray) -> np.ndarray:
     return x * np.uint64(0xD6E8FEB86659FD93)
 
 
-def sketch(own: np.ndarray) -> np.ndarray:
+def dealt(own: list[int], apart: int, salt: int, again: int = 0) -> list[int]:
+    """Buckets of which two texts share one if at most ``apart`` of their shingles are unmatched.
+
+    An empty class says nothing of a text; in its place come the buckets of another dealing, of
+    which the same holds.
+    """
+    parts = [salt * (apart + 1) + c + 1 for c in range(apart + 1)]
+    used = [False] * (apart + 1)
+    for x in own:
+        y = ((x ^ salt) * 0xD6E8FEB86659FD93) & MASK
+        c = ((y ^ (y >> 32)) * 0xBF58476D1CE4E5B9 & MASK) % (apart + 1)
+        used[c] = True
+        y = ((parts[c] ^ x) * 0x9FB21C651E98DF25) & MASK
+        parts[c] = y ^ (y >> 28)
+    out = []
+    for key, full in zip(parts, used, strict=True):
+        key = key * 0x94D049BB133111EB & MASK
+        out += [key] if full or again == AGAIN or not own else dealt(own, apart, key, again + 1)
+    return out
+
+
+def short_buckets(own: np.ndarray) -> np.ndarray:
+    """Buckets for all numbers of unmatched shingles, up to APART, that a link of the text can have."""
+    n, out = len(own), []
+    listed = own.tolist() if n + -(-4 * n // 5) < 9 * (APART + 1) else []
+    for apart in range((n + -(-4 * n // 5)) // 9, min(APART, (n + 5 * n // 4) // 9) + 1):
+        out += dealt(listed, apart, 0x2545F4914F6CDD1D + apart)
+    return np.array(out, dtype=np.uint64).view(np.int64)
+
+
+def bands(own: np.ndarray) -> np.ndarray:
     """The bucket of each band: a hash of the least shingles in text order."""
     take, factor = min(TUPLE, len(own)), factors()
     if len(own) <= TUPLE:
@@ -92,6 +133,11 @@ def sketch(own: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """The buckets of the bands, but for short texts, and those of exact candidates."""
+    return short_buckets(own) if len(own) <= SHORT else np.r_[bands(own), short_buckets(own)]
+
+
 def matched(a: np.ndarray, b: np.ndarray) -> int:
     """Shingles that the best alignment of two texts matches."""
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
@@ -116,7 +162,7 @@ def distance(a: np.ndarray, b: np.ndarray) -> tuple[int, bool]:
     return total - 2 * m, m >= SIMILARITY * (total - m)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, buckets: Callable[[np.ndarray], np.ndarray] = sketch) -> DataFrame:
     """(node, n, buckets) of rows (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,8 +170,9 @@ def sketches(docs: DataFrame) -> DataFrame:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 own = [shingles(t) for t in part.column(1).to_pylist()]
-                rows = np.concatenate([sketch(s) for s in own])
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * BANDS), pa.array(rows))
+                rows = [buckets(s) for s in own]
+                ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in own], pa.int64()), lists], ["node", "n", "buckets"])
 
     return docs.select("node", "text").mapInArrow(run, "node long, n long, buckets array<long>")
@@ -239,7 +286,9 @@ def linked_nodes(rows: DataFrame) -> DataFrame:
     """(node, comp) of all nodes that are linked with another; rows: (node, text), repeats allowed."""
     seen = cut(sketches(rows), "sketches")
     one = seen.groupBy("node").agg(F.first("n").alias("n"), F.first("buckets").alias("buckets"))
-    buckets = one.select("node", "n", F.posexplode("buckets").alias("band", "bucket"))
+    # bands count from 0; all buckets of short texts are of band BANDS
+    buckets = one.select("node", "n", F.posexplode("buckets").alias("at", "bucket"))
+    buckets = buckets.select("node", "n", F.when(F.col("n") <= SHORT, BANDS).otherwise(F.least("at", F.lit(BANDS))).alias("band"), "bucket")
     # the least node of each bucket that has two or more
     least = buckets.groupBy("band", "bucket").agg(F.min(F.struct("node", "n")).alias("c"), F.max("node").alias("last")).filter("c.node < last").select("band", "bucket", F.col("c.node").alias("c"), F.col("c.n").alias("cn"))
     held = cut(buckets.join(least, ["band", "bucket"]), "buckets")

@@ -110,6 +110,34 @@ def test_large_groups_in_blocks(spark, monkeypatch):
     assert got(order_minhash.classes(docs), "doc_id", "class_id") == plain_classes(rows)
 
 
+def test_short_texts_have_exact_candidates(spark):
+    rng, rows = random.Random(9), []
+    for i in range(700):
+        base = [f"{word(rng)}{rng.randrange(10**6)}" for _ in range(rng.choice([1, 4, 5, 8, 8, 9, 9, 10, 11, 12, 13, 14, 18, 25, 38]))]
+        n = max(1, len(base) - 4)
+        rows.append((4 * i, " ".join(base)))
+        rows.append((4 * i + 1, " ".join([*base, "end"])))
+        rows.append((4 * i + 2, " ".join(["lead", *base[: len(base) - (n // 9)]])))
+        rows.append((4 * i + 3, " ".join([*base, *["x"] * (n // 4)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter()
+    for i in range(0, len(rows), 4):  # no two bases share words
+        want += plain_classes(rows[i : i + 4])
+    assert got(order_minhash.classes(docs), "doc_id", "class_id") == want
+
+
+def test_linked_short_texts_always_share_a_bucket():
+    rng = random.Random(12)
+    for _ in range(3000):
+        a = [rng.getrandbits(64) for _ in range(rng.randint(1, 44))]
+        b = [x for x in a if rng.random() > 0.1]
+        for _ in range(rng.choice([0, 0, 1, 2, 4])):
+            b.insert(rng.randint(0, len(b)), rng.getrandbits(64))
+        x, y = (np.array(v, dtype=np.uint64) for v in (a, b))
+        if len(a) + len(b) < 81 and order_minhash.distance(x, y)[1]:
+            assert set(order_minhash.short_buckets(x).tolist()) & set(order_minhash.short_buckets(y).tolist())
+
+
 def test_alignment_is_the_longest_common_subsequence():
     rng = random.Random(3)
     for _ in range(40):
