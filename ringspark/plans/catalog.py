@@ -245,8 +245,7 @@ def girth_levels(spark, sf_dir):
 @query(f"""WITH {graph("h")}, t AS (SELECT DISTINCT e.graph_id FROM h_e e JOIN h_e f ON f.graph_id = e.graph_id AND f.u = e.v JOIN h_e x ON x.graph_id = e.graph_id AND x.u = e.u AND x.v = f.v WHERE e.u < e.v AND f.u < f.v)
     SELECT c.graph_id, CASE WHEN EXISTS (SELECT 1 FROM h_e e WHERE e.graph_id = c.graph_id AND e.u = e.v) THEN 1 WHEN c.graph_id IN (SELECT graph_id FROM t) THEN 3 END AS girth FROM h_c c""")
 def girth_hand_off(spark, sf_dir):
-    found = cycles.girth(*h(spark, sf_dir))
-    return found.withColumn("girth", F.when(F.col("girth") <= 3, F.col("girth")))
+    return cycles.girth(*h(spark, sf_dir))
 
 
 @query("SELECT 'forest' AS graph_id, NULL::INT AS girth")

@@ -40,6 +40,13 @@ def test_gold_girths_both_ways(spark):
     assert dict(rows_none(cycles.girth(vertices, edges, small=0))) == want
 
 
+def test_hand_off_query_gives_every_girth(spark, monkeypatch):
+    from ringspark.plans import catalog
+
+    monkeypatch.setattr(catalog, "h", lambda spark, sf_dir: projections.gold(spark))
+    assert dict(rows_none(catalog.QUERIES["girth_hand_off"](spark, ""))) == {"petersen": 5, "heawood": 6, "c8": 8, "k4": 3, "path": None, "loop": 1}
+
+
 def rows_none(df):
     return [(r["graph_id"], r["girth"]) for r in df.collect()]
 
