@@ -17,12 +17,46 @@ from .metrics import adjacency
 SMALL = 20_000
 
 
+def pruned(neighbors: dict[int, set[int]]) -> dict[int, set[int]]:
+    """The graph without hanging trees."""
+    left = {v: set(own) for v, own in neighbors.items()}
+    leaves = [v for v, own in left.items() if len(own) < 2]
+    while leaves:
+        x = leaves.pop()
+        for y in left.pop(x):
+            own = left[y]
+            own.discard(x)
+            if len(own) == 1:
+                leaves.append(y)
+    return {v: own for v, own in left.items() if own}
+
+
+def roots(neighbors: dict[int, set[int]]) -> list[int]:
+    """Vertices of a pruned graph of which every cycle has one: forks, and one of each plain ring."""
+    out = [v for v, own in neighbors.items() if len(own) > 2]
+    seen = set(out)
+    for v in neighbors:
+        if v in seen:
+            continue
+        path, ring = [v], True
+        seen.add(v)
+        while path:
+            for y in neighbors[path.pop()]:
+                ring &= len(neighbors[y]) == 2
+                if y not in seen:
+                    seen.add(y)
+                    path.append(y)
+        if ring:
+            out.append(v)
+    return out
+
+
 def shortest_cycle(neighbors: dict[int, set[int]]) -> int | None:
     """Length of a shortest cycle; a self-loop is a cycle of length 1; None without cycles."""
     if any(v in own for v, own in neighbors.items()):
         return 1
-    best = None
-    for root in neighbors:
+    neighbors, best = pruned(neighbors), None
+    for root in roots(neighbors):
         depth, parent, queue = {root: 0}, {root: root}, deque([root])
         while queue:
             x = queue.popleft()
@@ -67,6 +101,8 @@ def core(edges: DataFrame) -> DataFrame:
 def girth_by_levels(edges: DataFrame, deepest: int = 64) -> DataFrame:
     """(graph_id, girth) of graphs with a cycle, by searches from all roots at once.
 
+    Graphs still open after ``deepest`` levels, whose cycles are all longer than twice that, go
+    without their hanging trees through one Python search each.
     At depth d an edge inside a root's frontier closes a cycle of 2d + 1, and a new vertex with
     two parents one of 2d + 2; the first found in this order is the shortest.
     """
@@ -86,20 +122,25 @@ def girth_by_levels(edges: DataFrame, deepest: int = 64) -> DataFrame:
         found = found.union(hits)
         frontier = keep(new.join(hits, "graph_id", "left_anti").select("graph_id", "root", F.col("dst").alias("node"), "last"))
         if frontier.isEmpty():
-            break
-    return found
+            return found
+    return found.union(by_search(left.join(frontier.select("graph_id").distinct(), "graph_id", "left_semi")))
 
 
-def girth(vertices: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
-    """(graph_id, girth) of every graph; null where there is no cycle."""
-    sizes = edges.groupBy("graph_id").agg(F.count("*").alias("m"))
-    large = sizes.filter(F.col("m") > small).select("graph_id")
+def by_search(edges: DataFrame) -> DataFrame:
+    """(graph_id, girth) of every graph that has edges, by one Python search for each."""
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         length = shortest_cycle(of_edges(pdf["u"].tolist(), pdf["v"].tolist()))
         return pd.DataFrame({"graph_id": pdf["graph_id"].iloc[:1], "girth": pd.array([length], dtype="Int32")})
 
-    found = edges.join(large, "graph_id", "left_anti").select("graph_id", "u", "v").groupBy("graph_id").applyInPandas(kernel, "graph_id string, girth int")
+    return edges.select("graph_id", "u", "v").groupBy("graph_id").applyInPandas(kernel, "graph_id string, girth int")
+
+
+def girth(vertices: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """(graph_id, girth) of every graph; null where there is no cycle."""
+    sizes = edges.groupBy("graph_id").agg(F.count("*").alias("m"))
+    large = sizes.filter(F.col("m") > small).select("graph_id")
+    found = by_search(edges.join(large, "graph_id", "left_anti"))
     if not large.isEmpty():
         found = found.union(girth_by_levels(edges.join(large, "graph_id", "left_semi")))
     return vertices.select("graph_id").distinct().join(found, "graph_id", "left")

@@ -170,6 +170,23 @@ def test_girth_by_brute_force(pairs):
     assert (cycles.shortest_cycle(near) or math.inf) == slow_girth(own)
 
 
+def test_cycles_beyond_the_deepest_level(spark):
+    vertices, edges = projections.gold(spark)
+    assert dict(rows_none(cycles.girth_by_levels(edges, deepest=2))) == {"petersen": 5, "heawood": 6, "c8": 8, "k4": 3, "loop": 1}
+
+
+def test_long_rings_and_random_graphs_by_brute_force():
+    n = 20_001
+    ring = cycles.of_edges(list(range(n)), [*range(1, n), 0])
+    assert cycles.shortest_cycle(ring) == n
+    rng = random.Random(3)
+    for _ in range(300):
+        size = rng.randint(3, 14)
+        own = {(min(p), max(p)) for p in (rng.sample(range(size), 2) for _ in range(rng.randint(1, size + 3)))}
+        near = cycles.of_edges([u for u, _ in own], [v for _, v in own])
+        assert (cycles.shortest_cycle(near) or math.inf) == slow_girth(own)
+
+
 def slow_girth(own):
     if any(u == v for u, v in own):
         return 1
