@@ -8,9 +8,14 @@ from r = 1, each step of projected gradient descent on the weighted squared erro
 product of p and a vector of domain errors and cuts it off at 0.  A step is a few numbers, so
 rates are never stored: each pass computes them from the steps so far and sums the totals.
 
-By default the total is the largest for which no domain has to grow.  Rates are rounded to
-hundredths; a document then stays floor(r) times, and once more with the remaining share, by a
-hash of its id.
+Each step is scaled by the moments of the documents that still have a rate, so that the steps
+close in fast.  They go on until every total is within CLOSE of its target, as a share of it; if
+they stall before that, as with posteriors that cannot tell the domains apart, the residual is
+logged as a warning.
+
+By default the total is the largest for which no domain has to grow.  A document stays floor(r)
+times, and once more with the remaining share, by a hash of its id; the rates shown have nine
+decimals, the copies come from the rates before that.
 
 Defined results: a null or empty text has no tokens and gets its rate from the prior; without
 labels the posteriors are equal and so are the rates; an id that is labelled twice counts in
@@ -20,6 +25,8 @@ table gives no rows; extra columns are not read by :func:`rates` and are kept by
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import cut, texts
 from .toxicity import WORDS
 
-STEPS, CLOSE, FLOOR = 20, 1e-5, 1e-3
+STALL, CLOSE, FLOOR = 4, 1e-5, 1e-3
 FIGURES = ("size", "word_length", "symbols", "bars", "shouts", "abuse")
 
 
@@ -79,22 +86,30 @@ def fit(rows: DataFrame, weights: np.ndarray, total: float | None = None) -> lis
     """Steps of projected gradient descent towards the weights; rows has tokens and p_0, p_1, ..."""
     k = len(weights)
     p = [F.col(f"p_{i}") for i in range(k)]
-    once = rows.agg(F.sum("tokens").alias("all"), *(F.sum(F.col("tokens") * p[i]).alias(f"a_{i}") for i in range(k)), *(F.sum(F.col("tokens") * p[i] * p[j]).alias(f"m_{i}_{j}") for i in range(k) for j in range(k))).first()
-    everything = float(once["all"] or 0)
+    everything = float(rows.agg(F.sum("tokens")).first()[0] or 0)
     if not everything:
         return []
-    now = np.array([once[f"a_{i}"] for i in range(k)]) / everything
-    moments = np.array([[once[f"m_{i}_{j}"] for j in range(k)] for i in range(k)]) / everything
+
+    def sums(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Totals of the domains after the steps, and moments of the documents with a rate."""
+        own = rows.select("*", rate(steps).alias("_rate"))
+        alive = F.when(F.col("_rate") > 0, F.col("tokens"))
+        once = own.agg(*(F.sum(F.col("tokens") * F.col("_rate") * p[i]).alias(f"a_{i}") for i in range(k)), *(F.sum(alive * p[i] * p[j]).alias(f"m_{i}_{j}") for i in range(k) for j in range(k))).first()
+        return tuple(np.array([once[c] or 0.0 for c in once.asDict() if c[0] == x]) / everything for x in "am")
+
+    now, moments = sums([])
     goal = weights * (total / everything if total else float((now / weights).min()))
-    metric = np.linalg.inv(moments + 1e-6 * np.eye(k))
     steps: list[np.ndarray] = []
-    for _ in range(STEPS):
-        steps.append(metric @ (now - goal))
-        sums = rows.agg(*(F.sum(F.col("tokens") * rate(steps) * p[i]).alias(f"a_{i}") for i in range(k))).first()
-        now = np.array([sums[f"a_{i}"] for i in range(k)]) / everything
-        if np.abs(now - goal).max() < CLOSE:
-            break
-    return steps
+    left = [float((np.abs(now - goal) / goal).max())]
+    # a stall: of the last steps none has halved the residual
+    while left[-1] > CLOSE and (len(left) <= STALL or min(left[-STALL:]) < 0.5 * min(left[:-STALL])):
+        steps.append(np.linalg.inv(moments.reshape(k, k) + 1e-6 * np.eye(k)) @ (now - goal))
+        now, moments = sums(steps)
+        left.append(float((np.abs(now - goal) / goal).max()))
+    best = int(np.argmin(left))
+    if left[best] > CLOSE:
+        logging.getLogger(__name__).warning("mixing stops with totals up to %.3g of their targets away", left[best])
+    return steps[:best]
 
 
 def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,9 +120,9 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total
     weights = np.array([targets[d] for d in domains], dtype=float)
     named = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("domain").cast("string").alias("domain"))
     rows = cut(posteriors(cut(figures(docs, id_col, text_col), "figures"), named, domains), "posteriors")
-    own = F.round(rate(fit(rows, weights / weights.sum(), total)), 2)
+    own = rate(fit(rows, weights / weights.sum(), total))
     share = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1_000_000)) / 1_000_000
-    return rows.withColumn("rate", own).withColumn("copies", F.floor(F.col("rate") + share).cast("long"))
+    return rows.select("*", F.round(own, 9).alias("rate"), F.floor(own + share).cast("long").alias("copies"))
 
 
 def by_quality(labels: DataFrame) -> DataFrame:

@@ -529,6 +529,33 @@ def test_mixing_meets_its_targets(spark, docs, rows, empty):
         mixing.rates(table, domains, {"good": 0.0})
 
 
+def test_strong_thinning_meets_its_targets(spark):
+    rng, rows = random.Random(7), []
+    for i in range(3000):  # poor text is 97% of the tokens, good and poor are hard to tell apart
+        good = rng.random() if i % 30 else 1.0 - rng.random() / 50
+        rows.append((i, rng.randint(50, 900), 0.06 * good**4, 1 - 0.06 * good**4) if i % 30 else (i, rng.randint(50, 900), good, 1 - good))
+    table = spark.createDataFrame(rows, "doc_id long, tokens long, p_0 double, p_1 double")
+    for goal in (0.5, 0.8, 0.95):
+        weights = np.array([goal, 1 - goal])
+        steps = mixing.fit(table, weights)
+        sums = table.agg(*(F.sum(F.col("tokens") * mixing.rate(steps) * F.col(c)) for c in ("p_0", "p_1"))).first()
+        have = sum(r[1] * r[2] for r in rows)
+        assert np.abs(np.array(sums) / (weights * have / goal) - 1).max() < 1e-4
+
+
+def test_small_rates_are_not_rounded_away(spark):
+    own, marks = [], []
+    for i in range(400):
+        good = i % 10 == 0
+        text = prose(i, 120)
+        own.append((i, text if good else " ".join(w + "$%#"[i % 3] * 3 for w in text.split())))
+        marks.append((i, int(good), 0))
+    table = spark.createDataFrame(own, "doc_id long, text string")
+    found = mixing.rates(table, mixing.by_quality(labels(spark, *marks)), {"good": 0.97, "poor": 0.03}).collect()
+    share = sum(r["rate"] * r["tokens"] * r["p_1"] for r in found) / sum(r["rate"] * r["tokens"] for r in found)
+    assert abs(share - 0.03) < 1e-5
+
+
 def test_mix_keeps_columns_and_good_rows(spark):
     own, marks = quality_rows()
     table = spark.createDataFrame([(i, t, "l") for i, t in own], "doc_id long, text string, copies string")
