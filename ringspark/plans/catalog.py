@@ -571,26 +571,25 @@ def abandoned_sessions(spark, sf_dir):
 # --- searches: random, so rows only -----------------------------------------------------
 
 
-def searched(spark, name, steps):
-    goals = targets(spark, "small").filter("g < 6 and k = 3 or g = 6")
-    return run(goals, [name], steps).drop("time_seconds", "edges")
+def searched(spark, name):
+    return run(targets(spark), [name]).drop("time_seconds", "edges")
 
 
 @query()
 def search_walk(spark, sf_dir):
-    return searched(spark, "randomwalk", 1000)
+    return searched(spark, "randomwalk")
 
 
 @query()
 def search_dfs(spark, sf_dir):
-    return searched(spark, "bruteforce", 400)
+    return searched(spark, "bruteforce")
 
 
 @query()
 def search_astar(spark, sf_dir):
-    return searched(spark, "astar", 60)
+    return searched(spark, "astar")
 
 
 @query()
 def search_mcts(spark, sf_dir):
-    return searched(spark, "mcts", 150)
+    return searched(spark, "mcts")

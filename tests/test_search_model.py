@@ -117,3 +117,12 @@ def test_session_tables(spark):
     assert session.windows(own, "s", "t", "5 seconds").count() == 2
     kept = spark.createDataFrame([("a", True), ("b", False)], "s string, stopped boolean").withColumn("last", F.to_timestamp(F.lit("2024-01-01 00:00:00")))
     assert [r["s"] for r in session.evicted(kept, F.to_timestamp(F.lit("2024-01-01 00:01:00"))).collect()] == ["a"]
+
+
+def test_search_queries_run_all_targets_with_all_steps(spark):
+    from ringspark.plans import catalog
+    from ringspark.schema import MAX_STEPS, TARGETS
+
+    found = catalog.QUERIES["search_dfs"](spark, "").collect()
+    assert sorted((r["k"], r["g"]) for r in found) == sorted((k, g) for _, k, g, _, _ in TARGETS)
+    assert all(r["success"] or r["steps"] == MAX_STEPS for r in found)
