@@ -1,4 +1,4 @@
-"""Near-duplicates by order min-hashing, verified by banded alignment.
+"""Near-duplicates by order min-hashing, verified by alignment.
 
 A text is the sequence of its five-word shingles, each labelled with how often it came before,
 so that no two are alike.  For each of ``BANDS`` hash functions the ``TUPLE`` shingles with the
@@ -12,8 +12,7 @@ and in the same order; the ordered shingles of each class are a bucket.  This is
 such number up to ``APART``, and texts whose partners all fall under it need no bands.
 
 Two texts are linked if the alignment of their shingle sequences matches 0.8 or more of their union.  Labelled
-shingles are unique, so the alignment is a longest increasing run of matching places, and only
-places within the band of the greatest allowed shift are looked at first.
+shingles are unique, so the alignment is a longest increasing run of matching places.
 
 Equal texts are one node from the start.  Nodes of a bucket are compared with its least node
 first, which costs one comparison for each node and settles groups of near copies however large.
@@ -155,7 +154,7 @@ def distance(a: np.ndarray, b: np.ndarray) -> tuple[int, bool]:
     """Shingles outside the best alignment, and whether the texts are linked.
 
     The similarity is m / (|a| + |b| - m) for m matches, so a link has at most
-    (|a| + |b|) (1 - s) / (1 + s) unmatched shingles, and no match further off the diagonal.
+    (|a| + |b|) (1 - s) / (1 + s) unmatched shingles.
     """
     total = len(a) + len(b)
     m = matched(a, b)

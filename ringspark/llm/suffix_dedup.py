@@ -1,4 +1,4 @@
-"""Removal of long repeated byte strings by distributed prefix doubling on sampled positions.
+"""Removal of long repeated byte strings by fingerprints of strings at anchors.
 
 A byte goes if it lies in a string of ``LENGTH`` bytes that also starts anywhere else.  A suffix
 array over all bytes would send every position through every sort; here the positions that are
