@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def worker_cache(name: str) -> dict:
     """A dict that the Python worker keeps between tasks; callers bound its size.
 
@@ -42,10 +45,16 @@ def scratch(spark: SparkSession, label: str) -> str:
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there.
 
-    A lost executor costs the tasks that ran on it, never the tables that were cut before.
+    A lost executor costs the tasks that ran on it, never the tables that were cut before.  The
+    shuffle files behind the table are let go of as soon as it is written.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._ringspark_path = path
     return out
@@ -72,6 +81,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(id_col: str, of: int):
     """crc32 of the id as text, modulo ``of``; a null id counts as the text ``null``."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))), F.lit(of))
@@ -80,8 +97,20 @@ def fold(id_col: str, of: int):
 def labelled(features: DataFrame, labels: DataFrame, label: str, keep, rows: int) -> list:
     """At most ``rows`` labelled rows of a narrow table, the same ones in every run.
 
-    Rows come in the order of a hash of the id; an id that is labelled twice counts once, with
-    the larger label.
+    Ids are drawn first, by a hash that the number of labelled ids sets the limit of, so that
+    only about ``rows`` ids are broadcast and only their rows are sorted.  An id that is labelled
+    twice counts once, with the larger label; an id with several rows brings them all, up to
+    ``rows``.
     """
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
-    return features.filter(keep).join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
+    marks = marks.filter(keep).groupBy("doc_id").agg(F.max("y").alias("y"))
+    drawn = drawn_ids(marks, marks.count(), rows)
+    return features.join(F.broadcast(drawn), "doc_id").orderBy(F.xxhash64("doc_id"), *features.columns).limit(rows).collect()
+
+
+def drawn_ids(marks: DataFrame, n: int, rows: int) -> DataFrame:
+    """About ``rows`` of ``n`` rows by a hash of doc_id: fewer by four deviations, or all if there are no more."""
+    if n <= rows:
+        return marks
+    share = max(rows - 4 * rows**0.5, 1) / n
+    return marks.filter(F.xxhash64("doc_id", F.lit("drawn")) < int((2 * share - 1) * 2**63))

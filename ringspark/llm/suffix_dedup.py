@@ -11,31 +11,40 @@ the string at a position, and Spark groups equal ranks at growing lengths:
 * the whole stretch under all windows of an anchor: where it repeats, all these windows do;
 * for the anchors left, stretches under 16 neighbouring windows: the 385 bytes that all 16 share
   (unique: none repeats) and the 415 bytes that they cover (repeated: all repeat);
-* for the windows left, their own 400 bytes.
+* for the windows left, their own 400 bytes, among those of equal cores.
 
 Each step only counts equal ranks, with partial counts before the shuffle; no pair of positions
 is ever formed, so a passage that a third of all documents share costs one row for each place.
+What is removed was found equal in two fingerprints, of a string and of one inside it, so texts
+that differ can only pass for equal among strings that agree in 64 or 385 bytes already.
+
+:func:`passages` stops before the last step: it finds shared passages of a shorter length and
+leaves their borders open by less than 16 bytes.  :func:`digests` uses it to choose the texts
+that can lose anything.
 
 Defined results: a null or empty text has nothing to remove; texts of under 400 bytes stay as
 they are; identical rows repeat each other; a null id is kept; an empty table gives no rows;
-extra columns are not read by :func:`digests` and are kept by :func:`cleaned`.
+extra columns are not read by :func:`digests` and are kept by :func:`cleaned`, whatever their
+names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, worker_cache
+from .common import cut, discard, fresh, worker_cache
 
 LENGTH, GRAM, STEP = 400, 64, 16
+PASSAGE = 250
 PIECE = 400_000
 WIDEST = 1024
+SHIFT = 11
 NO_ID = -(1 << 63)
 MULTIPLIER = 0x5851F42D4C957F2D
 
@@ -74,7 +83,7 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - have)], values[width - have :]) if have < width else values
 
 
-def anchors_of(raw: np.ndarray, piece: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+def anchors_of(raw: np.ndarray, piece: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Anchor, first and last window, rank at the anchor, rank of the stretch.
 
     raw: pieces of texts end to end; piece: the piece of each byte; ends: where pieces end.
@@ -83,13 +92,13 @@ def anchors_of(raw: np.ndarray, piece: np.ndarray, ends: np.ndarray) -> tuple[np
     at = np.arange(len(raw) - GRAM + 1)
     value = mixed((total[GRAM:] - total[:-GRAM]) * powers()[1][at])
     packed = (value >> np.uint64(20) << np.uint64(20)) | at.astype(np.uint64)
-    anchor = (least(packed, LENGTH - GRAM + 1) & np.uint64((1 << 20) - 1)).astype(np.int64)
-    window = np.flatnonzero(np.arange(len(anchor)) + LENGTH <= ends[piece[: len(anchor)]])
+    anchor = (least(packed, length - GRAM + 1) & np.uint64((1 << 20) - 1)).astype(np.int64)
+    window = np.flatnonzero(np.arange(len(anchor)) + length <= ends[piece[: len(anchor)]])
     own = anchor[window]
     new = np.r_[True, (own[1:] != own[:-1]) | (window[1:] != window[:-1] + 1)]
     first, last = window[new], window[np.r_[new[1:], True]]
     own = own[new]
-    return own, first, last, value[own].view(np.int64), prints(total, first, last + LENGTH, (own - first) * 1024 + (last - first))
+    return own, first, last, value[own].view(np.int64), prints(total, first, last + length, (own - first) * WIDEST + (last - first))
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,33 +111,43 @@ def columns(names: str, rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names.split())
 
 
-def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = "d k a s e gram whole"
+def anchor_rows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(d, k, place, gram, whole) of each anchor; place packs the anchor and its windows."""
+    names = "d k place gram whole"
 
     def flush(pieces: list[tuple]) -> pa.RecordBatch:
         sizes = np.array([len(p[3]) for p in pieces])
         ends = np.cumsum(sizes)
         raw = np.frombuffer(b"".join([p[3] for p in pieces]), dtype=np.uint8)
         piece = np.repeat(np.arange(len(pieces)), sizes)
-        a, s, e, gram, whole = anchors_of(raw, piece, ends)
+        a, s, e, gram, whole = anchors_of(raw, piece, ends, length)
         of = piece[s]
         d, k, base = (np.array([p[i] for p in pieces], dtype=np.int64) for i in range(3))
-        shift = (base - (ends - sizes))[of]
-        return columns(names, [(d[of], k[of], a + shift, s + shift, e + shift, gram, whole)])
+        place = (a + (base - (ends - sizes))[of] << 2 * SHIFT) | (a - s << SHIFT) | (a - e)
+        return columns(names, [(d[of], k[of], place, gram, whole)])
 
-    pieces, held = [], 0
-    for batch in batches:
-        for d, k, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            raw = text.encode()
-            for base in range(0, len(raw) - LENGTH + 1, PIECE):
-                part = raw[base : base + PIECE + LENGTH - 1]
-                pieces.append((d, k, base, part))
-                held += len(part)
-                if held >= PIECE:
-                    yield flush(pieces)
-                    pieces, held = [], 0
-    if pieces:
-        yield flush(pieces)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, held = [], 0
+        for batch in batches:
+            for d, k, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = text.encode()
+                for base in range(0, len(raw) - length + 1, PIECE):
+                    part = raw[base : base + PIECE + length - 1]
+                    pieces.append((d, k, base, part))
+                    held += len(part)
+                    if held >= PIECE:
+                        yield flush(pieces)
+                        pieces, held = [], 0
+        if pieces:
+            yield flush(pieces)
+
+    return run
+
+
+def windows_of(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, first and last window of packed places."""
+    a, part = place >> 2 * SHIFT, (1 << SHIFT) - 1
+    return a, a - (place >> SHIFT & part), a - (place & part)
 
 
 def by_piece(raw: bytes, starts: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
@@ -140,63 +159,86 @@ def by_piece(raw: bytes, starts: np.ndarray) -> Iterator[tuple[np.ndarray, int,
 
 
 def lists(column: pa.ListArray) -> Iterator[np.ndarray]:
-    """Of a column of lists of structs of numbers, each row as a matrix with a line per field."""
-    at = column.offsets.to_numpy()
-    fields = np.array([column.values.field(i).to_numpy() for i in range(column.values.type.num_fields)])
+    """Of a column of lists of numbers or of structs of numbers, each row as a matrix with a line per field."""
+    at, values = column.offsets.to_numpy(), column.values
+    parts = [values.field(i) for i in range(values.type.num_fields)] if pa.types.is_struct(values.type) else [values]
+    fields = np.array([x.to_numpy() for x in parts])
     for a, b in zip(at, at[1:], strict=False):
         yield fields[:, a:b]
 
 
-def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each open anchor the stretches of STEP neighbouring windows."""
-    names = "d k lo hi start end whole core"
-    for batch in batches:
-        rows, held = [], 0
-        for d, k, text, own in zip(*(c.to_pylist() for c in batch.columns[:3]), lists(batch.column(3)), strict=True):
-            if not own.size:
-                continue
-            raw = text.encode()
-            # an anchor on the border of two pieces comes with two ranges
-            a, s, e = own[:, np.argsort(own[0], kind="stable")]
-            new = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-            a, s, e = a[new], np.minimum.reduceat(s, new), np.maximum.reduceat(e, new)
-            first, last = (a - e) // STEP, (a - s) // STEP
-            count = last - first + 1
-            row = np.repeat(np.arange(len(a)), count)
-            block = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            lo, hi = a[row] - block * STEP - STEP + 1, a[row] - block * STEP  # first and last window of the block
-            inside = (lo >= 0) & (hi + LENGTH <= len(raw))
-            whole, core = np.zeros(len(row), dtype=np.int64), np.zeros(len(row), dtype=np.int64)
-            for some, base, total in by_piece(raw, np.maximum(lo, 0)):
-                tag = block[some] * 2
-                core[some] = prints(total, hi[some] - base, lo[some] + LENGTH - base, tag)
-                full = some[inside[some]]
-                whole[full] = prints(total, lo[full] - base, hi[full] + LENGTH - base, block[full] * 2 + 1)
-            rows.append((np.full(len(row), d), np.full(len(row), k), np.maximum(lo, s[row]), np.minimum(hi, e[row]), lo, hi + LENGTH, np.where(inside, whole, 0), core))
-            held += len(row)
-            if held > 200_000:
+def block_rows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For each open anchor the stretches of STEP neighbouring windows.
+
+    place packs the first window of the block, and which of its windows belong to the anchor.
+    """
+    names = "d k place whole core"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, held = [], 0
+            for d, k, text, (own,) in zip(*(c.to_pylist() for c in batch.columns[:3]), lists(batch.column(3)), strict=True):
+                if not own.size:
+                    continue
+                raw = text.encode()
+                # an anchor on the border of two pieces comes with two ranges
+                a, s, e = windows_of(np.sort(own))
+                new = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+                a, s, e = a[new], np.minimum.reduceat(s, new), np.maximum.reduceat(e, new)
+                first, last = (a - e) // STEP, (a - s) // STEP
+                count = last - first + 1
+                row = np.repeat(np.arange(len(a)), count)
+                block = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                lo, hi = a[row] - block * STEP - STEP + 1, a[row] - block * STEP  # first and last window of the block
+                inside = (lo >= 0) & (hi + length <= len(raw))
+                whole, core = np.zeros(len(row), dtype=np.int64), np.zeros(len(row), dtype=np.int64)
+                for some, base, total in by_piece(raw, np.maximum(lo, 0)):
+                    tag = block[some] * 2
+                    core[some] = prints(total, hi[some] - base, lo[some] + length - base, tag)
+                    full = some[inside[some]]
+                    whole[full] = prints(total, lo[full] - base, hi[full] + length - base, block[full] * 2 + 1)
+                # lo may lie up to STEP - 1 before the text
+                place = (lo + STEP << 2 * SHIFT) | (np.maximum(s[row], lo) - lo << SHIFT) | (np.minimum(e[row], hi) - lo)
+                rows.append((np.full(len(row), d), np.full(len(row), k), place, np.where(inside, whole, 0), core))
+                held += len(row)
+                if held > 200_000:
+                    yield columns(names, rows)
+                    rows, held = [], 0
+            if rows:
                 yield columns(names, rows)
-                rows, held = [], 0
-        if rows:
-            yield columns(names, rows)
 
+    return run
+
+
+def own_windows(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window of the packed places of blocks."""
+    lo, part = (place >> 2 * SHIFT) - STEP, (1 << SHIFT) - 1
+    return lo + (place >> SHIFT & part), lo + (place & part)
+
+
+def window_rows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each window of the open blocks: the rank of its block's core, and its own."""
+    names = "d k p core rank"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, held = [], 0
+            for d, k, text, (place, core) in zip(*(c.to_pylist() for c in batch.columns[:3]), lists(batch.column(3)), strict=True):
+                lo, hi = own_windows(place)
+                raw, count = text.encode(), hi - lo + 1
+                p = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
+                rank = np.zeros(len(p), dtype=np.int64)
+                for some, base, total in by_piece(raw, p):
+                    rank[some] = prints(total, p[some] - base, p[some] + length - base)
+                rows.append((np.full(len(p), d), np.full(len(p), k), p, np.repeat(core, count), rank))
+                held += len(p)
+                if held > 200_000:
+                    yield columns(names, rows)
+                    rows, held = [], 0
+            if rows:
+                yield columns(names, rows)
 
-def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows, held = [], 0
-        for d, k, text, (lo, hi) in zip(*(c.to_pylist() for c in batch.columns[:3]), lists(batch.column(3)), strict=True):
-            raw, count = text.encode(), hi - lo + 1
-            p = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
-            rank = np.zeros(len(p), dtype=np.int64)
-            for some, base, total in by_piece(raw, p):
-                rank[some] = prints(total, p[some] - base, p[some] + LENGTH - base)
-            rows.append((np.full(len(p), d), np.full(len(p), k), p, rank))
-            held += len(p)
-            if held > 200_000:
-                yield columns("d k p rank", rows)
-                rows, held = [], 0
-        if rows:
-            yield columns("d k p rank", rows)
+    return run
 
 
 def spans_of(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,64 +263,121 @@ def kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["d", "k", "n_removed", "n_spans", "kept"])
 
 
-def repeated(df: DataFrame, column: str) -> DataFrame:
-    """The values of a column that occur twice or more."""
-    return df.groupBy(column).agg(F.count("*").alias("n")).filter("n > 1").select(column)
+def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes under the ranges of each text."""
+    for batch in batches:
+        spans = [spans_of(*own) if own.size else own for own in lists(batch.column(2))]
+        n = [int((end - start).sum()) for start, end in spans]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64())], ["d", "k", "n"])
+
+
+def repeated(df: DataFrame, *by: str) -> DataFrame:
+    """The values that occur twice or more, and whether with different ids.
+
+    They are written, so that joins with them can split a hot value.
+    """
+    counted = df.groupBy(*by).agg(F.count("*").alias("n"), (F.min("d") < F.max("d")).alias("across"))
+    return cut(counted.filter("n > 1").select(*by, "across"), f"repeated-{by[-1]}")
 
 
-def settled(df: DataFrame, label: str) -> DataFrame:
-    """Cut, and let go of the shuffle files that led there."""
-    out = cut(df, label)
-    df.sparkSession.sparkContext._jvm.System.gc()
+def stretches(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts with a tied anchor and their open anchors, their anchors, and the blocks of the open ones.
+
+    (d, k, text, own); (d, k, place, across) with null where not all windows of the anchor repeat;
+    (d, k, place, core, across) with null where not all windows of the block repeat.
+    """
+    anchors = cut(docs.mapInArrow(anchor_rows(length), "d long, k long, place long, gram long, whole long"), "anchors")
+    again = repeated(anchors, "gram")
+    tied = cut(anchors.join(again, "gram", "left_semi"), "tied")
+    discard(anchors, again)
+    again = repeated(tied, "gram", "whole")
+    ranked = cut(tied.join(again, ["gram", "whole"], "left").select("d", "k", "place", "gram", "across"), "ranked")
+    discard(tied, again)
+    open_grams = cut(ranked.groupBy("gram").agg(F.count("*").alias("n"), F.count("across").alias("full")).filter("full < n").select("gram", F.lit(True).alias("open")), "open-grams")
+    opened = cut(ranked.join(open_grams, "gram", "left").select("d", "k", F.when(F.col("open"), F.col("place")).alias("place")), "opened")
+    own = opened.groupBy("d", "k").agg(F.collect_set("place").alias("own"))
+    some = cut(docs.select("d", "k", "text").join(own, ["d", "k"]), "candidates")
+    discard(open_grams, opened)
+    blocks = cut(some.mapInArrow(block_rows(length), "d long, k long, place long, whole long, core long"), "blocks")
+    again = repeated(blocks.filter("whole <> 0"), "core", "whole")
+    flagged = cut(blocks.join(again, ["core", "whole"], "left").select("d", "k", "place", "core", "across"), "flagged")
+    discard(blocks, again)
+    return some, ranked.select("d", "k", "place", "across"), flagged
+
+
+def full_ranges(ranked: DataFrame, flagged: DataFrame, length: int) -> DataFrame:
+    """(d, k, start, end, across) under the anchors and blocks all of whose windows repeat."""
+    part, place = (1 << SHIFT) - 1, F.col("place")
+    anchor = F.shiftright(place, 2 * SHIFT)
+    one = ranked.filter("across is not null").select("d", "k", (anchor - F.shiftright(place, SHIFT).bitwiseAND(part)).alias("start"), (anchor - place.bitwiseAND(part) + length).alias("end"), "across")
+    lo = F.shiftright(place, 2 * SHIFT) - STEP
+    two = flagged.filter("across is not null").select("d", "k", (lo + F.shiftright(place, SHIFT).bitwiseAND(part)).alias("start"), (lo + place.bitwiseAND(part) + length).alias("end"), "across")
+    return one.union(two)
+
+
+def passages(docs: DataFrame, length: int = PASSAGE) -> DataFrame:
+    """(d, k, text, n_passage_bytes) of the texts with long passages that come again.
+
+    Counted is what lies under anchors or blocks all of whose windows repeat with another id; a
+    text whose passages come again only with its own id has 0.  Any repeated
+    string of ``length + 2 * STEP`` bytes holds such a block, and no string of under ``length``
+    bytes counts; only strings between these lengths may or may not.
+    """
+    some, ranked, flagged = stretches(docs, length)
+    ranges = full_ranges(ranked, flagged, length).groupBy("d", "k").agg(F.collect_list(F.when(F.col("across"), F.struct("start", "end"))).alias("own"))
+    sizes = ranges.mapInArrow(covered, "d long, k long, n_passage_bytes long").dropDuplicates(["d", "k"])
+    out = cut(some.select("d", "k", "text").join(sizes, ["d", "k"]), "passages")
+    discard(some, flagged)
     return out
 
 
-def kept_parts(docs: DataFrame) -> DataFrame:
+def kept_parts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(d, k, n_removed, n_spans, kept) of the texts that lose something; docs as by :func:`keyed`."""
-    anchors = settled(docs.mapInArrow(anchor_rows, "d long, k long, a long, s long, e long, gram long, whole long"), "anchors")
-    tied = settled(anchors.join(repeated(anchors, "gram"), "gram", "left_semi"), "tied")
-    discard(anchors)
-    full = repeated(tied, "whole").withColumn("full", F.lit(True))
-    ranked = settled(tied.join(full, "whole", "left").select("d", "k", "a", "s", "e", "gram", F.col("full").isNotNull().alias("full")), "ranked")
-    discard(tied)
-    open_grams = ranked.groupBy("gram").agg(F.min("full").alias("all")).filter("not all").select("gram", F.lit(True).alias("open"))
-    own = ranked.join(open_grams, "gram", "left").groupBy("d", "k").agg(F.collect_set(F.when(F.col("open"), F.struct("a", "s", "e"))).alias("own"))
-    some = settled(docs.join(own, ["d", "k"]).select("d", "k", "text", "own"), "candidates")
-    blocks = settled(some.mapInArrow(block_rows, "d long, k long, lo long, hi long, start long, end long, whole long, core long"), "blocks")
-    whole = repeated(blocks.filter("whole <> 0"), "whole").withColumn("full", F.lit(True))
-    flagged = settled(blocks.join(whole, "whole", "left").select("d", "k", "lo", "hi", "start", "end", "core", F.col("full").isNotNull().alias("full")), "flagged")
-    discard(blocks)
-    open_cores = flagged.groupBy("core").agg(F.count("*").alias("n"), F.min("full").alias("all")).filter("n > 1 and not all").select("core")
-    left = flagged.join(open_cores, "core", "left_semi").groupBy("d", "k").agg(F.collect_set(F.struct("lo", "hi")).alias("own"))
-    windows = settled(some.select("d", "k", "text").join(left, ["d", "k"]).mapInArrow(window_rows, "d long, k long, p long, rank long"), "windows")
-    again = settled(windows.join(repeated(windows, "rank"), "rank", "left_semi").select("d", "k", "p"), "again")
-    discard(windows)
-    ranges = ranked.filter("full").select("d", "k", F.col("s").alias("start"), (F.col("e") + LENGTH).alias("end"))
-    ranges = ranges.union(flagged.filter("full").select("d", "k", "start", "end")).union(again.select("d", "k", F.col("p").alias("start"), (F.col("p") + LENGTH).alias("end")))
+    if not GRAM < length <= WIDEST - 2 * STEP:
+        raise ValueError(f"the length must be over {GRAM} and at most {WIDEST - 2 * STEP}")
+    some, ranked, flagged = stretches(docs, length)
+    open_cores = cut(flagged.groupBy("core").agg(F.count("*").alias("n"), F.count("across").alias("full")).filter("n > 1 and full < n").select("core"), "open-cores")
+    left = flagged.join(open_cores, "core", "left_semi").groupBy("d", "k").agg(F.collect_set(F.struct("place", "core")).alias("own"))
+    windows = cut(some.select("d", "k", "text").join(left, ["d", "k"]).mapInArrow(window_rows(length), "d long, k long, p long, core long, rank long"), "windows")
+    ranks = repeated(windows, "core", "rank")
+    again = cut(windows.join(ranks, ["core", "rank"], "left_semi").select("d", "k", "p"), "again")
+    discard(windows, ranks, open_cores)
+    ranges = full_ranges(ranked, flagged, length).drop("across").union(again.select("d", "k", F.col("p").alias("start"), (F.col("p") + length).alias("end")))
     removed = ranges.groupBy("d", "k").agg(F.collect_list(F.struct("start", "end")).alias("own"))
     kept = some.select("d", "k", "text").join(removed, ["d", "k"]).mapInArrow(kept_rows, "d long, k long, n_removed long, n_spans long, kept binary")
     return kept.dropDuplicates(["d", "k"])
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every document."""
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_bytes) for every document.
+
+    n_passage_bytes counts the bytes of passages shared with other ids, which may be too short to
+    be removed, see :func:`passages`.  Texts without any passage that comes again cannot hold a
+    repeated string of ``length`` bytes, so the removal reads only the others; ``length`` must be at least ``passage + 2 * STEP``.
+    """
+    if length < passage + 2 * STEP:
+        raise ValueError(f"the length must be at least {passage + 2 * STEP}")
     rows = keyed(docs, id_col, text_col)
-    lost = kept_parts(rows).select("d", "k", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    some = passages(rows, passage)
+    lost = kept_parts(some.select("d", "k", "text"), length).select("d", "k", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    found = some.select("d", "k", "n_passage_bytes").dropDuplicates(["d", "k"]).join(lost, ["d", "k"], "left")
     all_rows = rows.select("d", "k", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256"))
     zero = F.lit(0).cast("long")
-    return all_rows.join(lost, ["d", "k"], "left").select(F.nullif("d", F.lit(NO_ID)).alias("doc_id"), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"))
+    named = all_rows.join(found, ["d", "k"], "left")
+    return named.select(F.nullif("d", F.lit(NO_ID)).alias("doc_id"), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), F.coalesce("n_passage_bytes", zero).alias("n_passage_bytes"))
 
 
-def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", length: int = LENGTH) -> DataFrame:
     """The same rows and columns, with what repeats cut out of the texts.
 
     Bytes of characters that a cut splits are dropped, so that the text stays valid.
     """
-    lost = kept_parts(keyed(docs, id_col, text_col)).select("d", "k", F.try_validate_utf8(F.col("kept").cast("string")).alias("whole_text"), F.col("kept"))
-    fixed = lost.select(F.col("d").alias("_d"), F.col("k").alias("_k"), F.coalesce("whole_text", F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")).alias("_kept"))
+    key_d, key_k, fixed_text = (fresh(docs, c) for c in ("d", "k", "kept"))
+    lost = kept_parts(keyed(docs, id_col, text_col), length).select("d", "k", F.try_validate_utf8(F.col("kept").cast("string")).alias("whole_text"), F.col("kept"))
+    fixed = lost.select(F.col("d").alias(key_d), F.col("k").alias(key_k), F.coalesce("whole_text", F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")).alias(fixed_text))
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    marked = docs.withColumn("_d", F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))).withColumn("_k", F.xxhash64(text))
-    out = marked.join(fixed, ["_d", "_k"], "left").withColumn(text_col, F.coalesce("_kept", F.col(text_col)))
+    marked = docs.withColumn(key_d, F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))).withColumn(key_k, F.xxhash64(text))
+    out = marked.join(fixed, [key_d, key_k], "left").withColumn(text_col, F.coalesce(fixed_text, text_col))
     if chars_col in docs.columns:
-        out = out.withColumn(chars_col, F.when(F.col("_kept").isNull(), F.col(chars_col)).otherwise(F.length("_kept")).cast(docs.schema[chars_col].dataType))
+        out = out.withColumn(chars_col, F.when(F.col(fixed_text).isNull(), F.col(chars_col)).otherwise(F.length(fixed_text)).cast(docs.schema[chars_col].dataType))
     return out.select(*docs.columns)
