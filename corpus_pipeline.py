@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from ringspark.llm import common, mixing, order_minhash, packing, queries, suffix_dedup, toxicity
 
 
+# Passages of over 50 words have about 285 bytes and more; 400 bytes would leave half of them.
+PASSAGE = 280
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator rejects go."""
     return toxicity.clean(docs, common.table(spark, sf_dir, "labels"))
@@ -22,8 +26,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long passages that occur more than once are cut out of the texts."""
-    return suffix_dedup.cleaned(docs)
+    """Passages of PASSAGE bytes that occur more than once are cut out of the texts."""
+    return suffix_dedup.cleaned(docs, length=PASSAGE)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
