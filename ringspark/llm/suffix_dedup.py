@@ -172,19 +172,20 @@ def block_rows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
     place packs the first window of the block, and which of its windows belong to the anchor.
     """
-    names = "d k place whole core"
+    names = "d k place whole core kind"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, held = [], 0
-            for d, k, text, (own,) in zip(*(c.to_pylist() for c in batch.columns[:3]), lists(batch.column(3)), strict=True):
+            for d, k, text, own in zip(*(c.to_pylist() for c in batch.columns[:3]), lists(batch.column(3)), strict=True):
                 if not own.size:
                     continue
                 raw = text.encode()
                 # an anchor on the border of two pieces comes with two ranges
-                a, s, e = windows_of(np.sort(own))
+                place, kind = own[:, np.argsort(own[0], kind="stable")]
+                a, s, e = windows_of(place)
                 new = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-                a, s, e = a[new], np.minimum.reduceat(s, new), np.maximum.reduceat(e, new)
+                a, s, e, kind = a[new], np.minimum.reduceat(s, new), np.maximum.reduceat(e, new), np.minimum.reduceat(kind, new)
                 first, last = (a - e) // STEP, (a - s) // STEP
                 count = last - first + 1
                 row = np.repeat(np.arange(len(a)), count)
@@ -198,8 +199,8 @@ def block_rows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                     full = some[inside[some]]
                     whole[full] = prints(total, lo[full] - base, hi[full] + length - base, block[full] * 2 + 1)
                 # lo may lie up to STEP - 1 before the text
-                place = (lo + STEP << 2 * SHIFT) | (np.maximum(s[row], lo) - lo << SHIFT) | (np.minimum(e[row], hi) - lo)
-                rows.append((np.full(len(row), d), np.full(len(row), k), place, np.where(inside, whole, 0), core))
+                at = (lo + STEP << 2 * SHIFT) | (np.maximum(s[row], lo) - lo << SHIFT) | (np.minimum(e[row], hi) - lo)
+                rows.append((np.full(len(row), d), np.full(len(row), k), at, np.where(inside, whole, 0), core, kind[row]))
                 held += len(row)
                 if held > 200_000:
                     yield columns(names, rows)
@@ -217,20 +218,20 @@ def own_windows(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def window_rows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each window of the open blocks: the rank of its block's core, and its own."""
-    names = "d k p core rank"
+    """Each window of the open blocks: the rank of its block's core, its own, and its kind."""
+    names = "d k p core rank kind"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, held = [], 0
-            for d, k, text, (place, core) in zip(*(c.to_pylist() for c in batch.columns[:3]), lists(batch.column(3)), strict=True):
+            for d, k, text, (place, core, kind) in zip(*(c.to_pylist() for c in batch.columns[:3]), lists(batch.column(3)), strict=True):
                 lo, hi = own_windows(place)
                 raw, count = text.encode(), hi - lo + 1
                 p = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
                 rank = np.zeros(len(p), dtype=np.int64)
                 for some, base, total in by_piece(raw, p):
                     rank[some] = prints(total, p[some] - base, p[some] + length - base)
-                rows.append((np.full(len(p), d), np.full(len(p), k), p, np.repeat(core, count), rank))
+                rows.append((np.full(len(p), d), np.full(len(p), k), p, np.repeat(core, count), rank, np.repeat(kind, count)))
                 held += len(p)
                 if held > 200_000:
                     yield columns(names, rows)
@@ -274,33 +275,48 @@ def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated(df: DataFrame, *by: str) -> DataFrame:
     """The values that occur twice or more, and whether with different ids.
 
-    They are written, so that joins with them can split a hot value.
+    A row of a kind over 0 stands for all rows with its string, of which there are two or more,
+    with different ids if its kind is 2.  What is found is written, so that joins with it can
+    split a hot value.
     """
-    counted = df.groupBy(*by).agg(F.count("*").alias("n"), (F.min("d") < F.max("d")).alias("across"))
+    n, across = F.count("*"), F.min("d") < F.max("d")
+    if "kind" in df.columns:
+        n, across = F.sum(F.when(F.col("kind") == 0, 1).otherwise(2)), across | (F.max("kind") == 2)
+    counted = df.groupBy(*by).agg(n.alias("n"), across.alias("across"))
     return cut(counted.filter("n > 1").select(*by, "across"), f"repeated-{by[-1]}")
 
 
+def standing(df: DataFrame, *by: str) -> DataFrame:
+    """One row (d, k, place, kind) for all rows with the same string, all settled."""
+    one = df.groupBy(*by).agg(F.min(F.struct("d", "k", "place")).alias("one"), F.max("across").alias("across"))
+    return one.select(*by, "one.*", F.when(F.col("across"), 2).otherwise(1).cast("long").alias("kind"))
+
+
 def stretches(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Texts with a tied anchor and their open anchors, their anchors, and the blocks of the open ones.
 
     (d, k, text, own); (d, k, place, across) with null where not all windows of the anchor repeat;
-    (d, k, place, core, across) with null where not all windows of the block repeat.
+    (d, k, place, core, whole, kind, across) with null where not all windows of the block repeat.
+    Anchors that are settled take part only through one row for all that have the same stretch.
     """
     anchors = cut(docs.mapInArrow(anchor_rows(length), "d long, k long, place long, gram long, whole long"), "anchors")
     again = repeated(anchors, "gram")
     tied = cut(anchors.join(again, "gram", "left_semi"), "tied")
     discard(anchors, again)
     again = repeated(tied, "gram", "whole")
-    ranked = cut(tied.join(again, ["gram", "whole"], "left").select("d", "k", "place", "gram", "across"), "ranked")
+    ranked = cut(tied.join(again, ["gram", "whole"], "left").select("d", "k", "place", "gram", "whole", "across"), "ranked")
     discard(tied, again)
-    open_grams = cut(ranked.groupBy("gram").agg(F.count("*").alias("n"), F.count("across").alias("full")).filter("full < n").select("gram", F.lit(True).alias("open")), "open-grams")
-    opened = cut(ranked.join(open_grams, "gram", "left").select("d", "k", F.when(F.col("open"), F.col("place")).alias("place")), "opened")
-    own = opened.groupBy("d", "k").agg(F.collect_set("place").alias("own"))
+    loose = ranked.filter("across is null")
+    open_grams = cut(loose.select("gram").distinct(), "open-grams")
+    stand = standing(ranked.filter("across is not null").join(open_grams, "gram", "left_semi"), "gram", "whole").select("d", "k", "place", "kind")
+    wanted = loose.select("d", "k", "place", F.lit(0).cast("long").alias("kind")).union(stand)
+    wanted = wanted.union(ranked.filter("across is not null").select("d", "k", F.lit(None).cast("long"), F.lit(None).cast("long")))
+    own = wanted.groupBy("d", "k").agg(F.collect_set(F.when(F.col("kind").isNotNull(), F.struct("place", "kind"))).alias("own"))
     some = cut(docs.select("d", "k", "text").join(own, ["d", "k"]), "candidates")
-    discard(open_grams, opened)
-    blocks = cut(some.mapInArrow(block_rows(length), "d long, k long, place long, whole long, core long"), "blocks")
+    discard(open_grams)
+    blocks = cut(some.mapInArrow(block_rows(length), "d long, k long, place long, whole long, core long, kind long"), "blocks")
     again = repeated(blocks.filter("whole <> 0"), "core", "whole")
-    flagged = cut(blocks.join(again, ["core", "whole"], "left").select("d", "k", "place", "core", "across"), "flagged")
+    flagged = cut(blocks.join(again, ["core", "whole"], "left").select("d", "k", "place", "core", "whole", "kind", "across"), "flagged")
     discard(blocks, again)
     return some, ranked.select("d", "k", "place", "across"), flagged
 
@@ -311,7 +327,7 @@ def full_ranges(ranked: DataFrame, flagged: DataFrame, length: int) -> DataFrame
     anchor = F.shiftright(place, 2 * SHIFT)
     one = ranked.filter("across is not null").select("d", "k", (anchor - F.shiftright(place, SHIFT).bitwiseAND(part)).alias("start"), (anchor - place.bitwiseAND(part) + length).alias("end"), "across")
     lo = F.shiftright(place, 2 * SHIFT) - STEP
-    two = flagged.filter("across is not null").select("d", "k", (lo + F.shiftright(place, SHIFT).bitwiseAND(part)).alias("start"), (lo + place.bitwiseAND(part) + length).alias("end"), "across")
+    two = flagged.filter("across is not null and kind = 0").select("d", "k", (lo + F.shiftright(place, SHIFT).bitwiseAND(part)).alias("start"), (lo + place.bitwiseAND(part) + length).alias("end"), "across")
     return one.union(two)
 
 
@@ -336,12 +352,17 @@ def kept_parts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     if not GRAM < length <= WIDEST - 2 * STEP:
         raise ValueError(f"the length must be over {GRAM} and at most {WIDEST - 2 * STEP}")
     some, ranked, flagged = stretches(docs, length)
-    open_cores = cut(flagged.groupBy("core").agg(F.count("*").alias("n"), F.count("across").alias("full")).filter("n > 1 and full < n").select("core"), "open-cores")
-    left = flagged.join(open_cores, "core", "left_semi").groupBy("d", "k").agg(F.collect_set(F.struct("place", "core")).alias("own"))
-    windows = cut(some.select("d", "k", "text").join(left, ["d", "k"]).mapInArrow(window_rows(length), "d long, k long, p long, core long, rank long"), "windows")
+    weight, loose = F.when(F.col("kind") == 0, 1).otherwise(2), F.when((F.col("kind") == 0) & F.col("across").isNull(), 1)
+    open_cores = cut(flagged.groupBy("core").agg(F.sum(weight).alias("n"), F.count(loose).alias("loose")).filter("n > 1 and loose > 0").select("core"), "open-cores")
+    tied = cut(flagged.join(open_cores, "core", "left_semi"), "tied-blocks")
+    settled = tied.filter("kind > 0 or across is not null").withColumn("across", F.coalesce("across", F.col("kind") == 2))
+    stand = standing(settled.filter("whole <> 0"), "core", "whole").select("d", "k", "place", "core", "kind")
+    wanted = tied.filter("kind = 0 and across is null").union(settled.filter("whole = 0")).select("d", "k", "place", "core", "kind").union(stand)
+    left = wanted.groupBy("d", "k").agg(F.collect_set(F.struct("place", "core", "kind")).alias("own"))
+    windows = cut(some.select("d", "k", "text").join(left, ["d", "k"]).mapInArrow(window_rows(length), "d long, k long, p long, core long, rank long, kind long"), "windows")
     ranks = repeated(windows, "core", "rank")
-    again = cut(windows.join(ranks, ["core", "rank"], "left_semi").select("d", "k", "p"), "again")
-    discard(windows, ranks, open_cores)
+    again = cut(windows.filter("kind = 0").join(ranks, ["core", "rank"], "left_semi").select("d", "k", "p"), "again")
+    discard(windows, ranks, open_cores, tied)
     ranges = full_ranges(ranked, flagged, length).drop("across").union(again.select("d", "k", F.col("p").alias("start"), (F.col("p") + length).alias("end")))
     removed = ranges.groupBy("d", "k").agg(F.collect_list(F.struct("start", "end")).alias("own"))
     kept = some.select("d", "k", "text").join(removed, ["d", "k"]).mapInArrow(kept_rows, "d long, k long, n_removed long, n_spans long, kept binary")
