@@ -4,9 +4,10 @@ Documents become token pieces of at most ``capacity``; only the histogram of pie
 most ``capacity`` numbers) reaches the driver.  There a configuration is a multiset of lengths
 that fits into one sequence; the linear program asks for the fewest configurations that cover
 the histogram.  Multiplicative weights give every length a price that falls as it gets covered,
-a knapsack dynamic program prices out the dearest configurations, and the fractional solution is
-rounded down; what is left is completed in the same histogram form, dearest length first with an
-exact filling where there is one.  Pieces are then dealt to the slots of the configurations by
+a knapsack dynamic program prices out the dearest configurations, until the covering solution is
+within GAP of its lower bound; it is rounded to whole configurations, and the program is solved
+again for the rest.  The last REST of the tokens are completed in the same histogram form, longest
+first with an exact filling where there is one.  Pieces are then dealt to the slots of the configurations by
 their rank within their length, found from sharded row numbers, so a length that holds a third
 of all rows is never in one task.
 
@@ -16,6 +17,7 @@ packed as often as they come; an empty table gives no rows; other columns are no
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 import zlib
@@ -32,8 +34,11 @@ SEPARATOR = 0
 CACHE_ENTRIES = 700_000
 BLOCK_BYTES = 4_000_000
 SHARD_ROWS = 50_000
-ROUNDS = 100
-COLUMNS = 32
+# The linear program: rounds at first and for what is left, tokens added in a round as a share of
+# all, the gap to the lower bound, the share of the sequences that one solution gives, what a
+# rounded configuration may leave free, as a share of the capacity, and the share of the tokens
+# that is left to complete.
+ROUNDS, AGAIN, STEP, GAP, SHARE, WASTE, REST = 600, 200, 0.005, 0.05, 0.5, 0.008, 0.08
 RANKS = 1 << 48
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -46,9 +51,16 @@ class ChunkEncoder:
     new ones among these go through the encoder joined by blanks: each ends with the one id
     that carries the end of a word.  Chunks with special strings or letters beyond Latin are
     encoded as they are; so are texts with the four separators that Python splits at though
-    they are no white space to the tokenizer.
+    they are no white space to the tokenizer, and all texts if the tokenizer file has another
+    pattern or normalisation than these.
     """
 
+    # Fixed values of the tokenizer: its pre-token pattern, its normalisation, the end of a word.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    NORMALISED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    SPLIT = [{"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+    END = "</w>"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
@@ -57,11 +69,15 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
-        # Fixed value of the tokenizer: its pre-token pattern.
-        self.find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        with open(path, encoding="utf-8") as file:
+            own = json.load(file)
+        model = own["model"]
+        self.known = (own["normalizer"] or {}).get("normalizers") == self.NORMALISED and (own["pre_tokenizer"] or {}).get("pretokenizers") == self.SPLIT and model["type"] == "BPE" and model.get("end_of_word_suffix") == self.END and not model.get("dropout")
+        self.known = self.known and all(t["special"] and "<|" in t["content"] for t in own["added_tokens"])
+        self.find = regex.compile(self.PATTERN).findall
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(self.END)]] = True
 
     def direct(self, some: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
@@ -108,6 +124,8 @@ class ChunkEncoder:
             cache.update(zip(odd, self.direct(odd), strict=True))
 
     def encode(self, block: list[str]) -> list[bytes]:
+        if not self.known:
+            return self.direct(block)
         odd = {t for t in block if any(c in t for c in "\x1c\x1d\x1e\x1f")}
         chunks = [[] if t in odd else t.split() for t in block]
         unseen = set().union(*chunks) - self.cache.keys()
@@ -153,65 +171,123 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_
     return texts(docs, id_col, text_col).mapInArrow(run, PIECE_SCHEMA)
 
 
-def knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
-    """For each room up to ``capacity`` the index of the item to take first (-1: none).
+def knapsack(prices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each room the greatest price of copies of lengths that fit, and the length to take first.
 
-    sizes ascend; copies are unbounded.
+    prices are by length, minus infinity for lengths that are not there; 0 is no length.
+    """
+    best, take = np.zeros(len(prices)), np.zeros(len(prices), dtype=np.int64)
+    for room in range(1, len(prices)):
+        value = best[:room][::-1] + prices[1 : room + 1]
+        i = int(value.argmax())
+        best[room], take[room] = (value[i], i + 1) if value[i] > best[room - 1] else (best[room - 1], take[room - 1])
+    return best, take
+
+
+def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[dict[bytes, float], float]:
+    """The covering program by multiplicative weights: the mass of each configuration, and the gap.
+
+    A length's price is its share of the capacity times a weight that falls exponentially with
+    what is covered of it.  Each round finds, by one knapsack program, the dearest configuration
+    with each length, and adds them so that they hold STEP of all tokens; lengths that are ahead
+    of the mean are left out, or small pieces would be promised to every gap.  Masses are scaled
+    so that the least covered length is covered once; the gap is their sum over the greatest lower
+    bound that the prices gave, less one, and rounds end when it is at most GAP.
     """
-    best, take = np.zeros(capacity + 1), np.full(capacity + 1, -1, dtype=np.int64)
-    upto = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
-    for room in range(1, capacity + 1):
-        best[room], take[room] = best[room - 1], take[room - 1] if take[room - 1] < 0 or best[room - 1] > 0 else -1
-        if k := upto[room]:
-            value = best[room - sizes[:k]] + prices[:k]
-            if value[i := int(value.argmax())] >= best[room]:
-                best[room], take[room] = value[i], i
-    return take
-
-
-def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> dict[tuple[tuple[int, int], ...], float]:
-    """The covering program by multiplicative weights: configurations (index, copies) and their mass."""
-    covered, mass = np.zeros(len(sizes)), {}
-    heat = 2 * np.log(len(sizes) + 1) / 0.25
-    for _ in range(ROUNDS):
-        weight = np.exp(-heat * (covered - covered.min()))
-        take = knapsack(sizes, weight / counts, capacity)
-        for first in np.argsort(-weight, kind="stable")[:COLUMNS]:
-            copies = {int(first): 1}
-            room = capacity - int(sizes[first])
-            while room > 0 and (i := int(take[room])) >= 0 and sizes[i] <= room:
-                copies[i] = copies.get(i, 0) + 1
-                room -= int(sizes[i])
-            own = tuple(sorted(copies.items()))
-            step = 0.2 * min(counts[i] / n for i, n in own)
-            mass[own] = mass.get(own, 0.0) + step
-            for i, n in own:
-                covered[i] += n * step / counts[i]
-        if covered.min() >= 1:
+    share, cover, value = sizes / capacity, np.zeros(len(sizes)), 0.0
+    least = bound = float((counts * share).sum())
+    found: dict[bytes, float] = {}
+    for n in range(rounds):
+        behind = cover <= (n + 2) * STEP
+        own, weight = sizes[behind], np.maximum(np.exp((cover.min() - cover[behind]) / STEP), 1e-6)
+        prices = np.full(capacity + 1, -np.inf)
+        prices[own] = share[behind] * weight
+        best, take = knapsack(prices)
+        bound = max(bound, float((counts[behind] * prices[own]).sum() / (prices[own] + best[capacity - own]).max()))
+        rows, room = [own], capacity - own
+        while (more := take[room]).any():
+            rows.append(more)
+            room = room - more
+        own = np.stack(rows)
+        mass = counts[behind] * weight
+        used = np.bincount(own.ravel(), np.broadcast_to(mass, own.shape).ravel(), capacity + 1)[sizes]
+        scale = STEP * least / (share * used).sum()
+        cover += used * scale / counts
+        value += float(mass.sum() * scale)
+        raw, wide = np.sort(own, axis=0).T.astype(">u4").tobytes(), 4 * len(own)
+        for i, m in enumerate((mass * scale).tolist()):
+            key = raw[i * wide : (i + 1) * wide].lstrip(b"\0")
+            found[key] = found.get(key, 0.0) + m
+        if value <= bound * (1 + GAP) * cover.min():
             break
-    return mass
+    return {key: m / cover.min() for key, m in found.items()}, value / cover.min() / bound - 1
+
+
+def lengths_of(key: bytes) -> np.ndarray:
+    return np.frombuffer(key.rjust(-(-len(key) // 4) * 4, b"\0"), dtype=">u4").astype(np.int64)
+
+
+def topped_up(parts: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
+    """A configuration with one or two more pieces of what is left that fill it, if there are such."""
+    if not (room := capacity - int(parts.sum())):
+        return parts
+    if left[room]:
+        return np.r_[parts, room]
+    half = np.arange(1, room // 2 + 1)
+    pairs = half[(left[half] > 0) & (left[room - half] > 0)]
+    return np.r_[parts, room - pairs[0], pairs[0]] if pairs.size else parts
 
 
-def configurations(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
-    """(number of sequences, ((length, copies), ...)): together exactly the histogram."""
-    out: list[tuple[int, tuple[tuple[int, int], ...]]] = []
+def rounded(left: np.ndarray, capacity: int) -> Iterator[tuple[int, tuple[tuple[int, int], ...]]]:
+    """Whole numbers of configurations from the program; what they hold is taken off ``left``.
+
+    Configurations come by their longest piece, long ones first, as these have the fewest partners,
+    then by mass, each as often as its mass, rounded down but at least once, and what is left
+    allow; places that one leaves free are filled by one or two pieces of what is left.  After SHARE
+    of the sequences the program is solved again for the rest, until little is
+    left; when it gives next to nothing, configurations may leave a few places free.
+    """
+    slack, rounds, size = 0, ROUNDS, np.arange(capacity + 1)
+    enough = REST * int((left * size).sum())
+    while slack <= capacity * WASTE and (tokens := int((left * size).sum())) > enough:
+        sizes = np.flatnonzero(left)
+        program, _ = fractional(sizes, left[sizes].astype(float), capacity, rounds)
+        longest = {key: int.from_bytes(key[-4:]) for key in program}
+        made, most = 0, SHARE * tokens / capacity
+        for key in sorted(program, key=lambda key: (-longest[key], -program[key], key)):
+            if not left[longest[key]]:
+                continue
+            parts = lengths_of(key)
+            if left[parts].all() and capacity - (parts := topped_up(parts, left, capacity)).sum() <= slack:
+                lengths, copies = np.unique(parts, return_counts=True)
+                if (times := min(max(int(program[key]), 1), int((left[lengths] // copies).min()))) > 0:
+                    left[lengths] -= times * copies
+                    made += times
+                    yield times, tuple(zip(lengths.tolist(), copies.tolist(), strict=True))
+                    if made >= most:
+                        break
+        if made < 0.02 * tokens / capacity:
+            slack = 2 * slack + 1
+        rounds = AGAIN
+
+
+Plan = list[tuple[str, int, tuple[tuple[int, int], ...]]]
+
+
+def configurations(histogram: dict[int, int], capacity: int) -> Plan:
+    """(origin, number of sequences, ((length, copies), ...)): together exactly the histogram.
+
+    origin: ``full`` for pieces that fill a sequence, ``program`` for rounded configurations of
+    the linear program, ``rest`` for those that complete it.
+    """
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
         left[length] = n
+    out: Plan = []
     if left[capacity]:
-        out.append((int(left[capacity]), ((capacity, 1),)))
+        out.append(("full", int(left[capacity]), ((capacity, 1),)))
         left[capacity] = 0
-    sizes = np.flatnonzero(left)
-    if len(sizes):
-        mass = fractional(sizes, left[sizes].astype(float), capacity)
-        filled = {own: sum(int(sizes[i]) * n for i, n in own) for own in mass}
-        for own in sorted(mass, key=lambda o: (-filled[o], -mass[o], o)):
-            if filled[own] < capacity * 0.998:
-                break
-            if (times := min(int(mass[own]), *(int(left[sizes[i]]) // n for i, n in own))) > 0:
-                out.append((times, tuple((int(sizes[i]), n) for i, n in own)))
-                for i, n in own:
-                    left[sizes[i]] -= times * n
+    out += [("program", times, own) for times, own in rounded(left, capacity)]
     while (there := np.flatnonzero(left)).size:
         own = {int(there[-1]): 1}
         room = capacity - int(there[-1])
@@ -227,17 +303,25 @@ def configurations(histogram: dict[int, int], capacity: int) -> list[tuple[int,
             free[size] -= 1
             room -= size
         times = min(int(left[s]) // n for s, n in own.items())
-        out.append((times, tuple(own.items())))
+        out.append(("rest", times, tuple(own.items())))
         for s, n in own.items():
             left[s] -= times * n
     return out
 
 
-def slots(plan: list[tuple[int, tuple[tuple[int, int], ...]]]) -> dict[str, np.ndarray]:
+def origins(plan: Plan) -> dict[str, int]:
+    """Sequences by origin."""
+    out: dict[str, int] = {}
+    for origin, times, _ in plan:
+        out[origin] = out.get(origin, 0) + times
+    return out
+
+
+def slots(plan: Plan) -> dict[str, np.ndarray]:
     """A row for each length of each configuration: from which rank on, copies, first sequence, offset."""
     filled: dict[int, int] = {}
     rows, sequence = [], 0
-    for times, own in plan:
+    for _, times, own in plan:
         at = 0
         for length, copies in own:
             rows.append((length * RANKS + filled.get(length, 0), copies, sequence, at))

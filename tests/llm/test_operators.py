@@ -191,12 +191,53 @@ def test_configurations_cover_the_histogram():
         own = Counter(rng.randint(1, 64) for _ in range(rng.randint(1, 3000)))
         plan = packing.configurations(dict(own), 64)
         used = Counter()
-        for times, parts in plan:
+        for _, times, parts in plan:
             assert sum(length * n for length, n in parts) <= 64
             for length, n in parts:
                 used[length] += times * n
         assert used == own
-        assert sum(t for t, _ in plan) <= 1.05 * sum(length * n for length, n in own.items()) / 64 + 2
+        assert sum(t for _, t, _ in plan) <= 1.05 * sum(length * n for length, n in own.items()) / 64 + 2
+
+
+def test_sequences_come_from_the_linear_program():
+    rng = random.Random(2)
+    own = Counter(min(2048, max(1, int(rng.lognormvariate(6, 0.9)))) for _ in range(4000))
+    plan = packing.configurations(dict(own), 2048)
+    by, least = packing.origins(plan), -(-sum(length * n for length, n in own.items()) // 2048)
+    assert by["program"] >= 0.9 * (by["program"] + by.get("rest", 0)) and sum(by.values()) <= least + 1
+
+
+def test_fractional_solution_covers_within_its_gap():
+    rng = random.Random(3)
+    for capacity, sizes in ((64, range(1, 64)), (100, (34, 51)), (100, (60,))):  # 2 + 1, and 1, to a sequence
+        sizes = np.array(sorted(sizes))
+        counts = np.array([rng.randint(1, 50) for _ in sizes], dtype=float)
+        found, gap = packing.fractional(sizes, counts, capacity)
+        covered = Counter()
+        for key, mass in found.items():
+            parts = packing.lengths_of(key)
+            assert parts.sum() <= capacity
+            for x in parts.tolist():
+                covered[x] += mass
+        assert all(covered[s] >= c * (1 - 1e-9) for s, c in zip(sizes.tolist(), counts.tolist(), strict=True)) and gap <= packing.GAP
+        least = {64: (sizes * counts).sum() / 64, 100: counts[-1] if len(sizes) == 1 else max(counts[1], (counts[0] + counts[1]) / 2)}[capacity]
+        assert sum(found.values()) <= least * (1 + packing.GAP) + 1e-6
+
+
+def test_another_tokenizer_is_encoded_as_it_is(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(WORDS_PATH, encoding="utf-8") as file:
+        other = json.load(file)
+    other["normalizer"]["normalizers"].pop()  # letters keep their case
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(other))
+    text = "Some TEXT, with Capitals 12 and <|endoftext|>"
+    got = packing.ChunkEncoder(str(path)).encode([text])[0]
+    assert np.frombuffer(got, dtype="<u4").tolist() == Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids
+    assert packing.ChunkEncoder(WORDS_PATH).known
 
 
 # --- 3 ----------------------------------------------------------------------------------
