@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, texts
+from .common import cut, fresh, texts
 from .toxicity import WORDS
 
 STALL, CLOSE, FLOOR = 4, 1e-5, 1e-3
@@ -135,13 +135,12 @@ def by_use(labels: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, each as often as its rate has it; rows of one id and text share theirs."""
+    own_id, key, copies, found_key, copy = (fresh(docs, c) for c in ("own_id", "key", "copies", "found_key", "copy"))
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    marked = docs.withColumn("_id", docs[id_col].cast("long")).withColumn("_key", F.xxhash64(F.coalesce(docs[id_col].cast("long"), F.lit(-1)), text))
-    found = rates(marked.select(F.col("_key").alias("doc_id"), F.col(text_col)), labelled_by_key(marked, labelled), targets, total, "doc_id", text_col)
-    often = found.groupBy("doc_id").agg(F.max("copies").alias("_copies")).filter("_copies > 0").withColumnRenamed("doc_id", "_found")
-    out = marked.join(often, F.col("_key") == F.col("_found"))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
-
-
-def labelled_by_key(marked: DataFrame, labelled: DataFrame) -> DataFrame:
-    return marked.select("_id", "_key").join(labelled.select(F.col("doc_id").cast("long").alias("_id"), "domain"), "_id").select(F.col("_key").alias("doc_id"), "domain")
+    marked = docs.withColumn(own_id, docs[id_col].cast("long")).withColumn(key, F.xxhash64(F.coalesce(docs[id_col].cast("long"), F.lit(-1)), text))
+    named = labelled.select(F.col("doc_id").cast("long").alias(own_id), "domain")
+    by_key = marked.select(own_id, key).join(named, own_id).select(F.col(key).alias("doc_id"), "domain")
+    found = rates(marked.select(F.col(key).alias("doc_id"), F.col(text_col)), by_key, targets, total, "doc_id", text_col)
+    often = found.groupBy("doc_id").agg(F.max("copies").alias(copies)).filter(F.col(copies) > 0).withColumnRenamed("doc_id", found_key)
+    out = marked.join(often, F.col(key) == F.col(found_key))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)

@@ -1,25 +1,32 @@
-"""Near-duplicates by order min-hashing, verified by alignment.
-
-A text is the sequence of its five-word shingles, each labelled with how often it came before,
-so that no two are alike.  For each of ``BANDS`` hash functions the ``TUPLE`` shingles with the
-least values are taken and put back into text order; the ordered tuple is the text's bucket in
-that band.  Unlike a plain min-hash the bucket changes when text is moved around.
-
-Short texts have few shingles to draw from, so their candidates are exact: two texts of together
-t shingles are linked only if at most t / 9 of these are unmatched.  Shingles are dealt by a hash
-to one class more than that, so that some class holds only matched ones, the same in both texts
-and in the same order; the ordered shingles of each class are a bucket.  This is done for every
-such number up to ``APART``, and texts whose partners all fall under it need no bands.
-
-Two texts are linked if the alignment of their shingle sequences matches 0.8 or more of their union.  Labelled
-shingles are unique, so the alignment is a longest increasing run of matching places.
-
-Equal texts are one node from the start.  Nodes of a bucket are compared with its least node
-first, which costs one comparison for each node and settles groups of near copies however large.
-Pairs of a bucket that are still in different classes after that are compared as well, unless
-their sizes or, by the triangle inequality, their distances to the bucket's least node rule a
-link out; in large buckets that happens in blocks of bounded size.  No link between different
-texts of a bucket that could join two classes is left out.
+"""Near-duplicates by order min-hashing, verified by banded alignment of words.
+
+Two texts are linked if an alignment matches words in order so that the matched ones are 0.8 or
+more of all, m / (|a| + |b| - m).  Five-word shingles that match in order for 0.8 or more imply
+this, so no link of such shingles is left out.
+
+The k-mers of a text are its pairs of words, each labelled with how often it came before, so that
+no two are alike.  For each of ``BANDS`` hash functions the ``TUPLE`` k-mers with the least
+values are taken and put back into text order; the ordered tuple is the text's bucket in that
+band.  Unlike a plain min-hash the bucket changes when text is moved around.  With one word in
+ten replaced, about 0.68 of the pairs are common, and 32 bands of 4 miss two texts with a
+probability below 0.001.
+
+Short texts have few pairs to draw from.  There, candidates for five-word shingles are exact: two
+texts of together t shingles are linked by them only if at most t / 9 of these are unmatched.
+Shingles are dealt by a hash to one class more than that, so that some class holds only matched
+ones, the same in both texts and in the same order; the ordered shingles of each class are a
+bucket.  This is done for every such number up to ``APART``.
+
+The alignment is a longest common subsequence within a band around the diagonal, kept as the bits
+of an integer, a row of the table at a time.  The band starts narrow; it is widened, up to the
+greatest number of unmatched words that a link allows, only if the words that the texts share in
+any order could still reach the threshold.
+
+Equal texts are one node from the start, by a 128-bit digest.  Nodes of a bucket are compared with
+its least node first, which costs one comparison for each node and settles groups of near copies
+however large.  Pairs of a bucket that are still in different classes after that are compared as
+well, unless their sizes rule a link out; in large buckets that happens in blocks of bounded
+size.  No link between different texts of a bucket that could join two classes is left out.
 
 Defined results: a null or empty text is the text without words, and equals every other such
 text; texts of under five words have one shingle; rows that repeat are copies of each other;
@@ -30,47 +37,56 @@ an empty table gives no rows; extra columns are not read by :func:`classes` and
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, texts
+from .common import cut, discard, fresh, texts
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, TUPLE = 32, 6
-# Unmatched shingles up to which candidates are exact; texts of at most SHORT shingles have no
-# partner beyond.
-APART, SHORT, AGAIN = 8, 35, 4
+BANDS, KMER, TUPLE = 32, 2, 4
+# Unmatched shingles up to which candidates are exact.
+APART, AGAIN = 8, 4
 MASK = (1 << 64) - 1
 WIDE_ROWS = 50_000
+# The first width of the band of an alignment, and rows that are taken at once.
+NARROW, ROWS = 32, 1_024
 # Buckets of over FEW nodes are compared in blocks of two parts.
-FEW, PART_ROWS, PART_SHINGLES, COLUMNS = 24, 512, 400_000, 8_192
+FEW, PART_ROWS, PART_WORDS, COLUMNS = 24, 512, 400_000, 8_192
 
 
-def shingles(text: str) -> np.ndarray:
-    """Fingerprints of the labelled shingles of a text, in text order."""
+def labelled(values: np.ndarray) -> np.ndarray:
+    """Values made different by how often each came before."""
+    order = np.argsort(values, kind="stable")
+    same = np.r_[False, values[order[1:]] == values[order[:-1]]]
+    if same.any():
+        at = np.arange(len(values))
+        label = at - np.maximum.accumulate(np.where(same, 0, at))
+        values = values.copy()
+        values[order] += label.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+    return values
+
+
+def word_prints(words: list[bytes]) -> np.ndarray:
     import xxhash
 
-    words = text.encode().split()
-    n = len(words)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+
+
+def shingles(prints: np.ndarray, width: int = WORDS) -> np.ndarray:
+    """Fingerprints of the labelled shingles of a text, in text order; a shorter text is one shingle."""
+    n, width = len(prints), min(width, len(prints))
     if not n:
         return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=n)
-    width = min(WORDS, n)
     out = np.zeros(n - width + 1, dtype=np.uint64)
     for i in range(width):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + (h[i : n - width + 1 + i] ^ (h[i : n - width + 1 + i] >> np.uint64(31)))
-    order = np.argsort(out, kind="stable")
-    same = np.r_[False, out[order[1:]] == out[order[:-1]]]
-    if same.any():
-        at = np.arange(len(out))
-        label = at - np.maximum.accumulate(np.where(same, 0, at))
-        out[order] += label.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
-    return out
+        own = prints[i : n - width + 1 + i]
+        out = out * np.uint64(0x9E3779B97F4A7C15) + (own ^ (own >> np.uint64(31)))
+    return labelled(out)
 
 
 def factors() -> np.ndarray:
@@ -132,53 +148,96 @@ def bands(own: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sketch(own: np.ndarray) -> np.ndarray:
-    """The buckets of the bands, but for short texts, and those of exact candidates."""
-    return short_buckets(own) if len(own) <= SHORT else np.r_[bands(own), short_buckets(own)]
+def word_bands(prints: np.ndarray) -> np.ndarray:
+    """The buckets of the bands of a text's words; none for a text of one word."""
+    return bands(shingles(prints, KMER)) if len(prints) >= KMER else np.zeros(0, dtype=np.int64)
 
 
-def matched(a: np.ndarray, b: np.ndarray) -> int:
-    """Shingles that the best alignment of two texts matches."""
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    j = j[np.argsort(i)]
-    if not len(j) or (j[1:] > j[:-1]).all():
-        return len(j)
-    tails: list[int] = []
-    for x in j.tolist():
-        k = bisect_left(tails, x)
-        tails[k : k + 1] = [x]
-    return len(tails)
+def sketch(prints: np.ndarray) -> np.ndarray:
+    """The buckets of the bands, and those of exact candidates."""
+    return np.r_[word_bands(prints), short_buckets(shingles(prints))]
 
 
-def distance(a: np.ndarray, b: np.ndarray) -> tuple[int, bool]:
-    """Shingles outside the best alignment, and whether the texts are linked.
+def common_words(a: list[bytes], b: list[bytes], width: int) -> int:
+    """Words that the best alignment within ``width`` of the diagonal matches.
 
-    The similarity is m / (|a| + |b| - m) for m matches, so a link has at most
-    (|a| + |b|) (1 - s) / (1 + s) unmatched shingles.
+    Bit i of a row is 0 where taking in word i of ``a`` matches one more word.  Rows are taken
+    ROWS at a time over the part of ``a`` that their band reaches; below it nothing changes any
+    more, above it nothing has changed yet.
+    """
+    low, high, bits, zeros = 0, 0, 0, 0
+    for first in range(0, len(b), ROWS):
+        last = min(first + ROWS, len(b))
+        start, end = min(max(0, first - width), len(a)), min(len(a), last + width)
+        gone = min(start, high) - low
+        zeros += gone - (bits & ((1 << gone) - 1)).bit_count()
+        bits >>= gone
+        if end > high:
+            bits |= ((1 << (end - max(high, start))) - 1) << (max(high, start) - start)
+        low, high = start, max(end, high)
+        full, places = (1 << (high - low)) - 1, {}
+        for i in range(low, high):
+            places[a[i]] = places.get(a[i], 0) | 1 << (i - low)
+        get, band = places.get, (1 << (2 * width + 1)) - 1
+        narrow = max(high - 1 - first, last - 1 - low) > width
+        for j in range(first, last):
+            if here := get(b[j], 0):
+                if narrow:
+                    here &= band << (j - width - low) if j - width >= low else band >> (low - j + width)
+                hit = bits & here
+                bits = ((bits + hit) | (bits - hit)) & full
+    return zeros + (high - low) - bits.bit_count()
+
+
+def linked(a: list[bytes], b: list[bytes]) -> bool:
+    """Whether m / (|a| + |b| - m) is SIMILARITY or more for the m words that an alignment matches.
+
+    With at most ``most`` words unmatched, no match lies further than that off the diagonal.
     """
     total = len(a) + len(b)
-    m = matched(a, b)
-    return total - 2 * m, m >= SIMILARITY * (total - m)
+    need = next(m for m in range(int(SIMILARITY * total / (1 + SIMILARITY)), total + 1) if m >= SIMILARITY * (total - m))
+    if min(len(a), len(b)) < need:
+        return False
+    head, least = 0, min(len(a), len(b))
+    while head < least and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < least - head and a[len(a) - 1 - tail] == b[len(b) - 1 - tail]:
+        tail += 1
+    a, b, need = a[head : len(a) - tail], b[head : len(b) - tail], need - head - tail
+    if need <= 0:
+        return True
+    most = len(a) + len(b) - 2 * need
+    if most < 0 or (Counter(a) & Counter(b)).total() < need:
+        return False
+    width = NARROW
+    while True:
+        if common_words(a, b, min(width, most)) >= need:
+            return True
+        if width >= most:
+            return False
+        width *= 4
 
 
 def sketches(docs: DataFrame, buckets: Callable[[np.ndarray], np.ndarray] = sketch) -> DataFrame:
-    """(node, n, buckets) of rows (node, text)."""
+    """(node, n, buckets) of rows (node, text); n counts words."""
+    kind = docs.schema["node"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                own = [shingles(t) for t in part.column(1).to_pylist()]
+                own = [word_prints(t.encode().split()) for t in part.column(1).to_pylist()]
                 rows = [buckets(s) for s in own]
                 ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in own], pa.int64()), lists], ["node", "n", "buckets"])
 
-    return docs.select("node", "text").mapInArrow(run, "node long, n long, buckets array<long>")
+    return docs.select("node", "text").mapInArrow(run, f"node {kind}, n long, buckets array<long>")
 
 
 def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """(a, b, d, linked) of pairs (a, b) of nodes."""
+    """Those of the pairs (a, b) of nodes that are linked."""
     both = pairs.join(bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(bodies.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,12 +246,13 @@ def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
             out = []
             for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if a != last:
-                    last, own = a, shingles(x)
-                out.append((a, b, *distance(own, shingles(y))))
+                    last, own = a, x.encode().split()
+                if linked(own, y.encode().split()):
+                    out.append((a, b))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["a", "b", "d", "linked"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, d long, linked boolean")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -223,7 +283,7 @@ def sized(a: str, b: str):
 
 
 def alike(own: list[np.ndarray]) -> np.ndarray:
-    """Shingles that each pair of texts has in common, by products of incidence matrices."""
+    """Labelled words that each pair of texts has in common, by products of incidence matrices."""
     n = np.array([len(x) for x in own])
     _, at, count = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
     row, shared = np.repeat(np.arange(len(own)), n), count > 1
@@ -244,15 +304,15 @@ def alike(own: list[np.ndarray]) -> np.ndarray:
 def block(table: pa.Table) -> pa.Table:
     """Links that join classes among the rows (part, node, comp, text) of one block."""
     part, node, comp, text = (table.column(c).to_pylist() for c in ("part", "node", "comp", "text"))
-    own = [shingles(t) for t in text]
-    n, common = np.array([len(x) for x in own]), alike(own)
-    side, group = np.array(part), np.array(comp)
+    own = [t.encode().split() for t in text]
+    n, common = np.array([len(x) for x in own]), alike([labelled(word_prints(x)) for x in own])
+    side, group = np.array(part), np.unique(np.array(comp, dtype=object), return_inverse=True)[1]
     likely = (common >= SIMILARITY * (n[:, None] + n[None, :] - common) - 1e-3) & (group[:, None] != group[None, :])
     if side.min() != side.max():
         likely &= side[:, None] != side[None, :]
     root = {c: c for c in comp}
 
-    def find(c: int) -> int:
+    def find(c: bytes) -> bytes:
         while root[c] != c:
             root[c] = root[root[c]]
             c = root[c]
@@ -261,58 +321,61 @@ def block(table: pa.Table) -> pa.Table:
     links = []
     for i, j in zip(*np.nonzero(np.triu(likely, 1)), strict=True):
         a, b = find(comp[i]), find(comp[j])
-        if a != b and distance(own[i], own[j])[1]:
+        if a != b and linked(own[i], own[j]):
             root[a] = b
             links.append((node[i], node[j]))
-    return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    return pa.table([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
 
 def block_links(rest: DataFrame, sizes: DataFrame, bodies: DataFrame) -> DataFrame:
     """(a, b): links between classes in buckets of more than FEW nodes.
 
     A bucket's nodes are dealt to parts of a bounded size, and each two parts are one block; a
-    block counts common shingles of all its pairs at once and aligns only pairs whose count
+    block counts common words of all its pairs at once and aligns only pairs whose count
     allows a link.  Pairs are never rows, and no block grows with its bucket.
     """
-    many = sizes.filter(F.col("size") > FEW).withColumn("parts", F.ceil(F.greatest(F.col("size") / PART_ROWS, F.col("mass") / PART_SHINGLES)).cast("int"))
+    many = sizes.filter(F.col("size") > FEW).withColumn("parts", F.ceil(F.greatest(F.col("size") / PART_ROWS, F.col("mass") / PART_WORDS)).cast("int"))
     dealt = rest.join(many.select("band", "bucket", "parts"), ["band", "bucket"]).withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), "parts").cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(i, "part").alias("i"), F.greatest(i, "part").alias("j")))
     rows = dealt.select("band", "bucket", "part", "node", "comp", F.explode(pairs).alias("block")).join(bodies, "node")
-    return rows.groupBy("band", "bucket", "block").applyInArrow(block, "a long, b long").distinct()
+    return rows.groupBy("band", "bucket", "block").applyInArrow(block, "a binary, b binary").distinct()
 
 
 def linked_nodes(rows: DataFrame) -> DataFrame:
     """(node, comp) of all nodes that are linked with another; rows: (node, text), repeats allowed."""
     seen = cut(sketches(rows), "sketches")
     one = seen.groupBy("node").agg(F.first("n").alias("n"), F.first("buckets").alias("buckets"))
-    # bands count from 0; all buckets of short texts are of band BANDS
+    # bands count from 0; what follows them, and all buckets of texts of one word, are of band BANDS
     buckets = one.select("node", "n", F.posexplode("buckets").alias("at", "bucket"))
-    buckets = buckets.select("node", "n", F.when(F.col("n") <= SHORT, BANDS).otherwise(F.least("at", F.lit(BANDS))).alias("band"), "bucket")
-    # the least node of each bucket that has two or more
-    least = buckets.groupBy("band", "bucket").agg(F.min(F.struct("node", "n")).alias("c"), F.max("node").alias("last")).filter("c.node < last").select("band", "bucket", F.col("c.node").alias("c"), F.col("c.n").alias("cn"))
+    buckets = buckets.select("node", "n", F.when(F.col("n") < KMER, BANDS).otherwise(F.least("at", F.lit(BANDS))).alias("band"), "bucket")
+    # the least node of each bucket that has two or more; a table, so that the join can split a hot bucket
+    least = buckets.groupBy("band", "bucket").agg(F.min(F.struct("node", "n")).alias("c"), F.max("node").alias("last")).filter("c.node < last")
+    least = cut(least.select("band", "bucket", F.col("c.node").alias("c"), F.col("c.n").alias("cn")), "least")
     held = cut(buckets.join(least, ["band", "bucket"]), "buckets")
-    discard(seen)
+    discard(seen, least)
     bodies = cut(rows.join(held.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "bodies")
     stars = cut(verified(held.filter((F.col("node") != F.col("c")) & sized("n", "cn")).select(F.col("c").alias("a"), F.col("node").alias("b")).distinct(), bodies), "stars")
-    first = components(stars.filter("linked"))
-    own = held.join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    own = own.join(stars.select(F.col("a").alias("c"), F.col("b").alias("node"), "d"), ["c", "node"], "left")
-    mixed = own.groupBy("band", "bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band", "bucket")
-    rest = cut(own.join(mixed, ["band", "bucket"], "left_semi").filter("node <> c").select("band", "bucket", "node", "n", "comp", "d"), "mixed")
-    sizes = rest.groupBy("band", "bucket").agg(F.count("*").alias("size"), F.sum("n").alias("mass"))
+    first = components(stars)
+    own = cut(held.join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("band", "bucket", "node", "n", "comp", "c"), "classed")
+    mixed = cut(own.groupBy("band", "bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band", "bucket"), "mixed-buckets")
+    rest = cut(own.join(mixed, ["band", "bucket"], "left_semi").filter("node <> c").select("band", "bucket", "node", "n", "comp"), "mixed")
+    sizes = cut(rest.groupBy("band", "bucket").agg(F.count("*").alias("size"), F.sum("n").alias("mass")), "sizes")
     few = rest.join(sizes.filter(F.col("size") <= FEW), ["band", "bucket"], "left_semi")
     x, y = few.alias("x"), few.alias("y")
-    near = F.abs(F.col("x.d") - F.col("y.d")) * (1 + SIMILARITY) <= (F.col("x.n") + F.col("y.n")) * (1 - SIMILARITY) + 1e-6
     apart = (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
-    cross = x.join(y, apart & sized("x.n", "y.n") & F.coalesce(near, F.lit(True))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = cut(verified(cross, bodies).filter("linked").select("a", "b").union(block_links(rest, sizes, bodies)), "more-links")
-    out = components(stars.filter("linked").select("a", "b").union(more.select("a", "b")))
-    discard(held, bodies, stars, rest, more)
+    cross = x.join(y, apart & sized("x.n", "y.n")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    more = cut(verified(cross, bodies).union(block_links(rest, sizes, bodies)), "more-links")
+    out = components(stars.union(more))
+    discard(held, bodies, stars, own, mixed, rest, sizes, more)
     return out
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return texts(docs, id_col, text_col).withColumn("node", F.xxhash64("text"))
+    return texts(docs, id_col, text_col).withColumn("node", digest(F.col("text")))
+
+
+def digest(text: Column) -> Column:
+    return F.unhex(F.md5(text))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,14 +389,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class: that with the least id; all columns stay."""
+    """One row of each class: that with the least id; all columns stay, whatever their names."""
     own = cut(classes(docs, id_col, text_col), "classes")
     keep = own.filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    stays = keep.groupBy("doc_id", "class_id").agg(F.min("node").alias("_node"), F.count("*").alias("rows"))
+    key, node, least = (fresh(docs, c) for c in ("key", "node", "least"))
+    stays = cut(keep.groupBy("doc_id", "class_id").agg(F.min("node").alias(node), F.count("*").alias("rows")), "stays")
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    marked = docs.withColumn("_key", F.xxhash64(text))
-    match = marked[id_col].cast("long").eqNullSafe(stays["doc_id"]) & (marked["_key"] == stays["_node"])
-    out = marked.join(stays.select("doc_id", "_node"), match, "left_semi")
+    marked = docs.withColumn(key, digest(text))
+    match = marked[id_col].cast("long").eqNullSafe(F.col(least)) & (F.col(key) == F.col(node))
+    out = marked.join(stays.select(F.col("doc_id").alias(least), node), match, "left_semi")
     if stays.filter("rows > 1").limit(1).count():  # rows with one id and one class: one of them stays
-        out = out.dropDuplicates([id_col, "_key"])
+        out = out.dropDuplicates([id_col, key])
     return out.select(*docs.columns)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fold, labelled, texts, worker_cache
-from .order_minhash import bands, sketches
+from .order_minhash import sketches, word_bands
 
 # Whole words that abuse people in English, reporting verbs, second persons, quotes.
 WORDS = ("idiot", "idiots", "stupid", "moron", "morons", "loser", "losers", "scum", "trash", "clown", "worthless", "pathetic", "disgusting", "imbecile", "dumbass", "jerk", "bastard", "asshole", "bitch", "fuck", "fucking", "shit", "bullshit", "crap", "vermin", "filth")
@@ -192,7 +192,7 @@ def singled(sample: DataFrame) -> DataFrame:
         return x
 
     first: dict[tuple[int, int, int], int] = {}
-    for node, buckets in ((r["node"], r["buckets"]) for r in sketches(rows, bands).select("node", "buckets").collect()):
+    for node, buckets in ((r["node"], r["buckets"]) for r in sketches(rows, word_bands).select("node", "buckets").collect()):
         for band, bucket in enumerate(buckets):
             a, b = find(node), find(first.setdefault((side[node], band, bucket), node))
             root[max(a, b)] = min(a, b)

@@ -57,12 +57,38 @@ def got(df, *columns):
 # --- 1 ----------------------------------------------------------------------------------
 
 
-def plain_classes(rows):
+def subsequence(a, b):
+    """Length of the longest common subsequence, by the plain table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+    return row[-1]
+
+
+def alike(a, b):
+    if min(len(a), len(b)) < 0.8 * max(len(a), len(b)):
+        return False
+    m = subsequence(a, b)
+    return 10 * m >= 8 * (len(a) + len(b) - m)
+
+
+def five_words(text):
+    words, seen, out = text.split(" "), Counter(), []
+    for i in range(max(1, len(words) - 4)):
+        own = tuple(words[i : i + 5])
+        out.append((own, seen[own]))
+        seen[own] += 1
+    return out
+
+
+def plain_classes(rows, parts=lambda t: t.encode().split()):
     by = defaultdict(list)
     for i, t in rows:
         by[t or ""].append(i)
     texts = list(by)
-    own = [order_minhash.shingles(t) for t in texts]
+    own = [parts(t) for t in texts]
     root = list(range(len(texts)))
 
     def find(x):
@@ -72,7 +98,7 @@ def plain_classes(rows):
 
     for a in range(len(texts)):
         for b in range(a):
-            if order_minhash.distance(own[a], own[b])[1]:
+            if find(a) != find(b) and alike(own[a], own[b]):
                 root[find(a)] = find(b)
     least = {}
     for a, t in enumerate(texts):
@@ -120,34 +146,59 @@ def test_short_texts_have_exact_candidates(spark):
         rows.append((4 * i + 2, " ".join(["lead", *base[: len(base) - (n // 9)]])))
         rows.append((4 * i + 3, " ".join([*base, *["x"] * (n // 4)])))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    want = Counter()
+    found = {i: c for (i, c), _ in got(order_minhash.classes(docs), "doc_id", "class_id").items()}
     for i in range(0, len(rows), 4):  # no two bases share words
-        want += plain_classes(rows[i : i + 4])
-    assert got(order_minhash.classes(docs), "doc_id", "class_id") == want
+        shingled = {x: c for (x, c), _ in plain_classes(rows[i : i + 4], five_words).items()}
+        worded = {x: c for (x, c), _ in plain_classes(rows[i : i + 4]).items()}
+        for x, _ in rows[i : i + 4]:  # no link of shingles is missed, and no link is made up
+            assert found[x] == found[shingled[x]] and worded[x] == worded[found[x]]
 
 
 def test_linked_short_texts_always_share_a_bucket():
     rng = random.Random(12)
-    for _ in range(3000):
+    for _ in range(2000):
         a = [rng.getrandbits(64) for _ in range(rng.randint(1, 44))]
         b = [x for x in a if rng.random() > 0.1]
         for _ in range(rng.choice([0, 0, 1, 2, 4])):
             b.insert(rng.randint(0, len(b)), rng.getrandbits(64))
-        x, y = (np.array(v, dtype=np.uint64) for v in (a, b))
-        if len(a) + len(b) < 81 and order_minhash.distance(x, y)[1]:
+        if len(a) + len(b) < 81 and alike(a, b):
+            x, y = (np.array(v, dtype=np.uint64) for v in (a, b))
             assert set(order_minhash.short_buckets(x).tolist()) & set(order_minhash.short_buckets(y).tolist())
 
 
-def test_alignment_is_the_longest_common_subsequence():
+def test_banded_alignment_is_the_longest_common_subsequence(monkeypatch):
     rng = random.Random(3)
-    for _ in range(40):
-        a, b = (np.array(rng.sample(range(30), rng.randint(1, 25)), dtype=np.uint64) for _ in range(2))
-        table = np.zeros((len(a) + 1, len(b) + 1), dtype=int)
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
-        assert order_minhash.matched(a, b) == table[-1, -1]
-        assert int(order_minhash.alike([a, b])[0, 1]) == len(set(a.tolist()) & set(b.tolist()))
+    for rows, narrow in ((1024, 32), (7, 2), (3, 1)):
+        monkeypatch.setattr(order_minhash, "ROWS", rows)
+        monkeypatch.setattr(order_minhash, "NARROW", narrow)
+        for _ in range(300):
+            a = [rng.choice("abcdefghijklmnopq"[: rng.choice([2, 5, 17])]).encode() for _ in range(rng.randint(0, 40))]
+            b = [x for x in a if rng.random() > 0.12]
+            for _ in range(rng.randint(0, 5)):
+                b.insert(rng.randint(0, len(b)), rng.choice([b"a", b"z"]))
+            b = b if rng.random() < 0.8 else rng.sample(a, len(a))
+            assert order_minhash.common_words(a, b, len(a) + len(b)) == subsequence(a, b)
+            width = rng.randint(0, 12)
+            table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    table[i + 1][j + 1] = table[i][j] + 1 if x == y and abs(i - j) <= width else max(table[i][j + 1], table[i + 1][j])
+            assert order_minhash.common_words(a, b, width) == table[-1][-1]
+            assert order_minhash.linked(a, b) == (alike(a, b) if a or b else True)
+
+
+def test_edited_texts_are_found(spark):
+    rng, rows = random.Random(21), []
+    for i in range(150):
+        words = prose(i, rng.randint(60, 400)).split()
+        rows.append((2 * i, " ".join(words)))
+        for _ in range(int(0.09 * len(words))):
+            words[rng.randrange(len(words))] = f"{word(rng)}x"
+        rows.append((2 * i + 1, " ".join(words)))
+    found = dict(got(order_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "class_id").keys())
+    linked = [i for i in range(150) if alike(rows[2 * i][1].split(), rows[2 * i + 1][1].split())]
+    assert len(linked) > 140 and sum(found[2 * i] == found[2 * i + 1] for i in linked) >= 0.97 * len(linked)
+    assert len({found[2 * i] for i in range(150)}) == 150
 
 
 # --- 2 ----------------------------------------------------------------------------------
@@ -606,6 +657,22 @@ def test_mix_keeps_columns_and_good_rows(spark):
     assert sum(kept[i] for i in range(0, 300, 3)) < 60
 
 
+CLASHING = ["key", "node", "least", "d", "k", "kept", "own_id", "copies", "found_key", "copy", "_key", "_id", "_d", "_k", "_node", "_copies", "_bad", "class_id", "text_"]
+
+
+def test_columns_of_any_name_stay(spark):
+    """Operators that give back the rows they were given leave all other columns alone."""
+    shared = prose(5, 200)
+    rows = [(1, "one " + shared + " end"), (2, "one " + shared + " end"), (3, "clean words"), (None, None), (4, shared)]
+    rows = [(*r, *(f"{c}-{r[0]}" for c in CLASHING)) for r in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in CLASHING))
+    marks = labels(spark, (1, 1, 0), (3, 0, 0), (4, 1, 1))
+    for out in (order_minhash.one_of_each(docs), suffix_dedup.cleaned(docs), toxicity.clean(docs, marks), mixing.mix(docs, mixing.by_quality(marks), {"good": 0.5, "poor": 0.5})):
+        found = out.collect()
+        assert out.columns == docs.columns and found
+        assert all(r[c] == f"{c}-{r['doc_id']}" for r in found for c in CLASHING)
+
+
 # --- the queries ------------------------------------------------------------------------
 
 
