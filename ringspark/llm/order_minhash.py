@@ -256,25 +256,31 @@ def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp): the least node that each linked node is connected with.
+    """(node, comp): the least node that each linked node is connected with; links: (a, b).
 
-    Each round takes the least label among a node's neighbours and then the label's own label,
-    and is written to the shared folder; only the number of changes comes to the driver.
+    In each round every node moves to its least neighbour, and on to where that one moves; links
+    are then carried over, and those within one node go.  All tables are written to the shared
+    folder, and only whether links are left comes to the driver.
     """
-    edges = cut(links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select("b", "a")).distinct(), "edges")
-    labels = cut(edges.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("node"), F.least("x", "y").alias("comp")), "labels")
+    edges = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    labels = None
     while True:
-        near = edges.join(labels.select(F.col("node").alias("y"), "comp"), "y").groupBy("x").agg(F.min("comp").alias("near"))
-        hooked = labels.join(near.withColumnRenamed("x", "node"), "node").select("node", F.least("comp", "near").alias("next"), "comp")
-        # where a label has a smaller label by now, follow it
-        over = labels.select(F.col("node").alias("next"), F.col("comp").alias("far"))
-        new = cut(hooked.join(over, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("comp"), F.col("comp").alias("was")), "labels")
-        changed = new.filter("comp <> was").count()
-        discard(labels)
-        labels = new
-        if not changed:
+        ends = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a"))
+        near = cut(ends.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("up")), "near")
+        moved = cut(near.join(near.select(F.col("x").alias("up"), F.col("up").alias("top")), "up").select("x", F.col("top").alias("up")), "moved")
+        if labels is None:
+            new = moved.select(F.col("x").alias("node"), F.col("up").alias("comp"))
+        else:
+            new = labels.join(moved.select(F.col("x").alias("comp"), "up"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"))
+        new = cut(new, "labels")
+        a, b = (moved.select(F.col("x").alias(end), F.col("up").alias(f"up_{end}")) for end in "ab")
+        onward = edges.join(a, "a").join(b, "b").select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b"))
+        onward = cut(onward.filter("a <> b").distinct(), "edges")
+        discard(edges, near, moved, *([labels] if labels else []))
+        edges, labels = onward, new
+        if edges.isEmpty():
             discard(edges)
-            return labels.select("node", "comp")
+            return labels
 
 
 def sized(a: str, b: str):
@@ -365,8 +371,14 @@ def linked_nodes(rows: DataFrame) -> DataFrame:
     apart = (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
     cross = x.join(y, apart & sized("x.n", "y.n")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     more = cut(verified(cross, bodies).union(block_links(rest, sizes, bodies)), "more-links")
-    out = components(stars.union(more))
-    discard(held, bodies, stars, own, mixed, rest, sizes, more)
+    # links between classes, and classes of classes
+    ends = more.select(F.col("a").alias("node")).union(more.select("b")).distinct()
+    classed = cut(ends.join(first.withColumn("met", F.lit(True)), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "met"), "ends")
+    a, b = (classed.select(F.col("node").alias(f"node_{end}"), F.col("comp").alias(end)) for end in "ab")
+    over = components(more.select(F.col("a").alias("node_a"), F.col("b").alias("node_b")).join(a, "node_a").join(b, "node_b").select("a", "b"))
+    nodes = first.union(classed.filter("met is null").select("node", "comp"))
+    out = cut(nodes.join(over.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")), "linked")
+    discard(held, bodies, stars, own, mixed, rest, sizes, more, classed, first, over)
     return out
 
 
@@ -383,8 +395,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = keyed(docs, id_col, text_col)
     linked = linked_nodes(rows)
     narrow = rows.select("doc_id", "node")
-    named = narrow.groupBy("node").agg(F.min("doc_id").alias("least")).join(linked, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    ids = named.groupBy("comp").agg(F.min("least").alias("class_id"))
+    named = cut(narrow.groupBy("node").agg(F.min("doc_id").alias("least")).join(linked, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp")), "named")
+    ids = cut(named.groupBy("comp").agg(F.min("least").alias("class_id")), "class-ids")
     return narrow.join(named.join(ids, "comp").select("node", "class_id"), "node").select("doc_id", "class_id", "node")
 
 

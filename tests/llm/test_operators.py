@@ -166,6 +166,19 @@ def test_linked_short_texts_always_share_a_bucket():
             assert set(order_minhash.short_buckets(x).tolist()) & set(order_minhash.short_buckets(y).tolist())
 
 
+def test_components_of_chains_and_stars(spark):
+    rng, edges = random.Random(4), [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 210), (210, 205), (205, 201), (300, 300)]
+    edges += [(400 + rng.randrange(40), 400 + rng.randrange(40)) for _ in range(30)]
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for a, b in edges:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    links = spark.createDataFrame([(max(e), min(e)) if rng.random() < 0.5 else e for e in edges], "a long, b long")
+    alone = {x for x in root if all(x not in e or e[0] == e[1] for e in edges)}
+    assert dict(got(order_minhash.components(links), "node", "comp").keys()) == {x: find(x) for x in root if x not in alone}
+    assert order_minhash.components(links.limit(0)).count() == 0
+
+
 def test_banded_alignment_is_the_longest_common_subsequence(monkeypatch):
     rng = random.Random(3)
     for rows, narrow in ((1024, 32), (7, 2), (3, 1)):
