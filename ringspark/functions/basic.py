@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What Python's strip() removes, ASCII part; trim() alone removes blanks only.
@@ -50,3 +50,37 @@ def duration(seconds: Column) -> Column:
 def default(values: Column, key: str, otherwise) -> Column:
     """A map entry, or the default where it is missing."""
     return F.coalesce(F.try_element_at(values, F.lit(key)), F.lit(otherwise))
+
+
+def short(c: Column, n: int = 8) -> Column:
+    """The first characters of an id, as logs show it."""
+    return F.substring(c, 1, n)
+
+
+def same_text(c: Column, other: str) -> Column:
+    """Equality that ignores the case of letters."""
+    return F.lower(c) == other.lower()
+
+
+def new_id() -> Column:
+    """A new random id for each row; another one in every run."""
+    return F.expr("uuid()")
+
+
+def iso(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def elapsed(start: Column, end: Column) -> Column:
+    """Seconds between two moments, with fractions."""
+    return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1_000_000
+
+
+def percentage(c: Column, low: float, high: float) -> Column:
+    """Where a value lies between two others, 0 to 100; what is outside counts as the border."""
+    return 100.0 * (F.least(F.greatest(c, F.lit(low)), F.lit(high)) - low) / (high - low)
+
+
+def camel(rows: DataFrame) -> DataFrame:
+    """The rows with names like nodeId in place of node_id."""
+    return rows.select(*(F.col(c).alias(c.split("_")[0] + "".join(x.title() for x in c.split("_")[1:])) for c in rows.columns))

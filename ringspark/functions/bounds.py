@@ -43,3 +43,8 @@ def moore_column(k: Column, g: Column) -> Column:
 def upper_column(k: Column, g: Column) -> Column:
     k, g = k.cast("int"), g.cast("int")
     return F.when((k >= 2) & (g >= 3), 4 * power_sum(k - 1, F.lit(1), g - 2)).cast("bigint")
+
+
+def valid_column(k: Column, g: Column) -> Column:
+    """Whether there are bounds for k and g at all."""
+    return (k >= 2) & (g >= 3)

@@ -9,6 +9,7 @@ from ringspark.functions import score
 from ringspark.functions.basic import uniform
 
 from .cycles import within
+from .edits import add_edges, one_each, placed
 from .metrics import degrees
 
 PAIR = ["graph_id", "u", "v"]
@@ -26,13 +27,40 @@ def pairs(vertices: DataFrame, edges: DataFrame, k: int) -> DataFrame:
 
 def girth_safe(candidates: DataFrame, edges: DataFrame, g: int) -> DataFrame:
     """Pairs whose edge closes no cycle shorter than g: over g - 2 steps apart."""
-    close = within(edges, g - 2).filter("src < dst").select("graph_id", F.col("src").alias("u"), F.col("dst").alias("v"))
+    close = within(edges, g - 2, sources(candidates)).filter("src < dst").select("graph_id", F.col("src").alias("u"), F.col("dst").alias("v"))
     return candidates.join(close, PAIR, "left_anti")
 
 
-def scored_edges(candidates: DataFrame, edges: DataFrame, rows: DataFrame, deepest: int = 16) -> DataFrame:
+def sources(candidates: DataFrame) -> DataFrame:
+    """The vertices that pairs are asked for from."""
+    return candidates.select("graph_id", F.col("u").alias("src")).distinct()
+
+
+def sampled_pairs(vertices: DataFrame, edges: DataFrame, k: int, g: int, seed: int = 0, most: int = 50) -> DataFrame:
+    """Of each graph up to min(most, n^2) different safe pairs of vertices below degree k."""
+    n = vertices.groupBy("graph_id").agg(F.count_distinct("node_id").alias("n"))
+    drawn = placed(girth_safe(pairs(vertices, edges, k), edges, g), ["u", "v"], seed, most)
+    return drawn.join(n, "graph_id").filter(F.col("place") <= F.col("n") * F.col("n")).select(*PAIR)
+
+
+def add_low_edge(vertices: DataFrame, edges: DataFrame, k: int, g: int, seed: int = 0) -> DataFrame:
+    """Edges with one more in each graph that has a safe pair of vertices below degree k."""
+    return add_edges(edges, one_each(girth_safe(pairs(vertices, edges, k), edges, g), ["u", "v"], seed))
+
+
+def sampled_actions(vertices: DataFrame, edges: DataFrame, k: int, g: int, seed: int = 0) -> DataFrame:
+    """(graph_id, type, u, v): a new vertex, sampled safe pairs, up to 3 edges and 2 vertices to remove."""
+    none = F.lit(None).cast("bigint")
+    as_rows = lambda df, kind, u, v: df.select("graph_id", F.lit(kind).alias("type"), u.alias("u"), v.alias("v"))
+    out = as_rows(vertices.select("graph_id").distinct(), "add_vertex", none, none)
+    out = out.union(as_rows(sampled_pairs(vertices, edges, k, g, seed), "add_edge", F.col("u"), F.col("v")))
+    out = out.union(as_rows(one_each(edges, ["u", "v"], seed, 3), "remove_edge", F.col("u"), F.col("v")))
+    return out.union(as_rows(one_each(vertices, ["node_id"], seed, 2), "remove_vertex", F.col("node_id"), none))
+
+
+def scored_edges(candidates: DataFrame, edges: DataFrame, rows: DataFrame) -> DataFrame:
     """(graph_id, u, v, score) of adding each pair; rows: figures of the graphs."""
-    far = within(edges, deepest).filter("src < dst").select("graph_id", F.col("src").alias("u"), F.col("dst").alias("v"), "distance")
+    far = within(edges, None, sources(candidates)).filter("src < dst").select("graph_id", F.col("src").alias("u"), F.col("dst").alias("v"), "distance")
     found = candidates.join(far, PAIR, "left").join(rows, "graph_id")
     k, after = F.col("k"), lambda x: F.col(f"degree_{x}") + 1
     done = F.col("share") * F.col("n") + sum(F.when(after(x) == k, 1).when(after(x) == k + 1, -1).otherwise(0) for x in "uv")
@@ -69,6 +97,12 @@ def weighted_choice(table: DataFrame, seed: int = 0) -> DataFrame:
     return passed.groupBy("graph_id").agg(F.min_by("action", "ordinal").alias("action"))
 
 
+def best_mean(children: DataFrame) -> DataFrame:
+    """(parent, child) of greatest mean value, 0 without visits, the first child among ties."""
+    mean = F.when(F.col("visits") > 0, F.col("value") / F.col("visits")).otherwise(0.0)
+    return children.groupBy("parent").agg(F.min_by("child", F.struct((-mean).alias("b"), "child")).alias("child"))
+
+
 def best_child(children: DataFrame, c: float = 0.5) -> DataFrame:
     """(parent, child) of greatest upper confidence bound, the first child among ties.
 

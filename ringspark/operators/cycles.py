@@ -7,6 +7,7 @@ through searches by levels in DataFrames, whose rows spread over the cluster by
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -146,12 +147,17 @@ def girth(vertices: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFram
     return vertices.select("graph_id").distinct().join(found, "graph_id", "left")
 
 
-def within(edges: DataFrame, depth: int) -> DataFrame:
-    """(graph_id, src, dst, distance) of different vertices at most ``depth`` steps apart."""
+def within(edges: DataFrame, depth: int | None, sources: DataFrame | None = None) -> DataFrame:
+    """(graph_id, src, dst, distance) of different vertices at most ``depth`` steps apart.
+
+    Without a depth all distances are found; sources (graph_id, src) limit where paths begin.
+    """
     steps = adjacency(edges).filter("src <> dst").distinct()
-    reached = steps.withColumn("distance", F.lit(1))
+    reached = (steps if sources is None else steps.join(sources, ["graph_id", "src"], "left_semi")).select(*steps.columns, F.lit(1).alias("distance"))
     last = reached
-    for d in range(2, depth + 1):
+    for d in count(2):
+        if depth is not None and d > depth:
+            break
         onward = last.select("graph_id", "src", F.col("dst").alias("mid")).join(steps.withColumnRenamed("src", "mid"), ["graph_id", "mid"]).filter("src <> dst").select("graph_id", "src", "dst").distinct()
         last = onward.join(reached, ["graph_id", "src", "dst"], "left_anti").withColumn("distance", F.lit(d)).select(*reached.columns)
         last = last.checkpoint() if last.sparkSession.sparkContext.getCheckpointDir() else last.cache()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringspark.functions.basic import uniform
@@ -44,11 +44,19 @@ def remove_vertices(vertices: DataFrame, edges: DataFrame, gone: DataFrame) -> t
     return vertices.join(gone.select(*KEY), KEY, "left_anti"), kept.select(*EDGE)
 
 
+def placed(rows: DataFrame, columns: list[str], seed: int, most: int) -> DataFrame:
+    """Up to ``most`` rows of each graph with their place in the order of an md5 uniform of the row.
+
+    Spark limits each task's rows of a graph before the shuffle, so no graph is in one task whole.
+    """
+    draw = uniform(F.lit(seed), F.col("graph_id"), *(F.col(c) for c in columns))
+    order = Window.partitionBy("graph_id").orderBy(draw, *columns)
+    return rows.select("graph_id", *columns, F.row_number().over(order).alias("place")).filter(F.col("place") <= most)
+
+
 def one_each(rows: DataFrame, columns: list[str], seed: int = 0, most: int = 1) -> DataFrame:
     """Up to ``most`` rows of each graph, drawn by an md5 uniform of the row."""
-    draw = uniform(F.lit(seed), F.col("graph_id"), *(F.col(c) for c in columns))
-    best = F.slice(F.array_sort(F.collect_list(F.struct(draw.alias("draw"), *columns))), 1, most)
-    return rows.groupBy("graph_id").agg(F.explode(best).alias("x")).select("graph_id", *(F.col(f"x.{c}").alias(c) for c in columns))
+    return placed(rows, columns, seed, most).drop("place")
 
 
 def remove_random_edge(edges: DataFrame, seed: int = 0) -> DataFrame:
@@ -56,10 +64,10 @@ def remove_random_edge(edges: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def remove_edge_above(vertices: DataFrame, edges: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """Without one edge at a vertex of more than k."""
-    full = degrees(vertices, edges).filter(F.col("degree") > k)
-    at = adjacency(edges).join(full.select("graph_id", F.col("node_id").alias("src")), ["graph_id", "src"], "left_semi")
-    return remove_edges(edges, one_each(at.select("graph_id", F.col("src").alias("u"), F.col("dst").alias("v")), ["u", "v"], seed))
+    """Without one edge of a vertex of degree over k: first the vertex is drawn, then its edge."""
+    full = one_each(degrees(vertices, edges).filter(F.col("degree") > k), ["node_id"], seed)
+    at = adjacency(edges).join(full.select("graph_id", F.col("node_id").alias("src")), ["graph_id", "src"], "left_semi").distinct()
+    return remove_edges(edges, one_each(at, ["src", "dst"], seed).select("graph_id", F.col("src").alias("u"), F.col("dst").alias("v")))
 
 
 def remove_random_vertex(vertices: DataFrame, edges: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -69,6 +77,17 @@ def remove_random_vertex(vertices: DataFrame, edges: DataFrame, seed: int = 0) -
     return remove_vertices(vertices, edges, one_each(own.join(least, ["graph_id", "busy"]), ["node_id"], seed))
 
 
+def place_vertex(positions: DataFrame, x: float, y: float) -> DataFrame:
+    """Positions with a new vertex of each graph at a point; its id is the smallest free one."""
+    new = next_ids(positions).select("graph_id", F.col("smallest_free").alias("node_id"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), F.lit(False).alias("fixed"))
+    return positions.select(*new.columns).union(new)
+
+
+def clear_predictions(rows: DataFrame, *columns: str) -> DataFrame:
+    """The rows with these columns empty."""
+    return rows.withColumns({c: F.lit(None).cast(rows.schema[c].dataType) for c in columns})
+
+
 def clear(vertices: DataFrame, edges: DataFrame, graph_ids: list[str]) -> tuple[DataFrame, DataFrame]:
     gone = F.col("graph_id").isin(graph_ids)
     return vertices.filter(~gone), edges.filter(~gone)

@@ -43,3 +43,8 @@ def best(frontier: DataFrame, k: int = 1) -> DataFrame:
 def ranked(frontier: DataFrame, key: str = "session") -> DataFrame:
     """Each session's states with their place in the order of expansion."""
     return frontier.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "counter")))
+
+
+def insert(visited: DataFrame, states: DataFrame) -> DataFrame:
+    """The visited fingerprints with those of new states, each once."""
+    return visited.select("fingerprint").union(states.select("fingerprint")).distinct()

@@ -6,32 +6,66 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def held(df: DataFrame) -> DataFrame:
+    """Checkpointed where a checkpoint folder is set, else kept in memory."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+
+
 def running_best(rows: DataFrame, order: str, value: str, key: str | None = None) -> DataFrame:
-    """Add ``best_before``: the greatest earlier value, and whether the row beats it."""
-    w = Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))
-    before = F.max(value).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("best_before", before).withColumn("is_best", F.coalesce(F.col(value) > F.col("best_before"), F.lit(True)))
+    """Add ``best_before``: the greatest earlier value, and whether the row beats it.
+
+    Without a key the rows are dealt by ranges of the order; each range needs the greatest value
+    of the ranges before it, which is one row for each range.
+    """
+    if key:
+        before = F.max(value).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+        found = rows.withColumn("best_before", before)
+    else:
+        dealt = held(rows.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+        tops = dealt.groupBy("_range").agg(F.max(value).alias("_top"))
+        earlier = tops.select(F.col("_range"), F.max("_top").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"))
+        own = F.max(value).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+        found = dealt.withColumn("_own", own).join(F.broadcast(earlier), "_range").select(*rows.columns, F.greatest("_own", "_earlier").alias("best_before"))
+    return found.withColumn("is_best", F.coalesce(F.col(value) > F.col("best_before"), F.lit(True)))
 
 
 def every(rows: DataFrame, order: str, n: int) -> DataFrame:
     return rows.filter(F.pmod(F.col(order), F.lit(n)) == 0)
 
 
+def changed(rows: DataFrame, key: str, value: str, *order: str) -> DataFrame:
+    """Rows whose value is another than that of the key's row before; the first row counts as new."""
+    w = Window.partitionBy(key).orderBy(*order)
+    return rows.select("*", F.lag(value).over(w).alias("_before"), F.row_number().over(w).alias("_place")).filter(f"_place = 1 or not ({value} <=> _before)").drop("_before", "_place")
+
+
+def epoch_loss(rows: DataFrame) -> DataFrame:
+    """(epoch, loss): mean of the steps' losses; rows: (epoch, loss)."""
+    return rows.groupBy("epoch").agg(F.avg("loss").alias("loss"))
+
+
 def best_epoch(rows: DataFrame) -> DataFrame:
     """The epoch of highest accuracy, least error among ties; rows: (epoch, accuracy, mae)."""
     return rows.agg(F.max_by(F.struct("epoch", "accuracy", "mae"), F.struct("accuracy", (-F.col("mae")).alias("e"), (-F.col("epoch")).alias("n"))).alias("x")).select("x.*")
 
 
-def ancestors(tree: DataFrame, depth: int = 64) -> DataFrame:
-    """(node, ancestor, distance), each node its own ancestor; tree: (node, parent)."""
+def ancestors(tree: DataFrame) -> DataFrame:
+    """(node, ancestor, distance), each node its own ancestor; tree: (node, parent).
+
+    Steps go on until no chain has a parent left; a table in which they never end is no tree and
+    raises an error.
+    """
     up = tree.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance"))
     out, parents = up, tree.filter("parent is not null").select(F.col("node").alias("ancestor"), "parent")
-    for d in range(1, depth):
-        up = up.join(parents, "ancestor").select("node", F.col("parent").alias("ancestor"), F.lit(d).alias("distance"))
+    nodes, d = tree.count(), 0
+    while True:
+        d += 1
+        up = held(up.join(parents, "ancestor").select("node", F.col("parent").alias("ancestor"), F.lit(d).alias("distance")))
         if up.isEmpty():
-            break
+            return out
+        if d > nodes:
+            raise ValueError("a node is its own ancestor")
         out = out.union(up)
-    return out
 
 
 def propagate(tree: DataFrame, rewards: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ringspark.functions.basic import uniform
+
 from .metrics import KEY, adjacency, dense_index
 
 # Fixed values: (a) spring model, (b) legacy model.
@@ -32,6 +34,16 @@ def apart(positions: DataFrame) -> DataFrame:
     return offsets(a.join(b, "graph_id").filter("src <> dst"))
 
 
+def nearby(positions: DataFrame, reach: float) -> DataFrame:
+    """As :func:`apart`, for pairs at most ``reach`` apart: vertices meet by cells of that width."""
+    cell = lambda c: F.floor(F.col(c) / reach)
+    around = lambda c: F.sequence(cell(c) - 1, cell(c) + 1)
+    a = positions.select("graph_id", F.col("node_id").alias("src"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.explode(around("x")).alias("cx"), around("y").alias("rows"))
+    a = a.select("graph_id", "src", "x0", "y0", "cx", F.explode("rows").alias("cy"))
+    b = positions.select("graph_id", F.col("node_id").alias("dst"), "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
+    return offsets(a.join(b, ["graph_id", "cx", "cy"]).filter("src <> dst")).filter(F.col("d") <= reach)
+
+
 def along(positions: DataFrame, edges: DataFrame) -> DataFrame:
     """As :func:`apart`, for neighbours only."""
     a = positions.select("graph_id", F.col("node_id").alias("src"), F.col("x").alias("x0"), F.col("y").alias("y0"))
@@ -58,19 +70,34 @@ def spring_step(positions: DataFrame, edges: DataFrame, millis: float = 16.67) -
     """Model (a): springs to neighbours, the same force on others within reach, moves clamped."""
     pull = along(positions, edges).withColumn("f", SPRING * (F.col("d") - REST))
     joined = adjacency(edges).select("graph_id", "src", "dst").distinct()
-    push = apart(positions).filter(F.col("d") <= REACH).join(joined, ["graph_id", "src", "dst"], "left_anti").withColumn("f", SPRING * (F.col("d") - REST))
+    push = nearby(positions, REACH).join(joined,["graph_id", "src", "dst"], "left_anti").withColumn("f", SPRING * (F.col("d") - REST))
     scale = millis / 100.0
     clamp = lambda c: F.greatest(F.lit(-CLAMP), F.least(F.lit(CLAMP), c))
     moved = positions.join(summed(pull, push), KEY, "left")
     return moved.select(*KEY, *(place(c, clamp(F.coalesce(f"f{c}", F.lit(0.0)) * scale)) for c in "xy"), "fixed")
 
 
-def legacy_step(positions: DataFrame, edges: DataFrame) -> DataFrame:
-    """Model (b), from rest: springs, repulsion of all pairs, a pull to the centre, damping."""
+def legacy_step(positions: DataFrame, edges: DataFrame, on: bool = True) -> DataFrame:
+    """Model (b): springs, repulsion of all pairs, a pull to the centre, damping.
+
+    Positions may have velocities vx, vy; without them vertices start from rest.  A vertex's
+    velocity takes in the force and is damped, and moves it unless it is fixed.  Switched off,
+    nothing moves and velocities are 0.
+    """
+    moving = {c: F.col(f"v{c}") if f"v{c}" in positions.columns else F.lit(0.0) for c in "xy"}
+    if not on:
+        return positions.select(*KEY, "x", "y", "fixed", F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"))
     pull = along(positions, edges).withColumn("f", LEGACY["spring"] * (F.col("d") - LEGACY["rest"]))
     push = apart(positions).withColumn("f", -LEGACY["repulsion"] / (F.col("d") * F.col("d")))
-    moved = positions.join(summed(pull, push), KEY, "left")
-    return moved.select(*KEY, *(place(c, LEGACY["damping"] * (F.coalesce(f"f{c}", F.lit(0.0)) - LEGACY["centre"] * F.col(c))) for c in "xy"), "fixed")
+    forced = positions.join(summed(pull, push), KEY, "left")
+    speed = {c: F.when(F.col("fixed"), moving[c]).otherwise(LEGACY["damping"] * (moving[c] + F.coalesce(f"f{c}", F.lit(0.0)) - LEGACY["centre"] * F.col(c))) for c in "xy"}
+    return forced.select(*KEY, *(place(c, speed[c]) for c in "xy"), "fixed", *(speed[c].alias(f"v{c}") for c in "xy"))
+
+
+def jitter(positions: DataFrame, seed: int = 0, width: float = 10.0) -> DataFrame:
+    """Positions moved by md5 uniforms from -width / 2 to width / 2."""
+    by = {c: (uniform(F.lit(seed), F.col("graph_id"), F.col("node_id"), F.lit(c)) - 0.5) * width for c in "xy"}
+    return positions.withColumns({c: F.col(c) + by[c] for c in "xy"})
 
 
 def place(c: str, by: Column) -> Column:

@@ -91,6 +91,15 @@ def dense_index(vertices: DataFrame) -> DataFrame:
     return vertices.select(*KEY, idx.cast("bigint").alias("idx"), n.alias("n")).select(*KEY, "idx", (F.col("idx") / F.greatest(F.col("n") - 1, F.lit(1))).alias("norm"))
 
 
+def indexed_edges(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, u, v, u_idx, v_idx): edges with their ends' places among the sorted ids."""
+    own = dense_index(vertices).select(*KEY, "idx")
+    out = edges.select("graph_id", "u", "v")
+    for end in "uv":
+        out = out.join(own.select("graph_id", F.col("node_id").alias(end), F.col("idx").alias(f"{end}_idx")), ["graph_id", end])
+    return out.select("graph_id", "u", "v", "u_idx", "v_idx")
+
+
 def require(vertices: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` rows; a vertex that does not exist fails the query."""
     found = wanted.join(vertices.select(*KEY, F.lit(True).alias("there")), KEY, "left")

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..metrics import KEY, adjacency, degrees, dense_index
+from ringspark.functions.basic import uniform
+
+from ..metrics import KEY, adjacency, degrees, dense_index, require
 
 WEIGHTS = "layer int, tensor string, row int, col int, value double"
 INPUT = 4
@@ -102,3 +104,30 @@ def load_weights(spark: SparkSession, path: str) -> dict:
         lines[r["row"]].append(r["value"])
     matrix = ("near", "own")
     return {"layers": [{k: v if k in matrix else [x[0] for x in v] for k, v in layer.items()} for layer in layers]}
+
+
+def seeded(vertices: DataFrame, width: int, seed: int = 0) -> DataFrame:
+    """(graph_id, node_id, features): md5 uniforms of the vertex, the same in every run and engine."""
+    return vertices.select(*KEY, F.array(*(uniform(F.lit(seed), *(F.col(c) for c in KEY), F.lit(i)) for i in range(width))).alias("features"))
+
+
+def training_rows(vertices: DataFrame, edges: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(graph_id, node_id, features, label) with the degree as the label, and the adjacency."""
+    label = degrees(vertices, edges).select(*KEY, F.col("degree").cast("double").alias("label"))
+    return features(vertices, seed).join(label, KEY), adjacency(edges)
+
+
+def predict_some(vertices: DataFrame, edges: DataFrame, wanted: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """Predictions of the vertices (graph_id, node_id) asked for; one that does not exist fails the query."""
+    asked = require(vertices, wanted.select(*KEY))
+    return predict(vertices, edges, scores).join(asked, KEY, "left_semi")
+
+
+_LOADED: dict[str, dict] = {}
+
+
+def cached_weights(spark: SparkSession, path: str) -> dict:
+    """As :func:`load_weights`, read once for each path."""
+    if path not in _LOADED:
+        _LOADED[path] = load_weights(spark, path)
+    return _LOADED[path]

@@ -34,6 +34,7 @@ def one(k: int, g: int, name: str, generator: str, walker: int, seed: int, max_s
         girth = graph.girth()
         valid = graph.regular(k) and girth == g
         out |= {"success": bool(search.success and valid), "steps": search.step_count, "final_n": len(graph), "final_girth": None if girth == float("inf") else float(girth), "edges": [{"u": u, "v": v} for u, v in graph.edges()]}
+        out |= {c: getattr(search, c, None) for c in ("explored", "duplicates")}
         if not search.is_complete:
             out["error"] = "out of steps"
     except Exception as e:  # a search may be anyone's class
@@ -41,23 +42,29 @@ def one(k: int, g: int, name: str, generator: str, walker: int, seed: int, max_s
     return out | {"time_seconds": time.time() - began}
 
 
+def jobs(rows: DataFrame, generators: list[str], walkers: int = 1) -> DataFrame:
+    """(k, g, name, generator, walker): every target with every generator and walker."""
+    names = F.array(*(F.lit(g) for g in generators))
+    return rows.select("k", "g", "name", F.explode(names).alias("generator")).select("*", F.explode(F.sequence(F.lit(0), F.lit(walkers - 1))).alias("walker"))
+
+
 def run(rows: DataFrame, generators: list[str], max_steps: int = MAX_STEPS, walkers: int = 1, seed: int = 0, makers: dict[str, Callable] | None = None) -> DataFrame:
     """Results of every target (k, g, name) by every generator and walker, spread over the cluster.
 
     makers: further searches by name, any callable (k, g, seed) with step(), is_complete and graph.
     """
     spark, makers = rows.sparkSession, makers or {}
-    names = F.array(*(F.lit(g) for g in generators))
-    jobs = rows.select("k", "g", "name", F.explode(names).alias("generator")).select("*", F.explode(F.sequence(F.lit(0), F.lit(walkers - 1))).alias("walker"))
-    n = max(1, min(10_000, len(generators) * walkers * 8))
+    plan = jobs(rows, generators, walkers)
+    n =max(1, min(10_000, len(generators) * walkers * 8))
 
     def work(batches):
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                yield pd.DataFrame([one(r.k, r.g, r.name, r.generator, r.walker, seed, max_steps, makers.get(r.generator))]).reindex(columns=columns)
+                found = pd.DataFrame([one(r.k, r.g, r.name, r.generator, r.walker, seed, max_steps, makers.get(r.generator))]).reindex(columns=columns)
+                yield found.astype({"explored": "Int64", "duplicates": "Int64"})
 
     columns = [c.name for c in spark.createDataFrame([], SEARCH_RESULT).schema]
-    return jobs.repartition(n, "k", "g", "generator", "walker").mapInPandas(work, SEARCH_RESULT)
+    return plan.repartition(n,"k", "g", "generator", "walker").mapInPandas(work, SEARCH_RESULT)
 
 
 def best_of_walkers(results: DataFrame) -> DataFrame:
@@ -73,5 +80,16 @@ def summary(results: DataFrame) -> DataFrame:
     return results.groupBy("generator").agg(F.count("*").alias("runs"), F.count_if("success").alias("successes"), F.avg(F.col("success").cast("double")).alias("success_rate"), F.avg(won).alias("mean_steps"), F.median(won).alias("median_steps"))
 
 
+#: Suites by the name of a preset.
+PRESETS = {"small": ("small",), "medium": ("medium",), "large": ("large",), "all": ("small", "medium", "large")}
+
+
+def preset(spark: SparkSession, name: str) -> DataFrame:
+    """The targets of a preset."""
+    if name not in PRESETS:
+        raise ValueError(f"no such preset: {name}; there are {', '.join(PRESETS)}")
+    return targets(spark, *PRESETS[name])
+
+
 def compare(spark: SparkSession, suite: str, generators: list[str], max_steps: int = MAX_STEPS, seed: int = 0) -> DataFrame:
-    return summary(run(targets(spark, suite), generators, max_steps, seed=seed))
+    return summary(run(preset(spark, suite), generators, max_steps, seed=seed))

@@ -593,3 +593,6 @@ def search_astar(spark, sf_dir):
 @query()
 def search_mcts(spark, sf_dir):
     return searched(spark, "mcts")
+
+
+from . import details  # noqa: E402, F401  it registers its queries here

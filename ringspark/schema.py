@@ -11,7 +11,7 @@ STATUS = (
     "session_id string, k int, g int, step_count bigint, num_nodes bigint, num_edges bigint, girth int, is_k_regular boolean, "
     "is_complete boolean, success boolean, stopped boolean, current_graph string, moore_bound bigint, elapsed_time double"
 )
-SEARCH_RESULT = "k int, g int, name string, generator string, walker int, success boolean, steps bigint, final_n bigint, final_girth double, time_seconds double, error string, edges array<struct<u:bigint,v:bigint>>"
+SEARCH_RESULT = "k int, g int, name string, generator string, walker int, success boolean, steps bigint, final_n bigint, final_girth double, time_seconds double, error string, explored bigint, duplicates bigint, edges array<struct<u:bigint,v:bigint>>"
 MODEL_INFO = "last_updated string, epoch bigint, hidden_dim bigint, learning_rate double, metrics struct<mean_squared_error:double,mean_absolute_error:double,accuracy:double>, model_path string"
 
 # The search targets (suite, k, g, name, known smallest order).

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringspark.functions.basic import lenient_int, strict_int, strip
-from ringspark.schema import MODEL_INFO
+from ringspark.schema import MODEL_INFO, RANDOM_GRAPH
 
 
 def lines(texts: DataFrame) -> DataFrame:
@@ -98,3 +98,28 @@ def write_model_info(info: DataFrame, path: str) -> None:
     digits = {"mean_squared_error": 4, "mean_absolute_error": 4, "accuracy": 2}
     rounded = info.withColumn("metrics", F.struct(*(F.bround(f"metrics.{c}", n).alias(c) for c, n in digits.items())))
     rounded.coalesce(1).write.mode("overwrite").json(path)
+
+
+def with_defaults(rows: DataFrame) -> DataFrame:
+    """Requests for random graphs with the defaults where a parameter is missing."""
+    names = {"min_nodes": "minNodes", "max_nodes": "maxNodes", "min_prob": "minProb", "max_prob": "maxProb"}
+    rest = [c for c in rows.columns if c not in (*names.values(), "allowSelfLoops")]
+    return rows.select(*rest, *(F.coalesce(asked, F.lit(RANDOM_GRAPH[name])).alias(name) for name, asked in names.items()), F.coalesce("allowSelfLoops", F.lit(True)).alias("loops"))
+
+
+def matched(texts: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Edges of the lines both of whose numbers are vertices there are; other lines are dropped."""
+    found = parse(texts, "permissive")[1]
+    for end in "uv":
+        found = found.join(vertices.select("graph_id", F.col("node_id").alias(end)), ["graph_id", end], "left_semi")
+    return found.select("graph_id", "u", "v")
+
+
+def documents(rows: DataFrame, key: str) -> DataFrame:
+    """(key, document): each row's other columns as a JSON object, nulls included."""
+    return rows.select(key, F.to_json(F.struct(*(c for c in rows.columns if c != key)), {"ignoreNullFields": "false"}).alias("document"))
+
+
+def write_documents(rows: DataFrame, key: str, path: str) -> None:
+    """One line of JSON for each row, spread over as many files as there are partitions."""
+    documents(rows, key).select("document").write.mode("overwrite").text(path)

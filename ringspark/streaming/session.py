@@ -105,3 +105,17 @@ def windows(events: DataFrame, session: str, at: str, gap: str) -> DataFrame:
 
 def stamp() -> str:
     return datetime.now(timezone.utc).isoformat()
+
+
+def active(events: DataFrame, session: str, at: str, now, limit: float = ABANDON_AFTER) -> DataFrame:
+    """(active): how many sessions had their last event at most ``limit`` seconds before now."""
+    last = events.groupBy(session).agg(F.max(at).alias("last"))
+    idle = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last").cast("timestamp"))) / 1_000_000
+    return last.agg(F.count_if(idle <= limit).alias("active"))
+
+
+def debounced(events: DataFrame, session: str, at: str, quiet: float, *ties: str) -> DataFrame:
+    """Events that the session follows by none within ``quiet`` seconds: the last of each burst."""
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    wait = F.lead(micros).over(Window.partitionBy(session).orderBy(at, *ties)) - micros
+    return events.withColumn("_wait", wait).filter(F.col("_wait").isNull() | (F.col("_wait") >= int(quiet * 1_000_000))).drop("_wait")
