@@ -336,15 +336,28 @@ def block(table: pa.Table) -> pa.Table:
 def block_links(rest: DataFrame, sizes: DataFrame, bodies: DataFrame) -> DataFrame:
     """(a, b): links between classes in buckets of more than FEW nodes.
 
-    A bucket's nodes are dealt to parts of a bounded size, and each two parts are one block; a
-    block counts common words of all its pairs at once and aligns only pairs whose count
-    allows a link.  Pairs are never rows, and no block grows with its bucket.
+    The largest class of a bucket and its other nodes are each dealt to parts of a bounded size.
+    A block holds a part of the largest class and one of the others, or two of the others; pairs
+    within the largest class are in none, and a node of it is copied once for each part of the
+    others, which are few where a bucket is mostly one class.  A block counts common words of all
+    its pairs at once and aligns only pairs whose count allows a link.  Pairs are never rows, and
+    no block grows with its bucket.
     """
-    many = sizes.filter(F.col("size") > FEW).withColumn("parts", F.ceil(F.greatest(F.col("size") / PART_ROWS, F.col("mass") / PART_WORDS)).cast("int"))
-    dealt = rest.join(many.select("band", "bucket", "parts"), ["band", "bucket"]).withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), "parts").cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(i, "part").alias("i"), F.greatest(i, "part").alias("j")))
-    rows = dealt.select("band", "bucket", "part", "node", "comp", F.explode(pairs).alias("block")).join(bodies, "node")
-    return rows.groupBy("band", "bucket", "block").applyInArrow(block, "a binary, b binary").distinct()
+    key, many = ["band", "bucket"], sizes.filter(F.col("size") > FEW)
+    by_class = rest.join(many.select(*key), key, "left_semi").groupBy(*key, "comp").agg(F.count("*").alias("size"), F.sum("n").alias("mass"))
+    largest = by_class.groupBy(*key).agg(F.max(F.struct("size", "mass", "comp")).alias("top"))
+    parts = lambda size, mass: F.ceil(F.greatest(size / PART_ROWS, mass / PART_WORDS)).cast("int")
+    plan = many.join(largest, key).filter(F.col("size") > F.col("top.size"))
+    plan = cut(plan.select(*key, F.col("top.comp").alias("top"), parts(F.col("top.size"), F.col("top.mass")).alias("p"), parts(F.col("size") - F.col("top.size"), F.col("mass") - F.col("top.mass")).alias("q")), "block-plan")
+    own = F.col("comp") == F.col("top")
+    at = F.xxhash64("node", F.lit("part"))
+    dealt = rest.join(plan, key).withColumn("part", F.when(own, F.pmod(at, "p")).otherwise(F.col("p") + F.pmod(at, "q")).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    block_of = lambda i, j: F.struct(F.least(i, j).cast("int").alias("i"), F.greatest(i, j).cast("int").alias("j"))
+    others = F.transform(upto("q"), lambda j: block_of(F.col("part"), F.col("p") + j))
+    blocks = F.when(own, others).otherwise(F.concat(F.transform(upto("p"), lambda i: block_of(i, F.col("part"))), others))
+    rows = dealt.select(*key, "part", "node", "comp", F.explode(blocks).alias("block")).join(bodies, "node")
+    return rows.groupBy(*key, "block").applyInArrow(block, "a binary, b binary").distinct()
 
 
 def linked_nodes(rows: DataFrame) -> DataFrame:
