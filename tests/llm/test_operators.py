@@ -346,6 +346,24 @@ def test_repeats_at_every_length_and_over_pieces(spark, monkeypatch):
     assert got(suffix_dedup.digests(docs), *REPEATS) == plain_repeats(rows)
 
 
+def test_passages_shared_across_documents(spark):
+    plain = lambda seed: "".join(c for c in prose(seed, 300) if c.isascii())
+    shared, twice = plain(70)[:330], plain(71)[:330]
+    rows = [(1, f"{plain(1)[:400]} {shared} {plain(2)[:300]}"), (2, f"{plain(3)[:150]} {shared}"), (3, plain(4)), (4, f"{twice} {twice}"), (5, plain(5)[:500] + shared[:240]), (None, None)]
+    found = {r["doc_id"]: r for r in suffix_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(265 <= found[i]["n_passage_bytes"] <= 332 for i in (1, 2))
+    assert all(found[i]["n_passage_bytes"] == 0 for i in (3, 4, 5, None)) and not any(r["n_removed"] for r in found.values())
+    with pytest.raises(ValueError):
+        suffix_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string"), length=270)
+
+
+def test_shorter_length_equals_brute_force(spark):
+    rows = [(i, prose(i, 30) + prose(50, 120)[20 * i : 20 * i + 300] + prose(i + 20, 30)) for i in range(10)]
+    kept = suffix_dedup.kept_parts(suffix_dedup.keyed(spark.createDataFrame(rows, "doc_id long, text string")), 150)
+    want = {i: (n, s, h) for i, _, n, s, h in plain_repeats(rows, 150) if n}
+    assert {r["d"]: (r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in kept.collect()} == want and want
+
+
 def test_cleaned_texts(spark):
     shared = prose(5, 200)
     rows = [(1, "one " + shared + " end", "x", 9), (2, shared, "y", 9), (3, "clean", None, 5), (None, None, "z", None)]
@@ -634,6 +652,20 @@ def test_mixing_meets_its_targets(spark, docs, rows, empty):
         mixing.rates(table, domains, {"good": 0.0})
 
 
+def test_posteriors_are_plain_naive_bayes(spark):
+    own, marks = quality_rows()
+    table = spark.createDataFrame(own, "doc_id long, text string")
+    rows = sorted(mixing.figures(table).collect(), key=lambda r: r["doc_id"])
+    x, good = np.array([[r[c] for c in mixing.FIGURES] for r in rows]), np.array([q == 1 for _, q, _ in marks])
+    logs = []
+    for some in (x[good], x[~good]):
+        mean, var = some.mean(0), some.var(0) + mixing.FLOOR
+        logs.append(np.log((len(some) + 1) / (len(x) + 2)) - ((x - mean) ** 2 / (2 * var) + np.log(var) / 2).sum(1))
+    want = 1 / (1 + np.exp(logs[1] - logs[0]))
+    found = {r["doc_id"]: r["p_0"] for r in mixing.rates(table, mixing.by_quality(labels(spark, *marks)), {"good": 0.9, "poor": 0.1}).collect()}
+    assert np.abs(np.array([found[r["doc_id"]] for r in rows]) - want).max() < 1e-9
+
+
 def test_strong_thinning_meets_its_targets(spark):
     rng, rows = random.Random(7), []
     for i in range(3000):  # poor text is 97% of the tokens, good and poor are hard to tell apart
