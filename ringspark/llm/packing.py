@@ -22,6 +22,7 @@ import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,11 @@ RANKS = 1 << 48
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def composed(chunk: str) -> bool:
+    """Whether normalisation only lowers the letters: composed ones, none beyond Latin."""
+    return max(chunk) < "\u0250" and "\u0130" not in chunk and unicodedata.is_normalized("NFC", chunk)
+
+
 class ChunkEncoder:
     """Ids by the tokenizer's own encoder, kept for each chunk between blanks.
 
@@ -88,24 +94,25 @@ class ChunkEncoder:
         Most chunks are one word, or one with a full stop or comma behind it; these need no
         pattern.  A word of composed Latin letters is only lowered by the normalisation.
         """
-        one, two, own, odd = [], [], [], []
+        words, ended, bare, own, odd = [], [], [], [], []
         for c in chunks:
-            plain = c.isascii()
-            if "<|" in c or not (plain or max(c) < "\u0250" and "\u0130" not in c):
-                odd.append(c)
-            elif not plain and not unicodedata.is_normalized("NFC", c):
+            if c.isalpha():
+                if c.isascii() or composed(c):
+                    words.append(c)
+                else:
+                    odd.append(c)
+            elif not c.isascii() and not composed(c) or "<|" in c:
                 odd.append(c)
-            elif c.isalpha():
-                one.append((c, c.lower()))
-            elif c[-1] in ".," and c[:-1].isalpha():
-                two.append((c, c[:-1].lower()))
+            elif c[-1] in ".," and (word := c[:-1]).isalpha():
+                ended.append(c)
+                bare.append(word.lower())
             else:
-                own.append((c, self.find(c.lower())))
+                own.append(c)
+        lowered = list(map(str.lower, words))
+        pieces = [self.find(c.lower()) for c in own]
         if len(self.parts) > CACHE_ENTRIES:
             self.parts.clear()
-        new = {p for _, parts in own for p in parts}
-        new.update(p for some in (one, two) for _, p in some)
-        new = list((new | {".", ","}) - self.parts.keys())
+        new = list({".", ",", *lowered, *bare, *chain.from_iterable(pieces)} - self.parts.keys())
         for i in range(0, len(new), 5_000):
             some = new[i : i + 5_000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -116,10 +123,10 @@ class ChunkEncoder:
             else:  # some letter has no end-of-word form
                 self.parts.update(zip(some, self.direct(some), strict=True))
         get, cache = self.parts.__getitem__, self.cache
-        cache.update((c, get(p)) for c, p in one)
+        cache.update(zip(words, map(get, lowered), strict=True))
         marks = {m: get(m) for m in ".,"}
-        cache.update((c, get(p) + marks[c[-1]]) for c, p in two)
-        cache.update((c, b"".join(map(get, parts))) for c, parts in own)
+        cache.update(zip(ended, [get(p) + marks[c[-1]] for c, p in zip(ended, bare, strict=True)], strict=True))
+        cache.update(zip(own, [b"".join(map(get, p)) for p in pieces], strict=True))
         if odd:
             cache.update(zip(odd, self.direct(odd), strict=True))
 
