@@ -5,6 +5,8 @@ frames of 192 bytes, eight to a fixed-laced SimpleBlock, 32 blocks to a cluster,
 each cluster.  The parser follows the published element structure: variable-length ids and
 sizes, unknown sizes, SimpleBlocks and BlockGroups, all four lacings, cues; it yields one row
 for each packet with track, timestamp and byte range, and never looks at what was written.
+Frames of a lace follow each other by their track's default duration; in a track without one
+they all have the block's time.
 
 Defined results: a null or empty text is stored as one frame of blanks; equal texts give equal
 bytes; rows repeat as they come; a null id stays null; other columns are not read.
@@ -27,7 +29,7 @@ from .common import texts
 FRAME, LACED, BLOCKS, FRAME_MS, RATE = 192, 8, 32, 24, 8000
 # Fixed values of the container format: element ids.
 EBML, DOCTYPE, SEGMENT, INFO, SCALE, DURATION = 0x1A45DFA3, 0x4282, 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489
-TRACKS, TRACK, NUMBER, UID, KIND, CODEC, AUDIO, HERTZ, CHANNELS, DEPTH = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
+TRACKS, TRACK, NUMBER, UID, KIND, LASTS, CODEC, AUDIO, HERTZ, CHANNELS, DEPTH = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x23E383, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, STAMP, SIMPLE, GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
 CUES, CUE, CUE_TIME, CUE_AT, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 MASTERS = {EBML, SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, GROUP, CUES, CUE, CUE_AT}
@@ -52,6 +54,7 @@ class Media(NamedTuple):
     duration: float
     blocks: int
     clusters: int
+    lasts: dict[int, int]
 
 
 def vint(n: int) -> bytes:
@@ -71,7 +74,7 @@ def uint(number: int, value: int, width: int = 0) -> bytes:
 
 
 HEAD = element(EBML, uint(0x4286, 1) + uint(0x42F7, 1) + uint(0x42F2, 4) + uint(0x42F3, 8) + element(DOCTYPE, b"matroska") + uint(0x4287, 4) + uint(0x4285, 2))
-TRACK_LIST = element(TRACKS, element(TRACK, uint(NUMBER, 1) + uint(UID, 1) + uint(KIND, 2) + element(CODEC, b"A_PCM/INT/LIT") + element(AUDIO, element(HERTZ, struct.pack(">d", RATE)) + uint(CHANNELS, 1) + uint(DEPTH, 8))))
+TRACK_LIST = element(TRACKS, element(TRACK, uint(NUMBER, 1) + uint(UID, 1) + uint(KIND, 2) + uint(LASTS, FRAME_MS * 1_000_000) + element(CODEC, b"A_PCM/INT/LIT") + element(AUDIO, element(HERTZ, struct.pack(">d", RATE)) + uint(CHANNELS, 1) + uint(DEPTH, 8))))
 
 
 def pad(payload: bytes) -> bytes:
@@ -153,7 +156,8 @@ def parse(data: bytes) -> Media:
     cues: list[tuple[int, int, int]] = []
     seen = {"doctype": "", "codec": "", "depth": 0, "duration": 0.0}
     scale, stamp, blocks, clusters, segment = 1_000_000, 0, 0, -1, 0
-    cue_time = cue_track = 0
+    cue_time = cue_track = described = default = 0
+    lasts: dict[int, int] = {}
     at, ends = 0, [len(data)]
     while at < len(data):
         while len(ends) > 1 and at >= ends[-1]:
@@ -171,17 +175,26 @@ def parse(data: bytes) -> Media:
                 segment = at
             elif number == CLUSTER:
                 clusters += 1
+            elif number == TRACK:
+                described, default = 0, 0
             ends.append(end)
             continue
         if number in (SIMPLE, BLOCK):
             track, body, _ = number_at(data, at)
             (delta,), flags = struct.unpack_from(">h", data, body), data[body + 2]
             kind = flags >> 1 & 3
-            time, blocks = (stamp + delta) * scale // 1_000_000, blocks + 1
+            time, blocks = (stamp + delta) * scale, blocks + 1
             for i, (start, length) in enumerate(laced(data, body + 3, end, kind)):
-                packets.append(Packet(track, time + i * FRAME_MS, start, length, LACINGS[kind], clusters))
+                packets.append(Packet(track, (time + i * lasts.get(track, 0)) // 1_000_000, start, length, LACINGS[kind], clusters))
         elif number == STAMP:
             stamp = int.from_bytes(data[at:end], "big")
+        elif number in (NUMBER, LASTS):
+            if number == NUMBER:
+                described = int.from_bytes(data[at:end], "big")
+            else:
+                default = int.from_bytes(data[at:end], "big")
+            if described and default:  # they come in any order
+                lasts[described] = default
         elif number == SCALE:
             scale = int.from_bytes(data[at:end], "big")
         elif number == CUE_TIME:
@@ -197,7 +210,7 @@ def parse(data: bytes) -> Media:
         elif number in (CODEC, DOCTYPE):
             seen["codec" if number == CODEC else "doctype"] = data[at:end].decode("ascii")
         at = end
-    return Media(packets, cues, blocks=blocks, clusters=clusters + 1, **seen)
+    return Media(packets, cues, blocks=blocks, clusters=clusters + 1, lasts=lasts, **seen)
 
 
 def payload_of(data: bytes, media: Media, track: int = 1) -> bytes:
@@ -209,7 +222,7 @@ def describe(data: bytes, media: Media) -> str:
     last = media.packets[-1]
     sound = all(data[p : p + 4] == CLUSTER.to_bytes(4, "big") for _, _, p in media.cues)
     lacing = "+".join(sorted({p.lacing for p in media.packets}))
-    return f"{media.doctype} {media.codec} depth={media.depth} packets={len(media.packets)} blocks={media.blocks} clusters={media.clusters} cues={len(media.cues)}{'' if sound else '!'} lacing={lacing} end_ms={last.timestamp + FRAME_MS} duration_ms={media.duration:.0f} last={last.start}+{last.length}"
+    return f"{media.doctype} {media.codec} depth={media.depth} packets={len(media.packets)} blocks={media.blocks} clusters={media.clusters} cues={len(media.cues)}{'' if sound else '!'} lacing={lacing} end_ms={last.timestamp + media.lasts.get(last.track, 0) // 1_000_000} duration_ms={media.duration:.0f} last={last.start}+{last.length}"
 
 
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
