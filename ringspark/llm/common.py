@@ -28,11 +28,13 @@ def worker_cache(name: str) -> dict:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests), an own one."""
+    """The folder named by spark.checkpoint.dir; only where that is unset on a single machine (tests), an own one."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not getattr(sc, "_ringspark_shared", None):
         sc._ringspark_shared = "file://" + tempfile.mkdtemp(prefix="ringspark-")
     return sc._ringspark_shared
