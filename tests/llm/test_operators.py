@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ringspark.llm import common, matroska, mixing, order_minhash, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity, warc
+from ringspark.llm import common, matroska, mixing, order_minhash, packing, prefix_doubling, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity, warc
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, node string, d string, tokens string"  # names that operators use inside
@@ -346,6 +346,14 @@ def test_repeats_at_every_length_and_over_pieces(spark, monkeypatch):
     assert got(suffix_dedup.digests(docs), *REPEATS) == plain_repeats(rows)
 
 
+def test_prefix_doubling_finds_the_same(spark, docs):
+    few = suffix_dedup.keyed(docs.filter(F.coalesce(F.length("text"), F.lit(0)) < 50_000))
+    parts = lambda found: {(r["d"], r["k"]): (r["n_removed"], r["n_spans"], r["kept"]) for r in found.collect()}
+    for length in (150, 400):
+        want = parts(suffix_dedup.kept_parts(few, length))
+        assert parts(prefix_doubling.kept_parts(few, length)) == want and want
+
+
 def test_passages_shared_across_documents(spark):
     plain = lambda seed: "".join(c for c in prose(seed, 300) if c.isascii())
     shared, twice = plain(70)[:330], plain(71)[:330]
@@ -569,6 +577,11 @@ def test_media(docs, rows, empty):
         want[i, len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:])] += 1
     assert got(matroska.media_digests(docs), "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32") == want
     assert matroska.media_digests(empty).count() == 0
+    stored = Counter((r["doc_id"], len(r["media"]), hashlib.sha256(r["media"]).hexdigest()) for r in matroska.media_column(docs).collect())
+    assert got(matroska.media_digests(docs), "doc_id", "media_bytes", "media_sha256") == stored
+    for r, raw in ((r, (dict(rows)[r["doc_id"]] or "").encode()) for r in found if r["doc_id"] is not None):
+        frames = max(1, -(-len(raw) // 192))
+        assert f" packets={frames} " in r["feature"] and f" end_ms={24 * frames} duration_ms={24 * frames} " in r["feature"] and "!" not in r["feature"]
 
 
 def test_packets(docs):
@@ -589,9 +602,16 @@ def test_lacings_and_damage():
         deltas += (0x4000 | (len(b) - len(a) + 0x1FFF)).to_bytes(2, "big")
     for kind, head in ((1, xiph), (3, bytes([len(frames) - 1]) + deltas)):
         body = b"\x81\x00\x00" + bytes([kind << 1]) + head + b"".join(frames)
-        data = matroska.HEAD + matroska.SEGMENT.to_bytes(4, "big") + b"\xff" + matroska.CLUSTER.to_bytes(4, "big") + b"\x01" + b"\xff" * 7 + matroska.uint(matroska.STAMP, 5) + matroska.element(matroska.GROUP, matroska.element(matroska.BLOCK, body))
+        data = matroska.HEAD + matroska.SEGMENT.to_bytes(4, "big") + b"\xff" + matroska.TRACK_LIST + matroska.CLUSTER.to_bytes(4, "big") + b"\x01" + b"\xff" * 7 + matroska.uint(matroska.STAMP, 5) + matroska.element(matroska.GROUP, matroska.element(matroska.BLOCK, body))
         parsed = matroska.parse(data)
         assert [data[p.start : p.start + p.length] for p in parsed.packets] == frames and parsed.packets[0].timestamp == 5
+        assert len({p.timestamp for p in parsed.packets}) == 5 and parsed.packets[4].timestamp == 5 + 4 * 24
+    for lasts, step in ((b"", 0), (matroska.uint(matroska.LASTS, 40_000_000), 40)):
+        track = matroska.element(matroska.TRACKS, matroska.element(matroska.TRACK, lasts + matroska.uint(matroska.NUMBER, 2)))
+        block = matroska.element(matroska.SIMPLE, b"\x82\x00\x03\x84\x02" + bytes(9))
+        body = track + matroska.element(matroska.CLUSTER, matroska.uint(matroska.STAMP, 100) + block)
+        parsed = matroska.parse(matroska.element(matroska.EBML, b"") + matroska.element(matroska.SEGMENT, body))
+        assert [p.timestamp for p in parsed.packets] == [103, 103 + step, 103 + 2 * step]
     whole_file = matroska.write(b" " * 192 * 20)
     with pytest.raises((ValueError, IndexError)):
         matroska.parse(whole_file[:-5])
