@@ -41,8 +41,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", without_toxic), ("near_dedup", without_near_copies), ("suffix_dedup", without_repeats), ("mixing", mixed), ("packing", packed)]
 
-# No SQL: the learned scores, sketches and the packing are not expressible; tests/llm compares
-# the stages with brute-force versions.
+# No SQL: the learned scores, sketches and the packing are not expressible; tests/llm compares the
+# near-copy, mixing and packing operators with plain versions, and the chain's columns and counts.
 ORACLE_SQL = None
 
 
