@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 500
 
 
 def worker_cache(name: str) -> dict:
@@ -44,19 +46,24 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/ringspark/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+def cut(df: DataFrame, label: str, batch_rows: int | None = BATCH_ROWS) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there.
 
     A lost executor costs the tasks that ran on it, never the tables that were cut before.  The
-    shuffle files behind the table are let go of as soon as it is written.
+    shuffle files behind the table are let go of as soon as it is written.  Rows go to Python in
+    batches of at most ``batch_rows`` (None: as the session has it), as whole texts are wide and
+    both sides hold a batch.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, label)
-    before = spark.conf.get(CLEANUP, "false")
+    before = {CLEANUP: spark.conf.get(CLEANUP, "false"), BATCH: spark.conf.get(BATCH)}
     spark.conf.set(CLEANUP, "true")
+    if batch_rows and not 0 < int(before[BATCH]) <= batch_rows:
+        spark.conf.set(BATCH, str(batch_rows))
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     out = spark.read.schema(df.schema).parquet(path)
     out._ringspark_path = path
     return out

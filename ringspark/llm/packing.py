@@ -341,7 +341,7 @@ def slots(plan: Plan) -> dict[str, np.ndarray]:
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces with the sequence and the offset that they are packed at."""
-    pieces = cut(token_pieces(docs, tokenizer_path, capacity, id_col, text_col), "pieces")
+    pieces = cut(token_pieces(docs, tokenizer_path, capacity, id_col, text_col), "pieces", batch_rows=None)
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     where = slots(configurations(histogram, capacity))
     shards = -(-sum(histogram.values()) // SHARD_ROWS) or 1

@@ -131,7 +131,7 @@ def write(pages: DataFrame, folder: str, shards: int | None = None, roll_bytes:
         if out is not None:
             yield close()
 
-    manifest = cut(ordered.mapInArrow(run, MANIFEST), "manifest")
+    manifest = cut(ordered.mapInArrow(run, MANIFEST), "manifest", batch_rows=None)
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileType
