@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,16 +24,39 @@ BATCH_ROWS = 500
 def worker_cache(name: str) -> dict:
     """A dict that the Python worker keeps between tasks; callers bound its size.
 
-    A worker keeps one such dict: the first call under another name drops it.
+    A worker keeps one such dict: the first call under another name drops it, and gives the
+    memory that earlier stages used in this process back to the machine.
     """
     home = sys.modules.setdefault("_ringspark_worker", types.ModuleType("_ringspark_worker"))
     held = home.__dict__.setdefault("held", {})
     if name not in held:
         held.clear()
+        give_back()
         held[name] = {}
     return held[name]
 
 
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def raw_texts(column: pa.Array) -> Iterator[memoryview]:
+    """The UTF-8 bytes of each text of a column without nulls, where they lie."""
+    if not len(column):
+        return
+    _, ends, data = column.buffers()
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    at = np.frombuffer(ends, dtype=kind)[column.offset : column.offset + len(column) + 1].tolist()
+    whole = memoryview(data if data is not None else b"")
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        yield whole[a:b]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; only where that is unset on a single machine (tests), an own one."""
     sc = spark.sparkContext

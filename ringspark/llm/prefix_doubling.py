@@ -72,5 +72,5 @@ def kept_parts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError(f"the length must be at least {GRAM}")
     found = repeated_positions(docs, length)
     ranges = found.groupBy("d", "k").agg(F.collect_list(F.struct(F.col("p").alias("start"), (F.col("p") + length).alias("end"))).alias("own"))
-    return docs.select("d", "k", "text").join(ranges, ["d", "k"]).mapInArrow(kept_rows, "d long, k long, n_removed long, n_spans long, kept binary").dropDuplicates(["d", "k"])
+    return docs.select("d", "k", "text").join(ranges, ["d", "k"]).mapInArrow(kept_rows(), "d long, k long, n_removed long, n_spans long, kept binary").dropDuplicates(["d", "k"])
 

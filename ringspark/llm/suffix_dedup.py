@@ -38,11 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, fresh, worker_cache
+from .common import cut, discard, fresh, raw_texts, worker_cache
 
 LENGTH, GRAM, STEP = 400, 64, 16
 PASSAGE = 250
-PIECE = 400_000
+PIECE = 200_000
 WIDEST = 1024
 SHIFT = 11
 NO_ID = -(1 << 63)
@@ -107,6 +107,11 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(text).alias("k"), text.alias("text"))
 
 
+def keyed_texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, memoryview]]:
+    """(d, k, bytes of the text) of each row."""
+    return zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch.column(2)), strict=True)
+
+
 def columns(names: str, rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names.split())
 
@@ -129,8 +134,7 @@ def anchor_rows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, held = [], 0
         for batch in batches:
-            for d, k, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = text.encode()
+            for d, k, raw in keyed_texts(batch):
                 for base in range(0, len(raw) - length + 1, PIECE):
                     part = raw[base : base + PIECE + length - 1]
                     pieces.append((d, k, base, part))
@@ -177,10 +181,9 @@ def block_rows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, held = [], 0
-            for d, k, text, own in zip(*(c.to_pylist() for c in batch.columns[:3]), lists(batch.column(3)), strict=True):
+            for (d, k, raw), own in zip(keyed_texts(batch), lists(batch.column(3)), strict=True):
                 if not own.size:
                     continue
-                raw = text.encode()
                 # an anchor on the border of two pieces comes with two ranges
                 place, kind = own[:, np.argsort(own[0], kind="stable")]
                 a, s, e = windows_of(place)
@@ -224,9 +227,9 @@ def window_rows(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, held = [], 0
-            for d, k, text, (place, core, kind) in zip(*(c.to_pylist() for c in batch.columns[:3]), lists(batch.column(3)), strict=True):
+            for (d, k, raw), (place, core, kind) in zip(keyed_texts(batch), lists(batch.column(3)), strict=True):
                 lo, hi = own_windows(place)
-                raw, count = text.encode(), hi - lo + 1
+                count = hi - lo + 1
                 p = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
                 rank = np.zeros(len(p), dtype=np.int64)
                 for some, base, total in by_piece(raw, p):
@@ -250,18 +253,37 @@ def spans_of(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start[new], reach[np.r_[new[1:], True]]
 
 
-def kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def whole_characters(raw: memoryview, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges without the parts of characters at their ends, which are kept whole.
+
+    A character has at most three bytes after its first.
+    """
+    own = np.r_[np.frombuffer(raw, dtype=np.uint8), np.zeros(4, dtype=np.uint8)]
+    inside = lambda at: own[at] & 0xC0 == 0x80
+    for _ in range(3):
+        start, end = start + inside(start), end - inside(end)
+    some = start < end
+    return start[some], end[some]
+
+
+def kept_rows(by_character: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What is left of each text outside of its ranges; by character, none is cut apart."""
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    for batch in batches:
-        for first in range(0, batch.num_rows, 1000):
-            part = batch.slice(first, 1000)
-            rows = []
-            for d, k, text, own in zip(*(c.to_pylist() for c in part.columns[:3]), lists(part.column(3)), strict=True):
-                raw = text.encode()
-                start, end = spans_of(*own)
-                kept = b"".join([raw[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(raw)], strict=True)])
-                rows.append((d, k, len(raw) - len(kept), len(start), kept))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["d", "k", "n_removed", "n_spans", "kept"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 200):
+                part = batch.slice(first, 200)
+                rows = []
+                for (d, k, raw), own in zip(keyed_texts(part), lists(part.column(3)), strict=True):
+                    start, end = spans_of(*own)
+                    if by_character:
+                        start, end = whole_characters(raw, start, end)
+                    kept = b"".join([raw[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(raw)], strict=True)])
+                    rows.append((d, k, len(raw) - len(kept), len(start), kept))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["d", "k", "n_removed", "n_spans", "kept"])
+
+    return run
 
 
 def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,7 +369,7 @@ def passages(docs: DataFrame, length: int = PASSAGE) -> DataFrame:
     return out
 
 
-def kept_parts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def kept_parts(docs: DataFrame, length: int = LENGTH, by_character: bool = False) -> DataFrame:
     """(d, k, n_removed, n_spans, kept) of the texts that lose something; docs as by :func:`keyed`."""
     if not GRAM < length <= WIDEST - 2 * STEP:
         raise ValueError(f"the length must be over {GRAM} and at most {WIDEST - 2 * STEP}")
@@ -365,7 +387,7 @@ def kept_parts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     discard(windows, ranks, open_cores, tied)
     ranges = full_ranges(ranked, flagged, length).drop("across").union(again.select("d", "k", F.col("p").alias("start"), (F.col("p") + length).alias("end")))
     removed = ranges.groupBy("d", "k").agg(F.collect_list(F.struct("start", "end")).alias("own"))
-    kept = some.select("d", "k", "text").join(removed, ["d", "k"]).mapInArrow(kept_rows, "d long, k long, n_removed long, n_spans long, kept binary")
+    kept = some.select("d", "k", "text").join(removed, ["d", "k"]).mapInArrow(kept_rows(by_character), "d long, k long, n_removed long, n_spans long, kept binary")
     return kept.dropDuplicates(["d", "k"])
 
 
@@ -391,11 +413,12 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", length: int = LENGTH) -> DataFrame:
     """The same rows and columns, with what repeats cut out of the texts.
 
-    Bytes of characters that a cut splits are dropped, so that the text stays valid.
+    Texts are cut between characters only: a character that a repeated string covers in part
+    stays whole, so everything outside of repeated strings is kept as it was.
     """
     key_d, key_k, fixed_text = (fresh(docs, c) for c in ("d", "k", "kept"))
-    lost = kept_parts(keyed(docs, id_col, text_col), length).select("d", "k", F.try_validate_utf8(F.col("kept").cast("string")).alias("whole_text"), F.col("kept"))
-    fixed = lost.select(F.col("d").alias(key_d), F.col("k").alias(key_k), F.coalesce("whole_text", F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")).alias(fixed_text))
+    lost = kept_parts(keyed(docs, id_col, text_col), length, by_character=True)
+    fixed = lost.select(F.col("d").alias(key_d), F.col("k").alias(key_k), F.col("kept").cast("string").alias(fixed_text))
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     marked = docs.withColumn(key_d, F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))).withColumn(key_k, F.xxhash64(text))
     out = marked.join(fixed, [key_d, key_k], "left").withColumn(text_col, F.coalesce(fixed_text, text_col))

@@ -381,6 +381,31 @@ def test_cleaned_texts(spark):
     assert (found[1]["text"], found[1]["n_chars"], found[2]["text"], found[3]["text"], found[None]["text"]) == ("one  end", 8, "", "clean", None)
 
 
+def test_cleaned_texts_lose_nothing_else(spark):
+    """Repeats that start or end inside characters, replacement characters, combining marks."""
+    shared = prose(6, 150)
+    rows = [
+        (1, "\ufffd start é" + shared + "e\u0301 end"),
+        (2, "other ĩ" + shared + "e\u0302 \ufffd"),  # é and ĩ end in the same byte, both marks start with the same one
+        (3, "😀" + shared + "😁"),
+        (4, "\U0001f640" + shared + "\U0001f641\ufffd\ufffd"),
+        (5, "\ufffd" * 30),
+    ]
+    found = {r["doc_id"]: r["text"] for r in suffix_dedup.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # the e before the marks is the same in both texts and goes with the passage
+    assert found == {1: "\ufffd start é\u0301 end", 2: "other ĩ\u0302 \ufffd", 3: "😀😁", 4: "\U0001f640\U0001f641\ufffd\ufffd", 5: "\ufffd" * 30}
+    assert list(map(bytes, common.raw_texts(suffix_dedup.pa.array(["a", "", "é"]).slice(1, 2)))) == [b"", "é".encode()]
+
+
+@pytest.mark.parametrize("stage", ["toxicity", "near_dedup", "suffix_dedup", "mixing", "packing"])
+def test_stages_over_an_empty_table(spark, tmp_path, stage):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    labels(spark).write.parquet(str(tmp_path / "labels.parquet"))
+    out = dict(pipeline.STAGES)[stage](spark, docs, str(tmp_path))
+    assert out.count() == 0 and (stage == "packing" or out.columns == docs.columns)
+
+
 # --- 4 ----------------------------------------------------------------------------------
 
 
