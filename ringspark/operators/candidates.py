@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ringspark.functions import score
 from ringspark.functions.basic import uniform
 
-from .cycles import within
-from .edits import add_edges, one_each, placed
+from . import distances, sampling
+from .edits import add_edges, one_each
+from .lineage import held
 from .metrics import degrees
 
 PAIR = ["graph_id", "u", "v"]
@@ -27,20 +28,19 @@ def pairs(vertices: DataFrame, edges: DataFrame, k: int) -> DataFrame:
 
 def girth_safe(candidates: DataFrame, edges: DataFrame, g: int) -> DataFrame:
     """Pairs whose edge closes no cycle shorter than g: over g - 2 steps apart."""
-    close = within(edges, g - 2, sources(candidates)).filter("src < dst").select("graph_id", F.col("src").alias("u"), F.col("dst").alias("v"))
-    return candidates.join(close, PAIR, "left_anti")
-
-
-def sources(candidates: DataFrame) -> DataFrame:
-    """The vertices that pairs are asked for from."""
-    return candidates.select("graph_id", F.col("u").alias("src")).distinct()
+    close = distances.asked(edges, candidates, g - 2)
+    return candidates.join(close.select(*PAIR), PAIR, "left_anti")
 
 
 def sampled_pairs(vertices: DataFrame, edges: DataFrame, k: int, g: int, seed: int = 0, most: int = 50) -> DataFrame:
-    """Of each graph up to min(most, n^2) different safe pairs of vertices below degree k."""
-    n = vertices.groupBy("graph_id").agg(F.count_distinct("node_id").alias("n"))
-    drawn = placed(girth_safe(pairs(vertices, edges, k), edges, g), ["u", "v"], seed, most)
-    return drawn.join(n, "graph_id").filter(F.col("place") <= F.col("n") * F.col("n")).select(*PAIR)
+    """Of each graph up to min(most, n^2) different safe pairs of vertices below degree k.
+
+    Pairs are drawn first and tested after, so no table of pairs is built; see :mod:`.sampling`.
+    """
+    n = vertices.groupBy("graph_id").agg(F.count_distinct("node_id").alias("n")).select("graph_id", F.least(F.col("n") * F.col("n"), F.lit(most)).cast("bigint").alias("most"))
+    low = held(degrees(vertices, edges).filter(F.col("degree") < k).select("graph_id", "node_id"), "low")
+    passing = lambda drawn: girth_safe(drawn.join(edges.select(*PAIR), PAIR, "left_anti"), edges, g)
+    return sampling.pairs(low, most, seed, passing, n).select(*PAIR)
 
 
 def add_low_edge(vertices: DataFrame, edges: DataFrame, k: int, g: int, seed: int = 0) -> DataFrame:
@@ -60,7 +60,7 @@ def sampled_actions(vertices: DataFrame, edges: DataFrame, k: int, g: int, seed:
 
 def scored_edges(candidates: DataFrame, edges: DataFrame, rows: DataFrame) -> DataFrame:
     """(graph_id, u, v, score) of adding each pair; rows: figures of the graphs."""
-    far = within(edges, None, sources(candidates)).filter("src < dst").select("graph_id", F.col("src").alias("u"), F.col("dst").alias("v"), "distance")
+    far = distances.asked(edges, candidates)
     found = candidates.join(far, PAIR, "left").join(rows, "graph_id")
     k, after = F.col("k"), lambda x: F.col(f"degree_{x}") + 1
     done = F.col("share") * F.col("n") + sum(F.when(after(x) == k, 1).when(after(x) == k + 1, -1).otherwise(0) for x in "uv")

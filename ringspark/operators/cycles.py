@@ -1,19 +1,19 @@
-"""Shortest cycles and distances.
+"""Shortest cycles.
 
-Small graphs go through one Python search each, many graphs to a task.  Graphs over a bound go
-through searches by levels in DataFrames, whose rows spread over the cluster by root.
+Small graphs go through one Python search each, many graphs to a task.  Graphs over a bound are
+contracted and searched as tables, see :mod:`.contraction`; both give the same girths.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict, deque
-from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import adjacency
+from . import contraction
+from .lineage import held
 
 SMALL = 20_000
 
@@ -81,52 +81,6 @@ def of_edges(u: list[int], v: list[int]) -> dict[int, set[int]]:
     return out
 
 
-def core(edges: DataFrame) -> DataFrame:
-    """Edges without those that hang on vertices of one edge, again and again: cycles stay.
-
-    Each round's table is checkpointed, as rounds depend on the depth of the trees.
-    """
-    edges = edges.filter("u <> v").select("graph_id", "u", "v")
-    before = -1
-    while True:
-        edges = edges.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else edges.cache()
-        now = edges.count()
-        if now in (before, 0):
-            return edges
-        before = now
-        leaves = adjacency(edges).groupBy("graph_id", F.col("src").alias("x")).agg(F.count("*").alias("n")).filter("n = 1").select("graph_id", "x")
-        for end in ("u", "v"):
-            edges = edges.join(leaves.withColumnRenamed("x", end), ["graph_id", end], "left_anti")
-
-
-def girth_by_levels(edges: DataFrame, deepest: int = 64) -> DataFrame:
-    """(graph_id, girth) of graphs with a cycle, by searches from all roots at once.
-
-    Graphs still open after ``deepest`` levels, whose cycles are all longer than twice that, go
-    without their hanging trees through one Python search each.
-    At depth d an edge inside a root's frontier closes a cycle of 2d + 1, and a new vertex with
-    two parents one of 2d + 2; the first found in this order is the shortest.
-    """
-    loops = edges.filter("u = v").select("graph_id", F.lit(1).alias("girth")).distinct()
-    left = core(edges.join(loops, "graph_id", "left_anti"))
-    steps = adjacency(left)
-    found = loops
-    frontier = steps.select("graph_id", F.col("src").alias("root"), F.col("src").alias("node")).distinct().withColumn("last", F.col("node"))
-    keep = lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
-    for depth in range(deepest):
-        near = frontier.select("graph_id", "root", F.col("node").alias("src"), "last").join(steps, ["graph_id", "src"]).filter("dst <> last")
-        inside = near.join(frontier.select("graph_id", "root", F.col("node").alias("dst")), ["graph_id", "root", "dst"], "left_semi").select("graph_id", F.lit(2 * depth + 1).alias("girth")).distinct()
-        new = keep(near.groupBy("graph_id", "root", "dst").agg(F.count("*").alias("parents"), F.min("src").alias("last")))
-        twice = new.filter("parents > 1").select("graph_id", F.lit(2 * depth + 2).alias("girth")).distinct()
-        hits = inside.union(twice).groupBy("graph_id").agg(F.min("girth").alias("girth"))
-        hits = keep(hits)
-        found = found.union(hits)
-        frontier = keep(new.join(hits, "graph_id", "left_anti").select("graph_id", "root", F.col("dst").alias("node"), "last"))
-        if frontier.isEmpty():
-            return found
-    return found.union(by_search(left.join(frontier.select("graph_id").distinct(), "graph_id", "left_semi")))
-
-
 def by_search(edges: DataFrame) -> DataFrame:
     """(graph_id, girth) of every graph that has edges, by one Python search for each."""
 
@@ -139,29 +93,9 @@ def by_search(edges: DataFrame) -> DataFrame:
 
 def girth(vertices: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
     """(graph_id, girth) of every graph; null where there is no cycle."""
-    sizes = edges.groupBy("graph_id").agg(F.count("*").alias("m"))
+    sizes = held(edges.groupBy("graph_id").agg(F.count("*").alias("m")), "sizes")
     large = sizes.filter(F.col("m") > small).select("graph_id")
     found = by_search(edges.join(large, "graph_id", "left_anti"))
     if not large.isEmpty():
-        found = found.union(girth_by_levels(edges.join(large, "graph_id", "left_semi")))
+        found = found.union(contraction.girths(edges.join(large, "graph_id", "left_semi")))
     return vertices.select("graph_id").distinct().join(found, "graph_id", "left")
-
-
-def within(edges: DataFrame, depth: int | None, sources: DataFrame | None = None) -> DataFrame:
-    """(graph_id, src, dst, distance) of different vertices at most ``depth`` steps apart.
-
-    Without a depth all distances are found; sources (graph_id, src) limit where paths begin.
-    """
-    steps = adjacency(edges).filter("src <> dst").distinct()
-    reached = (steps if sources is None else steps.join(sources, ["graph_id", "src"], "left_semi")).select(*steps.columns, F.lit(1).alias("distance"))
-    last = reached
-    for d in count(2):
-        if depth is not None and d > depth:
-            break
-        onward = last.select("graph_id", "src", F.col("dst").alias("mid")).join(steps.withColumnRenamed("src", "mid"), ["graph_id", "mid"]).filter("src <> dst").select("graph_id", "src", "dst").distinct()
-        last = onward.join(reached, ["graph_id", "src", "dst"], "left_anti").withColumn("distance", F.lit(d)).select(*reached.columns)
-        last = last.checkpoint() if last.sparkSession.sparkContext.getCheckpointDir() else last.cache()
-        if last.isEmpty():
-            break
-        reached = reached.union(last)
-    return reached

@@ -1,14 +1,12 @@
-"""Reports over runs: running bests, samples of every n-th row, tree updates."""
+"""Reports over runs: running bests, samples of every n-th row."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def held(df: DataFrame) -> DataFrame:
-    """Checkpointed where a checkpoint folder is set, else kept in memory."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+from .indexes import dealt
+from .lineage import fresh
 
 
 def running_best(rows: DataFrame, order: str, value: str, key: str | None = None) -> DataFrame:
@@ -21,11 +19,12 @@ def running_best(rows: DataFrame, order: str, value: str, key: str | None = None
         before = F.max(value).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
         found = rows.withColumn("best_before", before)
     else:
-        dealt = held(rows.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
-        tops = dealt.groupBy("_range").agg(F.max(value).alias("_top"))
-        earlier = tops.select(F.col("_range"), F.max("_top").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"))
-        own = F.max(value).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-        found = dealt.withColumn("_own", own).join(F.broadcast(earlier), "_range").select(*rows.columns, F.greatest("_own", "_earlier").alias("best_before"))
+        part, top, earlier, own, other = fresh(rows, "range", "top", "earlier", "own", "other")
+        split = dealt(rows, [], [order], part)
+        tops = split.groupBy(part).agg(F.max(value).alias(top))
+        bests = tops.select(F.col(part).alias(other), F.max(top).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)).alias(earlier))
+        here = F.max(value).over(Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+        found = split.withColumn(own, here).join(F.broadcast(bests), F.col(part) == F.col(other)).select(*rows.columns, F.greatest(own, earlier).alias("best_before"))
     return found.withColumn("is_best", F.coalesce(F.col(value) > F.col("best_before"), F.lit(True)))
 
 
@@ -36,7 +35,9 @@ def every(rows: DataFrame, order: str, n: int) -> DataFrame:
 def changed(rows: DataFrame, key: str, value: str, *order: str) -> DataFrame:
     """Rows whose value is another than that of the key's row before; the first row counts as new."""
     w = Window.partitionBy(key).orderBy(*order)
-    return rows.select("*", F.lag(value).over(w).alias("_before"), F.row_number().over(w).alias("_place")).filter(f"_place = 1 or not ({value} <=> _before)").drop("_before", "_place")
+    before, place = fresh(rows, "before", "place")
+    marked = rows.select("*", F.lag(value).over(w).alias(before), F.row_number().over(w).alias(place))
+    return marked.filter((F.col(place) == 1) | ~F.col(value).eqNullSafe(F.col(before))).select(*rows.columns)
 
 
 def epoch_loss(rows: DataFrame) -> DataFrame:
@@ -47,27 +48,3 @@ def epoch_loss(rows: DataFrame) -> DataFrame:
 def best_epoch(rows: DataFrame) -> DataFrame:
     """The epoch of highest accuracy, least error among ties; rows: (epoch, accuracy, mae)."""
     return rows.agg(F.max_by(F.struct("epoch", "accuracy", "mae"), F.struct("accuracy", (-F.col("mae")).alias("e"), (-F.col("epoch")).alias("n"))).alias("x")).select("x.*")
-
-
-def ancestors(tree: DataFrame) -> DataFrame:
-    """(node, ancestor, distance), each node its own ancestor; tree: (node, parent).
-
-    Steps go on until no chain has a parent left; a table in which they never end is no tree and
-    raises an error.
-    """
-    up = tree.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance"))
-    out, parents = up, tree.filter("parent is not null").select(F.col("node").alias("ancestor"), "parent")
-    nodes, d = tree.count(), 0
-    while True:
-        d += 1
-        up = held(up.join(parents, "ancestor").select("node", F.col("parent").alias("ancestor"), F.lit(d).alias("distance")))
-        if up.isEmpty():
-            return out
-        if d > nodes:
-            raise ValueError("a node is its own ancestor")
-        out = out.union(up)
-
-
-def propagate(tree: DataFrame, rewards: DataFrame) -> DataFrame:
-    """(node, visits, value): rewards (node, reward) summed into every ancestor."""
-    return rewards.join(ancestors(tree), "node").groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("visits"), F.sum("reward").alias("value"))

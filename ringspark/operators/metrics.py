@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .indexes import dense, smallest_free
+
 KEY = ["graph_id", "node_id"]
 
 
@@ -75,20 +77,14 @@ def edge_deficit(vertices: DataFrame, edges: DataFrame, k: int) -> DataFrame:
 
 def next_ids(vertices: DataFrame) -> DataFrame:
     """(graph_id, after_max, count, smallest_free): the three rules for a new vertex's id."""
-    row = F.row_number().over(Window.partitionBy("graph_id").orderBy("node_id")) - 1
-    kept = vertices.select(*KEY).distinct().filter("node_id >= 0").withColumn("i", row)
-    # ids run 0, 1, 2, ... up to the first gap
-    free = kept.groupBy("graph_id").agg(F.coalesce(F.min(F.when(F.col("node_id") != F.col("i"), F.col("i"))), F.count("*")).cast("bigint").alias("free"))
+    free = smallest_free(vertices)
     own = vertices.groupBy("graph_id").agg((F.coalesce(F.max("node_id"), F.lit(-1)) + 1).alias("after_max"), F.count_distinct("node_id").alias("num_nodes"))
     return own.join(free, "graph_id", "left").select("graph_id", "after_max", "num_nodes", F.coalesce("free", F.lit(0)).alias("smallest_free"))
 
 
 def dense_index(vertices: DataFrame) -> DataFrame:
     """(graph_id, node_id, idx, norm): place among the sorted ids, and that over n - 1."""
-    w = Window.partitionBy("graph_id")
-    idx = F.row_number().over(w.orderBy("node_id")) - 1
-    n = F.count("*").over(w)
-    return vertices.select(*KEY, idx.cast("bigint").alias("idx"), n.alias("n")).select(*KEY, "idx", (F.col("idx") / F.greatest(F.col("n") - 1, F.lit(1))).alias("norm"))
+    return dense(vertices).select(*KEY, "idx", (F.col("idx") / F.greatest(F.col("n") - 1, F.lit(1))).alias("norm"))
 
 
 def indexed_edges(vertices: DataFrame, edges: DataFrame) -> DataFrame:

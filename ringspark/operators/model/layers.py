@@ -123,11 +123,22 @@ def predict_some(vertices: DataFrame, edges: DataFrame, wanted: DataFrame, score
     return predict(vertices, edges, scores).join(asked, KEY, "left_semi")
 
 
-_LOADED: dict[str, dict] = {}
+_LOADED: dict[str, tuple[int, dict]] = {}
+
+
+def written_at(spark: SparkSession, path: str) -> int:
+    """When the newest file under a path was written, in milliseconds."""
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    found, times = place.getFileSystem(sc._jsc.hadoopConfiguration()).listFiles(place, True), [0]
+    while found.hasNext():
+        times.append(found.next().getModificationTime())
+    return max(times)
 
 
 def cached_weights(spark: SparkSession, path: str) -> dict:
-    """As :func:`load_weights`, read once for each path."""
-    if path not in _LOADED:
-        _LOADED[path] = load_weights(spark, path)
-    return _LOADED[path]
+    """As :func:`load_weights`, read again only when the path was written again."""
+    now = written_at(spark, path)
+    if path not in _LOADED or _LOADED[path][0] != now:
+        _LOADED[path] = now, load_weights(spark, path)
+    return _LOADED[path][1]

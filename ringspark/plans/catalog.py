@@ -1,7 +1,7 @@
 """Queries by name over the driver's tables, each beside its SQL.
 
 Vertices and edges come from the projections: h hand-offs by day, b supply, n trade, f forest,
-r random graphs, k named graphs.
+t hand-offs by hour, r random graphs drawn for the suppliers.
 """
 
 from __future__ import annotations
@@ -12,22 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringspark.functions import basic, bounds, score
-from ringspark.operators import candidates, cycles, edits, fingerprint, history, layout, metrics, search, validate
+from ringspark.operators import candidates, contraction, cycles, edits, fingerprint, history, layout, metrics, search, trees, validate
 from ringspark.operators.model import layers
 from ringspark.operators.search.runner import run, targets
-from ringspark.schema import TARGETS
 from ringspark.sources import edge_lists, projections
 from ringspark.streaming import session
 
 from . import sql
-from .sql import graph, near, quality, term, values
+from .sql import graph, near, quality, term
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-# What the named graphs are held against.
-GOLD = (("petersen", 3, 5), ("heawood", 3, 6), ("c8", 2, 8), ("k4", 3, 3), ("path", 2, 3), ("loop", 2, 3))
 K, G = 3, 5
+#: The girth asked of an hour's graph, by the hour modulo 3.
+GOALS = (5, 7, 9)
 DEGREE = 6
 
 
@@ -47,27 +46,27 @@ def h(spark, sf_dir):
     return projections.hand_off(spark, sf_dir)
 
 
-def r(spark):
-    return projections.random_graphs(spark, sql.GRAPHS)
+def t(spark, sf_dir):
+    return projections.hours(spark, sf_dir)
 
 
-def kr(spark):
-    return tuple(a.unionByName(b) for a, b in zip(projections.gold(spark), r(spark), strict=True))
+def r(spark, sf_dir):
+    return projections.random_graphs(projections.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")))
 
 
-def wanted(spark):
-    """(graph_id, k, g) of the named and the random graphs."""
-    own = spark.createDataFrame(GOLD, "graph_id string, k int, g int")
-    return own.union(spark.range(sql.GRAPHS).select(F.concat(F.lit("r"), F.col("id").cast("string")), F.lit(K), F.lit(G)))
+def wanted(spark, sf_dir):
+    """(graph_id, k, g) of the hours."""
+    turn = F.substring("graph_id", -2, 2).cast("int") % 3 + 1
+    return t(spark, sf_dir)[0].select("graph_id").distinct().select("graph_id", F.lit(K).alias("k"), F.element_at(F.array(*map(F.lit, GOALS)), turn).alias("g"))
 
 
-WANTED = f"""SELECT graph_id, k::INT AS k, g::INT AS g, mb FROM (VALUES {", ".join(f"('{n}', {k}, {g}, CAST({bounds.moore(k, g)} AS BIGINT))" for n, k, g in GOLD)}) t(graph_id, k, g, mb)
-    UNION ALL SELECT 'r' || i, {K}, {G}, {bounds.moore(K, G)} FROM range({sql.GRAPHS}) t(i)"""
-FIGURES = f"WITH RECURSIVE {sql.figures('kr', WANTED)}"
+TURN = "(substr(graph_id, 12, 2)::INT % 3 + 1)"
+WANTED = f"SELECT graph_id, {K}::INT AS k, list_extract({list(GOALS)}, {TURN})::INT AS g, list_extract({[bounds.moore(K, g) for g in GOALS]}, {TURN})::BIGINT AS mb FROM (SELECT DISTINCT graph_id FROM t_v)"
+FIGURES = f"WITH RECURSIVE {sql.figures('t', WANTED)}"
 
 
-def figures(spark):
-    return validate.figures(*kr(spark), wanted(spark))
+def figures(spark, sf_dir):
+    return validate.figures(*t(spark, sf_dir), wanted(spark, sf_dir))
 
 
 # --- degrees and counts -----------------------------------------------------------------
@@ -88,9 +87,9 @@ def neighbor_count(spark, sf_dir):
     return metrics.neighbor_counts(*h(spark, sf_dir))
 
 
-@query(f"WITH {graph('k')} SELECT graph_id, src AS node_id, string_agg(DISTINCT dst::VARCHAR, ',' ORDER BY dst::VARCHAR) AS neighbors FROM k_a GROUP BY ALL")
+@query(f"WITH {graph('t')} SELECT graph_id, src AS node_id, string_agg(DISTINCT dst::VARCHAR, ',' ORDER BY dst::VARCHAR) AS neighbors FROM t_a GROUP BY ALL")
 def neighbor_lists(spark, sf_dir):
-    lists = metrics.neighbor_lists(projections.gold(spark)[1])
+    lists = metrics.neighbor_lists(t(spark, sf_dir)[1])
     return lists.withColumn("neighbors", F.array_join(F.sort_array(F.col("neighbors").cast("array<string>")), ","))
 
 
@@ -119,9 +118,9 @@ def self_loops(spark, sf_dir):
     return metrics.self_loops(h(spark, sf_dir)[1])
 
 
-@query(f"WITH {graph('r')} SELECT graph_id, node_id FROM r_d WHERE degree = 0")
+@query(f"WITH {graph('t')} SELECT graph_id, node_id FROM t_d WHERE degree = 0")
 def isolated_vertices(spark, sf_dir):
-    return metrics.isolated(*r(spark))
+    return metrics.isolated(*t(spark, sf_dir))
 
 
 @query(f"WITH {graph('h')} SELECT graph_id, min(degree) AS min_degree, max(degree) AS max_degree, min(degree) = max(degree) AS is_regular FROM h_d GROUP BY graph_id")
@@ -129,9 +128,9 @@ def regularity(spark, sf_dir):
     return metrics.regularity(*h(spark, sf_dir))
 
 
-@query(f"WITH {graph('kr')} SELECT graph_id, min(degree) AS min_degree, max(degree) AS max_degree, min(degree) = 3 AND max(degree) = 3 AS is_regular FROM kr_d GROUP BY graph_id")
+@query(f"WITH {graph('t')} SELECT graph_id, min(degree) AS min_degree, max(degree) AS max_degree, min(degree) = 3 AND max(degree) = 3 AS is_regular FROM t_d GROUP BY graph_id")
 def regularity_k(spark, sf_dir):
-    return metrics.regularity(*kr(spark), k=K)
+    return metrics.regularity(*t(spark, sf_dir), k=K)
 
 
 @query(f"WITH {graph('h')} SELECT graph_id, round(avg((degree = {DEGREE})::INT::DOUBLE), 9) AS share FROM h_d GROUP BY graph_id")
@@ -188,21 +187,32 @@ def parse_strict(spark, sf_dir):
     return edge_lists.parse(edge_lists.print_lines(*h(spark, sf_dir)))[1]
 
 
-ROWS = [("triangle", "0 1\n1 2\n2 0"), ("isolated", "0 1\n1 2\n3"), ("loop", "0 0\n0 1"), ("duplicate", "0 1\n1 0\n0 1"), ("blank", "\n0 1\n\n 2 \n"), ("token", "0 x"), ("three", "0 1 2"), ("signs", "-3 10\n+4 5")]
+#: Lines of odd forms made from the events of a day.
+LINES = """CASE event_id % 8 WHEN 0 THEN '' WHEN 1 THEN ' ' || user_id || '  ' WHEN 2 THEN user_id || ' ' || event_id || ' more' WHEN 3 THEN event_type || ' 1'
+    WHEN 4 THEN '+' || user_id || ' -' || event_id % 9 WHEN 5 THEN user_id || ' x' || event_id ELSE user_id || ' ' || event_id % 40 END"""
+LINE_TEXTS = f"x AS (SELECT strftime(ts, '%Y-%m-%d') AS graph_id, string_agg({LINES}, chr(10) ORDER BY event_id) AS text FROM events GROUP BY 1)"
 
 
-@query("""WITH t(graph_id, text) AS (VALUES {}),
-    l AS (SELECT graph_id, regexp_split_to_array(trim(line, ' '), '\\s+') AS p FROM (SELECT graph_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE trim(line, ' ') <> ''),
+def texts(spark, sf_dir):
+    line = F.expr(LINES)
+    rows = projections.read(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("graph_id"), F.struct("event_id", line.alias("line")).alias("x"))
+    return rows.groupBy("graph_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("text"))
+
+
+@query(f"""WITH {LINE_TEXTS}, l AS (SELECT graph_id, regexp_split_to_array(trim(line, ' '), '\\s+') AS p FROM (SELECT graph_id, unnest(string_split(text, chr(10))) AS line FROM x) WHERE trim(line, ' ') <> ''),
     n AS (SELECT graph_id, len(p) AS s, TRY_CAST(regexp_extract(p[1], '^([+-]?[0-9]+)', 1) AS BIGINT) AS a, TRY_CAST(regexp_extract(p[2], '^([+-]?[0-9]+)', 1) AS BIGINT) AS b FROM l),
     k AS (SELECT * FROM n WHERE a IS NOT NULL AND (s < 2 OR b IS NOT NULL))
-    SELECT DISTINCT graph_id, least(a, b) AS u, greatest(a, b) AS v FROM k WHERE b IS NOT NULL""".format(", ".join("('{}', '{}')".format(n, t.replace("\n", "' || chr(10) || '")) for n, t in ROWS)))
+    SELECT DISTINCT graph_id, least(a, b) AS u, greatest(a, b) AS v FROM k WHERE b IS NOT NULL""")
 def parse_permissive(spark, sf_dir):
-    return edge_lists.parse(spark.createDataFrame(ROWS, "graph_id string, text string"), "permissive")[1]
+    return edge_lists.parse(texts(spark, sf_dir), "permissive")[1]
 
 
-@query("SELECT * FROM (VALUES ('three', 1, 'expected one or two numbers'), ('token', 1, 'not a whole number')) t(graph_id, line, message)")
+@query(f"""WITH {LINE_TEXTS}, y AS (SELECT graph_id, string_split(trim(text, ' ' || chr(10)), chr(10)) AS lines FROM x),
+    l AS (SELECT graph_id, unnest(range(1, len(lines) + 1)) AS line, unnest(lines) AS raw FROM y), p AS (SELECT graph_id, line, regexp_split_to_array(trim(raw, ' '), '\\s+') AS p FROM l WHERE trim(raw, ' ') <> '')
+    SELECT graph_id, line::INT AS line, CASE WHEN len(p) > 2 THEN 'expected one or two numbers' ELSE 'not a whole number' END AS message FROM p
+    WHERE len(p) > 2 OR NOT regexp_full_match(p[1], '[+-]?[0-9]+') OR (len(p) = 2 AND NOT regexp_full_match(p[2], '[+-]?[0-9]+'))""")
 def parse_errors(spark, sf_dir):
-    return edge_lists.errors(spark.createDataFrame(ROWS, "graph_id string, text string"))
+    return edge_lists.errors(texts(spark, sf_dir))
 
 
 @query(f"WITH {graph('h')} SELECT graph_id, u, v FROM h_e")
@@ -211,9 +221,9 @@ def json_edges(spark, sf_dir):
     return edge_lists.parse_json(rows)[1]
 
 
-@query(f"WITH {graph('k')} SELECT graph_id, string_agg(node_id || '=' || degree, ';' ORDER BY node_id) AS predictions FROM k_d GROUP BY graph_id")
+@query(f"WITH {graph('t')} SELECT graph_id, string_agg(node_id || '=' || degree, ';' ORDER BY node_id) AS predictions FROM t_d GROUP BY graph_id")
 def prediction_document(spark, sf_dir):
-    found = layers.predict(*projections.gold(spark))
+    found = layers.predict(*t(spark, sf_dir))
     documents = edge_lists.to_json(found, "graph_id", "predictions", "node_id")
     back = documents.select("graph_id", F.from_json("document", "predictions array<struct<node_id:bigint,true_degree:bigint,predicted_degree:double>>").alias("d"))
     return back.select("graph_id", F.array_join(F.transform("d.predictions", lambda x: F.concat_ws("=", x["node_id"].cast("string"), x["predicted_degree"].cast("bigint").cast("string"))), ";").alias("predictions"))
@@ -221,42 +231,63 @@ def prediction_document(spark, sf_dir):
 
 @query(f"WITH {graph('r')} SELECT graph_id, u, v FROM r_e")
 def random_graph(spark, sf_dir):
-    return r(spark)[1]
+    return r(spark, sf_dir)[1]
 
 
 # --- bounds, girth, validation ----------------------------------------------------------
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(f'({k}, {g}, {bounds.moore(k, g)}::BIGINT, {bounds.upper(k, g)}::BIGINT)' for _, k, g, _, _ in TARGETS)}) t(k, g, moore_bound, upper_bound)")
+#: Pairs (k, g) that parts ask for by their size and key, some of them out of range.
+ASKED = "a AS (SELECT DISTINCT (p_size % 7)::INT AS k, (p_partkey % 10)::INT AS g FROM part)"
+
+
+def asked(spark, sf_dir):
+    return projections.read(spark, sf_dir, "part").select((F.col("p_size") % 7).cast("int").alias("k"), (F.col("p_partkey") % 10).cast("int").alias("g")).distinct()
+
+
+@query(f"""WITH {ASKED}, p AS (SELECT k, g, [(k - 1) ** i FOR i IN range(0, 12)] AS w FROM a WHERE k >= 2 AND g >= 3)
+    SELECT k, g, (CASE WHEN g % 2 = 1 THEN 1 + k * list_sum(w[1:(g - 1) // 2]) ELSE 2 * list_sum(w[1:g // 2]) END)::BIGINT AS moore_bound, (4 * list_sum(w[2:g - 1]))::BIGINT AS upper_bound FROM p""")
 def moore_bounds(spark, sf_dir):
-    return targets(spark).select("k", "g", "moore_bound", bounds.upper_column(F.col("k"), F.col("g")).alias("upper_bound"))
+    k, g = F.col("k"), F.col("g")
+    return asked(spark, sf_dir).filter(bounds.valid_column(k, g)).select("k", "g", bounds.moore_column(k, g).alias("moore_bound"), bounds.upper_column(k, g).alias("upper_bound"))
 
 
-@query(f"WITH RECURSIVE {graph('kr')}, {sql.girth('kr')} SELECT * FROM kr_g")
+@query(f"WITH RECURSIVE {graph('t')}, {sql.girth('t')} SELECT * FROM t_g")
 def girth(spark, sf_dir):
-    return cycles.girth(*kr(spark))
+    return cycles.girth(*t(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {graph('k')}, {sql.girth('k')} SELECT * FROM k_g WHERE girth IS NOT NULL")
+@query(f"WITH RECURSIVE {graph('t')}, {sql.girth('t')} SELECT * FROM t_g WHERE girth IS NOT NULL")
 def girth_levels(spark, sf_dir):
-    return cycles.girth_by_levels(projections.gold(spark)[1])
+    return contraction.girths(t(spark, sf_dir)[1])
 
 
-@query(f"""WITH {graph("h")}, t AS (SELECT DISTINCT e.graph_id FROM h_e e JOIN h_e f ON f.graph_id = e.graph_id AND f.u = e.v JOIN h_e x ON x.graph_id = e.graph_id AND x.u = e.u AND x.v = f.v WHERE e.u < e.v AND f.u < f.v)
-    SELECT c.graph_id, CASE WHEN EXISTS (SELECT 1 FROM h_e e WHERE e.graph_id = c.graph_id AND e.u = e.v) THEN 1 WHEN c.graph_id IN (SELECT graph_id FROM t) THEN 3 END AS girth FROM h_c c""")
+@query(f"WITH RECURSIVE {graph('h')}, {sql.girth('h')} SELECT * FROM h_g")
 def girth_hand_off(spark, sf_dir):
     return cycles.girth(*h(spark, sf_dir))
 
 
-@query("SELECT 'forest' AS graph_id, NULL::INT AS girth")
+@query("""WITH RECURSIVE e AS (SELECT n_regionkey::BIGINT AS u, (n_nationkey + 1000)::BIGINT AS v FROM nation),
+    a AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+    part(node, root) USING KEY (node) AS (SELECT u, u FROM a UNION SELECT a.v, min(p.root) FROM part p JOIN a ON a.u = p.node JOIN recurring.part o ON o.node = a.v WHERE p.root < o.root GROUP BY a.v),
+    n AS (SELECT (SELECT count(*) FROM part) AS vertices, (SELECT count(DISTINCT root) FROM part) AS parts, (SELECT count(*) FROM e) AS edges)
+    SELECT 'forest' AS graph_id, CASE WHEN edges > vertices - parts THEN -1 END::INT AS girth FROM n""")
 def girth_forest(spark, sf_dir):
+    """Null, as in SQL by the number of edges, vertices and parts (customers hang on by one edge each)."""
     return cycles.girth(*projections.forest(spark, sf_dir))
 
 
+@query(f"""WITH {graph("b")}, p AS (SELECT DISTINCT a.v AS x, b.v AS y, a.u FROM b_e a JOIN b_e b ON a.u = b.u AND a.v < b.v)
+    SELECT 'supply' AS graph_id, 4 AS girth WHERE EXISTS (SELECT 1 FROM p GROUP BY x, y HAVING count(*) > 1)""")
+def girth_supply(spark, sf_dir):
+    """By contraction, whatever the size; the SQL only knows that two suppliers of the same two parts are a cycle."""
+    return contraction.girths(projections.supply(spark, sf_dir)[1])
+
+
 @query(f"""{FIGURES} SELECT graph_id, k, g, n AS num_nodes, m AS num_edges, girth, regular AS is_k_regular, regular AND coalesce(girth = g, false) AS is_valid_cage,
-    mb AS moore_bound, regular AND coalesce(girth = g, false) AND n = mb AS is_optimal FROM kr_f""")
+    mb AS moore_bound, regular AND coalesce(girth = g, false) AND n = mb AS is_optimal FROM t_f""")
 def validate_cage(spark, sf_dir):
-    return validate.validate(*kr(spark), wanted(spark))
+    return validate.validate(*t(spark, sf_dir), wanted(spark, sf_dir))
 
 
 # --- candidates and scores --------------------------------------------------------------
@@ -270,59 +301,59 @@ def candidate_pairs(spark, sf_dir):
     return candidates.pairs(*h(spark, sf_dir), 3).select("graph_id", "u", "v")
 
 
-SAFE = f"""WITH RECURSIVE {sql.figures("kr", WANTED)}, {sql.distance("kr", 15)},
-    low AS (SELECT d.graph_id, d.node_id, d.degree FROM kr_d d WHERE d.degree < {K}),
+SAFE = f"""WITH RECURSIVE {sql.figures("t", WANTED)}, {sql.distance("t")},
+    low AS (SELECT d.graph_id, d.node_id, d.degree FROM t_d d WHERE d.degree < {K}),
     p AS (SELECT a.graph_id, a.node_id AS u, b.node_id AS v, a.degree AS du, b.degree AS dv FROM low a JOIN low b ON a.graph_id = b.graph_id AND a.node_id < b.node_id),
-    s AS (SELECT p.*, w.distance FROM p LEFT JOIN kr_w w ON w.graph_id = p.graph_id AND w.src = p.u AND w.dst = p.v WHERE coalesce(w.distance, 99) > {G - 2})"""
+    s AS (SELECT p.*, w.distance FROM p LEFT JOIN t_w w ON w.graph_id = p.graph_id AND w.src = p.u AND w.dst = p.v WHERE coalesce(w.distance, 999999) > {G - 2})"""
 
 
 @query(f"{SAFE} SELECT graph_id, u, v FROM s")
 def girth_safe_pairs(spark, sf_dir):
-    vertices, edges = kr(spark)
+    vertices, edges = t(spark, sf_dir)
     return candidates.girth_safe(candidates.pairs(vertices, edges, K), edges, G).select("graph_id", "u", "v")
 
 
 ADDED = f"""{SAFE}, e AS (SELECT s.graph_id, s.u, s.v, f.*, du, dv, (f.share * n + CASE WHEN du + 1 = k THEN 1 WHEN du + 1 = k + 1 THEN -1 ELSE 0 END + CASE WHEN dv + 1 = k THEN 1 WHEN dv + 1 = k + 1 THEN -1 ELSE 0 END) / n AS done,
-        least(f.girth, s.distance + 1) AS cycle FROM s JOIN kr_f f ON f.graph_id = s.graph_id),
+        least(f.girth, s.distance + 1) AS cycle FROM s JOIN t_f f ON f.graph_id = s.graph_id),
     x AS (SELECT graph_id, u, v, {quality("done", "cycle")} + CASE WHEN du + 1 = k THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN dv + 1 = k THEN 0.2::DOUBLE ELSE 0 END AS score FROM e)"""
 VERTEX = "CASE WHEN n < mb THEN 1.0::DOUBLE WHEN n = mb THEN 0.5::DOUBLE ELSE greatest(0.0::DOUBLE, 0.3::DOUBLE - 0.1::DOUBLE * (n - mb)) END"
 
 
-def scored(spark):
-    vertices, edges = kr(spark)
+def scored(spark, sf_dir):
+    vertices, edges = t(spark, sf_dir)
     safe = candidates.girth_safe(candidates.pairs(vertices, edges, K), edges, G)
-    rows = figures(spark)
+    rows = figures(spark, sf_dir)
     return candidates.scored_edges(safe, edges, rows), rows
 
 
 @query(f"{ADDED} SELECT graph_id, u, v, round(score, 9) AS score FROM x")
 def score_add_edge(spark, sf_dir):
-    return scored(spark)[0].withColumn("score", F.round("score", 9))
+    return scored(spark, sf_dir)[0].withColumn("score", F.round("score", 9))
 
 
-@query(f"{FIGURES} SELECT graph_id, round({VERTEX}, 9) AS score FROM kr_f")
+@query(f"{FIGURES} SELECT graph_id, round({VERTEX}, 9) AS score FROM t_f")
 def score_add_vertex(spark, sf_dir):
-    return figures(spark).select("graph_id", F.round(score.add_vertex(F.col("n"), F.col("mb")), 9).alias("score"))
+    return figures(spark, sf_dir).select("graph_id", F.round(score.add_vertex(F.col("n"), F.col("mb")), 9).alias("score"))
 
 
-@query(f"""{ADDED}, a AS (SELECT graph_id, 'add_edge' AS type, u, v, round(score, 9) AS score FROM x UNION ALL SELECT graph_id, 'add_vertex', NULL, NULL, round({VERTEX}, 9) FROM kr_f WHERE n < 2 * mb)
+@query(f"""{ADDED}, a AS (SELECT graph_id, 'add_edge' AS type, u, v, round(score, 9) AS score FROM x UNION ALL SELECT graph_id, 'add_vertex', NULL, NULL, round({VERTEX}, 9) FROM t_f WHERE n < 2 * mb)
     SELECT graph_id, type, u, v, score FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY score DESC, (type = 'add_edge') DESC, u DESC NULLS LAST, v DESC NULLS LAST) AS place FROM a) WHERE place = 1""")
 def greedy_action(spark, sf_dir):
-    edges, rows = scored(spark)
+    edges, rows = scored(spark, sf_dir)
     return candidates.greedy(candidates.actions(edges, rows).withColumn("score", F.round("score", 9)))
 
 
-@query(f"{FIGURES} SELECT graph_id, round(0.3 * {quality('share', 'girth')} + 0.3 * share + 0.15 * {near('n', 'mb')} + 0.15 * {near('m', '(n * k // 2)')} + 0.1 * {term('girth')}, 9) AS score FROM kr_f")
+@query(f"{FIGURES} SELECT graph_id, round(0.3 * {quality('share', 'girth')} + 0.3 * share + 0.15 * {near('n', 'mb')} + 0.15 * {near('m', '(n * k // 2)')} + 0.1 * {term('girth')}, 9) AS score FROM t_f")
 def score_astar(spark, sf_dir):
     c = F.col
-    return figures(spark).select("graph_id", F.round(score.best_first(c("n"), c("m"), c("share"), c("girth"), c("mb"), c("k"), c("g")), 9).alias("score"))
+    return figures(spark, sf_dir).select("graph_id", F.round(score.best_first(c("n"), c("m"), c("share"), c("girth"), c("mb"), c("k"), c("g")), 9).alias("score"))
 
 
 @query(f"""{FIGURES} SELECT graph_id, round(0.3 * share + 0.3 * least(n / mb::DOUBLE, 1) + 0.3 * e + 0.1 * CASE WHEN girth IS NULL THEN 0.4 + 0.3 * e WHEN girth < g THEN 0.1 WHEN girth = g THEN 1 ELSE 0.6 END, 9) AS score
-    FROM (SELECT *, least(m / (n * k / 2::DOUBLE), 1) AS e FROM kr_f)""")
+    FROM (SELECT *, least(m / (n * k / 2::DOUBLE), 1) AS e FROM t_f)""")
 def score_mcts(spark, sf_dir):
     c = F.col
-    return figures(spark).select("graph_id", F.round(score.tree_search(c("n"), c("m"), c("share"), c("girth"), c("mb"), c("k"), c("g")), 9).alias("score"))
+    return figures(spark, sf_dir).select("graph_id", F.round(score.tree_search(c("n"), c("m"), c("share"), c("girth"), c("mb"), c("k"), c("g")), 9).alias("score"))
 
 
 @query("""WITH c AS (SELECT o_custkey AS parent, o_orderkey AS child, o_orderkey % 5 AS visits, (o_orderkey % 5) * (o_orderkey % 97) / 97::DOUBLE AS value FROM orders),
@@ -336,7 +367,7 @@ def ucb1_best(spark, sf_dir):
     return candidates.best_child(rows.join(total, "parent"))
 
 
-POLICY = f"""{FIGURES}, s AS (SELECT *, n * k // 2 - m AS deficit, n < mb AS under, n > mb AS over FROM kr_f),
+POLICY = f"""{FIGURES}, s AS (SELECT *, n * k // 2 - m AS deficit, n < mb AS under, n > mb AS over FROM t_f),
     w AS (SELECT graph_id, CASE WHEN high > 0 THEN [0, .15, .8, 0, .05]
         WHEN deficit > 0 AND low >= 2 THEN [.75, .1, 0, CASE WHEN under THEN .1 ELSE 0 END, CASE WHEN over THEN .05 ELSE 0 END]
         WHEN deficit < 0 THEN [0, .7, 0, CASE WHEN under THEN .1 ELSE 0 END, CASE WHEN over THEN .2 ELSE 0 END]
@@ -348,13 +379,13 @@ POLICY = f"""{FIGURES}, s AS (SELECT *, n * k // 2 - m AS deficit, n < mb AS und
 
 @query(f"{POLICY} SELECT graph_id, action, round(p, 9) AS p FROM q")
 def policy_table(spark, sf_dir):
-    return candidates.policies(figures(spark)).select("graph_id", "action", F.round("p", 9).alias("p"))
+    return candidates.policies(figures(spark, sf_dir)).select("graph_id", "action", F.round("p", 9).alias("p"))
 
 
 @query(f"""{POLICY}, c AS (SELECT graph_id, ordinal, action, sum(p) OVER (PARTITION BY graph_id ORDER BY ordinal) AS up_to FROM q)
     SELECT graph_id, arg_min(action, ordinal) AS action FROM c WHERE up_to > {sql.uniform("'7:' || graph_id")} GROUP BY graph_id""")
 def weighted_choice(spark, sf_dir):
-    return candidates.weighted_choice(candidates.policies(figures(spark)), seed=7)
+    return candidates.weighted_choice(candidates.policies(figures(spark, sf_dir)), seed=7)
 
 
 # --- fingerprints and frontier ----------------------------------------------------------
@@ -373,15 +404,15 @@ def wl_fingerprint(spark, sf_dir):
     return fingerprint.wl_hash(*h(spark, sf_dir), rounds=2)
 
 
-@query(f"WITH {graph('r')} SELECT graph_id, md5(string_agg(u || '-' || v, ',' ORDER BY u, v)) AS fingerprint FROM r_e GROUP BY graph_id")
+@query(f"WITH {graph('t')} SELECT graph_id, md5(string_agg(u || '-' || v, ',' ORDER BY u, v)) AS fingerprint FROM t_e GROUP BY graph_id")
 def edge_fingerprint(spark, sf_dir):
-    return fingerprint.edge_hash(r(spark)[1])
+    return fingerprint.edge_hash(t(spark, sf_dir)[1])
 
 
-@query(f"WITH {refined('kr', 3)} SELECT w.fingerprint, min(w.graph_id) AS graph_id FROM w WHERE w.fingerprint NOT IN (SELECT x.fingerprint FROM w x WHERE x.graph_id IN ('petersen', 'r1', 'r2')) GROUP BY w.fingerprint")
+@query(f"WITH {refined('t', 3)} SELECT w.fingerprint, min(w.graph_id) AS graph_id FROM w WHERE w.fingerprint NOT IN (SELECT x.fingerprint FROM w x WHERE x.graph_id LIKE '____-__-01 %') GROUP BY w.fingerprint")
 def visited_dedup(spark, sf_dir):
-    states = fingerprint.wl_hash(*kr(spark))
-    return fingerprint.unseen(states, states.filter(F.col("graph_id").isin("petersen", "r1", "r2")))
+    states = fingerprint.wl_hash(*t(spark, sf_dir))
+    return fingerprint.unseen(states, states.filter(F.col("graph_id").like("____-__-01 %")))
 
 
 @query("SELECT o_orderkey AS counter, o_totalprice AS score FROM orders ORDER BY score DESC, counter LIMIT 10")
@@ -421,9 +452,9 @@ def vertex_add(spark, sf_dir):
     return edits.add_vertex(h(spark, sf_dir)[0])
 
 
-@query(f"WITH {graph('r')} SELECT graph_id, u, v FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY {sql.uniform(chr(39) + '3:' + chr(39) + ' || graph_id || ' + chr(39) + ':' + chr(39) + ' || u || ' + chr(39) + ':' + chr(39) + ' || v')}, u, v) AS place FROM r_e) WHERE place > 1")
+@query(f"WITH {graph('t')} SELECT graph_id, u, v FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY {sql.uniform(chr(39) + '3:' + chr(39) + ' || graph_id || ' + chr(39) + ':' + chr(39) + ' || u || ' + chr(39) + ':' + chr(39) + ' || v')}, u, v) AS place FROM t_e) WHERE place > 1")
 def edge_remove_random(spark, sf_dir):
-    return edits.remove_random_edge(r(spark)[1], seed=3)
+    return edits.remove_random_edge(t(spark, sf_dir)[1], seed=3)
 
 
 # --- model ------------------------------------------------------------------------------
@@ -513,43 +544,43 @@ def backprop(spark, sf_dir):
     vertices, edges = projections.forest(spark, sf_dir)
     tree = vertices.select(F.col("node_id").alias("node")).join(edges.select(F.col("v").alias("node"), F.col("u").alias("parent")), "node", "left")
     leaves = tree.filter(F.col("node") >= projections.CUSTOMER).select("node", (F.col("node") % 10).alias("reward"))
-    return history.propagate(tree, leaves)
+    return trees.propagate(tree, leaves)
 
 
 # --- layout -----------------------------------------------------------------------------
 
-PLACED = f"""{graph("k")}, i AS (SELECT graph_id, node_id, row_number() OVER (PARTITION BY graph_id ORDER BY node_id) - 1 AS idx, count(*) OVER (PARTITION BY graph_id) AS n FROM k_v),
+PLACED = f"""{graph("t")}, i AS (SELECT graph_id, node_id, row_number() OVER (PARTITION BY graph_id ORDER BY node_id) - 1 AS idx, count(*) OVER (PARTITION BY graph_id) AS n FROM t_v),
     pos AS (SELECT graph_id, node_id, 200 * cos(idx / n::DOUBLE * (2 * pi()) - pi() / 2) AS x, 200 * sin(idx / n::DOUBLE * (2 * pi()) - pi() / 2) AS y FROM i),
     pr AS (SELECT a.graph_id, a.node_id AS src, b.node_id AS dst, b.x - a.x AS dx, b.y - a.y AS dy, sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS d FROM pos a JOIN pos b ON a.graph_id = b.graph_id AND a.node_id <> b.node_id),
-    nb AS (SELECT pr.*, (e.src IS NOT NULL) AS joined FROM pr LEFT JOIN (SELECT DISTINCT * FROM k_a) e ON e.graph_id = pr.graph_id AND e.src = pr.src AND e.dst = pr.dst)"""
+    nb AS (SELECT pr.*, (e.src IS NOT NULL) AS joined FROM pr LEFT JOIN (SELECT DISTINCT * FROM t_a) e ON e.graph_id = pr.graph_id AND e.src = pr.src AND e.dst = pr.dst)"""
 
 
 def rounded_places(df):
-    return df.select("graph_id", "node_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return df.select("graph_id", "node_id", (F.round("x", 6) + 0.0).alias("x"), (F.round("y", 6) + 0.0).alias("y"))
 
 
-@query(f"WITH {PLACED} SELECT graph_id, node_id, round(x, 6) AS x, round(y, 6) AS y FROM pos")
+@query(f"WITH {PLACED} SELECT graph_id, node_id, round(x, 6) + 0.0::DOUBLE AS x, round(y, 6) + 0.0::DOUBLE AS y FROM pos")
 def layout_circle(spark, sf_dir):
-    return rounded_places(layout.circle(projections.gold(spark)[0]))
+    return rounded_places(layout.circle(t(spark, sf_dir)[0]))
 
 
 @query(f"""WITH {PLACED}, f AS (SELECT graph_id, src AS node_id, sum(0.1 * (d - 300) * dx / d) AS fx, sum(0.1 * (d - 300) * dy / d) AS fy FROM nb WHERE d >= 0.1 AND (joined OR d <= 900) GROUP BY ALL)
-    SELECT graph_id, node_id, round(x + greatest(-5, least(5, coalesce(fx, 0) * 0.1667)), 6) AS x, round(y + greatest(-5, least(5, coalesce(fy, 0) * 0.1667)), 6) AS y FROM pos LEFT JOIN f USING (graph_id, node_id)""")
+    SELECT graph_id, node_id, round(x + greatest(-5, least(5, coalesce(fx, 0) * 0.1667)), 6) + 0.0::DOUBLE AS x, round(y + greatest(-5, least(5, coalesce(fy, 0) * 0.1667)), 6) + 0.0::DOUBLE AS y FROM pos LEFT JOIN f USING (graph_id, node_id)""")
 def layout_step_spring(spark, sf_dir):
-    vertices, edges = projections.gold(spark)
+    vertices, edges = t(spark, sf_dir)
     return rounded_places(layout.spring_step(layout.circle(vertices), edges))
 
 
 @query(f"""WITH {PLACED}, f AS (SELECT graph_id, src AS node_id, sum(((CASE WHEN joined THEN 0.05 * (d - 100) ELSE 0 END) - 3000 / (d * d)) * dx / d) AS fx, sum(((CASE WHEN joined THEN 0.05 * (d - 100) ELSE 0 END) - 3000 / (d * d)) * dy / d) AS fy FROM nb WHERE d >= 0.1 GROUP BY ALL)
-    SELECT graph_id, node_id, round(x + 0.85 * (coalesce(fx, 0) - 0.001 * x), 6) AS x, round(y + 0.85 * (coalesce(fy, 0) - 0.001 * y), 6) AS y FROM pos LEFT JOIN f USING (graph_id, node_id)""")
+    SELECT graph_id, node_id, round(x + 0.85 * (coalesce(fx, 0) - 0.001 * x), 6) + 0.0::DOUBLE AS x, round(y + 0.85 * (coalesce(fy, 0) - 0.001 * y), 6) + 0.0::DOUBLE AS y FROM pos LEFT JOIN f USING (graph_id, node_id)""")
 def layout_step_legacy(spark, sf_dir):
-    vertices, edges = projections.gold(spark)
+    vertices, edges = t(spark, sf_dir)
     return rounded_places(layout.legacy_step(layout.circle(vertices), edges))
 
 
 @query(f"WITH {PLACED} SELECT graph_id, max(node_id) AS node_id FROM pos WHERE sqrt(x * x + (y + 200) * (y + 200)) <= 60 GROUP BY graph_id")
 def hit_test(spark, sf_dir):
-    return layout.hit(layout.circle(projections.gold(spark)[0]), 0.0, -200.0, 60.0)
+    return layout.hit(layout.circle(t(spark, sf_dir)[0]), 0.0, -200.0, 60.0)
 
 
 # --- sessions ---------------------------------------------------------------------------

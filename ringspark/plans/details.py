@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ringspark.functions import basic, bounds
 from ringspark.operators import candidates, edits, fingerprint, history, layout, metrics, validate
+from ringspark.operators.lineage import held
 from ringspark.operators.model import layers
 from ringspark.operators.search import runner
 from ringspark.schema import RANDOM_GRAPH, TARGETS
@@ -13,7 +14,7 @@ from ringspark.sources import edge_lists, projections
 from ringspark.streaming import session
 
 from . import sql
-from .catalog import FIGURES, PLACED, SAFE, SIMPLE, G, K, guessed, h, kr, query, r, rounded_places, simple, wanted
+from .catalog import ASKED, FIGURES, PLACED, SAFE, SIMPLE, TURN, G, K, asked, guessed, h, query, r, rounded_places, simple, t, wanted
 from .sql import graph
 
 GENERATORS = ["randomwalk", "bruteforce", "astar", "mcts"]
@@ -51,10 +52,10 @@ def guarded_vertices(spark, sf_dir):
     return metrics.require(vertices, vertices.groupBy("graph_id").agg(F.max("node_id").alias("node_id")))
 
 
-@query(f"WITH {graph('k')} SELECT graph_id, src AS node_id, list_contains(near, 1) AS has_one, coalesce(list_position(near, 1), 0)::BIGINT AS place, array_to_string([x FOR x IN near IF x <> 1], ',') AS others FROM (SELECT graph_id, src, list(DISTINCT dst ORDER BY dst) AS near FROM k_a GROUP BY ALL)")
+@query(f"WITH {graph('t')} SELECT graph_id, src AS node_id, list_contains(near, 1) AS has_one, coalesce(list_position(near, 1), 0)::BIGINT AS place, array_to_string([x FOR x IN near IF x <> 1], ',') AS others FROM (SELECT graph_id, src, list(DISTINCT dst ORDER BY dst) AS near FROM t_a GROUP BY ALL)")
 def neighbor_edit(spark, sf_dir):
     near, one = F.col("neighbors"), F.lit(1).cast("bigint")
-    lists = metrics.neighbor_lists(projections.gold(spark)[1])
+    lists = metrics.neighbor_lists(t(spark, sf_dir)[1])
     return lists.select("graph_id", "node_id", F.array_contains(near, one).alias("has_one"), F.array_position(near, one).alias("place"), F.array_join(F.array_remove(near, one).cast("array<string>"), ",").alias("others"))
 
 
@@ -63,27 +64,28 @@ def neighbor_edit(spark, sf_dir):
 
 @query(f"WITH {graph('r')}, i AS (SELECT graph_id, node_id, row_number() OVER (PARTITION BY graph_id ORDER BY node_id) - 1 AS idx, count(*) OVER (PARTITION BY graph_id) AS n FROM r_v) SELECT graph_id, node_id, round(idx / greatest(n - 1, 1)::DOUBLE, 9) AS norm, 4 AS width, degree::DOUBLE AS label FROM i JOIN r_d USING (graph_id, node_id)")
 def training_sample(spark, sf_dir):
-    rows, _ = layers.training_rows(*r(spark))
+    rows, _ = layers.training_rows(*r(spark, sf_dir))
     return rows.select("graph_id", "node_id", F.round(F.col("features")[0], 9).alias("norm"), F.size("features").alias("width"), "label")
 
 
-@query(f"SELECT name, {', '.join(f'count(*) FILTER (i < {c}) AS {n}' for n, c in (('num_nodes', 'mb'),))}, 0 AS num_edges FROM (VALUES {', '.join(f"('{n}', {bounds.moore(k, g)})" for _, k, g, n, _ in TARGETS)}) t(name, mb), range(100) r(i) GROUP BY name")
+@query(f"""WITH {ASKED}, p AS (SELECT k, g, [(k - 1) ** i FOR i IN range(0, 12)] AS w FROM a WHERE k BETWEEN 2 AND 4 AND g >= 3),
+    m AS (SELECT k, g, (CASE WHEN g % 2 = 1 THEN 1 + k * list_sum(w[1:(g - 1) // 2]) ELSE 2 * list_sum(w[1:g // 2]) END)::BIGINT AS n FROM p)
+    SELECT s_suppkey::VARCHAR AS graph_id, n AS num_nodes, 0::BIGINT AS num_edges FROM supplier JOIN m ON k = s_suppkey % 3 + 2 AND g = s_nationkey % 7 + 3""")
 def edgeless_moore(spark, sf_dir):
-    return counted([projections.edgeless(spark, n, bounds.moore(k, g)) for _, k, g, n, _ in TARGETS]).withColumnRenamed("graph_id", "name").withColumn("num_edges", F.col("num_edges").cast("int"))
+    """For each supplier the graph without edges that a search for its k and g starts from."""
+    k, g = F.col("k"), F.col("g")
+    goals = asked(spark, sf_dir).filter(bounds.valid_column(k, g) & (k <= 4))
+    own = projections.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("graph_id"), (F.col("s_suppkey") % 3 + 2).cast("int").alias("k"), (F.col("s_nationkey") % 7 + 3).cast("int").alias("g"))
+    return metrics.counts(*projections.edgeless(own.join(goals, ["k", "g"]).select("graph_id", bounds.moore_column(k, g).alias("n"))))
 
 
-def counted(graphs):
-    vertices, edges = graphs[0]
-    for a, b in graphs[1:]:
-        vertices, edges = vertices.union(a), edges.union(b)
-    return metrics.counts(vertices, edges)
-
-
-@query("SELECT 0::BIGINT AS num_nodes, 0::BIGINT AS num_edges")
+@query("SELECT r_name AS graph_id, 0::BIGINT AS num_nodes, 0::BIGINT AS num_edges, true AS is_k_regular, NULL::INT AS girth FROM region")
 def empty_graph(spark, sf_dir):
-    vertices, edges = projections.edgeless(spark, "empty", 0)
-    rows = vertices.select(F.lit(1).alias("n"), F.lit(0).alias("m")).union(edges.select(F.lit(0), F.lit(1)))
-    return rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("num_nodes"), F.coalesce(F.sum("m"), F.lit(0)).alias("num_edges"))
+    """The figures of a graph without vertices, one for each region."""
+    names = projections.read(spark, sf_dir, "region").select(F.col("r_name").alias("graph_id"))
+    goals = names.select("graph_id", F.lit(K).alias("k"), F.lit(G).alias("g"))
+    found = validate.validate(*projections.edgeless(names.withColumn("n", F.lit(0))), goals)
+    return found.select("graph_id", "num_nodes", "num_edges", "is_k_regular", "girth")
 
 
 REQUEST = "graph STRING, minNodes INT, maxNodes INT, minProb DOUBLE, maxProb DOUBLE, allowSelfLoops BOOLEAN"
@@ -99,9 +101,9 @@ def request_defaults(spark, sf_dir):
 
 
 @query(f"""{FIGURES} SELECT graph_id, to_json({{'k': k, 'g': g, 'num_nodes': n, 'num_edges': m, 'girth': girth, 'is_k_regular': regular, 'is_valid_cage': regular AND coalesce(girth = g, false),
-    'moore_bound': mb, 'is_optimal': regular AND coalesce(girth = g, false) AND n = mb}})::VARCHAR AS document FROM kr_f""")
+    'moore_bound': mb, 'is_optimal': regular AND coalesce(girth = g, false) AND n = mb}})::VARCHAR AS document FROM t_f""")
 def validation_document(spark, sf_dir):
-    return edge_lists.documents(validate.validate(*kr(spark), wanted(spark)), "graph_id")
+    return edge_lists.documents(validate.validate(*t(spark, sf_dir), wanted(spark, sf_dir)), "graph_id")
 
 
 @query("SELECT user_id AS session_id, to_json({'steps': count(*), 'success': count(*) FILTER (event_type = 'purchase') > 0, 'last': max(event_id)})::VARCHAR AS document FROM events GROUP BY user_id")
@@ -118,19 +120,14 @@ def camel_predictions(spark, sf_dir):
 
 # --- bounds and guards ------------------------------------------------------------------
 
-PAIRS = "(SELECT k::INT AS k, g::INT AS g FROM range(0, 9) a(k), range(0, 11) b(g))"
-
-
-@query(f"SELECT k, g FROM {PAIRS} WHERE k >= 2 AND g >= 3")
+@query(f"WITH {ASKED} SELECT k, g FROM a WHERE k >= 2 AND g >= 3")
 def valid_targets(spark, sf_dir):
-    ks, gs = (F.explode(F.sequence(F.lit(0), F.lit(n))).alias(c) for c, n in (("k", 8), ("g", 10)))
-    rows = spark.range(1).select(ks).select("k", gs)
-    return rows.filter(bounds.valid_column(F.col("k"), F.col("g")))
+    return asked(spark, sf_dir).filter(bounds.valid_column(F.col("k"), F.col("g")))
 
 
-@query(f"{FIGURES} SELECT f.graph_id, f.n AS num_nodes FROM kr_f f WHERE f.n <= {bounds.upper(K, G)}")
+@query(f"{FIGURES} SELECT f.graph_id, f.n AS num_nodes FROM t_f f WHERE f.n <= {bounds.upper(K, G)}")
 def within_upper_bound(spark, sf_dir):
-    vertices, edges = kr(spark)
+    vertices, edges = t(spark, sf_dir)
     return metrics.counts(vertices, edges).filter(F.col("num_nodes") <= bounds.upper(K, G)).select("graph_id", "num_nodes")
 
 
@@ -149,52 +146,66 @@ def drawn_edges(spark, sf_dir):
     return edits.one_each(h(spark, sf_dir)[1], ["u", "v"], 5, 3)
 
 
-LIGHT = f"""{graph("r")}, l AS (SELECT *, (degree > 1)::INT AS busy FROM r_d), m AS (SELECT graph_id, min(busy) AS busy FROM l GROUP BY graph_id),
+LIGHT = f"""{graph("t")}, l AS (SELECT *, (degree > 1)::INT AS busy FROM t_d), m AS (SELECT graph_id, min(busy) AS busy FROM l GROUP BY graph_id),
     x AS (SELECT graph_id, node_id FROM (SELECT l.graph_id, l.node_id, row_number() OVER (PARTITION BY l.graph_id ORDER BY {drawn('2', 'l.graph_id', 'l.node_id')}, l.node_id) AS place FROM l JOIN m USING (graph_id, busy)) WHERE place = 1)"""
 
 
-@query(f"WITH {LIGHT} SELECT v.graph_id, v.node_id FROM r_v v ANTI JOIN x USING (graph_id, node_id)")
+@query(f"WITH {LIGHT} SELECT v.graph_id, v.node_id FROM t_v v ANTI JOIN x USING (graph_id, node_id)")
 def light_vertex_removed(spark, sf_dir):
-    return edits.remove_random_vertex(*r(spark), seed=2)[0]
+    return edits.remove_random_vertex(*t(spark, sf_dir), seed=2)[0]
 
 
-FULL = f"""{graph("r")}, f AS (SELECT graph_id, node_id FROM (SELECT graph_id, node_id, row_number() OVER (PARTITION BY graph_id ORDER BY {drawn('9', 'graph_id', 'node_id')}, node_id) AS place FROM r_d WHERE degree > {K}) WHERE place = 1),
-    c AS (SELECT DISTINCT a.graph_id, a.src, a.dst FROM r_a a JOIN f ON f.graph_id = a.graph_id AND f.node_id = a.src),
+FULL = f"""{graph("t")}, f AS (SELECT graph_id, node_id FROM (SELECT graph_id, node_id, row_number() OVER (PARTITION BY graph_id ORDER BY {drawn('9', 'graph_id', 'node_id')}, node_id) AS place FROM t_d WHERE degree > {K}) WHERE place = 1),
+    c AS (SELECT DISTINCT a.graph_id, a.src, a.dst FROM t_a a JOIN f ON f.graph_id = a.graph_id AND f.node_id = a.src),
     x AS (SELECT graph_id, least(src, dst) AS u, greatest(src, dst) AS v FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY {drawn('9', 'graph_id', 'src', 'dst')}, src, dst) AS place FROM c) WHERE place = 1)"""
 
 
-@query(f"WITH {FULL} SELECT e.graph_id, e.u, e.v FROM r_e e ANTI JOIN x ON x.graph_id = e.graph_id AND x.u = e.u AND x.v = e.v")
+@query(f"WITH {FULL} SELECT e.graph_id, e.u, e.v FROM t_e e ANTI JOIN x ON x.graph_id = e.graph_id AND x.u = e.u AND x.v = e.v")
 def full_edge_removed(spark, sf_dir):
-    return edits.remove_edge_above(*r(spark), K, seed=9)
+    return edits.remove_edge_above(*t(spark, sf_dir), K, seed=9)
 
 
 ONE = f"x AS (SELECT graph_id, u, v FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY {drawn('4', 'graph_id', 'u', 'v')}, u, v) AS place FROM s) WHERE place = 1)"
 
 
-@query(f"{SAFE}, {ONE} SELECT * FROM kr_e UNION SELECT * FROM x")
+@query(f"{SAFE}, {ONE} SELECT * FROM t_e UNION SELECT * FROM x")
 def low_edge_added(spark, sf_dir):
-    return candidates.add_low_edge(*kr(spark), K, G, seed=4)
+    return candidates.add_low_edge(*t(spark, sf_dir), K, G, seed=4)
+
+
+def feistel(seed: int) -> str:
+    """The permutation of draws (see operators/sampling.py) in SQL: l and r after each round."""
+    out = "f0 AS (SELECT graph_id, ranks, size, turn, turn // size AS l, turn % size AS r FROM d)"
+    for i in range(4):
+        mask = f"floor({drawn(repr(str(seed)), 'graph_id', repr(str(i)), 'r')} * size)::BIGINT"
+        out += f", f{i + 1} AS (SELECT graph_id, ranks, size, turn, r AS l, xor(l, {mask}) AS r FROM f{i})"
+    return out
 
 
-SAMPLED = f"""p50 AS (SELECT graph_id, u, v FROM (SELECT s.graph_id, u, v, row_number() OVER (PARTITION BY s.graph_id ORDER BY {drawn('6', 's.graph_id', 'u', 'v')}, u, v) AS place FROM s) JOIN kr_c c USING (graph_id) WHERE place <= least(50, c.num_nodes * c.num_nodes))"""
+SAMPLED = f"""i AS (SELECT graph_id, node_id, row_number() OVER (PARTITION BY graph_id ORDER BY node_id) - 1 AS i FROM low),
+    z AS (SELECT graph_id, count(*) * (count(*) - 1) // 2 AS ranks FROM i GROUP BY graph_id HAVING count(*) > 1),
+    d AS (SELECT graph_id, ranks, size, unnest(range(size * size)) AS turn FROM (SELECT *, (2 ** greatest(ceil(log2(ranks) / 2), 1))::BIGINT AS size FROM z)),
+    {feistel(6)}, k AS (SELECT graph_id, turn, l * size + r AS rank FROM f4 WHERE l * size + r < ranks),
+    j AS (SELECT graph_id, turn, rank, floor((1 + sqrt(1 + 8 * rank)) / 2)::BIGINT AS j FROM k),
+    q AS (SELECT j.graph_id, turn, a.node_id AS u, b.node_id AS v FROM j JOIN i a ON a.graph_id = j.graph_id AND a.i = rank - j * (j - 1) // 2 JOIN i b ON b.graph_id = j.graph_id AND b.i = j),
+    p50 AS (SELECT graph_id, u, v FROM (SELECT q.*, row_number() OVER (PARTITION BY q.graph_id ORDER BY turn) AS place FROM q JOIN s USING (graph_id, u, v)) JOIN t_c c USING (graph_id) WHERE place <= least(50, c.num_nodes * c.num_nodes))"""
 
 
 @query(f"{SAFE}, {SAMPLED} SELECT * FROM p50")
 def sampled_pairs(spark, sf_dir):
-    return candidates.sampled_pairs(*kr(spark), K, G, seed=6)
+    return candidates.sampled_pairs(*t(spark, sf_dir), K, G, seed=6)
 
 
-@query(f"""{SAFE}, {SAMPLED} SELECT DISTINCT graph_id, 'add_vertex' AS type, NULL::BIGINT AS u, NULL::BIGINT AS v FROM kr_v UNION ALL SELECT graph_id, 'add_edge', u, v FROM p50
-    UNION ALL SELECT graph_id, 'remove_edge', u, v FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY {drawn('6', 'graph_id', 'u', 'v')}, u, v) AS place FROM kr_e) WHERE place <= 3
-    UNION ALL SELECT graph_id, 'remove_vertex', node_id, NULL FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY {drawn('6', 'graph_id', 'node_id')}, node_id) AS place FROM kr_v) WHERE place <= 2""")
+@query(f"""{SAFE}, {SAMPLED} SELECT DISTINCT graph_id, 'add_vertex' AS type, NULL::BIGINT AS u, NULL::BIGINT AS v FROM t_v UNION ALL SELECT graph_id, 'add_edge', u, v FROM p50
+    UNION ALL SELECT graph_id, 'remove_edge', u, v FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY {drawn('6', 'graph_id', 'u', 'v')}, u, v) AS place FROM t_e) WHERE place <= 3
+    UNION ALL SELECT graph_id, 'remove_vertex', node_id, NULL FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY {drawn('6', 'graph_id', 'node_id')}, node_id) AS place FROM t_v) WHERE place <= 2""")
 def action_union(spark, sf_dir):
-    return candidates.sampled_actions(*kr(spark), K, G, seed=6)
+    return candidates.sampled_actions(*t(spark, sf_dir), K, G, seed=6)
 
 
-@query(f"WITH {PLACED}, m AS (SELECT graph_id, count(*) AS n FROM pos GROUP BY graph_id) SELECT graph_id, node_id, round(x, 6) AS x, round(y, 6) AS y FROM pos UNION ALL SELECT graph_id, n, 12, -7 FROM m")
+@query(f"WITH {PLACED}, m AS (SELECT graph_id, coalesce(min(CASE WHEN node_id <> idx THEN idx END), count(*)) AS free FROM i GROUP BY graph_id) SELECT graph_id, node_id, round(x, 6) + 0.0::DOUBLE AS x, round(y, 6) + 0.0::DOUBLE AS y FROM pos UNION ALL SELECT graph_id, free, 12, -7 FROM m")
 def vertex_placed(spark, sf_dir):
-    # ids of the named graphs run from 0, so the smallest free one is their number
-    return rounded_places(edits.place_vertex(layout.circle(projections.gold(spark)[0]), 12, -7))
+    return rounded_places(edits.place_vertex(layout.circle(t(spark, sf_dir)[0]), 12, -7))
 
 
 @query(f"WITH {graph('h')} SELECT graph_id, node_id, degree AS true_degree, NULL::DOUBLE AS predicted_degree FROM h_d")
@@ -314,15 +325,16 @@ def percentages(spark, sf_dir):
 # --- searches ---------------------------------------------------------------------------
 
 
-@query(f"SELECT k::INT AS k, g::INT AS g, name, generator, walker::INT AS walker FROM (VALUES {', '.join(f"({k}, {g}, '{n}')" for _, k, g, n, _ in TARGETS)}) t(k, g, name), (VALUES {', '.join(f"('{x}')" for x in GENERATORS)}) y(generator), range(3) w(walker)")
+@query(f"SELECT (s_suppkey % 3 + 3)::INT AS k, (s_nationkey % 5 + 5)::INT AS g, s_name AS name, generator, walker::INT AS walker FROM supplier, (VALUES {', '.join(f"('{x}')" for x in GENERATORS)}) y(generator), range(3) w(walker)")
 def search_jobs(spark, sf_dir):
-    return runner.jobs(runner.preset(spark, "all"), GENERATORS, 3)
+    asked_for = projections.read(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 3 + 3).cast("int").alias("k"), (F.col("s_nationkey") % 5 + 5).cast("int").alias("g"), F.col("s_name").alias("name"))
+    return runner.jobs(asked_for, GENERATORS, 3)
 
 
 @query(f"SELECT k::INT AS k, g::INT AS g, true AS consistent FROM (VALUES {', '.join(f'({k}, {g})' for _, k, g, _, _ in TARGETS)}) t(k, g)")
 def search_walk_checked(spark, sf_dir):
     """Whether each walk's claim is true of its graph, by the degrees and girths of the tables."""
-    found = history.held(runner.run(runner.targets(spark), ["randomwalk"]).select("k", "g", "success", "final_n", "edges"))
+    found = held(runner.run(runner.targets(spark), ["randomwalk"]).select("k", "g", "success", "final_n", "edges"))
     name = F.concat_ws("-", "k", "g")
     edges = found.select(name.alias("graph_id"), F.explode("edges").alias("e")).select("graph_id", "e.u", "e.v")
     vertices = edges.select("graph_id", F.col("u").alias("node_id")).union(edges.select("graph_id", "v")).distinct()
@@ -332,10 +344,10 @@ def search_walk_checked(spark, sf_dir):
     return own.select("k", "g", (F.col("success") == (F.coalesce("is_valid_cage", F.lit(False)) & (F.col("num_nodes") == F.col("final_n")))).alias("consistent"))
 
 
-@query(f"WITH {graph('kr')}, f AS (SELECT graph_id, md5(string_agg(u || '-' || v, ',' ORDER BY u, v)) AS fingerprint FROM kr_e GROUP BY graph_id) SELECT DISTINCT fingerprint FROM f")
+@query(f"WITH {graph('t')}, f AS (SELECT graph_id, md5(string_agg(u || '-' || v, ',' ORDER BY u, v)) AS fingerprint FROM t_e GROUP BY graph_id) SELECT DISTINCT fingerprint FROM f")
 def visited_insert(spark, sf_dir):
-    states = fingerprint.edge_hash(kr(spark)[1])
-    visited = states.filter(F.col("graph_id").isin("petersen", "r1", "r2")).select("fingerprint")
+    states = fingerprint.edge_hash(t(spark, sf_dir)[1])
+    visited = states.filter(F.col("graph_id").like("____-__-0%")).select("fingerprint")
     return fingerprint.insert(visited, states)
 
 
@@ -344,21 +356,21 @@ def visited_insert(spark, sf_dir):
 
 @query(f"""WITH {PLACED}, f AS (SELECT graph_id, src AS node_id, sum(((CASE WHEN joined THEN 0.05 * (d - 100) ELSE 0 END) - 3000 / (d * d)) * dx / d) AS fx, sum(((CASE WHEN joined THEN 0.05 * (d - 100) ELSE 0 END) - 3000 / (d * d)) * dy / d) AS fy FROM nb WHERE d >= 0.1 GROUP BY ALL),
     s AS (SELECT graph_id, node_id, x, y, 0.85 * (node_id - 1 + coalesce(fx, 0) - 0.001 * x) AS vx, 0.85 * (2 - node_id + coalesce(fy, 0) - 0.001 * y) AS vy FROM pos LEFT JOIN f USING (graph_id, node_id))
-    SELECT graph_id, node_id, round(x + CASE WHEN node_id = 0 THEN 0 ELSE vx END, 6) AS x, round(y + CASE WHEN node_id = 0 THEN 0 ELSE vy END, 6) AS y, round(CASE WHEN node_id = 0 THEN -1 ELSE vx END, 6) AS vx, round(CASE WHEN node_id = 0 THEN 2 ELSE vy END, 6) AS vy FROM s""")
+    SELECT graph_id, node_id, round(x + CASE WHEN node_id = 0 THEN 0 ELSE vx END, 6) + 0.0::DOUBLE AS x, round(y + CASE WHEN node_id = 0 THEN 0 ELSE vy END, 6) + 0.0::DOUBLE AS y, round(CASE WHEN node_id = 0 THEN -1 ELSE vx END, 6) + 0.0::DOUBLE AS vx, round(CASE WHEN node_id = 0 THEN 2 ELSE vy END, 6) + 0.0::DOUBLE AS vy FROM s""")
 def layout_step_velocity(spark, sf_dir):
-    vertices, edges = projections.gold(spark)
+    vertices, edges = t(spark, sf_dir)
     moving = layout.circle(vertices).withColumns({"vx": (F.col("node_id") - 1).cast("double"), "vy": (2 - F.col("node_id")).cast("double"), "fixed": F.col("node_id") == 0})
     found = layout.legacy_step(moving, edges)
-    return found.select("graph_id", "node_id", *(F.round(c, 6).alias(c) for c in ("x", "y", "vx", "vy")))
+    return found.select("graph_id", "node_id", *((F.round(c, 6) + 0.0).alias(c) for c in ("x", "y", "vx", "vy")))
 
 
-@query(f"WITH {PLACED} SELECT graph_id, node_id, round(x, 6) AS x, round(y, 6) AS y, 0.0::DOUBLE AS vx FROM pos")
+@query(f"WITH {PLACED} SELECT graph_id, node_id, round(x, 6) + 0.0::DOUBLE AS x, round(y, 6) + 0.0::DOUBLE AS y, 0.0::DOUBLE AS vx FROM pos")
 def layout_switched_off(spark, sf_dir):
-    vertices, edges = projections.gold(spark)
+    vertices, edges = t(spark, sf_dir)
     found = layout.legacy_step(layout.circle(vertices), edges, on=False)
-    return found.select("graph_id", "node_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "vx")
+    return found.select("graph_id", "node_id", (F.round("x", 6) + 0.0).alias("x"), (F.round("y", 6) + 0.0).alias("y"), "vx")
 
 
-@query(f"WITH {PLACED} SELECT graph_id, node_id, round(x + ({drawn('1', 'graph_id', 'node_id', chr(39) + 'x' + chr(39))} - 0.5) * 10, 6) AS x, round(y + ({drawn('1', 'graph_id', 'node_id', chr(39) + 'y' + chr(39))} - 0.5) * 10, 6) AS y FROM pos")
+@query(f"WITH {PLACED} SELECT graph_id, node_id, round(x + ({drawn('1', 'graph_id', 'node_id', chr(39) + 'x' + chr(39))} - 0.5) * 10, 6) + 0.0::DOUBLE AS x, round(y + ({drawn('1', 'graph_id', 'node_id', chr(39) + 'y' + chr(39))} - 0.5) * 10, 6) + 0.0::DOUBLE AS y FROM pos")
 def layout_jitter(spark, sf_dir):
-    return rounded_places(layout.jitter(layout.circle(projections.gold(spark)[0]), seed=1))
+    return rounded_places(layout.jitter(layout.circle(t(spark, sf_dir)[0]), seed=1))

@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-from ringspark.sources.projections import CUSTOMER, NATION, SUPPLIER, gold_rows
+from ringspark.sources.projections import CUSTOMER, NATION, SUPPLIER
 
-GRAPHS = 40
 WIDTH, SPREAD = 12 - 5 + 1, 0.60 - 0.15
 
 
-def values(rows: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"CAST({x} AS BIGINT)" for x in r) + ")" for r in rows)
-
-
 def uniform(text: str) -> str:
     return f"(CAST(('0x' || substr(md5({text}), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE))"
 
 
-_nodes, _edges = gold_rows()
-
 #: The vertices (x_v) and edges (x_e) of each projection.
 PROJECTIONS = {
+    "t": """t_v AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d %H') AS graph_id, user_id AS node_id FROM events),
+        t_e AS (SELECT DISTINCT graph_id, least(a, b) AS u, greatest(a, b) AS v FROM (
+            SELECT strftime(ts, '%Y-%m-%d %H') AS graph_id, user_id AS a,
+                   lead(user_id) OVER (PARTITION BY strftime(ts, '%Y-%m-%d %H') ORDER BY ts, event_id) AS b FROM events)
+            WHERE b IS NOT NULL)""",
     "h": """h_v AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS graph_id, user_id AS node_id FROM events),
         h_e AS (SELECT DISTINCT graph_id, least(a, b) AS u, greatest(a, b) AS v FROM (
             SELECT strftime(ts, '%Y-%m-%d') AS graph_id, user_id AS a,
@@ -33,14 +31,12 @@ PROJECTIONS = {
     "f": f"""f_e AS (SELECT 'forest' AS graph_id, CAST(n_regionkey AS BIGINT) AS u, CAST(n_nationkey + {NATION} AS BIGINT) AS v FROM nation
             UNION ALL SELECT 'forest', CAST(c_nationkey + {NATION} AS BIGINT), CAST(c_custkey + {CUSTOMER} AS BIGINT) FROM customer),
         f_v AS (SELECT 'forest' AS graph_id, CAST(r_regionkey AS BIGINT) AS node_id FROM region UNION ALL SELECT graph_id, v FROM f_e)""",
-    "r": f"""r_i AS (SELECT i, 5 + CAST(floor({uniform("'0:' || i || ':n'")} * {WIDTH}) AS BIGINT) AS n, CAST(0.15 AS DOUBLE) + {uniform("'0:' || i || ':p'")} * CAST({SPREAD!r} AS DOUBLE) AS p FROM range({GRAPHS}) t(i)),
+    "r": f"""r_i AS (SELECT i, 5 + CAST(floor({uniform("'0:' || i || ':n'")} * {WIDTH}) AS BIGINT) AS n, CAST(0.15 AS DOUBLE) + {uniform("'0:' || i || ':p'")} * CAST({SPREAD!r} AS DOUBLE) AS p FROM (SELECT s_suppkey AS i FROM supplier)),
         r_n AS (SELECT 'r' || i AS graph_id, i, n, p, unnest(range(n)) AS u FROM r_i),
         r_v AS (SELECT graph_id, u AS node_id FROM r_n),
         r_e AS (SELECT graph_id, u, v FROM (SELECT graph_id, i, p, u, unnest(range(u, n)) AS v FROM r_n)
             WHERE {uniform("'0:' || i || ':' || u || ':' || v")} < CASE WHEN u = v THEN CAST(0.1 AS DOUBLE) ELSE p END)""",
-    "k": f"k_v(graph_id, node_id) AS (VALUES {values(_nodes)}), k_e(graph_id, u, v) AS (VALUES {values(_edges)})",
 }
-PROJECTIONS["kr"] = f"{PROJECTIONS['k']}, {PROJECTIONS['r']}, kr_v AS (SELECT * FROM k_v UNION ALL SELECT * FROM r_v), kr_e AS (SELECT * FROM k_e UNION ALL SELECT * FROM r_e)"
 
 
 def graph(x: str) -> str:
@@ -52,20 +48,22 @@ def graph(x: str) -> str:
             LEFT JOIN (SELECT graph_id, count(*) AS m FROM {x}_e GROUP BY graph_id) e USING (graph_id))"""
 
 
-def distance(x: str, deepest: int) -> str:
-    """Distances (x_w) of different vertices at most so many steps apart."""
-    return f"""{x}_b(graph_id, src, dst, d) AS (
+def distance(x: str) -> str:
+    """Distances (x_w) of different vertices that a path joins."""
+    return f"""{x}_b(graph_id, src, dst, d) USING KEY (graph_id, src, dst) AS (
             SELECT graph_id, node_id, node_id, 0 FROM {x}_v
-            UNION SELECT b.graph_id, b.src, a.dst, b.d + 1 FROM {x}_b b JOIN {x}_a a ON a.graph_id = b.graph_id AND a.src = b.dst WHERE b.d < {deepest}),
-        {x}_w AS (SELECT graph_id, src, dst, min(d) AS distance FROM {x}_b WHERE src <> dst GROUP BY ALL)"""
+            UNION SELECT DISTINCT b.graph_id, b.src, a.dst, b.d + 1 FROM {x}_b b JOIN {x}_a a ON a.graph_id = b.graph_id AND a.src = b.dst
+                WHERE NOT EXISTS (SELECT 1 FROM recurring.{x}_b o WHERE o.graph_id = b.graph_id AND o.src = b.src AND o.dst = a.dst)),
+        {x}_w AS (SELECT graph_id, src, dst, d AS distance FROM {x}_b WHERE src <> dst)"""
 
 
 def girth(x: str) -> str:
-    """Girths (x_g) of small graphs: an edge and the shortest way around it."""
-    return f"""{x}_y(graph_id, u, v, node, d) AS (
+    """Girths (x_g), whatever their length: an edge and the shortest way around it."""
+    return f"""{x}_y(graph_id, u, v, node, d) USING KEY (graph_id, u, v, node) AS (
             SELECT graph_id, u, v, u, 0 FROM {x}_e WHERE u < v
-            UNION SELECT y.graph_id, y.u, y.v, a.dst, y.d + 1 FROM {x}_y y JOIN {x}_a a ON a.graph_id = y.graph_id AND a.src = y.node
-            WHERE y.d < 14 AND y.node <> y.v AND NOT (a.src = y.u AND a.dst = y.v) AND NOT (a.src = y.v AND a.dst = y.u)),
+            UNION SELECT DISTINCT y.graph_id, y.u, y.v, a.dst, y.d + 1 FROM {x}_y y JOIN {x}_a a ON a.graph_id = y.graph_id AND a.src = y.node
+                WHERE y.node <> y.v AND NOT (a.src = y.u AND a.dst = y.v) AND NOT (a.src = y.v AND a.dst = y.u)
+                AND NOT EXISTS (SELECT 1 FROM recurring.{x}_y o WHERE o.graph_id = y.graph_id AND o.u = y.u AND o.v = y.v AND o.node = a.dst)),
         {x}_z AS (SELECT graph_id, min(d) + 1 AS girth FROM {x}_y WHERE node = v GROUP BY graph_id
             UNION ALL SELECT graph_id, 1 FROM {x}_e WHERE u = v),
         {x}_g AS (SELECT v.graph_id, CAST(min(z.girth) AS INT) AS girth FROM {x}_v v LEFT JOIN {x}_z z USING (graph_id) GROUP BY v.graph_id)"""

@@ -23,14 +23,19 @@ def oriented(df: DataFrame, graph, a, b) -> DataFrame:
     return df.select(graph.alias("graph_id"), F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct()
 
 
-def hand_off(spark: SparkSession, sf_dir: str) -> Graphs:
-    """One graph for each day: users active that day, linked when one follows the other."""
-    events = read(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "ts", "event_id", "user_id")
+def hand_off(spark: SparkSession, sf_dir: str, span: str = "yyyy-MM-dd") -> Graphs:
+    """One graph for each day (or other span): users active then, linked when one follows the other."""
+    events = read(spark, sf_dir, "events").select(F.date_format("ts", span).alias("day"), "ts", "event_id", "user_id")
     after = F.lead("user_id").over(Window.partitionBy("day").orderBy("ts", "event_id"))
     pairs = events.select("day", "user_id", after.alias("next")).filter("next is not null")
     return events.select(F.col("day").alias("graph_id"), F.col("user_id").alias("node_id")).distinct(), oriented(pairs, F.col("day"), F.col("user_id"), F.col("next"))
 
 
+def hours(spark: SparkSession, sf_dir: str) -> Graphs:
+    """As :func:`hand_off` for each hour: many sparse graphs, with trees, rings and cycles of many lengths."""
+    return hand_off(spark, sf_dir, "yyyy-MM-dd HH")
+
+
 def supply(spark: SparkSession, sf_dir: str) -> Graphs:
     """Parts and suppliers, linked by line items."""
     parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("node_id"))
@@ -58,15 +63,15 @@ def forest(spark: SparkSession, sf_dir: str) -> Graphs:
     return ids.select(F.lit("forest").alias("graph_id"), F.col("v").alias("node_id")), nations.union(customers).select(F.lit("forest").alias("graph_id"), "u", "v")
 
 
-def random_graphs(spark: SparkSession, graphs: int = 40, min_nodes: int = 5, max_nodes: int = 12, min_prob: float = 0.15, max_prob: float = 0.60, self_loop_prob: float = 0.1, seed: int = 0) -> Graphs:
-    """Each graph draws its order and edge probability, then every pair and loop on its own.
+def random_graphs(graphs: DataFrame, min_nodes: int = 5, max_nodes: int = 12, min_prob: float = 0.15, max_prob: float = 0.60, self_loop_prob: float = 0.1, seed: int = 0) -> Graphs:
+    """For each row (id) a graph draws its order and edge probability, then every pair and loop on its own.
 
     Draws are md5 uniforms of (seed, graph, what), so every engine and every run has the same.
     """
     if min_nodes > max_nodes or min_prob > max_prob:
         raise ValueError("a minimum is over its maximum")
     draw = lambda *parts: uniform(F.lit(seed), *parts)
-    ids = spark.range(graphs).select(F.col("id"), (min_nodes + F.floor(draw(F.col("id"), F.lit("n")) * (max_nodes - min_nodes + 1))).alias("n"), (min_prob + draw(F.col("id"), F.lit("p")) * (max_prob - min_prob)).alias("p"))
+    ids = graphs.select(F.col("id"), (min_nodes + F.floor(draw(F.col("id"), F.lit("n")) * (max_nodes - min_nodes + 1))).alias("n"), (min_prob + draw(F.col("id"), F.lit("p")) * (max_prob - min_prob)).alias("p"))
     name = F.concat(F.lit("r"), F.col("id").cast("string"))
     nodes = ids.select(name.alias("graph_id"), "id", "n", "p", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("u"))
     pairs = nodes.select("graph_id", "id", "p", "u", F.explode(F.sequence(F.col("u"), F.col("n") - 1)).alias("v"))
@@ -93,7 +98,7 @@ def gold(spark: SparkSession) -> Graphs:
     return spark.createDataFrame(nodes, "graph_id string, node_id bigint"), spark.createDataFrame(edges, "graph_id string, u bigint, v bigint")
 
 
-def edgeless(spark: SparkSession, graph_id: str, n: int) -> Graphs:
-    """n vertices and no edge; n = 0 is the empty graph."""
-    nodes = spark.range(n).select(F.lit(graph_id).alias("graph_id"), F.col("id").alias("node_id"))
-    return nodes, spark.createDataFrame([], "graph_id string, u bigint, v bigint")
+def edgeless(orders: DataFrame) -> Graphs:
+    """For each row (graph_id, n) n vertices and no edge; n = 0 is the empty graph."""
+    nodes = orders.filter("n > 0").select("graph_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n").cast("bigint") - 1)).alias("node_id"))
+    return nodes, nodes.select("graph_id", F.col("node_id").alias("u"), F.col("node_id").alias("v")).limit(0)

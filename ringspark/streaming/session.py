@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ringspark.functions.bounds import check
+from ringspark.operators.lineage import fresh
 from ringspark.operators.search.methods import method
 from ringspark.schema import ABANDON_AFTER, EVICT_AFTER, STATUS
 
@@ -118,4 +119,5 @@ def debounced(events: DataFrame, session: str, at: str, quiet: float, *ties: str
     """Events that the session follows by none within ``quiet`` seconds: the last of each burst."""
     micros = F.unix_micros(F.col(at).cast("timestamp"))
     wait = F.lead(micros).over(Window.partitionBy(session).orderBy(at, *ties)) - micros
-    return events.withColumn("_wait", wait).filter(F.col("_wait").isNull() | (F.col("_wait") >= int(quiet * 1_000_000))).drop("_wait")
+    (own,) = fresh(events, "wait")
+    return events.withColumn(own, wait).filter(F.col(own).isNull() | (F.col(own) >= int(quiet * 1_000_000))).select(*events.columns)

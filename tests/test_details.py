@@ -6,7 +6,7 @@ import random
 import pytest
 
 from ringspark import cli, config
-from ringspark.operators import candidates, cycles, edits, history, layout
+from ringspark.operators import candidates, edits, history, layout
 from ringspark.operators.model import layers
 from ringspark.operators.search import methods, runner
 from ringspark.sources import edge_lists
@@ -37,22 +37,6 @@ def test_documents_are_written_one_to_a_line(spark, tmp_path):
     assert sorted(found, key=str) == sorted([{"name": "a", "girth": None}, {"name": None, "girth": 3.5}], key=str)
 
 
-def test_ancestors_of_any_depth(spark):
-    deep = spark.createDataFrame([(i, i - 1 if i else None) for i in range(90)], "node long, parent long")
-    found = history.propagate(deep, spark.createDataFrame([(89, 2.0)], "node long, reward double"))
-    assert {r.node: (r.visits, r.value) for r in found.collect()} == {i: (1, 2.0) for i in range(90)}
-    with pytest.raises(ValueError):
-        history.ancestors(spark.createDataFrame([(1, 2), (2, 1)], "node long, parent long"))
-
-
-def test_distances_of_any_length(spark):
-    path = spark.createDataFrame([("p", i, i + 1) for i in range(30)], "graph_id string, u long, v long")
-    far = {(r.src, r.dst): r.distance for r in cycles.within(path, None).collect()}
-    assert far == {(a, b): abs(a - b) for a in range(31) for b in range(31) if a != b}
-    one = cycles.within(path, None, spark.createDataFrame([("p", 0)], "graph_id string, src long"))
-    assert {r.dst: r.distance for r in one.collect()} == {b: b for b in range(1, 31)}
-
-
 def test_running_best_over_many_ranges(spark):
     rng = random.Random(1)
     rows = [(i, rng.random() + i / 500) for i in range(500)]

@@ -52,7 +52,7 @@ def rows_none(df):
 
 
 def test_empty_graph(spark):
-    vertices, edges = projections.edgeless(spark, "none", 0)
+    vertices, edges = projections.edgeless(spark.createDataFrame([("none", 0)], "graph_id string, n long"))
     goal = spark.createDataFrame([("none", 3, 5)], "graph_id string, k int, g int")
     (r,) = validate.validate(vertices, edges, goal).collect()
     assert (r["num_nodes"], r["num_edges"], r["girth"], r["is_k_regular"], r["is_valid_cage"]) == (0, 0, None, True, False)
@@ -120,7 +120,7 @@ def test_toggle_twice_is_nothing(spark):
 
 
 def test_random_edits_keep_the_tables_whole(spark):
-    vertices, edges = projections.random_graphs(spark, 10)
+    vertices, edges = projections.random_graphs(spark.range(10))
     v, e = edits.remove_random_vertex(vertices, edges)
     assert v.count() == vertices.count() - 10
     assert metrics.adjacency(e).join(v, (F.col("src") == F.col("node_id")) & (metrics.adjacency(e)["graph_id"] == v["graph_id"]), "left_anti").count() == 0
@@ -129,12 +129,12 @@ def test_random_edits_keep_the_tables_whole(spark):
 
 
 def test_degree_sum_is_twice_the_edges(spark):
-    vertices, edges = projections.random_graphs(spark, 30)
+    vertices, edges = projections.random_graphs(spark.range(30))
     assert metrics.degrees(vertices, edges).agg(F.sum("degree")).first()[0] == 2 * edges.count()
 
 
 def test_safe_pairs_keep_the_girth(spark):
-    vertices, edges = projections.random_graphs(spark, 8, self_loop_prob=0.0)
+    vertices, edges = projections.random_graphs(spark.range(8), self_loop_prob=0.0)
     safe = candidates.girth_safe(candidates.pairs(vertices, edges, 4), edges, 5).select("graph_id", "u", "v")
     before = dict(rows_none(cycles.girth(vertices, edges)))
     adjacency = {}
@@ -156,7 +156,7 @@ def test_fingerprint_is_the_same_after_renaming(spark):
 
 
 def test_print_and_parse(spark):
-    vertices, edges = projections.random_graphs(spark, 12)
+    vertices, edges = projections.random_graphs(spark.range(12))
     v, e = edge_lists.parse(edge_lists.print_lines(vertices, edges))
     assert rows(v, "graph_id", "node_id") == rows(vertices, "graph_id", "node_id")
     assert rows(e, "graph_id", "u", "v") == rows(edges, "graph_id", "u", "v")
@@ -170,11 +170,6 @@ def test_girth_by_brute_force(pairs):
     assert (cycles.shortest_cycle(near) or math.inf) == slow_girth(own)
 
 
-def test_cycles_beyond_the_deepest_level(spark):
-    vertices, edges = projections.gold(spark)
-    assert dict(rows_none(cycles.girth_by_levels(edges, deepest=2))) == {"petersen": 5, "heawood": 6, "c8": 8, "k4": 3, "loop": 1}
-
-
 def test_long_rings_and_random_graphs_by_brute_force():
     n = 20_001
     ring = cycles.of_edges(list(range(n)), [*range(1, n), 0])

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ringspark.operators import history, search
+from ringspark.operators import history, search, trees
 from ringspark.operators.model import layers, train
 from ringspark.operators.search.methods import METHODS, RandomWalk, method
 from ringspark.operators.search.runner import best_of_walkers, run, targets
@@ -70,7 +70,7 @@ def test_model_learns_and_travels(spark, tmp_path):
     assert figures["metrics"]["mean_absolute_error"] < 1.5
     layers.save_weights(spark, model, str(tmp_path / "w"))
     back = layers.load_weights(spark, str(tmp_path / "w"))
-    vertices, edges = projections.random_graphs(spark, 4)
+    vertices, edges = projections.random_graphs(spark.range(4))
     rows = layers.features(vertices).cache()
     got = {(r["graph_id"], r["node_id"]): r["score"] for r in layers.forward(rows, edges, back).collect()}
     nodes = {}
@@ -91,7 +91,7 @@ def test_reports(spark):
     rows = spark.createDataFrame([(1, 50.0, 1.0), (2, 80.0, 0.5), (3, 80.0, 0.4), (4, 70.0, 0.1)], "epoch int, accuracy double, mae double")
     assert history.best_epoch(rows).first()["epoch"] == 3
     tree = spark.createDataFrame([(0, None), (1, 0), (2, 1)], "node int, parent int")
-    got = history.propagate(tree, spark.createDataFrame([(2, 1.0), (1, 0.5)], "node int, reward double"))
+    got = trees.propagate(tree, spark.createDataFrame([(2, 1.0), (1, 0.5)], "node int, reward double"))
     assert {r["node"]: (r["visits"], r["value"]) for r in got.collect()} == {0: (2, 1.5), 1: (2, 1.5), 2: (1, 1.0)}
 
 
