@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ringspark.functions import basic, bounds
-from ringspark.operators import candidates, edits, fingerprint, history, layout, metrics, validate
+from ringspark.operators import candidates, distances, edits, fingerprint, history, layout, metrics, multisets, validate
 from ringspark.operators.lineage import held
 from ringspark.operators.model import layers
 from ringspark.operators.search import runner
 from ringspark.schema import RANDOM_GRAPH, TARGETS
-from ringspark.sources import edge_lists, projections
+from ringspark.sources import edge_lists, projections, sinks
 from ringspark.streaming import session
 
 from . import sql
@@ -374,3 +374,78 @@ def layout_switched_off(spark, sf_dir):
 @query(f"WITH {PLACED} SELECT graph_id, node_id, round(x + ({drawn('1', 'graph_id', 'node_id', chr(39) + 'x' + chr(39))} - 0.5) * 10, 6) + 0.0::DOUBLE AS x, round(y + ({drawn('1', 'graph_id', 'node_id', chr(39) + 'y' + chr(39))} - 0.5) * 10, 6) + 0.0::DOUBLE AS y FROM pos")
 def layout_jitter(spark, sf_dir):
     return rounded_places(layout.jitter(layout.circle(t(spark, sf_dir)[0]), seed=1))
+
+
+# --- graphs larger than a task ----------------------------------------------------------
+
+
+def numbers(text: str) -> str:
+    return ", ".join(f"CAST(('0x' || substr(md5({text}), {at}, 15)) AS BIGINT)::HUGEINT AS {x}" for x, at in (("a", 1), ("b", 16)))
+
+
+@query(f"""WITH {graph("b")}, l AS (SELECT 0 AS s, node_id AS u, node_id AS v, node_id::VARCHAR AS line FROM b_d WHERE degree = 0 UNION ALL SELECT 1, u, v, u || ' ' || v FROM b_e)
+    SELECT 'supply' AS graph_id, (sum(strlen(line) + 1) OVER (ORDER BY s, u, v) - strlen(line) - 1)::BIGINT AS start, line FROM l""")
+def printed_supply(spark, sf_dir):
+    """Every line of the edge list of one large graph, with the byte where it starts in the text."""
+    return sinks.placed(*projections.supply(spark, sf_dir))
+
+
+@query(f"""WITH {graph("b")}, x AS (SELECT {numbers("u || '-' || v")} FROM b_e) SELECT 'supply' AS graph_id, (sum(a) % {multisets.WRAP})::BIGINT AS a, (sum(b) % {multisets.WRAP})::BIGINT AS b FROM x""")
+def supply_fingerprint(spark, sf_dir):
+    return multisets.of_edges(*projections.supply(spark, sf_dir))
+
+
+#: States of an hour's graph: for every other edge of the hour before, the graph with that edge toggled.
+STATES = f"""{graph("t")}, o AS (SELECT strftime(strptime(graph_id, '%Y-%m-%d %H') + INTERVAL 1 HOUR, '%Y-%m-%d %H') AS graph_id, u, v FROM t_e),
+    d AS (SELECT graph_id, u || '/' || v AS state, u, v FROM o SEMI JOIN t_c USING (graph_id)),
+    e AS (SELECT DISTINCT d.graph_id, state, t_e.u, t_e.v FROM d JOIN t_e USING (graph_id)),
+    w AS (SELECT graph_id, state, u, v FROM (SELECT * FROM e UNION ALL SELECT graph_id, state, u, v FROM d) GROUP BY ALL HAVING count(*) = 1
+        UNION ALL SELECT d.graph_id, d.state, NULL, NULL FROM d),
+    n AS (SELECT graph_id, state, {numbers("coalesce(u || '-' || v, '')")}, u IS NULL AS none FROM w),
+    f AS (SELECT graph_id, state, coalesce(sum(a) FILTER (NOT none), 0) % {multisets.WRAP} || '-' || coalesce(sum(b) FILTER (NOT none), 0) % {multisets.WRAP} AS fingerprint FROM n GROUP BY ALL),
+    y AS (SELECT {numbers("u || '-' || v")}, graph_id FROM t_e), z AS (SELECT graph_id, sum(a) % {multisets.WRAP} || '-' || sum(b) % {multisets.WRAP} AS fingerprint FROM y GROUP BY graph_id)"""
+
+
+def states(spark, sf_dir):
+    """(fingerprints of the hours, fingerprints of their states)."""
+    vertices, edges = t(spark, sf_dir)
+    later = F.date_format(F.to_timestamp("graph_id", "yyyy-MM-dd HH") + F.expr("INTERVAL 1 HOUR"), "yyyy-MM-dd HH")
+    tried = edges.select(later.alias("graph_id"), F.concat_ws("/", "u", "v").alias("state"), "u", "v")
+    prints = multisets.of_edges(vertices, edges)
+    return prints, multisets.edited(prints, edges, tried)
+
+
+@query(f"WITH {STATES} SELECT graph_id, state, fingerprint FROM f")
+def edited_fingerprints(spark, sf_dir):
+    return multisets.named(states(spark, sf_dir)[1])
+
+
+@query(f"WITH {STATES} SELECT fingerprint, min(graph_id || ' ' || state) AS graph_id FROM f WHERE fingerprint NOT IN (SELECT fingerprint FROM z) GROUP BY fingerprint")
+def unseen_states(spark, sf_dir):
+    """States that are no hour's graph, each fingerprint once."""
+    seen, tried = states(spark, sf_dir)
+    return fingerprint.unseen(multisets.named(tried).select(F.concat_ws(" ", "graph_id", "state").alias("graph_id"), "fingerprint"), multisets.named(seen))
+
+
+def refined_sums(x: str, rounds: int) -> str:
+    out = f"{graph(x)}, l0 AS (SELECT graph_id, node_id, degree::VARCHAR AS label FROM {x}_d)"
+    for i in range(rounds):
+        out += f""", n{i} AS (SELECT graph_id, node_id, label, {numbers("label")} FROM l{i}),
+            l{i + 1} AS (SELECT l.graph_id, l.node_id, md5(any_value(l.label) || ':' || coalesce(sum(m.a), 0) % {multisets.WRAP} || ':' || coalesce(sum(m.b), 0) % {multisets.WRAP}) AS label
+            FROM n{i} l LEFT JOIN {x}_a a ON a.graph_id = l.graph_id AND a.src = l.node_id LEFT JOIN n{i} m ON m.graph_id = a.graph_id AND m.node_id = a.dst GROUP BY l.graph_id, l.node_id)"""
+    return out + f", g AS (SELECT graph_id, {numbers('label')} FROM l{rounds})"
+
+
+@query(f"WITH {refined_sums('h', 3)} SELECT graph_id, (sum(a) % {multisets.WRAP})::BIGINT AS a, (sum(b) % {multisets.WRAP})::BIGINT AS b FROM g GROUP BY graph_id")
+def refined_fingerprint(spark, sf_dir):
+    return multisets.refined(*h(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {graph("h")}, {sql.distance("h")}, p AS (SELECT graph_id, min(node_id) AS u, max(node_id) AS v FROM h_v GROUP BY graph_id UNION SELECT graph_id, min(node_id), min(node_id) + 7 FROM h_v GROUP BY graph_id)
+    SELECT p.graph_id, p.u, p.v, coalesce(w.distance, 0)::BIGINT AS distance FROM p LEFT JOIN h_w w ON w.graph_id = p.graph_id AND w.src = p.u AND w.dst = p.v WHERE w.distance IS NOT NULL OR p.u = p.v""")
+def asked_distances(spark, sf_dir):
+    """Distances of two pairs of each day; the searches of other vertices are never begun."""
+    vertices, edges = h(spark, sf_dir)
+    least, most = F.min("node_id"), F.max("node_id")
+    ends = vertices.groupBy("graph_id").agg(least.alias("u"), F.array(most, least + 7).alias("to"))
+    return distances.asked(edges, ends.select("graph_id", "u", F.explode("to").alias("v")))

@@ -6,7 +6,8 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
-from ringspark.operators import candidates, contraction, cycles, distances, history, indexes, lineage, metrics, sampling, trees
+from ringspark.operators import candidates, contraction, cycles, distances, history, indexes, lineage, metrics, multisets, sampling, trees
+from ringspark.sources import edge_lists, sinks
 from ringspark.streaming import session
 
 GRAPH = "graph_id string, u bigint, v bigint"
@@ -171,3 +172,46 @@ def test_columns_of_any_name_stay(spark):
         assert len(kept) == 20 and set(rows.columns) <= set(found.columns) and all(r[c][0] == "k" and r[c] == r["range"] for r in kept for c in names)
     assert lineage.fresh(rows, "range", "x") == ("range_", "x")
     assert metrics.dense_index(spark.createDataFrame([], "graph_id string, node_id long")).count() == 0
+
+
+def test_fingerprints_follow_edits(spark):
+    rng = random.Random(7)
+    own = {g: {tuple(sorted(rng.sample(range(12), 2))) for _ in range(14)} for g in ("a", "b")} | {"c": set()}
+    vertices = spark.createDataFrame([(g, i) for g in own for i in range(12)], "graph_id string, node_id long")
+    table = lambda graphs: spark.createDataFrame([(g, u, v) for g, e in graphs.items() for u, v in e], GRAPH)
+    prints = multisets.of_edges(vertices, table(own))
+    assert {(r.graph_id, r.a == 0 and r.b == 0) for r in prints.collect()} == {("a", False), ("b", False), ("c", True)}
+    toggles = {(g, s): {tuple(sorted(rng.sample(range(12), 2))) for _ in range(s)} for g in own for s in (1, 3, 6)}
+    toggles["a", 9] = own["a"]
+    edits = spark.createDataFrame([(g, s, u, v) for (g, s), e in toggles.items() for u, v in e], "graph_id string, state long, u long, v long")
+    found = {(r.graph_id, r.state): r.fingerprint for r in multisets.named(multisets.edited(prints, table(own), edits)).collect()}
+    after = {f"{g}{s}": own[g] ^ e for (g, s), e in toggles.items()}
+    spots = spark.createDataFrame([(x, 0) for x in after], "graph_id string, node_id long")
+    want = {r.graph_id: r.fingerprint for r in multisets.named(multisets.of_edges(spots, table(after))).collect()}
+    assert {f"{g}{s}": p for (g, s), p in found.items()} == want and found["a", 9] == "0-0"
+    name = dict(enumerate(rng.sample(range(50, 99), 12)))
+    moved = {g: {(name[u], name[v]) for u, v in e} for g, e in own.items()}
+    same = lambda v, e: {(r.graph_id, r.a, r.b) for r in multisets.refined(v, e).collect()}
+    renamed = spark.createDataFrame([(g, name[i]) for g in own for i in range(12)], "graph_id string, node_id long")
+    labels = same(vertices, table(own))
+    assert labels == same(renamed, table(moved)) and len({x[1:] for x in labels}) == 3
+
+
+def test_edge_lists_in_parts(spark, tmp_path):
+    rng = random.Random(8)
+    edges = spark.createDataFrame([(g, *sorted((rng.randrange(300), rng.randrange(300)))) for g in ("a", "b") for _ in range(400)], GRAPH).distinct()
+    vertices = spark.createDataFrame([(g, i) for g in ("a", "b", "c") for i in range(310)], "graph_id string, node_id long")
+    text = {r.graph_id: r.text for r in edge_lists.print_lines(vertices, edges).collect()}
+    manifest = sinks.write(vertices, edges, f"file://{tmp_path}/out", parts=7).collect()
+    assert len({(r.graph_id, r.part) for r in manifest}) == len(manifest) > 7
+    for g, whole in text.items():
+        at = 0
+        for r in sorted((r for r in manifest if r.graph_id == g), key=lambda r: r.part):
+            (file,) = (tmp_path / "out" / f"graph_id={g}" / f"part={r.part}").glob("part-*")
+            assert r.start == at and file.read_text() == (whole + "\n")[at : at + r.bytes]
+            at += r.bytes
+        assert at == len(whole) + 1
+    back = sinks.read(spark, f"file://{tmp_path}/out")
+    assert sorted(r.line for r in back.filter("graph_id = 'b'").collect()) == sorted(text["b"].split("\n"))
+    with pytest.raises(Exception, match="_manifest"):
+        sinks.read(spark, f"file://{tmp_path}/nothing")
