@@ -82,7 +82,8 @@ def roles(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """(page_id, digest, first) of the records that revisit another."""
     payload = F.coalesce(pages["html"].cast("string"), F.lit(""))
     heads = pages.select(pages["page_id"].cast("long").alias("page_id"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n")).filter((F.col("n") >= least) & F.col("page_id").isNotNull())
-    first = heads.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).filter("first <> last").select("digest", "first")
+    # written, so that the join can split a payload that very many pages share
+    first = cut(heads.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).filter("first <> last").select("digest", "first"), "first-pages")
     return heads.join(first, "digest").filter("page_id <> first").select("page_id", "digest", "first").distinct()
 
 
@@ -93,8 +94,11 @@ def write(pages: DataFrame, folder: str, shards: int | None = None, roll_bytes:
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), F.lit(1).alias("kind"), pages["url"].cast("string").alias("url"), payload.alias("payload"), F.lit(None).cast("long").alias("first"))
     marks = revisits.select("page_id", F.lit(0).alias("kind"), F.col("digest").alias("url"), F.lit("").alias("payload"), "first")
     n = shards or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # equal rows may come in any order, so the payload is the last sort key
-    ordered = rows.union(marks).repartitionByRange(n, "page_id").sortWithinPartitions("page_id", "kind", "url", "payload")
+    # rows without an id are dealt over ranges of their own; equal rows may come in any order, so
+    # the payload is the last sort key
+    dealt = F.when(F.col("page_id").isNull(), F.xxhash64("url", "payload")).otherwise(0)
+    keyed = rows.union(marks).select("page_id", "kind", "url", "payload", "first", dealt.alias("dealt"))
+    ordered = keyed.repartitionByRange(n, "page_id", "dealt").sortWithinPartitions("page_id", "dealt", "kind", "url", "payload").drop("dealt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = place(folder)
