@@ -151,7 +151,14 @@ def laced(data: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
 
 
 def parse(data: bytes) -> Media:
-    """Packets and cues of a file."""
+    """Packets and cues of a file; a damaged one raises ValueError, wherever it is cut."""
+    try:
+        return parsed(data)
+    except (IndexError, struct.error, UnicodeDecodeError) as e:
+        raise ValueError(f"damaged file: {e}") from e
+
+
+def parsed(data: bytes) -> Media:
     packets: list[Packet] = []
     cues: list[tuple[int, int, int]] = []
     seen = {"doctype": "", "codec": "", "depth": 0, "duration": 0.0}
@@ -181,6 +188,8 @@ def parse(data: bytes) -> Media:
             continue
         if number in (SIMPLE, BLOCK):
             track, body, _ = number_at(data, at)
+            if body + 3 > end:
+                raise ValueError("cut off in a block")
             (delta,), flags = struct.unpack_from(">h", data, body), data[body + 2]
             kind = flags >> 1 & 3
             time, blocks = (stamp + delta) * scale, blocks + 1
@@ -219,7 +228,7 @@ def payload_of(data: bytes, media: Media, track: int = 1) -> bytes:
 
 def describe(data: bytes, media: Media) -> str:
     """The feature string: the packet table in short."""
-    last = media.packets[-1]
+    last = media.packets[-1] if media.packets else Packet(0, 0, 0, 0, "none", 0)
     sound = all(data[p : p + 4] == CLUSTER.to_bytes(4, "big") for _, _, p in media.cues)
     lacing = "+".join(sorted({p.lacing for p in media.packets}))
     return f"{media.doctype} {media.codec} depth={media.depth} packets={len(media.packets)} blocks={media.blocks} clusters={media.clusters} cues={len(media.cues)}{'' if sound else '!'} lacing={lacing} end_ms={last.timestamp + media.lasts.get(last.track, 0) // 1_000_000} duration_ms={media.duration:.0f} last={last.start}+{last.length}"
@@ -238,16 +247,24 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row for each packet of each file, with its place in the file."""
+    """One row for each packet of each file, with its place in the file.
+
+    A damaged file gives one row of nulls with what is wrong in ``error``; a null gives none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows = [(key, i, *p) for i, p in enumerate(parse(data).packets)] if data is not None else []
+                try:
+                    rows = [(key, i, *p, None) for i, p in enumerate(parse(data).packets)] if data is not None else []
+                except ValueError as e:
+                    rows = [(key, *[None] * 7, str(e))]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) if i else pa.array(c, pa.int64()) for i, c in enumerate(zip(*rows, strict=True))], ["doc_id", "packet", "track", "timestamp_ms", "start", "length", "lacing", "cluster"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    schema = "doc_id long, packet long, track long, timestamp_ms long, start long, length long, lacing string, cluster long"
+    names = ["doc_id", "packet", "track", "timestamp_ms", "start", "length", "lacing", "cluster", "error"]
+    kinds = [pa.string() if c in ("lacing", "error") else pa.int64() for c in names]
+    schema = "doc_id long, packet long, track long, timestamp_ms long, start long, length long, lacing string, cluster long, error string"
     return media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(run, schema)
 
 

@@ -619,6 +619,19 @@ def test_packets(docs):
         assert [p.timestamp for p in parsed.packets] == [24 * k for k in range(len(parsed.packets))]
 
 
+def test_damaged_files_have_a_defined_result(spark):
+    whole = matroska.write(matroska.pad(b"some text " * 60))
+    for n in range(len(whole)):
+        try:
+            matroska.parse(whole[:n])
+        except ValueError:
+            pass
+    assert "packets=0" in matroska.describe(b"", matroska.parse(b""))
+    files = spark.createDataFrame([(1, bytearray(whole)), (2, bytearray(whole[:-5])), (3, None), (4, bytearray())], "doc_id long, media binary")
+    found = matroska.packet_table(files).collect()
+    assert {r["doc_id"] for r in found if r["error"] is None} == {1} and [(r["doc_id"], r["packet"]) for r in found if r["error"]] == [(2, None)]
+
+
 def test_lacings_and_damage():
     frames = [bytes([k]) * n for k, n in enumerate((1, 300, 255, 7, 600))]
     xiph = bytes([len(frames) - 1]) + b"".join(b"\xff" * (len(f) // 255) + bytes([len(f) % 255]) for f in frames[:-1])
