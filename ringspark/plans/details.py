@@ -339,8 +339,8 @@ def search_walk_checked(spark, sf_dir):
     edges = found.select(name.alias("graph_id"), F.explode("edges").alias("e")).select("graph_id", "e.u", "e.v")
     vertices = edges.select("graph_id", F.col("u").alias("node_id")).union(edges.select("graph_id", "v")).distinct()
     goals = found.select(name.alias("graph_id"), "k", "g")
-    held = validate.validate(vertices, edges, goals).select("graph_id", "is_valid_cage", "num_nodes")
-    own = found.withColumn("graph_id", name).join(held, "graph_id", "left")
+    claims = validate.validate(vertices, edges, goals).select("graph_id", "is_valid_cage", "num_nodes")
+    own = found.withColumn("graph_id", name).join(claims, "graph_id", "left")
     return own.select("k", "g", (F.col("success") == (F.coalesce("is_valid_cage", F.lit(False)) & (F.col("num_nodes") == F.col("final_n")))).alias("consistent"))
 
 
