@@ -784,7 +784,7 @@ def test_queries_and_pipeline(spark):
     import corpus_pipeline
 
     names = __spark_entry__.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {x.split("_")[0] + "_" for x in names if x.startswith("op")} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} == {x.split("_")[0] + "_" for x in names if x.startswith("op")} and "pipeline" in names
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     ids = {r["doc_id"] for r in docs.select("doc_id").collect()}
