@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ringspark.functions.basic import uniform
 
+from . import repulsion
 from .metrics import KEY, adjacency, dense_index
 
 # Fixed values: (a) spring model, (b) legacy model.
@@ -77,19 +78,24 @@ def spring_step(positions: DataFrame, edges: DataFrame, millis: float = 16.67) -
     return moved.select(*KEY, *(place(c, clamp(F.coalesce(f"f{c}", F.lit(0.0)) * scale)) for c in "xy"), "fixed")
 
 
-def legacy_step(positions: DataFrame, edges: DataFrame, on: bool = True) -> DataFrame:
+def legacy_step(positions: DataFrame, edges: DataFrame, on: bool = True, tolerance: float | None = None) -> DataFrame:
     """Model (b): springs, repulsion of all pairs, a pull to the centre, damping.
 
     Positions may have velocities vx, vy; without them vertices start from rest.  A vertex's
     velocity takes in the force and is damped, and moves it unless it is fixed.  Switched off,
-    nothing moves and velocities are 0.
+    nothing moves and velocities are 0.  With a tolerance, repulsion goes through a hierarchy of
+    cells (:mod:`repulsion`, which states the bound) and not through all pairs.
     """
     moving = {c: F.col(f"v{c}") if f"v{c}" in positions.columns else F.lit(0.0) for c in "xy"}
     if not on:
         return positions.select(*KEY, "x", "y", "fixed", F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"))
     pull = along(positions, edges).withColumn("f", LEGACY["spring"] * (F.col("d") - LEGACY["rest"]))
-    push = apart(positions).withColumn("f", -LEGACY["repulsion"] / (F.col("d") * F.col("d")))
-    forced = positions.join(summed(pull, push), KEY, "left")
+    if tolerance is None:
+        force = summed(pull, apart(positions).withColumn("f", -LEGACY["repulsion"] / (F.col("d") * F.col("d"))))
+    else:
+        push = repulsion.forces(positions, LEGACY["repulsion"], tolerance).select(*KEY, "fx", "fy")
+        force = summed(pull).union(push).groupBy(*KEY).agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
+    forced = positions.join(force, KEY, "left")
     speed = {c: F.when(F.col("fixed"), moving[c]).otherwise(LEGACY["damping"] * (moving[c] + F.coalesce(f"f{c}", F.lit(0.0)) - LEGACY["centre"] * F.col(c))) for c in "xy"}
     return forced.select(*KEY, *(place(c, speed[c]) for c in "xy"), "fixed", *(speed[c].alias(f"v{c}") for c in "xy"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ringspark.functions import basic, bounds
-from ringspark.operators import candidates, distances, edits, fingerprint, history, layout, metrics, multisets, validate
+from ringspark.operators import candidates, distances, edits, fingerprint, history, layout, metrics, multisets, repulsion, validate
 from ringspark.operators.lineage import held
 from ringspark.operators.model import layers
 from ringspark.operators.search import runner
@@ -376,6 +376,26 @@ def layout_jitter(spark, sf_dir):
     return rounded_places(layout.jitter(layout.circle(t(spark, sf_dir)[0]), seed=1))
 
 
+def spread(spark, sf_dir):
+    """The places of one large graph: a circle whose vertices are moved by up to its radius."""
+    return layout.jitter(layout.circle(projections.supply(spark, sf_dir)[0]), seed=2, width=400.0)
+
+
+@query(f"""WITH {graph("b")}, i AS (SELECT graph_id, node_id, row_number() OVER (ORDER BY node_id) - 1 AS idx, count(*) OVER () AS n FROM b_v),
+    p AS (SELECT graph_id, node_id, 200 * cos(idx / n::DOUBLE * (2 * pi()) - pi() / 2) + ({drawn('2', 'graph_id', 'node_id', chr(39) + 'x' + chr(39))} - 0.5) * 400 AS x, 200 * sin(idx / n::DOUBLE * (2 * pi()) - pi() / 2) + ({drawn('2', 'graph_id', 'node_id', chr(39) + 'y' + chr(39))} - 0.5) * 400 AS y FROM i)
+    SELECT a.graph_id, a.node_id, count(b.node_id) AS acting FROM p a LEFT JOIN p b ON a.node_id <> b.node_id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) >= {repulsion.LEAST} GROUP BY ALL""")
+def repulsion_acting(spark, sf_dir):
+    """How many vertices push each vertex: every pair of cells counted once, and none twice."""
+    return repulsion.forces(spread(spark, sf_dir), layout.LEGACY["repulsion"]).select("graph_id", "node_id", "acting")
+
+
+@query()
+def layout_step_cells(spark, sf_dir):
+    """A step of the legacy model over one large graph, without its pairs; tests compare it with all of them."""
+    found = layout.legacy_step(spread(spark, sf_dir), projections.supply(spark, sf_dir)[1], tolerance=0.05)
+    return found.select("graph_id", "node_id", "x", "y", "vx", "vy")
+
+
 # --- graphs larger than a task ----------------------------------------------------------
 
 
