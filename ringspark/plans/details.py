@@ -8,7 +8,7 @@ from ringspark.functions import basic, bounds
 from ringspark.operators import candidates, distances, edits, fingerprint, history, layout, metrics, multisets, repulsion, validate
 from ringspark.operators.lineage import held
 from ringspark.operators.model import layers
-from ringspark.operators.search import runner
+from ringspark.operators.search import frontier, runner
 from ringspark.schema import RANDOM_GRAPH, TARGETS
 from ringspark.sources import edge_lists, projections, sinks
 from ringspark.streaming import session
@@ -351,6 +351,35 @@ def visited_insert(spark, sf_dir):
     return fingerprint.insert(visited, states)
 
 
+#: The girth of graphs of degree K that sessions search for from the hours' graphs.
+SOUGHT = 7
+
+
+def best_first(n: str, m: str, share: str, cycle: str) -> str:
+    size, full = sql.NEAR.format(a=n, b="mb"), sql.NEAR.format(a=m, b=f"({n} * k // 2)")
+    return f"round(0.3 * (({share} + {size} + {sql.term(cycle)}) / 3) + 0.3 * {share} + 0.15 * {size} + 0.15 * {full} + 0.1 * {sql.term(cycle)}, 9)"
+
+
+@query(f"""WITH RECURSIVE {sql.figures("t", f"SELECT graph_id, {K}::INT AS k, {SOUGHT}::INT AS g, {bounds.moore(K, SOUGHT)}::BIGINT AS mb FROM (SELECT DISTINCT graph_id FROM t_v)")}, {sql.distance("t")},
+    o AS (SELECT *, share * n AS own FROM t_f WHERE n <= {bounds.upper(K, SOUGHT)} AND NOT (regular AND coalesce(girth = g, false))),
+    low AS (SELECT d.* FROM t_d d WHERE d.degree < {K}),
+    p AS (SELECT a.graph_id, a.node_id AS u, b.node_id AS v, (a.degree + 1 = {K})::INT + (b.degree + 1 = {K})::INT AS more FROM low a JOIN low b ON a.graph_id = b.graph_id AND a.node_id < b.node_id),
+    s AS (SELECT o.graph_id, 'edge' AS kind, p.u, p.v, n, m + 1 AS m, (own + more) / n AS share, least(girth, w.distance + 1)::BIGINT AS girth, k, g, mb FROM p JOIN o USING (graph_id) LEFT JOIN t_w w ON w.graph_id = p.graph_id AND w.src = p.u AND w.dst = p.v
+        WHERE coalesce(w.distance, 999999) > {SOUGHT - 2} UNION ALL
+        SELECT graph_id, 'vertex', (SELECT max(node_id) + 1 FROM t_v x WHERE x.graph_id = o.graph_id), NULL, n + 1, m, own / (n + 1), girth, k, g, mb FROM o WHERE n < 2 * mb)
+    SELECT graph_id AS session, kind, u, v, n, m, girth, {best_first("n", "m", "share", "girth")} AS score FROM s""")
+def frontier_round(spark, sf_dir):
+    """The frontier of each hour's session after its first state is expanded."""
+    found = frontier.run(*t(spark, sf_dir), K, SOUGHT, rounds=1)
+    return found.frontier.select("session", "kind", "u", "v", "n", "m", "girth", "score")
+
+
+@query()
+def frontier_search(spark, sf_dir):
+    """Four rounds of best-first search from each hour's graph; tests compare rounds with a plain search."""
+    return frontier.run(*t(spark, sf_dir), K, SOUGHT, rounds=4).sessions
+
+
 # --- layout -----------------------------------------------------------------------------
 
 
