@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ringspark.functions import basic, bounds
 from ringspark.operators import candidates, distances, edits, fingerprint, history, layout, metrics, multisets, repulsion, validate
 from ringspark.operators.lineage import held
-from ringspark.operators.model import layers
+from ringspark.operators.model import batches, layers, train
 from ringspark.operators.search import frontier, runner
 from ringspark.schema import RANDOM_GRAPH, TARGETS
 from ringspark.sources import edge_lists, projections, sinks
@@ -68,6 +69,13 @@ def training_sample(spark, sf_dir):
     return rows.select("graph_id", "node_id", F.round(F.col("features")[0], 9).alias("norm"), F.size("features").alias("width"), "label")
 
 
+@query()
+def training_gradient(spark, sf_dir):
+    """Gradients, loss and running statistics of a first step over all hours' graphs, added up by Spark."""
+    start = train.start(8, np.random.default_rng(0))
+    return batches.summed(batches.graph_rows(*t(spark, sf_dir)), start, 0).select("place", F.round("value", 6).alias("value"))
+
+
 @query(f"""WITH {ASKED}, p AS (SELECT k, g, [(k - 1) ** i FOR i IN range(0, 12)] AS w FROM a WHERE k BETWEEN 2 AND 4 AND g >= 3),
     m AS (SELECT k, g, (CASE WHEN g % 2 = 1 THEN 1 + k * list_sum(w[1:(g - 1) // 2]) ELSE 2 * list_sum(w[1:g // 2]) END)::BIGINT AS n FROM p)
     SELECT s_suppkey::VARCHAR AS graph_id, n AS num_nodes, 0::BIGINT AS num_edges FROM supplier JOIN m ON k = s_suppkey % 3 + 2 AND g = s_nationkey % 7 + 3""")
