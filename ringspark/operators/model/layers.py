@@ -18,9 +18,14 @@ INPUT = 4
 
 
 def features(vertices: DataFrame, seed: int = 42) -> DataFrame:
-    """(graph_id, node_id, features): normalised index, two normals, one uniform."""
+    """(graph_id, node_id, features): normalised index, two normals, one uniform.
+
+    Draws are md5 uniforms of the vertex, so they do not depend on how rows are split over tasks.
+    """
     own = dense_index(vertices)
-    return own.select(*KEY, F.array("norm", F.randn(seed), F.randn(seed + 1), F.rand(seed)).alias("features"))
+    draw = lambda i: uniform(F.lit(seed), *(F.col(c) for c in KEY), F.lit(i))
+    length, turn = F.sqrt(-2 * F.log(1 - draw(0))), 2 * F.pi() * draw(1)
+    return own.select(*KEY, F.array("norm", length * F.cos(turn), length * F.sin(turn), draw(2)).alias("features"))
 
 
 def neighbor_sum(rows: DataFrame, edges: DataFrame, width: int) -> DataFrame:
