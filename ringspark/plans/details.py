@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from ringspark.functions import basic, bounds
 from ringspark.operators import candidates, distances, edits, fingerprint, history, layout, metrics, multisets, repulsion, validate
-from ringspark.operators.lineage import held
+from ringspark.operators.lineage import held, shared_dir
 from ringspark.operators.model import batches, layers, train
 from ringspark.operators.search import frontier, runner
 from ringspark.schema import RANDOM_GRAPH, TARGETS
 from ringspark.sources import edge_lists, projections, sinks
-from ringspark.streaming import session
+from ringspark.streaming import lifetimes, session
 
 from . import sql
 from .catalog import ASKED, FIGURES, PLACED, SAFE, SIMPLE, TURN, G, K, asked, guessed, h, query, r, rounded_places, simple, t, wanted
@@ -284,6 +286,41 @@ def debounced(spark, sf_dir):
     return session.debounced(events, "user_id", "ts", 3600, "event_id").select("user_id", "event_id")
 
 
+#: Sessions of events, counted in ticks of ten minutes: signups start them, purchases stop them.
+TICK, LIMITS = 600, lifetimes.Rules(idle=72, keep=144, sweep=36, most=300)
+
+
+@query(f"""WITH RECURSIVE x AS (SELECT user_id AS session, epoch_us(ts) // {TICK * 1_000_000} AS tick, coalesce(event_type, '') AS kind FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+    w AS (SELECT epoch_ms(max(ts)) // {TICK * 1000} AS until FROM events),
+    c AS (SELECT session, tick, count(*) FILTER (kind = 'signup') > 0 AS begins, count(*) FILTER (kind NOT IN ('signup', 'purchase')) AS asks, count(*) FILTER (kind = 'purchase') > 0 AS halts FROM x, w WHERE tick < until GROUP BY ALL
+        UNION ALL SELECT DISTINCT session, until, false, 0, false FROM x, w),
+    r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY tick) AS rn FROM c),
+    life AS (SELECT DISTINCT session, 0::BIGINT AS rn, 'none' AS stage, 0::BIGINT AS started, 0::BIGINT AS last, 0::BIGINT AS ended, 0::BIGINT AS polls, 0::BIGINT AS steps,
+            [{{'event': 'none', 'started': 0::BIGINT, 'tick': 0::BIGINT, 'polls': 0::BIGINT, 'steps': 0::BIGINT}}] AS said FROM x
+        UNION ALL SELECT session, rn, CASE WHEN halts THEN 'none' ELSE stage END, started, last, ended, polls, steps,
+            CASE WHEN halts AND stage <> 'none' THEN list_append(said, {{'event': 'stopped', 'started': started, 'tick': tick, 'polls': polls, 'steps': CASE stage WHEN 'running' THEN tick - started ELSE steps END}}) ELSE said END
+        FROM (SELECT session, place AS rn, tick, halts, CASE WHEN begins AND stage <> 'running' THEN 'running' ELSE stage END AS stage, CASE WHEN begins AND stage <> 'running' THEN tick ELSE started END AS started,
+                CASE WHEN begins OR (asks > 0 AND stage <> 'none') THEN tick ELSE last END AS last, ended, steps,
+                CASE WHEN begins AND stage <> 'running' THEN 0 ELSE polls END + CASE WHEN begins OR stage <> 'none' THEN asks ELSE 0 END AS polls,
+                CASE WHEN begins AND stage IN ('complete', 'abandoned') THEN list_append(said, {{'event': 'evicted', 'started': started, 'tick': tick, 'polls': polls, 'steps': steps}}) ELSE said END AS said
+            FROM (SELECT * REPLACE (CASE WHEN stage = 'abandoned' AND sweep <= tick THEN 'none' ELSE stage END AS stage,
+                    CASE WHEN stage = 'abandoned' AND sweep <= tick THEN list_append(said, {{'event': 'evicted', 'started': started, 'tick': sweep, 'polls': polls, 'steps': steps}}) ELSE said END AS said)
+                FROM (SELECT *, CAST(ceil(greatest(last + {LIMITS.keep + 1}, ended) / {LIMITS.sweep}) AS BIGINT) * {LIMITS.sweep} AS sweep
+                    FROM (SELECT * REPLACE (CASE WHEN over THEN outcome ELSE stage END AS stage, CASE WHEN over THEN deadline ELSE ended END AS ended, CASE WHEN over THEN deadline - started ELSE steps END AS steps,
+                            CASE WHEN over THEN list_append(said, {{'event': outcome, 'started': started, 'tick': deadline, 'polls': polls, 'steps': deadline - started}}) ELSE said END AS said)
+                        FROM (SELECT *, stage = 'running' AND deadline <= tick AS over
+                            FROM (SELECT life.*, r.rn AS place, tick, begins, asks, halts, least(last + {LIMITS.idle + 1}, started + {LIMITS.most}) AS deadline, CASE WHEN last + {LIMITS.idle + 1} <= started + {LIMITS.most} THEN 'abandoned' ELSE 'complete' END AS outcome
+                                FROM life JOIN r ON r.session = life.session AND r.rn = life.rn + 1) a) b) c) d) e) f)
+    SELECT session, s.event AS event, make_timestamp(s.started * {TICK * 1_000_000}) AS started, make_timestamp(s.tick * {TICK * 1_000_000}) AS happened, s.polls AS polls, s.steps AS steps
+    FROM (SELECT session, unnest(said[2:]) AS s FROM (SELECT session, said, rn, max(rn) OVER (PARTITION BY session) AS newest FROM life) WHERE rn = newest)""")
+def session_lifetimes(spark, sf_dir):
+    """What timers and requests make of the sessions of a stream of events, up to its watermark."""
+    stored = projections.read(spark, sf_dir, "events").schema
+    kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "purchase", "stop").otherwise("poll")
+    stream = spark.readStream.schema(stored).parquet(f"{sf_dir}/events.parque[t]").select(F.col("user_id").alias("session"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("at"))
+    return lifetimes.drained(lifetimes.replayed(stream, LIMITS, TICK), f"{shared_dir(spark)}/ringspark/lifetimes-{uuid.uuid4().hex}").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "happened")})
+
+
 @query("SELECT count(*) AS active FROM (SELECT user_id FROM events GROUP BY user_id HAVING (SELECT epoch(max(ts)) FROM events) - epoch(max(ts)) <= 86400)")
 def active_sessions(spark, sf_dir):
     events = projections.read(spark, sf_dir, "events").select("user_id", "ts")
