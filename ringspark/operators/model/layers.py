@@ -53,6 +53,14 @@ def normalised(rows: DataFrame, mean: list[float], var: list[float], scale: list
     return rows.select(*KEY, F.array(*out).alias("features"))
 
 
+def dropout(rows: DataFrame, share: float, width: int, seed: int = 0) -> DataFrame:
+    """Features of training: each is 0 with the probability ``share``, by a draw of its own, the others grow to make up for it."""
+    if not 0 <= share < 1:
+        raise ValueError("the share of dropped features must be at least 0 and under 1")
+    out = [F.when(uniform(F.lit(seed), *(F.col(c) for c in KEY), F.lit(i)) < share, 0.0).otherwise(F.col("features")[i] / (1 - share)) for i in range(width)]
+    return rows.select(*KEY, F.array(*out).alias("features"))
+
+
 def batch_figures(rows: DataFrame, width: int) -> DataFrame:
     """(dim, mean, var): figures of the batch that training normalises by."""
     long = rows.select(F.posexplode("features").alias("dim", "value")).filter(F.col("dim") < width)

@@ -595,7 +595,7 @@ def session_gaps(spark, sf_dir):
 @query("SELECT user_id, round((SELECT epoch(max(ts)) FROM events) - epoch(max(ts)), 3) AS idle FROM events GROUP BY user_id HAVING (SELECT epoch(max(ts)) FROM events) - epoch(max(ts)) > 86400")
 def abandoned_sessions(spark, sf_dir):
     events = projections.read(spark, sf_dir, "events").select("user_id", "ts")
-    now = F.lit(events.agg(F.max("ts")).first()[0])
+    now = events.agg(F.max("ts")).scalar()
     return session.abandoned(events, "user_id", "ts", now, 86_400).select("user_id", F.round("idle", 3).alias("idle"))
 
 

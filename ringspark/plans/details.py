@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ringspark.functions import basic, bounds
@@ -239,6 +240,12 @@ def normalised_positive(spark, sf_dir):
     return found.select("graph_id", "node_id", F.round(F.col("features")[0], 9).alias("y0"), F.round(F.col("features")[1], 9).alias("y1"))
 
 
+@query(f"WITH {SIMPLE} SELECT graph_id, node_id, round(CASE WHEN {drawn("7", "graph_id", "node_id", "0")} < 0.3 THEN 0.0 ELSE x0 / 0.7::DOUBLE END, 9) AS y0, round(CASE WHEN {drawn("7", "graph_id", "node_id", "1")} < 0.3 THEN 0.0 ELSE x1 / 0.7::DOUBLE END, 9) AS y1 FROM z")
+def dropped_out(spark, sf_dir):
+    found = layers.dropout(simple(spark, sf_dir)[0], 0.3, 2, seed=7)
+    return found.select("graph_id", "node_id", F.round(F.col("features")[0], 9).alias("y0"), F.round(F.col("features")[1], 9).alias("y1"))
+
+
 @query(f"WITH {graph('h')}, p AS (SELECT graph_id, node_id, degree, greatest(0, round_even((degree + {drawn('graph_id', 'node_id')} * 2 - 1)::DOUBLE, 0))::DOUBLE AS guess FROM h_d) SELECT v.graph_id, v.node_id, p.guess AS predicted_degree, p.guess IS NOT NULL AS has_prediction, p.guess <> p.degree AS is_wrong FROM h_v v LEFT JOIN p ON p.graph_id = v.graph_id AND p.node_id = v.node_id AND v.node_id % 3 <> 0")
 def prediction_attach(spark, sf_dir):
     found = guessed(spark, sf_dir).filter("node_id % 3 <> 0")
@@ -324,13 +331,13 @@ def session_lifetimes(spark, sf_dir):
 @query("SELECT count(*) AS active FROM (SELECT user_id FROM events GROUP BY user_id HAVING (SELECT epoch(max(ts)) FROM events) - epoch(max(ts)) <= 86400)")
 def active_sessions(spark, sf_dir):
     events = projections.read(spark, sf_dir, "events").select("user_id", "ts")
-    return session.active(events, "user_id", "ts", F.lit(events.agg(F.max("ts")).first()[0]), 86_400)
+    return session.active(events, "user_id", "ts", events.agg(F.max("ts")).scalar(), 86_400)
 
 
 @query("SELECT user_id FROM (SELECT user_id, max(ts) AS last, max(event_id) % 2 = 0 AS stopped FROM events GROUP BY user_id) WHERE stopped AND (SELECT epoch(max(ts)) FROM events) - epoch(last) > 86400")
 def evicted_sessions(spark, sf_dir):
     events = projections.read(spark, sf_dir, "events")
-    now = F.lit(events.agg(F.max("ts")).first()[0])
+    now = events.agg(F.max("ts")).scalar()
     rows = events.groupBy("user_id").agg(F.max("ts").alias("last"), (F.max("event_id") % 2 == 0).alias("stopped"))
     return session.evicted(rows, now, 86_400).select("user_id")
 
@@ -338,7 +345,7 @@ def evicted_sessions(spark, sf_dir):
 @query("SELECT event_id, substr(md5(event_id::VARCHAR), 1, 8) AS short_id, lower(event_type) = 'click' AS clicked, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS stamp, round(epoch(ts) - (SELECT epoch(min(ts)) FROM events), 3) AS elapsed FROM events")
 def stamps(spark, sf_dir):
     events = projections.read(spark, sf_dir, "events")
-    first = F.lit(events.agg(F.min("ts")).first()[0])
+    first = events.agg(F.min("ts")).scalar()
     return events.select("event_id", basic.short(F.md5(F.col("event_id").cast("string"))).alias("short_id"), basic.same_text(F.col("event_type"), "Click").alias("clicked"), basic.iso(F.col("ts")).alias("stamp"), F.round(basic.elapsed(first, F.col("ts")), 3).alias("elapsed"))
 
 
@@ -396,6 +403,33 @@ def visited_insert(spark, sf_dir):
     return fingerprint.insert(visited, states)
 
 
+#: The degree and girth that sessions search for depth first, from the suppliers' random graphs.
+FULL, SHORT = 4, 3
+EDIT = f"(share + {sql.NEAR.format(a='n', b='mb')} + {sql.term('girth')}) / 3"
+
+
+@query(f"""WITH RECURSIVE {sql.figures("r", f"SELECT graph_id, {FULL}::INT AS k, {SHORT}::INT AS g, {bounds.moore(FULL, SHORT)}::BIGINT AS mb FROM (SELECT DISTINCT graph_id FROM r_v)")}, {sql.distance("r")},
+    o AS (SELECT *, share * n AS own FROM r_f WHERE n <= {bounds.upper(FULL, SHORT)} AND NOT (regular AND coalesce(girth = g, false))),
+    low AS (SELECT d.* FROM r_d d WHERE d.degree < {FULL}),
+    p AS (SELECT a.graph_id, a.node_id AS u, b.node_id AS v, (a.degree + 1 = {FULL})::INT + (b.degree + 1 = {FULL})::INT AS more FROM low a JOIN low b ON a.graph_id = b.graph_id AND a.node_id < b.node_id),
+    e AS (SELECT o.graph_id, p.u, p.v, n, m + 1 AS m, more, (own + more) / n AS share, least(girth, w.distance + 1)::BIGINT AS girth, g, mb FROM p JOIN o USING (graph_id) LEFT JOIN r_w w ON w.graph_id = p.graph_id AND w.src = p.u AND w.dst = p.v
+        WHERE coalesce(w.distance, 999999) > {SHORT - 2}),
+    s AS (SELECT graph_id, 'edge' AS kind, u, v, n, m, round({EDIT} + 0.2 * more, 9) AS score FROM e
+        UNION ALL SELECT graph_id, 'vertex', (SELECT max(node_id) + 1 FROM r_v x WHERE x.graph_id = o.graph_id), NULL, n + 1, m, round(CASE WHEN n < mb THEN 1.0 WHEN n = mb THEN 0.5 ELSE greatest(0.0, 0.3 - 0.1 * (n - mb)) END, 9) FROM o WHERE n < 2 * mb)
+    SELECT graph_id AS session, kind, u, v, n, m, score::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY score DESC, kind, u DESC, v DESC) AS place FROM s) WHERE place = 1""")
+def depth_first_step(spark, sf_dir):
+    """The state that each supplier's session goes to first, depth first."""
+    stack = frontier.run(*r(spark, sf_dir), FULL, SHORT, rounds=1, deep=True).frontier
+    top = F.row_number().over(Window.partitionBy("session").orderBy(F.desc("score"), "kind", F.desc("u"), F.desc("v")))
+    return stack.withColumn("top", top).filter("top = 1").select("session", "kind", "u", "v", "n", "m", "score")
+
+
+@query()
+def depth_first_search(spark, sf_dir):
+    """Four steps down from each supplier's graph."""
+    return frontier.run(*r(spark, sf_dir), FULL, SHORT, rounds=4, deep=True).sessions.select("session", "success", "explored")
+
+
 #: The girth of graphs of degree K that sessions search for from the hours' graphs.
 SOUGHT = 7
 

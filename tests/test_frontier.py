@@ -99,3 +99,44 @@ def test_states_are_built_from_their_parents(spark):
 def test_no_sessions(spark):
     found = frontier.run(*tables(spark, {}), 3, 5, rounds=3)
     assert found.sessions.collect() == [] and found.frontier.collect() == []
+
+
+def deeply(start, k, g, rounds):
+    """(stack as [(nodes, edges, score)], success, explored) of a plain depth-first search."""
+    mb, stack, explored = bounds.moore(k, g), [(tuple(start[0]), tuple(sorted(start[1])), None)], 0
+    for _ in range(rounds):
+        if not stack:
+            break
+        nodes, edges, _ = stack.pop()
+        explored += 1
+        n = len(nodes)
+        if n <= bounds.upper(k, g) and score((nodes, edges), k, g)[1] == g and all(degree(edges, x) == k for x in nodes):
+            return [], True, explored
+        new = []
+        for u in nodes if n <= bounds.upper(k, g) else ():
+            for v in nodes:
+                far = distance(edges, u, v)
+                if u < v and (u, v) not in edges and degree(edges, u) < k and degree(edges, v) < k and (far is None or far > g - 2):
+                    own = tuple(sorted((*edges, (u, v))))
+                    share, found = sum(degree(own, x) == k for x in nodes) / n, score((nodes, own), k, g)[1]
+                    term = 1.0 if found == g else 0.8 if found is None or found > g else 0.0
+                    new.append((round((share + near(n, mb) + term) / 3 + 0.2 * (degree(own, u) == k) + 0.2 * (degree(own, v) == k), 9), 1, u, v, nodes, own))
+        if n <= bounds.upper(k, g) and n < 2 * mb:
+            new.append((round(1.0 if n < mb else 0.5 if n == mb else max(0.0, 0.3 - 0.1 * (n - mb)), 9), 0, max(nodes) + 1, -1, (*nodes, max(nodes) + 1), edges))
+        stack += [(x[4], x[5], x[0]) for x in sorted(new, key=lambda x: x[:4])]
+    return stack, False, explored
+
+
+def test_depth_first_equals_a_plain_search(spark):
+    k, g, rounds = 2, 4, 5
+    over = bounds.upper(k, g)
+    # "full" can only grow over the bound, and goes back from there
+    starts = STARTS | {"two": ([3, 5], []), "full": (list(range(over)), [(i, i + 1) for i in range(over - 1)]), "over": (list(range(over + 1)), [])}
+    found = frontier.run(*tables(spark, starts), k, g, rounds, deep=True)
+    sessions, states = {r.session: r for r in found.sessions.collect()}, found.frontier.collect()
+    for name, begin in starts.items():
+        stack, success, explored = deeply(begin, k, g, rounds)
+        got = sessions[name]
+        assert (got.success, got.explored, got.duplicates) == (success, explored, 0), name
+        assert sorted((r.n, r.m, r.score) for r in states if r.session == name) == sorted((len(n), len(m), x) for n, m, x in stack), name
+    assert sessions["square"].success and sessions["over"].explored == 1

@@ -31,7 +31,7 @@ SEARCHES = sorted(n for n in set(catalog.QUERIES) - set(catalog.ORACLE_SQL) if n
 
 
 def test_only_these_have_no_sql():
-    assert sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL) - set(SEARCHES)) == ["frontier_search", "layout_step_cells", "training_gradient"]
+    assert sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL) - set(SEARCHES)) == ["depth_first_search", "frontier_search", "layout_step_cells", "training_gradient"]
 
 
 @pytest.mark.parametrize("name", SEARCHES)

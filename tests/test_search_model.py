@@ -126,3 +126,13 @@ def test_search_queries_run_all_targets_with_all_steps(spark):
     found = catalog.QUERIES["search_dfs"](spark, "").collect()
     assert sorted((r["k"], r["g"]) for r in found) == sorted((k, g) for _, k, g, _, _ in TARGETS)
     assert all(r["success"] or r["steps"] == MAX_STEPS for r in found)
+
+
+def test_dropout_is_seeded_and_keeps_the_mean(spark):
+    rows = spark.range(4000).select(F.lit("g").alias("graph_id"), F.col("id").alias("node_id"), F.array(F.lit(1.0), F.lit(-2.0)).alias("features"))
+    one, two = (sorted(map(tuple, layers.dropout(rows, 0.25, 2, seed=3).collect())) for _ in range(2))
+    assert one == two and {x for r in one for x in r[2]} == {0.0, 1 / 0.75, -2 / 0.75}
+    assert abs(sum(r[2][0] for r in one) / 4000 - 1) < 0.05 and any((r[2][0] == 0) != (r[2][1] == 0) for r in one)
+    assert [tuple(r) for r in layers.dropout(rows, 0.0, 2).limit(3).collect()] == [tuple(r) for r in rows.limit(3).collect()]
+    with pytest.raises(ValueError, match="share of dropped"):
+        layers.dropout(rows, 1.0, 2)
