@@ -13,7 +13,9 @@ roots at once, a step a round; a path to a vertex that another path of the same
 is a cycle.  Only vertices that come after the root are entered, in the order of falling degrees:
 each cycle has a first vertex, and no root has to look behind the hubs before it.  A path that
 is at least half as long as the best cycle so far is given up.  A search from a few roots of each
-graph alone comes first, so that this bound is there from the start.
+graph alone comes first, so that this bound is there from the start.  A core has no parallel edges,
+so nothing is shorter than a cycle of three, and only a triangle is shorter than one of four: these
+graphs are settled by :func:`triangles`, through no more paths than those that rise in the order.
 
 Every round is a table in the shared folder, keyed by graph and vertex or by root and vertex.
 """
@@ -112,6 +114,25 @@ def search(ends: DataFrame, roots: DataFrame, best: DataFrame) -> DataFrame:
             return best
 
 
+def triangles(rest: DataFrame, degrees: DataFrame) -> DataFrame:
+    """(graph_id, girth) of the graphs with a triangle of edges of weight 1.
+
+    Each has one path from its first through its second to its third vertex, in the order of rising
+    degrees.  Where degrees part the two sides of a bipartite graph, no path of two steps rises.
+    """
+    unit = rest.filter("w = 1").select(*EDGE)
+    for end in ("u", "v"):
+        unit = unit.join(degrees.select("graph_id", F.col("src").alias(end), F.struct("degree", F.col("src").alias("id")).alias(f"of_{end}")), ["graph_id", end])
+    low, high = F.least("of_u", "of_v"), F.greatest("of_u", "of_v")
+    rising = held(unit.select("graph_id", low["id"].alias("a"), high["id"].alias("b")), "rising")
+    onward = rising.select("graph_id", F.col("a").alias("b"), F.col("b").alias("c"))
+    ends = rising.select("graph_id", "a", F.col("b").alias("c"))
+    found = rising.join(onward, ["graph_id", "b"]).join(ends, ["graph_id", "a", "c"], "left_semi")
+    out = held(found.select("graph_id").distinct().withColumn("girth", F.lit(3).cast("bigint")), "triangles")
+    released(rising)
+    return out
+
+
 def girths(edges: DataFrame) -> DataFrame:
     """(graph_id, girth) of the graphs that have a cycle; a loop is a cycle of one edge."""
     own = edges.select("graph_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
@@ -127,6 +148,12 @@ def girths(edges: DataFrame) -> DataFrame:
         lowest = F.struct(F.lit(-(1 << 62)).alias("falling"), F.lit(0).cast("bigint").alias("id"))
         seeds = degrees.withColumn("place", F.row_number().over(by_degree)).filter(F.col("place") <= SEEDS).select("graph_id", F.col("src").alias("root"), lowest.alias("rank"))
         best = search(ends, seeds, best)
-        best = search(ends, degrees.select("graph_id", F.col("src").alias("root"), rank.alias("rank")), best)
-        released(degrees, ends, rest)
+        four = held(best.filter("girth = 4").select("graph_id"), "four")
+        if not four.isEmpty():
+            best = best.union(triangles(rest.join(four, "graph_id", "left_semi"), degrees))
+            best = held(best.groupBy("graph_id").agg(F.min("girth").alias("girth")), "best")
+        settled = best.filter("girth <= 4").select("graph_id")
+        every = degrees.select("graph_id", F.col("src").alias("root"), rank.alias("rank"))
+        best = search(ends, every.join(settled, "graph_id", "left_anti"), best)
+        released(degrees, ends, rest, four)
     return loops.union(best).select("graph_id", F.col("girth").cast("int").alias("girth"))
