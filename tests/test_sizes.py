@@ -2,7 +2,10 @@
 
 import random
 
-from ringspark.operators import contraction, cycles
+from pyspark.sql import functions as F
+
+from ringspark.operators import candidates, contraction, cycles, distances, edits, validate
+from ringspark.operators.lineage import held
 
 GRAPH = "graph_id string, u bigint, v bigint"
 
@@ -19,3 +22,68 @@ def test_girth_four_is_settled_by_rising_paths(spark, monkeypatch):
     want = cycles.shortest_cycle(cycles.of_edges(*map(list, zip(*(e[1:] for e in mixed), strict=True))))
     assert got == {"grid": 4, "hidden": 3, "mixed": want}
     assert "grid" in roots[0] and not roots[1] & {"grid", "hidden"}
+
+
+def ring_of_rings(rng, graphs=6):
+    """Graphs of paths, rings and chords, with ends of small degree."""
+    rows = []
+    for g in range(graphs):
+        n = rng.randint(8, 24)
+        rows += [(f"g{g}", i, i + 1) for i in range(n) if rng.random() < 0.8] + [(f"g{g}", *sorted(rng.sample(range(n + 1), 2))) for _ in range(n // 4)]
+    return sorted(set(rows))
+
+
+def safe_by_search(edges, k, g):
+    """(graph_id, u, v): distance of every safe pair, by plain searches."""
+    out = {}
+    for name in {e[0] for e in edges}:
+        near = cycles.of_edges(*map(list, zip(*(e[1:] for e in edges if e[0] == name), strict=True)))
+        low = sorted(v for v, own in near.items() if len(own) < k)
+        for u in low:
+            dist, queue = {u: 0}, [u]
+            for x in queue:
+                for y in near[x]:
+                    if y not in dist:
+                        dist[y] = dist[x] + 1
+                        queue.append(y)
+            out |= {(name, u, v): dist.get(v) for v in low if v > u and dist.get(v, 99) > g - 2}
+    return out
+
+
+def test_pairs_are_listed_by_blocks_and_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(candidates, "BLOCK", 5)
+    rows = ring_of_rings(random.Random(2))
+    edges = spark.createDataFrame(rows, GRAPH)
+    vertices = edges.select("graph_id", F.explode(F.array("u", "v")).alias("node_id")).distinct()
+    safe = candidates.safe_pairs(vertices, edges, 3, 5)
+    want = safe_by_search(rows, 3, 5)
+    assert sorted((r.graph_id, r.u, r.v) for r in safe.collect()) == sorted(want)
+    open_ = candidates.pairs(vertices, edges, 3)
+    assert sorted((r.graph_id, r.u, r.v) for r in open_.collect()) == sorted(safe_by_search(rows, 3, 3))
+    # what lists the pairs is the last step: nothing shuffles, sorts or writes them
+    plan = open_._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("RepartitionByExpression") and "LeftAnti" not in plan
+
+
+def test_least_drawn_without_a_hit(spark):
+    rows = ring_of_rings(random.Random(3))
+    edges = spark.createDataFrame(rows, GRAPH)
+    vertices = edges.select("graph_id", F.explode(F.array("u", "v")).alias("node_id")).distinct()
+    low = candidates.low_blocks(vertices, edges, 3)
+    close = candidates.barred(distances.within(edges, low, 3), 5)
+    want = {tuple(r) for r in edits.one_each(candidates.safe_pairs(vertices, edges, 3, 5).select("graph_id", "u", "v"), ["u", "v"], 4).collect()}
+    for hits in (1e-9, 1, 64):
+        assert {tuple(r) for r in candidates.least_drawn(low, close, 4, hits).collect()} == want
+
+
+def test_the_last_pair_of_each_kind_is_the_best(spark):
+    """Without the pairs, the same choice as among all of them, for girths under, at and over the goal."""
+    rows = ring_of_rings(random.Random(5), 12)
+    edges = spark.createDataFrame(rows, GRAPH)
+    vertices = edges.select("graph_id", F.explode(F.array("u", "v")).alias("node_id")).distinct()
+    goals = vertices.select("graph_id").distinct().select("graph_id", F.lit(3).alias("k"), F.element_at(F.array(F.lit(5), F.lit(7), F.lit(9)), (F.crc32("graph_id") % 3 + 1).cast("int")).alias("g"))
+    figures = held(validate.figures(vertices, edges, goals), "figures")
+    best = lambda found: {tuple(r) for r in candidates.greedy(found.withColumn("type", F.lit("add_edge")).withColumn("score", F.round("score", 9))).select("graph_id", "u", "v", "score").collect()}
+    every = candidates.scored_edges(vertices, edges, 3, 5, figures)
+    assert every.count() == len(safe_by_search(rows, 3, 5))
+    assert best(candidates.last_edges(vertices, edges, 3, 5, figures)) == best(every)
