@@ -2,8 +2,9 @@
 
 Each partition adds up the gradients of its graphs; Spark sums the partitions' vectors place by
 place, and only numbers of the size of the weights (under 4 h^2) reach the driver, which takes the
-step.  Batch normalisation is over the vertices of a graph, so a graph lies in one row, with a
-dense adjacency: these are training graphs, not the large ones that the model is applied to.
+step.  Batch normalisation is over the vertices of a graph, so a graph lies in one row, with its
+steps: what a task holds follows the vertices and edges of a graph.  :func:`arrays` makes a dense
+adjacency and is for small graphs.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from typing import Any
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,35 @@ def arrays(nodes: Any, steps: Any) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return a, np.array([list(r["features"]) for r in nodes], dtype=float), np.array([r["label"] for r in nodes], dtype=float)
 
 
+class Steps:
+    """An adjacency as its steps, with the products that training asks for; what it holds follows the edges."""
+
+    def __init__(self, n: int, src: np.ndarray, dst: np.ndarray):
+        order = np.argsort(src, kind="stable")
+        self.n, self.src, self.dst = n, src, dst
+        self.near = dst[order]
+        self.rows, self.starts = np.unique(src[order], return_index=True)
+
+    def __matmul__(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.n, x.shape[1]))
+        if len(self.near):
+            out[self.rows] = np.add.reduceat(x[self.near], self.starts, axis=0)
+        return out
+
+    @property
+    def T(self) -> "Steps":
+        return Steps(self.n, self.dst, self.src)
+
+
+def sparse(nodes: pa.StructArray, steps: pa.StructArray | None) -> tuple[Steps, np.ndarray, np.ndarray]:
+    """As :func:`arrays`, of a row's Arrow values; nodes come in the order of their ids."""
+    own = dict(zip((f.name for f in nodes.type), nodes.flatten(), strict=True))
+    ids, features, labels = (own[c] for c in ("node_id", "features", "label"))
+    ids = ids.to_numpy(zero_copy_only=False)
+    src, dst = (np.searchsorted(ids, c.to_numpy(zero_copy_only=False)) for c in (steps.flatten()[steps.type.get_field_index(x)] for x in ("src", "dst"))) if steps is not None else (np.zeros(0, int), np.zeros(0, int))
+    return Steps(len(ids), src, dst), features.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1), labels.to_numpy(zero_copy_only=False).astype(float)
+
+
 def flat(layers: list[Layer], names: tuple[str, ...]) -> np.ndarray:
     return np.concatenate([layer[k].ravel() for layer in layers for k in names if k in layer])
 
@@ -76,16 +106,16 @@ def contribution(layers: list[Layer], name: str, graph: tuple[np.ndarray, np.nda
 def summed(graphs: DataFrame, layers: list[Layer], seed: int) -> DataFrame:
     """(place, value): the sum of all graphs' contributions."""
 
-    def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for rows in frames:
-            for name, nodes, steps in zip(rows["graph_id"], rows["nodes"], rows["steps"], strict=True):
-                mine = contribution(layers, name, arrays(nodes, steps), seed)
+        for batch in batches:
+            for name, nodes, steps in zip(*(batch.column(c) for c in ("graph_id", "nodes", "steps")), strict=True):
+                mine = contribution(layers, name.as_py(), sparse(nodes.values, steps.values), seed)
                 total = mine if total is None else total + mine
         if total is not None:
-            yield pd.DataFrame({"place": np.arange(len(total)), "value": total})
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["place", "value"])
 
-    return graphs.mapInPandas(part, "place bigint, value double").groupBy("place").agg(F.sum("value").alias("value"))
+    return graphs.select("graph_id", "nodes", "steps").mapInArrow(part, "place bigint, value double").groupBy("place").agg(F.sum("value").alias("value"))
 
 
 def gradient(graphs: DataFrame, layers: list[Layer], seed: int = 0) -> tuple[int, float, list[Layer], list[Layer]]:
