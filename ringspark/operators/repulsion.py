@@ -1,27 +1,42 @@
 """Repulsion between all vertices of a graph through a hierarchy of square cells.
 
-A cell splits into four while more than LEAF places lie in it.  Two cells far enough apart act on
-each other as wholes: the source through its mass, centre and second moments, the target through
-the force at its centre and the first and second derivatives there.  What is not far enough apart
-splits; leaves that stay near meet place by place.  Pairs of cells are rows, and their number grows
-with the number of places, not with its square.
-
-Bound: with h the radii of both cells and r the least distance between them, the remainder of a
-pair's expansion is at most 4 h^3 / r^5 for a unit of mass.  Cells act as wholes only where that is
-at most ``tolerance`` / R^2, R the largest distance, so the error of the force on a vertex is at
-most ``tolerance`` times the sum of the magnitudes of the forces of all others on it.
+A cell splits into four while more than LEAF places lie in it.  A cell far enough from a place acts
+on it as a whole, through its mass, centre and second moments.  Where it is nearer its parts act,
+and those of a leaf are its places.
+
+Cells of at most BLOCK places are dealt out as blocks.  Rounds from the root down find for each
+block the cells that may act on any of its places: a cell is there if what it is a part of is not
+far from the whole block.  A task takes a block's places with these cells, and the places of the
+leaves near it, and sums in arrays.  Pairs are rows only of blocks and cells; those of places and
+cells are never written.
+
+Bound: with h the radius of a cell and r the least distance of its places, the remainder of its
+expansion is at most 4 h^3 / r^5 for a unit of mass.  Cells act as wholes only where that is at most
+``tolerance`` / R^2, R the largest distance, so the error of the force on a vertex is at most
+``tolerance`` times the sum of the magnitudes of the forces of all others on it.  With t the distance
+of the centre, that is so from some multiple of h on, see :func:`multiple`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .indexes import numbered
 from .lineage import held
 
 DEPTH, LEAF, LEAST = 28, 8, 0.1
-SUMS = ["n", "gx", "gy", "jxx", "jxy", "jyy", "t1", "t2", "t3", "t4"]
+#: Places of a block, of a group that meets the same cells, and sources that meet it at a time.
+BLOCK, GROUP, STRIP = 4_096, 32, 4_096
+#: Rows of the order along the quadrants in one window.
+CHUNK = 32_768
+TARGET, CELL, PLACE = 0, 1, 2
+SENT = ["graph_id", "block", "turn", "kind", "cell", "up", "n", "x", "y", "cxx", "cxy", "cyy", "reach"]
 
 
 def cell_id(level: Column, ix: Column, iy: Column) -> Column:
@@ -54,111 +69,111 @@ def with_leaves(own: DataFrame) -> DataFrame:
     """
     along = F.expr(f"aggregate(sequence(0, {DEPTH - 1}), 0L, (a, i) -> a | shiftleft((shiftright(ix, i) & 1L) * 2 + (shiftright(iy, i) & 1L), 2 * i))")
     row = held(numbered(own.withColumn("code", along), ["graph_id"], ["code"], "i"), "ordered")
-    last = row.select("graph_id", (F.col("i") - LEAF).alias("i"), F.col("code").alias("other"))
-    differ = F.col("code").bitwiseXOR(F.col("other"))
-    shared = DEPTH - F.when(differ == 0, 0).otherwise(F.ceil(F.length(F.bin(differ)) / 2))
-    runs = row.select("graph_id", "i", "code").join(last, ["graph_id", "i"]).select("graph_id", F.explode(F.sequence("i", F.col("i") + LEAF)).alias("i"), shared.alias("shared"))
-    opened = runs.groupBy("graph_id", "i").agg(F.max("shared").alias("shared"))
-    level = F.least(F.lit(DEPTH), F.coalesce(F.col("shared") + 1, F.lit(0))).cast("int")
-    return row.join(opened, ["graph_id", "i"], "left").withColumn("leaf", level).withColumn("cell", cell_id(F.col("leaf"), F.col("ix"), F.col("iy"))).drop("i", "code", "shared")
+    chunk = lambda by: F.floor((F.col("i") + by) / CHUNK)
+    rows = row.withColumn("chunk", F.explode(F.array_distinct(F.array(chunk(-LEAF), chunk(0), chunk(LEAF)))))
+    window = Window.partitionBy("graph_id", "chunk").orderBy("i")
+    differ = F.col("code").bitwiseXOR(F.lead("code", LEAF).over(window))
+    rows = rows.withColumn("shared", DEPTH - F.when(differ == 0, 0).otherwise(F.ceil(F.length(F.bin(differ)) / 2)))
+    rows = rows.withColumn("opened", F.max("shared").over(window.rowsBetween(-LEAF, 0))).filter(F.col("chunk") == chunk(0))
+    level = F.least(F.lit(DEPTH), F.coalesce(F.col("opened") + 1, F.lit(0))).cast("int")
+    return rows.withColumn("leaf", level).withColumn("cell", cell_id(F.col("leaf"), F.col("ix"), F.col("iy"))).drop("i", "code", "chunk", "shared", "opened")
+
+
+def above(cell: Column, level: Column, at: Column) -> Column:
+    """The number of the cell at a level over a cell of another."""
+    half = lambda c: F.call_function("shiftright", c.bitwiseAND(F.lit(2**DEPTH - 1)), level - at)
+    return F.shiftleft(at.cast("bigint"), 2 * DEPTH).bitwiseOR(F.shiftleft(half(F.shiftright(cell, DEPTH)), DEPTH)).bitwiseOR(half(cell))
 
 
 def hierarchy(points: DataFrame) -> DataFrame:
-    """Cells with a place in them: number, parent, level, mass, centre, second moments, radius, leaf or not.
+    """Cells with a place in them: number, parent, level, mass, places, centre, second moments, radius, leaf or not.
 
-    Sums are taken from the cell's own corner, so that they keep their digits in small cells.
+    Sums are taken from the cell's own corner, so that they keep their digits in small cells; those
+    of a leaf are moved to the corners of the cells above it.
     """
-    rows = points.select("*", F.explode(F.sequence(F.lit(0), F.col("leaf"))).alias("level"))
-    width = F.col("side") / F.pow(F.lit(2.0), F.col("level"))
-    step = F.pow(F.lit(2.0), DEPTH - F.col("level"))
-    rows = rows.select("graph_id", "level", "m", cell_id(F.col("level"), F.col("ix"), F.col("iy")).alias("cell"), (F.col("level") == F.col("leaf")).alias("leaf"),
-                       *((F.col(f"{c}0") + F.floor(F.col(f"i{c}") / step) * width).alias(f"c{c}") for c in "xy"), "x", "y")
-    rows = rows.withColumns({"dx": F.col("x") - F.col("cx"), "dy": F.col("y") - F.col("cy")})
-    weighed = lambda e: F.sum(F.col("m") * e)
-    dx, dy = F.col("dx"), F.col("dy")
-    found = rows.groupBy("graph_id", "level", "cell").agg(
-        F.sum("m").cast("double").alias("n"), F.first("leaf").alias("leaf"), F.first("cx").alias("cx"), F.first("cy").alias("cy"),
-        weighed(dx).alias("sx"), weighed(dy).alias("sy"), weighed(dx * dx).alias("sxx"), weighed(dx * dy).alias("sxy"), weighed(dy * dy).alias("syy"),
-        *(f(c).alias(f"{name}{c}") for c in ("dx", "dy") for name, f in (("low", F.min), ("top", F.max))),
+    level, deepest = F.col("level"), F.col("deepest")
+    width = lambda of: F.col("side") / F.pow(F.lit(2.0), of)
+    corner = lambda c, of: F.col(f"{c}0") + F.floor(F.col(f"i{c}") / F.pow(F.lit(2.0), DEPTH - of)) * width(of)
+    dx, dy = (F.col(c) - corner(c, F.col("leaf")) for c in "xy")
+    rows = points.withColumns({"dx": dx, "dy": dy})
+    dx, dy, m = F.col("dx"), F.col("dy"), F.col("m")
+    frame = [F.first(c).alias(c) for c in ("x0", "y0", "side", "ix", "iy")]
+    ends = [(f"{name}{c}", f) for c in "xy" for name, f in (("low", F.min), ("top", F.max))]
+    leaves = rows.groupBy("graph_id", "cell", F.col("leaf").alias("deepest")).agg(
+        F.sum("m").cast("double").alias("n"), F.count("*").alias("places"), *frame, F.sum(m * dx).alias("sx"), F.sum(m * dy).alias("sy"), F.sum(m * dx * dx).alias("sxx"), F.sum(m * dx * dy).alias("sxy"), F.sum(m * dy * dy).alias("syy"),
+        *(f(f"d{name[-1]}").alias(name) for name, f in ends),
     )
-    n, mx, my = F.col("n"), F.col("sx") / F.col("n"), F.col("sy") / F.col("n")
+    up = leaves.withColumn("level", F.explode(F.sequence(F.lit(0), "deepest")))
+    up = up.withColumns({f"c{c}": corner(c, level) for c in "xy"}).withColumns({f"o{c}": corner(c, deepest) - F.col(f"c{c}") for c in "xy"})
+    n, ox, oy, sx, sy = (F.col(c) for c in ("n", "ox", "oy", "sx", "sy"))
+    moved = {"sx": sx + n * ox, "sy": sy + n * oy, "sxx": F.col("sxx") + 2 * ox * sx + n * ox * ox, "sxy": F.col("sxy") + ox * sy + oy * sx + n * ox * oy, "syy": F.col("syy") + 2 * oy * sy + n * oy * oy}
+    moved |= {name: F.col(name) + F.col(f"o{name[-1]}") for name, _ in ends}
+    up = up.select("graph_id", "level", above(F.col("cell"), deepest, level).alias("cell"), (level == deepest).alias("leaf"), "n", "places", "cx", "cy", *(c.alias(name) for name, c in moved.items()))
+    found = up.groupBy("graph_id", "level", "cell").agg(
+        F.sum("n").alias("n"), F.sum("places").alias("places"), F.first("leaf").alias("leaf"), F.first("cx").alias("cx"), F.first("cy").alias("cy"),
+        *(F.sum(c).alias(c) for c in ("sx", "sy", "sxx", "sxy", "syy")), *(f(name).alias(name) for name, f in ends),
+    )
+    mx, my = F.col("sx") / n, F.col("sy") / n
     reach = lambda mean, c: F.greatest(F.col(f"top{c}") - mean, mean - F.col(f"low{c}"))
-    level, path = F.col("level"), F.col("cell")
-    half = lambda bits: F.shiftright(F.shiftright(path, bits).bitwiseAND(F.lit(2**DEPTH - 1)), 1)
-    above = F.when(level > 0, F.shiftleft((level - 1).cast("bigint"), 2 * DEPTH).bitwiseOR(F.shiftleft(half(DEPTH), DEPTH)).bitwiseOR(half(0)))
-    return found.select("graph_id", "cell", above.alias("up"), "level", "leaf", "n", (F.col("cx") + mx).alias("ax"), (F.col("cy") + my).alias("ay"),
-                        (F.col("sxx") / n - mx * mx).alias("cxx"), (F.col("sxy") / n - mx * my).alias("cxy"), (F.col("syy") / n - my * my).alias("cyy"), F.hypot(reach(mx, "dx"), reach(my, "dy")).alias("rho"))
+    return found.select("graph_id", "cell", F.when(level > 0, above(F.col("cell"), level, level - 1)).alias("up"), "level", "leaf", "n", "places", (F.col("cx") + mx).alias("ax"), (F.col("cy") + my).alias("ay"),
+                        (F.col("sxx") / n - mx * mx).alias("cxx"), (F.col("sxy") / n - mx * my).alias("cxy"), (F.col("syy") / n - my * my).alias("cyy"), F.hypot(reach(mx, "x"), reach(my, "y")).alias("rho"))
+
+
+def multiple(tolerance: float) -> float:
+    """The least c, nearly, for which 4 h^3 (t + h)^2 <= tolerance (t - h)^5 wherever t >= c h."""
+    if tolerance <= 0:
+        return math.inf
+    low, high = 1.0, 2.0
+    fits = lambda c: 4 * (c + 1) ** 2 <= tolerance * (c - 1) ** 5
+    while not fits(high):
+        low, high = high, 2 * high
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (low, middle) if fits(middle) else (middle, high)
+    return high * (1 + 1e-9)
 
 
-def met(cells: DataFrame, tolerance: float) -> tuple[list[DataFrame], list[DataFrame]]:
-    """(far, near): pairs of cells (graph_id, a, b) that act as wholes, and of leaves that do not.
+def dealt(points: DataFrame, cells: DataFrame) -> DataFrame:
+    """Places with their block: the largest cell over them that has at most BLOCK places.
 
-    Each ordered pair of places is in exactly one of them, or closer than LEAST.  The rounds are
-    as many as the hierarchy has levels.
+    A leaf with more (places closer than the deepest cell is wide) is dealt into turns.
     """
-    figures = F.struct("cell", "leaf", "n", "ax", "ay", "cxx", "cxy", "cyy", "rho")
-    # a leaf stands for itself where the other cell splits
-    parts = held(cells.filter("up IS NOT NULL").select("graph_id", "up", figures.alias("s")).union(cells.filter("leaf").select("graph_id", F.col("cell").alias("up"), figures.alias("s"))), "parts")
-    split = {side: parts.select("graph_id", F.col("up").alias("key"), F.col("s").alias(side)) for side in "ab"}
-    pairs = cells.filter("level = 0").select("graph_id", figures.alias("a"), figures.alias("b"))
-    d = F.hypot(F.col("a.ax") - F.col("b.ax"), F.col("a.ay") - F.col("b.ay"))
-    h = F.col("a.rho") + F.col("b.rho")
-    gap, most = d - h, d + h
-    apart = (gap >= LEAST) & (4 * h * h * h * most * most <= tolerance * F.pow(gap, F.lit(5.0)))
-    kind = F.when(most < LEAST, "within").when(apart, "far").when(F.col("a.leaf") & F.col("b.leaf"), "near").otherwise("open")
-    far, near = [], []
+    few = cells.filter(F.col("leaf") | (F.col("places") <= BLOCK)).select("graph_id", "cell", "up", "places")
+    many = cells.filter(F.col("places") > BLOCK).filter("NOT leaf").select("graph_id", F.col("cell").alias("up"), F.lit(True).alias("split"))
+    block = held(few.join(many, ["graph_id", "up"], "left").filter("split OR up IS NULL").select("graph_id", F.col("cell").alias("block"), F.ceil(F.col("places") / BLOCK).alias("turns")), "blocks")
+    leaves = cells.filter("leaf").select("graph_id", "cell", F.explode(F.transform(F.sequence(F.lit(0), "level"), lambda at: above(F.col("cell"), F.col("level"), at))).alias("block"))
+    own = leaves.join(block, ["graph_id", "block"])
+    return held(points.select("graph_id", "cell", "x", "y", "m").join(own, ["graph_id", "cell"]).withColumn("turn", F.pmod(F.xxhash64("x", "y"), F.col("turns"))).drop("turns"), "dealt")
+
+
+def needed(own: DataFrame, cells: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """(cells, near): what may act on places of a block, with the parents above it, and the leaves whose places do.
+
+    A round for each level of the hierarchy; own: places as of :func:`dealt`.
+    """
+    key, c = ["graph_id", "block", "turn"], multiple(tolerance)
+    ends = [F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")]
+    box = held(own.groupBy(*key).agg(*ends), "boxes")
+    wide = F.when(F.col("rho") > 0, F.col("rho") * c).otherwise(0.0)
+    reach = F.greatest(wide, F.col("rho") + LEAST * (1 + 1e-9))  # whether a place is at least LEAST away is never up to a cell
+    parts = held(cells.select("graph_id", "cell", "up", "level", "leaf", "n", F.col("ax").alias("x"), F.col("ay").alias("y"), "cxx", "cxy", "cyy", reach.alias("reach")), "parts")
+    off = lambda s: F.greatest(F.col(f"{s}0") - F.col(s), F.col(s) - F.col(f"{s}1"), F.lit(0.0))
+    far = F.hypot(off("x"), off("y")) >= F.col("reach")
+    kind = F.when(far, "far").when(F.col("leaf"), "near").otherwise("open")
+    figures = [*SENT[4:], "leaf"]
+    met, level = [], 0
+    pairs = box.join(parts.filter("level = 0").drop("level"), "graph_id")
     while True:
-        pairs = held(pairs.withColumn("kind", kind).filter("kind <> 'within'"), "pairs")
-        far.append(pairs.filter("kind = 'far'").drop("kind"))
-        near.append(pairs.filter("kind = 'near'").select("graph_id", F.col("a.cell").alias("a"), F.col("b.cell").alias("b")))
-        left = pairs.filter("kind = 'open'")
+        pairs = held(pairs.select(*key, "x0", "x1", "y0", "y1", *figures).withColumn("what", kind), "pairs")
+        met.append(pairs)
+        left = pairs.filter("what = 'open'")
         if left.isEmpty():
-            return far, near
-        pairs = left.withColumn("key", F.col("a.cell")).drop("a").join(split["a"], ["graph_id", "key"]).drop("key")
-        pairs = pairs.withColumn("key", F.col("b.cell")).drop("b").join(split["b"], ["graph_id", "key"]).select("graph_id", "a", "b")
-
-
-def acting(far: DataFrame) -> DataFrame:
-    """What acts on each cell as a whole: its mass, the force at the centre, the derivatives there."""
-    p, q, n = F.col("a.ax") - F.col("b.ax"), F.col("a.ay") - F.col("b.ay"), F.col("b.n")
-    own = far.select("graph_id", F.col("a.cell").alias("cell"), n.alias("n"), p.alias("p"), q.alias("q"), *(F.col(f"b.{c}").alias(c) for c in ("cxx", "cxy", "cyy")))
-    p, q, n = F.col("p"), F.col("q"), F.col("n")
-    rr = p * p + q * q
-    own = own.withColumns({"r3": F.pow(rr, F.lit(-1.5)), "r5": F.pow(rr, F.lit(-2.5)), "r7": F.pow(rr, F.lit(-3.5))})
-    r3, r5, r7 = F.col("r3"), F.col("r5"), F.col("r7")
-    own = own.withColumns({"t1": 15 * p * p * p * r7 - 9 * p * r5, "t2": 15 * p * p * q * r7 - 3 * q * r5, "t3": 15 * p * q * q * r7 - 3 * p * r5, "t4": 15 * q * q * q * r7 - 9 * q * r5})
-    t = [F.col(f"t{i}") for i in range(1, 5)]
-    values = {"gx": p * r3 + moved(t[0], t[1], t[2], "cxx", "cxy", "cyy"), "gy": q * r3 + moved(t[1], t[2], t[3], "cxx", "cxy", "cyy"),
-              "jxx": r3 - 3 * p * p * r5, "jxy": -3 * p * q * r5, "jyy": r3 - 3 * q * q * r5, **{f"t{i + 1}": x for i, x in enumerate(t)}}
-    return own.groupBy("graph_id", "cell").agg(F.sum("n").alias("n"), *(F.sum(n * values[c]).alias(c) for c in SUMS[1:]))
-
-
-def moved(t1: Column, t2: Column, t3: Column, xx: str, xy: str, yy: str) -> Column:
-    """Half of the second derivative along a second moment."""
-    return (t1 * F.col(xx) + 2 * t2 * F.col(xy) + t3 * F.col(yy)) / 2
-
-
-def shifted(dx: Column, dy: Column) -> dict[str, Column]:
-    """The sums at a point (dx, dy) from where they were taken."""
-    n, gx, gy, jxx, jxy, jyy, t1, t2, t3, t4 = map(F.col, SUMS)
-    return {"n": n, "gx": gx + jxx * dx + jxy * dy + (t1 * dx * dx + 2 * t2 * dx * dy + t3 * dy * dy) / 2, "gy": gy + jxy * dx + jyy * dy + (t2 * dx * dx + 2 * t3 * dx * dy + t4 * dy * dy) / 2,
-            "jxx": jxx + t1 * dx + t2 * dy, "jxy": jxy + t2 * dx + t3 * dy, "jyy": jyy + t3 * dx + t4 * dy, "t1": t1, "t2": t2, "t3": t3, "t4": t4}
-
-
-def handed_down(cells: DataFrame, own: DataFrame) -> DataFrame:
-    """(graph_id, cell, ax, ay, sums) of the leaves, with what acts on the cells above them; a join for each level."""
-    deepest, leaves, above = cells.agg(F.max("level")).first()[0], [], None
-    for level in range((deepest or 0) + 1):
-        here = cells.filter(F.col("level") == level).select("graph_id", "cell", "up", "ax", "ay", "leaf")
-        rows = here.join(own, ["graph_id", "cell"], "left").fillna(0.0, SUMS)
-        if above is not None:
-            given = above.filter("NOT leaf").select("graph_id", F.col("cell").alias("up"), F.col("ax").alias("bx"), F.col("ay").alias("by"), *SUMS)
-            given = here.join(given, ["graph_id", "up"])
-            given = given.select(*here.columns, *(e.alias(c) for c, e in shifted(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")).items()))
-            rows = rows.select(*here.columns, *SUMS).union(given).groupBy(*here.columns).agg(*(F.sum(c).alias(c) for c in SUMS))
-        above = held(rows.select(*here.columns, *SUMS), "level")
-        leaves.append(above.filter("leaf").select("graph_id", "cell", "ax", "ay", *SUMS))
-    return union(leaves)
+            break
+        level += 1
+        left = left.select(*key, "x0", "x1", "y0", "y1", F.col("cell").alias("up"))
+        pairs = left.join(parts.filter(F.col("level") == level).drop("level"), ["graph_id", "up"])
+    every = union(met)
+    return every.select(*key, F.lit(CELL).alias("kind"), *SENT[4:]), every.filter("what = 'near'").select(*key, "cell")
 
 
 def union(frames: list[DataFrame]) -> DataFrame:
@@ -168,6 +183,77 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def groups(x: np.ndarray, y: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of at most GROUP places each that lie together."""
+    todo = [np.arange(len(x))]
+    while todo:
+        own = todo.pop()
+        if len(own) <= GROUP:
+            yield own
+            continue
+        along = x if np.ptp(x[own]) >= np.ptp(y[own]) else y
+        order, half = np.argpartition(along[own], len(own) // 2), len(own) // 2
+        todo += [own[order[:half]], own[order[half:]]]
+
+
+def runs(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers from each start to before its end."""
+    size = end - start
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def summed(table: pa.Table) -> pa.Table:
+    """(graph_id, x, y, gx, gy, n) of the places of a block; rows are those of SENT."""
+    kind = table.column("kind").to_numpy()
+    of = lambda k, names: [table.column(c).to_numpy()[kind == k] for c in names]
+    tx, ty = of(TARGET, ("x", "y"))
+    cell, up, n, ax, ay, cxx, cxy, cyy, reach = (c[0] for c in (of(CELL, (name,)) for name in SENT[4:]))
+    order = np.argsort(up, kind="stable")
+    cell, up, n, ax, ay, cxx, cxy, cyy, reach = (c[order] for c in (cell, up, n, ax, ay, cxx, cxy, cyy, reach))
+    inside, m, px, py = of(PLACE, ("cell", "n", "x", "y"))
+    order = np.argsort(inside, kind="stable")
+    inside, m, px, py = (c[order] for c in (inside, m, px, py))
+    child, last = np.searchsorted(up, cell, "left"), np.searchsorted(up, cell, "right")
+    first, end = np.searchsorted(inside, cell, "left"), np.searchsorted(inside, cell, "right")
+    leaf, bare = end > first, (end == first) & (last == child)  # bare ones are far from the whole block
+    gx, gy, acting = np.zeros(len(tx)), np.zeros(len(tx)), np.zeros(len(tx))
+    for own in groups(tx, ty):
+        x, y = tx[own, None], ty[own, None]
+        at, whole, near = np.flatnonzero(up < 0), [], []
+        while len(at):
+            dx = np.maximum(np.maximum(x.min() - ax[at], ax[at] - x.max()), 0.0)
+            dy = np.maximum(np.maximum(y.min() - ay[at], ay[at] - y.max()), 0.0)
+            far = bare[at] | (np.sqrt(dx * dx + dy * dy) >= reach[at])
+            whole.append(at[far])
+            left = at[~far]
+            near.append(left[leaf[left]])
+            left = left[~leaf[left]]
+            at = runs(child[left], last[left])
+        far, near = np.concatenate(whole), np.concatenate(near)
+        near = runs(first[near], end[near])
+        acting[own] += n[far].sum()
+        for s in (far[i : i + STRIP] for i in range(0, len(far), STRIP)):
+            p, q = x - ax[s], y - ay[s]
+            r2 = 1.0 / (p * p + q * q)
+            r3 = r2 * np.sqrt(r2) * n[s]
+            r5 = r3 * r2
+            u, v = p * cxx[s] + q * cxy[s], p * cxy[s] + q * cyy[s]
+            by = r3 + r5 * (7.5 * r2 * (p * u + q * v) - 1.5 * (cxx[s] + cyy[s]))
+            gx[own] += (p * by - 3.0 * r5 * u).sum(axis=1)
+            gy[own] += (q * by - 3.0 * r5 * v).sum(axis=1)
+        for s in (near[i : i + STRIP] for i in range(0, len(near), STRIP)):
+            p, q = x - px[s], y - py[s]
+            d = np.sqrt(p * p + q * q)
+            there = d >= LEAST
+            d[~there] = 1.0
+            by = there * m[s] / (d * d * d)
+            gx[own] += (p * by).sum(axis=1)
+            gy[own] += (q * by).sum(axis=1)
+            acting[own] += (there * m[s]).sum(axis=1)
+    name = pa.array([table.column("graph_id")[0].as_py()] * len(tx), pa.string())
+    return pa.table({"graph_id": name, "x": tx, "y": ty, "gx": gx, "gy": gy, "n": acting})
+
+
 def forces(positions: DataFrame, strength: float, tolerance: float = 0.05) -> DataFrame:
     """(graph_id, node_id, fx, fy, acting) of each vertex: strength / d^2 away from every other.
 
@@ -179,16 +265,14 @@ def forces(positions: DataFrame, strength: float, tolerance: float = 0.05) -> Da
     """
     points = held(with_leaves(places(positions)), "points")
     cells = held(hierarchy(points), "cells")
-    far, near = met(cells, tolerance)
-    leaves = handed_down(cells, held(acting(union(far)), "acting"))
-    dx, dy = F.col("x") - F.col("ax"), F.col("y") - F.col("ay")
-    wide = points.join(leaves, ["graph_id", "cell"]).select("graph_id", "x", "y", *(e.alias(c) for c, e in shifted(dx, dy).items() if c in SUMS[:3]))
-    target = points.select("graph_id", F.col("cell").alias("a"), "x", "y")
-    source = points.select("graph_id", F.col("cell").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("m").cast("double").alias("n"))
-    p, q = F.col("x") - F.col("bx"), F.col("y") - F.col("by")
-    close = union(near).join(target, ["graph_id", "a"]).join(source, ["graph_id", "b"]).select("graph_id", "x", "y", "n", p.alias("p"), q.alias("q"), F.hypot(p, q).alias("d")).filter(F.col("d") >= LEAST)
-    close = close.select("graph_id", "x", "y", "n", *((F.col("n") * F.col(c) / F.pow("d", F.lit(3.0))).alias(g) for c, g in (("p", "gx"), ("q", "gy"))))
-    total = held(wide.union(close).groupBy("graph_id", "x", "y").agg(*(F.sum(c).alias(c) for c in SUMS[:3])), "forces")
+    own = dealt(points, cells)
+    wholes, near = needed(own, cells, tolerance)
+    zero, none = F.lit(0.0), F.lit(-1).cast("bigint")
+    rest = [none.alias("up"), F.col("m").cast("double").alias("n"), "x", "y", *(zero.alias(c) for c in ("cxx", "cxy", "cyy", "reach"))]
+    targets = own.select("graph_id", "block", "turn", F.lit(TARGET).alias("kind"), "cell", *rest)
+    close = near.join(own.select("graph_id", "cell", "x", "y", "m"), ["graph_id", "cell"]).select("graph_id", "block", "turn", F.lit(PLACE).alias("kind"), "cell", *rest)
+    sent = union([targets, wholes.fillna(-1, ["up"]), close]).select(*SENT)
+    total = held(sent.groupBy("graph_id", "block", "turn").applyInArrow(summed, "graph_id string, x double, y double, gx double, gy double, n double"), "forces")
     asked = positions.select("graph_id", "node_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     found = asked.join(total, ["graph_id", "x", "y"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))

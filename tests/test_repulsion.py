@@ -63,6 +63,36 @@ def test_hierarchy_holds_every_vertex_once_a_level_of_leaves(spark):
         assert c.leaf or c.n == sum(x.n for x in cells if x.up == c.cell)
 
 
+@pytest.mark.parametrize("block", [20, 70])
+def test_many_blocks_and_a_leaf_in_turns(spark, monkeypatch, block):
+    monkeypatch.setattr(repulsion, "BLOCK", block)
+    rng = random.Random(3)
+    far = {i: (rng.uniform(0, 900), rng.uniform(0, 900)) for i in range(90)} | {90: (1e12, 0.0)}  # 90 in the deepest cell
+    graphs = {"g": clustered(), "h": far}
+    df = spark.createDataFrame([(g, i, x, y) for g, own in graphs.items() for i, (x, y) in own.items()], SCHEMA)
+    got = {(r.graph_id, r.node_id): r for r in repulsion.forces(df, 1.0).collect()}
+    assert len(got) == 391
+    for g, own in graphs.items():
+        for i, (fx, fy, size, acting) in all_pairs(own).items():
+            r = got[g, i]
+            assert r.acting == acting and math.hypot(r.fx - fx, r.fy - fy) <= 0.05 * size + 1e-12
+
+
+def test_pairs_of_cells_are_not_written(spark):
+    """Bytes of the tables between follow the places: with pairs of cells 756 a place, now 215."""
+    from pathlib import Path
+
+    from ringspark.operators import lineage
+
+    folder = Path(lineage.shared_dir(spark).removeprefix("file://"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    rng = random.Random(4)
+    df = spark.createDataFrame([("g", i, rng.uniform(-9, 9), rng.uniform(-9, 9)) for i in range(6000)], SCHEMA)
+    before = size()
+    assert repulsion.forces(df, 1.0).count() == 6000
+    assert (size() - before) / 6000 < 400
+
+
 def test_places_that_are_not_there(spark):
     rows = [("a", 0, 1.0, 2.0), ("a", 1, None, 3.0), ("b", 0, None, 1.0), ("c", 0, math.nan, 0.0), ("c", 1, 0.0, 0.0), ("c", 2, 3.0, 4.0), ("d", 0, 1.0, 1.0), ("d", 1, 1.0, 1.0), ("e", 0, math.inf, 0.0), ("e", 1, 2.0, 0.0)]
     got = {(r.graph_id, r.node_id): (round(r.fx, 9), round(r.fy, 9), r.acting) for r in repulsion.forces(spark.createDataFrame(rows, SCHEMA), 25.0).collect()}
