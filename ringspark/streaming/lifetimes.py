@@ -22,7 +22,7 @@ from contextlib import contextmanager
 from dataclasses import astuple, dataclass, fields
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -32,7 +32,7 @@ from ringspark.operators.search.methods import RandomWalk
 from ringspark.schema import ABANDON_AFTER, EVICT_AFTER, EVICT_EVERY
 
 LIFE = "stage string, started bigint, last bigint, ended bigint, polls bigint, steps bigint"
-SAID = "event string, started timestamp, happened timestamp, polls bigint, steps bigint"
+SAID = "event string, started bigint, happened bigint, polls bigint, steps bigint"
 MADE = "step bigint, event string, u bigint, v bigint"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -108,38 +108,39 @@ class Replay(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         life, said = self.read(), []
-        ticks = pd.concat(rows).sort_values("tick")  # one row a tick: as many as the stream has moved by
-        for r in ticks.itertuples(index=False):
-            self.note(key, life, life.advance(r.tick, self.rules), said)
-            self.note(key, life, life.request(r.tick, r.start, r.polls, r.stop), said)
-        yield from self.write(life, said)
+        timer = life.due(self.rules)
+        for _, tick, start, polls, stop in sorted(rows, key=lambda r: r[1]):  # one row a tick: as many as the stream has moved by
+            self.note(key, life, life.advance(tick, self.rules), said)
+            self.note(key, life, life.request(tick, start, polls, stop), said)
+        self.write(life, timer)
+        yield from said
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         life, said = self.read(), []
+        timer = life.due(self.rules)
         self.note(key, life, life.advance(timerValues.getCurrentWatermarkInMs() // self.tick_ms, self.rules), said)
-        yield from self.write(life, said)
+        self.write(life, timer)
+        yield from said
 
     def note(self, key, life: Life, events, said: list) -> None:
         for event, at in events:
-            said.append((key[0], event, self.moment(life.started), self.moment(at), life.polls, life.steps))
-
-    def moment(self, tick: int) -> pd.Timestamp:
-        return pd.Timestamp(tick * self.tick_ms, unit="ms")
+            said.append(Row(session=key[0], event=event, started=life.started * self.tick_ms, happened=at * self.tick_ms, polls=life.polls, steps=life.steps))
 
     def read(self) -> Life:
-        return Life(*self.life.get()) if self.life.exists() else Life()
-
-    def write(self, life: Life, said: list) -> Iterator[pd.DataFrame]:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
+        own = self.life.get()
+        return Life(*own) if own else Life()
+
+    def write(self, life: Life, timer: tuple[int, str] | None) -> None:
+        """Keep the session; ``timer`` is what was due before, and its tick the only timer there is."""
+        then = life.due(self.rules)
+        if timer and (not then or then[0] != timer[0]):
+            self.handle.deleteTimer(timer[0] * self.tick_ms)
+        if then and (not timer or then[0] != timer[0]):
+            self.handle.registerTimer(then[0] * self.tick_ms)
         if life.stage == "none":
             self.life.clear()
         else:
             self.life.update(astuple(life))
-            if then := life.due(self.rules):
-                self.handle.registerTimer(then[0] * self.tick_ms)
-        if said:
-            yield pd.DataFrame(said, columns=["session", "event", "started", "happened", "polls", "steps"])
 
 
 def replayed(requests: DataFrame, rules: Rules, tick: int = 1, delay: str = "0 seconds") -> DataFrame:
@@ -156,9 +157,11 @@ def replayed(requests: DataFrame, rules: Rules, tick: int = 1, delay: str = "0 s
         F.count_if(F.coalesce(~start & ~stop, F.lit(True))).alias("polls"),
         F.coalesce(F.bool_or(stop), F.lit(False)).alias("stop"),
     )
-    rows = ticks.select("session", "w", (F.unix_millis("w.start") / (1000 * tick)).cast("bigint").alias("tick"), "start", "polls", "stop")
+    # rows and not pandas: a session has few in a batch, and a frame of each costs far more than they do
+    rows = ticks.select("session", (F.unix_millis("w.start") / (1000 * tick)).cast("bigint").alias("tick"), "start", "polls", "stop")
     out = StructType([requests.schema["session"], *StructType.fromDDL(SAID).fields])
-    return rows.groupBy("session").transformWithStateInPandas(Replay(rules, 1000 * tick), out, "append", "EventTime")
+    found = rows.groupBy("session").transformWithState(Replay(rules, 1000 * tick), out, "append", "EventTime")
+    return found.withColumns({c: F.timestamp_millis(c) for c in ("started", "happened")})
 
 
 class Worker(StatefulProcessor):

@@ -170,3 +170,34 @@ def test_walks_that_nobody_polls_are_evicted(spark, tmp_path):
     finally:
         query.stop()
     assert [e for e in events if e in ("abandoned", "evicted")] == ["abandoned", "evicted"]
+
+
+def test_a_batch_asks_the_state_as_often_for_one_tick_as_for_many():
+    calls = []
+
+    class State:
+        own = None
+
+        def get(self):
+            calls.append("get")
+            return self.own
+
+        def update(self, own):
+            calls.append("update")
+            self.own = own
+
+        def registerTimer(self, at):
+            calls.append(("set", at))
+
+        def deleteTimer(self, at):
+            calls.append(("unset", at))
+
+    replay = lifetimes.Replay(lifetimes.Rules(idle=5, keep=9, sweep=4, most=50), 1000)
+    replay.handle = replay.life = State()
+    batch = lambda *ticks: list(replay.handleInputRows(("a",), iter([("a", t, t == 1, int(t > 1), False) for t in ticks]), None))
+    assert batch(3, 1, 2) == [] and calls == ["get", ("set", 9000), "update"]
+    calls.clear()
+    assert batch(4) == [] and calls == ["get", ("unset", 9000), ("set", 10000), "update"]
+    calls.clear()
+    assert [tuple(r) for r in batch(11)] == [("a", "abandoned", 1000, 10000, 3, 9)]
+    assert calls == ["get", ("unset", 10000), ("set", 24000), "update"]
