@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +40,19 @@ def released(*frames: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def under(spark: SparkSession, own: dict[str, str]) -> Iterator[None]:
+    """Settings that hold for what runs inside."""
+    before = {name: spark.conf.get(name, None) for name in own}
+    for name, value in own.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
     """Column names that ``df`` does not have, in any case, made from ``names``."""
     taken, out = {c.lower() for c in df.columns}, []

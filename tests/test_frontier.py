@@ -140,3 +140,13 @@ def test_depth_first_equals_a_plain_search(spark):
         assert (got.success, got.explored, got.duplicates) == (success, explored, 0), name
         assert sorted((r.n, r.m, r.score) for r in states if r.session == name) == sorted((len(n), len(m), x) for n, m, x in stack), name
     assert sessions["square"].success and sessions["over"].explored == 1
+
+
+def test_no_table_of_a_search_goes_through_the_driver(spark, monkeypatch):
+    seen, name = [], "spark.sql.autoBroadcastJoinThreshold"
+    before, successors = spark.conf.get(name), frontier.successors
+    monkeypatch.setattr(frontier, "successors", lambda *a: seen.append(spark.conf.get(name)) or successors(*a))
+    found = frontier.run(*tables(spark, {"path": STARTS["path"]}), 2, 4, rounds=1, deep=True)
+    assert seen == ["-1"] and spark.conf.get(name) == before
+    plan = found.sessions._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan  # nothing is left to be joined later, under other settings
