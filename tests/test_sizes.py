@@ -36,6 +36,42 @@ def ring_of_rings(rng, graphs=6):
     return sorted(set(rows))
 
 
+def counted(monkeypatch):
+    """The labels of the tables that a contraction writes from now on."""
+    labels, plain = [], contraction.held
+    monkeypatch.setattr(contraction, "held", lambda df, label="round": (labels.append(label), plain(df, label))[1])
+    return labels
+
+
+def test_girth_levels_of_long_rings_takes_few_tables(spark, monkeypatch):
+    """Rounds of tables grow with the longest ring; graphs that fit into a task have none, copies and loops do no harm."""
+    from ringspark.plans import catalog
+
+    n = 2000
+    rows = [("ring", i, (i + 1) % n) for i in range(n)] + [("path", i, i + 1) for i in range(n)] + [("loop", 0, 1), ("loop", 1, 1), ("twice", 0, 1), ("twice", 1, 0)]
+    rows += [("theta", *e) for k in (3, 400, 7) for e in zip([0, *range(10 * k, 10 * k + k - 1)], [*range(10 * k, 10 * k + k - 1), 1], strict=True)]
+    monkeypatch.setattr(catalog, "t", lambda spark, sf_dir: (None, spark.createDataFrame(rows, GRAPH)))
+    labels = counted(monkeypatch)
+    assert {r.graph_id: r.girth for r in catalog.QUERIES["girth_levels"](spark, "").collect()} == {"ring": n, "theta": 10, "loop": 1}
+    assert len(labels) < 10
+
+
+def test_graphs_leave_the_tables_once_they_fit(spark, monkeypatch):
+    """Some fit at first, some after a round, and a core that no task searches goes back to the tables."""
+    rows = ring_of_rings(random.Random(3), 20) + [("long", i, (i + 1) % 300) for i in range(300)] + [("grid", a, 100 + b) for a in range(6) for b in range(9)]
+    want = {}
+    for name in {e[0] for e in rows}:
+        if found := cycles.shortest_cycle(cycles.of_edges(*map(list, zip(*(e[1:] for e in rows if e[0] == name), strict=True)))):
+            want[name] = found
+    monkeypatch.setattr(contraction, "CORE", 15)
+    searched, plain = [], contraction.search
+    monkeypatch.setattr(contraction, "search", lambda ends, start, best: (searched.append({r.graph_id for r in start.collect()}), plain(ends, start, best))[1])
+    labels = counted(monkeypatch)
+    assert {r.graph_id: r.girth for r in contraction.girths(spark.createDataFrame(rows, GRAPH), 60).collect()} == want
+    assert searched and "grid" in searched[0] and "long" not in searched[0]
+    assert 0 < labels.count("thin") < 12 and "left" in labels
+
+
 def safe_by_search(edges, k, g):
     """(graph_id, u, v): distance of every safe pair, by plain searches."""
     out = {}
