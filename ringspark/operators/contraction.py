@@ -31,7 +31,7 @@ from collections import defaultdict
 from functools import reduce
 from heapq import heappop, heappush
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,22 +113,21 @@ def in_tasks(edges: DataFrame) -> DataFrame:
     """
     core_edges = CORE
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        u, v = pdf["u"].to_numpy(), pdf["v"].to_numpy()
+    def kernel(own: pa.Table) -> pa.Table:
+        u, v, w = (own[c].to_numpy() for c in ("u", "v", "w"))
         rows, girth = [], 1
         if (u != v).all():
-            near = of_rows(u.tolist(), v.tolist(), pdf["w"].tolist())
+            near = of_rows(u.tolist(), v.tolist(), w.tolist())
             girth = thinned(near)
             if sum(map(len, near.values())) <= 2 * core_edges:
                 girth = shortest(near, girth)
             elif girth is None or girth > 3:
                 rows = [(a, b, w) for a, own in near.items() for b, w in own.items() if a < b]
         rows = [(*row, None) for row in rows] + [(None, None, None, girth)]
-        out = pd.DataFrame({c: pd.array(own, dtype="Int64") for c, own in zip(("u", "v", "w", "girth"), zip(*rows, strict=True), strict=True)})
-        out.insert(0, "graph_id", pdf["graph_id"].iloc[0])
-        return out
+        numbers = [pa.array(column, pa.int64()) for column in zip(*rows, strict=True)]
+        return pa.table([pa.array([own["graph_id"][0].as_py()] * len(rows), pa.string()), *numbers], [*EDGE, "w", "girth"])
 
-    return edges.select(*EDGE, "w").groupBy("graph_id").applyInPandas(kernel, PART)
+    return edges.select(*EDGE, "w").groupBy("graph_id").applyInArrow(kernel, PART)
 
 
 def arcs(edges: DataFrame) -> DataFrame:
