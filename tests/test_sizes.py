@@ -104,6 +104,22 @@ def test_pairs_are_listed_by_blocks_and_not_shuffled(spark, monkeypatch):
     assert plan.index("Join Inner") < plan.index("RepartitionByExpression") and "LeftAnti" not in plan
 
 
+def test_what_pairs_share_is_known_before_they_are_listed(spark, monkeypatch):
+    """Scores are made and rounded for two degrees, not for two vertices."""
+    monkeypatch.setattr(candidates, "BLOCK", 5)
+    rows = ring_of_rings(random.Random(7))
+    edges = spark.createDataFrame(rows, GRAPH)
+    vertices = edges.select("graph_id", F.explode(F.array("u", "v")).alias("node_id")).distinct()
+    want = sorted(safe_by_search(rows, 3, 6))
+    goals = vertices.select("graph_id").distinct().select("graph_id", F.lit(3).alias("k"), F.lit(6).alias("g"))
+    figures = held(validate.figures(vertices, edges, goals), "figures")
+    every = candidates.scored_edges(vertices, edges, 3, 6, figures, digits=9)
+    assert sorted((r.graph_id, r.u, r.v) for r in every.collect()) == want
+    plan = every._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(vs") < plan.index("Join Inner")
+    assert "round(" not in plan[: plan.index("Generate explode(vs")]
+
+
 def test_least_drawn_without_a_hit(spark):
     rows = ring_of_rings(random.Random(3))
     edges = spark.createDataFrame(rows, GRAPH)
