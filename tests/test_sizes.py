@@ -120,6 +120,19 @@ def test_what_pairs_share_is_known_before_they_are_listed(spark, monkeypatch):
     assert "round(" not in plan[: plan.index("Generate explode(vs")]
 
 
+def test_a_vertex_meets_a_block_as_one_row(spark, monkeypatch):
+    monkeypatch.setattr(candidates, "BLOCK", 5)
+    rows = ring_of_rings(random.Random(8))
+    edges = spark.createDataFrame(rows, GRAPH)
+    vertices = edges.select("graph_id", F.explode(F.array("u", "v")).alias("node_id")).distinct()
+    for few in (0, 1, 32):
+        monkeypatch.setattr(candidates, "FEW", few)
+        found = candidates.safe_pairs(vertices, edges, 3, 6)
+        assert sorted((r.graph_id, r.u, r.v) for r in found.collect()) == sorted(safe_by_search(rows, 3, 6))
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Generate explode(vs") < plan.index("Join Inner")
+
+
 def test_least_drawn_without_a_hit(spark):
     rows = ring_of_rings(random.Random(3))
     edges = spark.createDataFrame(rows, GRAPH)
