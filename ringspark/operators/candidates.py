@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringspark.functions import score
+from ringspark.functions import drawing, score
 from ringspark.functions.basic import uniform
 
 from . import distances, sampling
@@ -19,6 +22,8 @@ PAIR = ["graph_id", "u", "v"]
 BLOCK = 2_048
 #: Close vertices of a block, at most, that each pair is compared with; more are taken out at once.
 FEW = 32
+#: Draws that a task holds at once.
+DRAWS = 65_536
 
 
 def low_blocks(vertices: DataFrame, edges: DataFrame, k: int) -> DataFrame:
@@ -92,22 +97,35 @@ def add_low_edge(vertices: DataFrame, edges: DataFrame, k: int, g: int, seed: in
     return add_edges(edges, least_drawn(low, barred(distances.within(edges, low, g - 2), g), seed))
 
 
-def least_drawn(low: DataFrame, close: DataFrame, seed: int, hits: int = 64) -> DataFrame:
-    """(graph_id, u, v) as of :func:`one_each` over the listed pairs, of which only small draws are sorted.
+def least_drawn(low: DataFrame, close: DataFrame, seed: int, held_at_once: float = DRAWS) -> DataFrame:
+    """(graph_id, u, v) as of :func:`one_each` over the pairs of ``low`` that are not at distance 0 in ``close``.
 
-    A graph's bound lets about ``hits`` of its pairs pass; where none does, all its pairs are drawn
-    again without it.
+    Every pair is drawn, but none is a row: a task draws the pairs of two blocks in arrays of about
+    ``held_at_once`` numbers, and gives back the least.
     """
-    size = held(low.groupBy("graph_id").agg(F.count("*").alias("n")).select("graph_id", F.try_divide(F.lit(2.0 * hits), F.col("n") * (F.col("n") - 1)).alias("bound")).filter("bound is not null"), "bounds")
-    draw = uniform(F.lit(seed), F.col("graph_id"), F.col("u"), F.col("v"))
-    unsafe = close.filter("distance = 0")
-    passed = listed(low, unsafe).select(*PAIR).join(F.broadcast(size), "graph_id").filter(draw < F.col("bound"))
-    found = held(one_each(passed.select(*PAIR), ["u", "v"], seed), "drawn")
-    again = held(size.filter("bound < 1").join(found, "graph_id", "left_anti").select("graph_id"), "again")
-    if again.isEmpty():
-        return found
-    rest = listed(low.join(again, "graph_id", "left_semi"), unsafe.join(again, "graph_id", "left_semi"))
-    return found.union(one_each(rest.select(*PAIR), ["u", "v"], seed))
+    spark = low.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    of = lambda x: low.select("graph_id", F.col("node_id").alias(x), F.col("block").alias(f"block_{x}"))
+    keys = ["graph_id", "block_u", "block_v"]
+    unsafe = close.filter("distance = 0").join(of("u"), ["graph_id", "u"]).join(of("v"), ["graph_id", "v"])
+    own = unsafe.groupBy(*keys).agg(F.collect_list(F.struct("u", "v")).alias("own")).select(*keys, F.col("own.u").alias("not_u"), F.col("own.v").alias("not_v"))
+    block = held(low.groupBy("graph_id", "block", "last").agg(F.sort_array(F.collect_list("node_id")).alias("ids")), "blocks")
+    a = block.select("graph_id", F.col("block").alias("block_u"), F.explode(F.sequence("block", "last")).alias("block_v"), F.col("ids").alias("us"))
+    b = block.select("graph_id", F.col("block").alias("block_v"), F.col("ids").alias("vs"))
+    met = a.join(b, ["graph_id", "block_v"]).join(own, keys, "left").repartition(tasks, *keys)
+    met = met.select("graph_id", "us", "vs", *(F.coalesce(c, F.array().cast("array<bigint>")).alias(c) for c in ("not_u", "not_v")))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                name = batch.column(0)[i].as_py()
+                us, vs, not_u, not_v = (batch.column(c)[i].values.to_numpy() for c in range(1, 5))
+                if (found := drawing.least(f"{seed}:{name}:", us, vs, not_u, not_v, max(1, int(held_at_once)))) is not None:
+                    yield pa.RecordBatch.from_pylist([dict(zip(("graph_id", "draw", "u", "v"), (name, *found), strict=True))], schema=drawn)
+
+    drawn = pa.schema([("graph_id", pa.string()), ("draw", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
+    found = met.mapInArrow(kernel, "graph_id string, draw bigint, u bigint, v bigint")
+    return found.groupBy("graph_id").agg(F.min(F.struct("draw", "u", "v")).alias("x")).select("graph_id", "x.u", "x.v")
 
 
 def sampled_actions(vertices: DataFrame, edges: DataFrame, k: int, g: int, seed: int = 0) -> DataFrame:

@@ -1,11 +1,13 @@
 """What must not grow with the square of a graph, beside plain versions."""
 
+import hashlib
 import random
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ringspark.functions import drawing
 from ringspark.operators import candidates, contraction, cycles, distances, edits, layout, validate
 from ringspark.operators.lineage import held
 from ringspark.operators.model import batches, train
@@ -144,6 +146,25 @@ def test_least_drawn_without_a_hit(spark):
         assert {tuple(r) for r in candidates.least_drawn(low, close, 4, hits).collect()} == want
 
 
+def test_draws_of_pairs_in_arrays_are_md5(spark):
+    """The least draw of two arrays for ids and prefixes of any length, with and without pairs left out; no pair is a row."""
+    rng = random.Random(1)
+    own = lambda n: np.array(sorted({rng.randrange(-50, 10 ** rng.randint(1, 18)) for _ in range(n)}))
+    for prefix in ("4:2024-01-01 00:", "0:" + "x" * 70 + "\u00e9:", "4:" + "y" * 44 + ":", "4:" + "y" * 53 + ":"):
+        us = own(9)
+        vs = np.union1d(own(12), us[:4])
+        draw = lambda u, v: int(hashlib.md5(f"{prefix}{u}:{v}".encode()).hexdigest()[:8], 16)  # noqa: B023, E731
+        every = sorted((draw(u, v), u, v) for u in us.tolist() for v in vs.tolist() if u < v)
+        for gone in (0, 3, len(every)):
+            not_u, not_v = (np.array([x[i] for x in every[:gone]], np.int64) for i in (1, 2))
+            for at_once in (1, 64, 9999):
+                assert drawing.least(prefix, us, vs, not_u, not_v, at_once) == (every[gone] if gone < len(every) else None)
+    low = spark.createDataFrame([("g", i, 0, i // 8, 2) for i in range(24)], "graph_id string, node_id long, degree long, block int, last int")
+    found = candidates.least_drawn(low, low.limit(0).selectExpr("graph_id", "node_id u", "node_id v", "0 distance"), 4)
+    assert "Generate explode(vs" not in found._jdf.queryExecution().optimizedPlan().toString() and "md5" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [("g", *min((int(hashlib.md5(f"4:g:{u}:{v}".encode()).hexdigest()[:8], 16), u, v) for v in range(24) for u in range(v))[1:])]
+
+
 def test_the_last_pair_of_each_kind_is_the_best(spark):
     """Without the pairs, the same choice as among all of them, for girths under, at and over the goal."""
     rows = ring_of_rings(random.Random(5), 12)
